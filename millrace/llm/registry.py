@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, sharding
+from millrace.llm import jaccard_join, mixing, pieces, sharding
 
 
 def queries() -> dict:
-    found = [mixing.op6_mixing, sharding.op10_sharding]
+    found = [pieces.op2_pieces, mixing.op6_mixing, jaccard_join.op9_jaccard_join, sharding.op10_sharding]
     return {f.__name__: f for f in found}
 
 
