@@ -10,9 +10,10 @@ throughout.
    without moving the rest of their members.
 2. Regions. The remaining sets order their members, rarest first. Sets that
    link share one of the first ``n - ceil(0.8 n) + 1``, so each such member is
-   a region, and what lies outside its regions needs no comparison.
-3. Pivots. Every region picks pivots among its sets and measures exact
-   distances to them: the set's nearest pivot is its Voronoi cell. Sets within
+   a region, and what lies outside its regions needs no comparison. How far
+   back the member stands bounds the sizes of partners; sets without any leave.
+3. Pivots. Every region picks pivots among its sets, the most typical of their
+   size, and measures exact distances to them: the set's nearest pivot is its Voronoi cell. Sets within
    0.2 of a pivot link to it and leave the region; sets within 0.4 are the
    cell's boundary and are copied to it, since by the triangle inequality only
    they can link to what left. The rest of the region joins recursively, with
@@ -54,10 +55,9 @@ def _similar(a: str = "n", b: str = "m", percent: int = 80):
 
 
 def outsiders(base: DataFrame) -> DataFrame:
-    """Keys of ``base`` (key, n, members) that provably link with nothing."""
+    """``key, alone``: how many of its counted members no other set has."""
     owned = base.select("key", F.explode("members").alias("t")).groupBy("t").agg(F.min("key").alias("key"), F.max("key").alias("other"))
-    alone = owned.where("key = other").groupBy("key").agg(F.count("*").alias("alone"))
-    return alone
+    return owned.where("key = other").groupBy("key").agg(F.count("*").alias("alone"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -72,23 +72,49 @@ def near(percent: int):
 
 
 def regions(sets: DataFrame) -> DataFrame:
-    """``t, key, n``: each set in the regions of its first members."""
+    """``t, key, n, hi, score``: each set in the regions of its first members.
+
+    With t as the first member that two sets share, all before it (rank i)
+    differ, which leaves room only for partners of up to ``hi`` members.
+    ``score``, the mean number of sets that own a member, is high in the middle
+    of a group of copies.
+    """
     owned = sets.select("key", "n", F.explode("members").alias("t"))
     shared = owned.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = owned.join(shared, "t").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    ranked = owned.join(shared, "t").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"), F.sum("c").alias("sum"))
     # Members that no other set has come first and make no region.
-    left = F.floor(F.col("n") / 5) + 1 - (F.col("n") - F.size("ts"))
-    return ranked.where(left > 0).select("key", "n", F.explode(F.expr(f"slice(ts, 1, cast(floor(n / 5) + 1 - (n - size(ts)) as int))")).alias("x")).select(F.col("x.t").alias("t"), "key", "n")
+    ranked = ranked.withColumn("own", F.col("n") - F.size("ts")).withColumn("left", F.expr("cast(floor(n / 5) + 1 - own as int)")).where("left > 0")
+    ranked = ranked.withColumn("score", (F.col("sum") + F.col("own")) / F.col("n"))
+    out = ranked.select("key", "n", "own", "score", F.posexplode(F.expr("slice(ts, 1, left)")).alias("i", "x"))
+    return out.select(F.col("x.t").alias("t"), "key", "n", F.expr("cast(floor((5 * n - 9 * (own + i)) / 4) as bigint)").alias("hi"), "score")
+
+
+def paired(region: DataFrame) -> DataFrame:
+    """Rows of ``region`` that may have a partner in their region; classes are
+    sizes within a factor of 1.25, so partners are in the next ones at most."""
+    rows = region.withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    sizes = rows.groupBy("t", "c").agg(F.min("n").alias("lo"), F.max("n").alias("up"), F.count("*").alias("k"), F.min("key").alias("one"))
+    around = sizes.select("t", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "lo", "up", "k", "one")
+    meets = rows.join(around, ["t", "c"]).where("lo <= hi and 5 * up >= 4 * n and (k > 1 or one <> key)")
+    return meets.groupBy("t", "key").agg(F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("score").alias("score"))
+
+
+def distinct_regions(region: DataFrame) -> DataFrame:
+    """Of regions with the same sets and partner sizes one is enough."""
+    same = region.groupBy("t").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", "hi").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(hi, key))").alias("x"))
+    one = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("t").alias("t")).select("t")
+    return region.join(one, "t", "left_semi")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """``a, b``: pairs of keys of ``sets`` (key, n, members) within 0.2, enough
     of them to connect all that any such pairs connect."""
-    region, k, found, seen = checkpoint(regions(sets)), 1, [], []
+    region = checkpoint(distinct_regions(paired(checkpoint(regions(sets)))))
+    k, found = 1, []
     while True:
-        order = F.xxhash64(F.lit(k), "key")
-        slot = F.pmod(order, F.lit(k)).alias("slot")
-        pivots = region.groupBy("t", slot).agg(F.min(F.struct(order.alias("o"), F.col("key"), F.col("n"))).alias("p"), F.count("*").alias("c"))
+        size = F.floor(F.log("n") / F.log(F.lit(1.25)))
+        slot = F.pmod(F.xxhash64(F.lit(k), "key"), F.lit(k))
+        pivots = region.groupBy("t", size.alias("c"), slot.alias("slot")).agg(F.max(F.struct("score", "key", "n")).alias("p"))
         pivots = checkpoint(pivots.select("t", F.col("p.key").alias("pivot"), F.col("p.n").alias("m")))
         met = region.join(pivots, "t").where((F.col("key") != F.col("pivot")) & _similar(percent=60))
         d = checkpoint(measured(met.groupBy("key", "pivot").agg(F.first("n").alias("n"), F.first("m").alias("m")), sets).where(near(60)))
@@ -98,12 +124,10 @@ def links(sets: DataFrame) -> DataFrame:
         gone = pivots.select("t", F.col("pivot").alias("key")).unionByName(
             region.join(pivots, "t").join(linked, ["key", "pivot"], "left_semi").select("t", "key")
         )
-        rest = region.join(gone, ["t", "key"], "left_anti")
-        several = rest.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
-        region = checkpoint(rest.join(several, "t", "left_semi"))
+        region = checkpoint(paired(region.join(gone, ["t", "key"], "left_anti")))
         if not region.head(1):
             break
-        k *= 4
+        k *= 2
     d = reduce(DataFrame.unionByName, found).distinct()
     direct = checkpoint(d.where(near(80)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
     return direct.unionByName(_across(d, direct, sets))
@@ -125,10 +149,11 @@ def _across(d: DataFrame, direct: DataFrame, sets: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = checkpoint(docs.mapInArrow(set_rows(COUNTED), SET_SCHEMA))
+    base = checkpoint(docs.mapInArrow(set_rows(0), SET_SCHEMA).select("doc_id", "key", "n"))
     real = base.where("n > 0")
     classes = checkpoint(real.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    inside = classes.join(outsiders(real), "key", "left").where("5 * coalesce(alone, 0) <= n")
+    counted = docs.mapInArrow(set_rows(COUNTED), SET_SCHEMA)
+    inside = classes.join(outsiders(counted), "key", "left").where("5 * coalesce(alone, 0) <= n")
     inside = checkpoint(inside.select("key", F.col("least").alias("_id")))
     again = docs.join(broadcast_up_to(inside.select("_id").distinct(), SMALL), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = again.mapInArrow(set_rows(8), SET_SCHEMA).where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("members").alias("members"))
