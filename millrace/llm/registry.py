@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard_join, mixing, pieces, sharding
+from millrace.llm import exact_topk, jaccard_join, learned_partitions, mixing, pieces, sharding, toxicity, url_templates, warc
 
 
 def queries() -> dict:
-    found = [pieces.op2_pieces, mixing.op6_mixing, jaccard_join.op9_jaccard_join, sharding.op10_sharding]
+    found = [
+        learned_partitions.op1_learned_partitions,
+        pieces.op2_pieces,
+        toxicity.op3_toxicity,
+        url_templates.op5_url_templates,
+        mixing.op6_mixing,
+        exact_topk.op7_exact_topk,
+        warc.op8_warc,
+        jaccard_join.op9_jaccard_join,
+        sharding.op10_sharding,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op10_sharding": sharding.ORACLE}
+    return {"op7_exact_topk": exact_topk.ORACLE, "op8_warc": warc.ORACLE, "op10_sharding": sharding.ORACLE}
