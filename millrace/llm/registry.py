@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import exact_topk, jaccard_join, learned_partitions, mixing, pieces, sharding, toxicity, url_templates, warc
+import corpus_pipeline
+from millrace.llm import exact_topk, jaccard_join, learned_partitions, mixing, pieces, secrets, sharding, toxicity, url_templates, warc
 
 
 def queries() -> dict:
@@ -10,6 +11,7 @@ def queries() -> dict:
         learned_partitions.op1_learned_partitions,
         pieces.op2_pieces,
         toxicity.op3_toxicity,
+        secrets.op4_secrets,
         url_templates.op5_url_templates,
         mixing.op6_mixing,
         exact_topk.op7_exact_topk,
@@ -17,7 +19,7 @@ def queries() -> dict:
         jaccard_join.op9_jaccard_join,
         sharding.op10_sharding,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
