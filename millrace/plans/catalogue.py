@@ -1,11 +1,838 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL.
+
+Every query projects a key, rounds floating-point results, and has no order.
+Those whose rows SQL cannot give (models, seeded sampling, streams with state)
+have no SQL and are tested by themselves.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.operators import arrays, base, categorical, cleaning, graph, numeric, packs, profiling, relational, selection, temporal, text
+from millrace.plans import dsl
+from millrace.plans.auto import AutoFeatures
+from millrace.sources import io
+from millrace.streaming import stateful
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LKEY = "l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, l_suppkey"
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return io.read(spark, f"{sf}/{name}.parquet")
+
+
+def out(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Plain types: doubles rounded, whole numbers long."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    made = []
+    for c in cols or df.columns:
+        v = F.col(f"`{c}`")
+        if isinstance(kinds[c], (T.DoubleType, T.FloatType, T.DecimalType)):
+            v = F.round(v.cast("double"), digits)
+        elif isinstance(kinds[c], (T.IntegralType, T.BooleanType)):
+            v = v.cast("long")
+        made.append(v.alias(c))
+    return df.select(*made)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of order lines: logarithm, product, winsorised price, segment
+    encoding, season."""
+    lines, orders, customers = read(spark, sf, "lineitem"), read(spark, sf, "orders"), read(spark, sf, "customer")
+    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    df = df.select(*LINE, "l_quantity", "l_discount", "l_extendedprice", "o_orderdate", "c_mktsegment")
+    df = categorical.Target(["c_mktsegment"]).fit_transform(df, "l_extendedprice")
+    both = base.Union([numeric.Log(["l_extendedprice"]), numeric.Interactions(["l_quantity", "l_discount"], ("multiply",)), temporal.DateParts(["o_orderdate"], ("month",))])
+    df = both.fit_transform(df)
+    df = cleaning.Winsorize(["l_extendedprice"]).fit_transform(df).withColumnRenamed("l_extendedprice", "l_extendedprice_wins")
+    return out(df, *LINE, "l_extendedprice_log1p", "l_quantity_x_l_discount", "l_extendedprice_wins", "c_mktsegment_target", "o_orderdate_month_sin", digits=4)
+
+
+QUERIES["flagship"] = flagship
+SQL["flagship"] = f"""
+with j as (select * from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+b as (select quantile_cont(l_extendedprice, 0.01) lo, quantile_cont(l_extendedprice, 0.99) hi, avg(l_extendedprice) gm from j),
+g as (select c_mktsegment, count(l_extendedprice) n, avg(l_extendedprice) m from j group by 1)
+select {LKEY}, round(ln(1 + greatest(abs(l_extendedprice), 0)), 4) as l_extendedprice_log1p, round(l_quantity * l_discount, 4) as l_quantity_x_l_discount,
+  round(least(greatest(l_extendedprice, lo), hi), 4) as l_extendedprice_wins, round((n * m + 10 * gm) / (n + 10), 4) as c_mktsegment_target,
+  round(sin(2 * pi() * month(o_orderdate) / 12), 4) as o_orderdate_month_sin
+from j join g using (c_mktsegment) cross join b"""
+
+# Numbers
+
+
+@query(f"""select {LKEY}, round(l_quantity * l_discount, 6) as l_quantity_x_l_discount, round(case when l_discount = 0 then 0 else l_quantity / l_discount end, 6) as l_quantity_div_l_discount,
+  round(l_quantity + l_discount, 6) as l_quantity_plus_l_discount, round(case when l_quantity + l_discount = 0 then 0 else (l_quantity - l_discount) / (l_quantity + l_discount) end, 6) as l_quantity_ratio_l_discount from lineitem""")
+def interactions(spark, sf):
+    df = numeric.Interactions(["l_quantity", "l_discount"], ("multiply", "divide", "add", "ratio")).fit_transform(read(spark, sf, "lineitem"))
+    return out(df, *LINE, "l_quantity_x_l_discount", "l_quantity_div_l_discount", "l_quantity_plus_l_discount", "l_quantity_ratio_l_discount")
+
+
+@query(f"""select {LKEY}, round(l_tax - l_discount, 6) as l_tax_minus_l_discount, round(case when l_discount = 0 then 0 else l_tax / l_discount end, 6) as l_tax_over_l_discount,
+  round(case when l_discount = 0 then 0 else (l_tax - l_discount) / abs(l_discount) end, 6) as l_tax_pct_change_l_discount from lineitem""")
+def differences(spark, sf):
+    return out(numeric.Differences([("l_tax", "l_discount")]).fit_transform(read(spark, sf, "lineitem")), *LINE, "l_tax_minus_l_discount", "l_tax_over_l_discount", "l_tax_pct_change_l_discount")
+
+
+@query("""with m as (select min(c_acctbal) lo from customer)
+select c_custkey, round(ln(1 + greatest(abs(c_acctbal), 0)), 6) as abs_log1p, round(case when v > 0 then ln(v) else 0 end, 6) as shift_log, round(case when c_acctbal > 0 then log10(c_acctbal) else 0 end, 6) as raw_log10
+from (select c_custkey, c_acctbal, c_acctbal + case when lo <= 0 then abs(lo) + 1 else 0 end as v from customer, m)""")
+def logarithms(spark, sf):
+    df, c = read(spark, sf, "customer"), ["c_acctbal"]
+    df = numeric.Log(c).fit_transform(df).withColumnRenamed("c_acctbal_log1p", "abs_log1p")
+    df = numeric.Log(c, "log", "shift").fit_transform(df).withColumnRenamed("c_acctbal_log", "shift_log")
+    df = numeric.Log(c, "log10", "raw").fit_transform(df).withColumnRenamed("c_acctbal_log10", "raw_log10")
+    return out(df, "c_custkey", "abs_log1p", "shift_log", "raw_log10")
+
+
+@query("""select p_partkey, round(sqrt(p_retailprice), 6) as p_retailprice_sqrt, round(p_retailprice * p_retailprice, 4) as p_retailprice_square, round(cbrt(p_retailprice), 6) as p_retailprice_cbrt from part""")
+def powers(spark, sf):
+    df = numeric.Power(["p_retailprice"], ("sqrt", "square", "cbrt")).fit_transform(read(spark, sf, "part"))
+    df = df.withColumn("p_retailprice_square", F.round("p_retailprice_square", 4))
+    return out(df, "p_partkey", "p_retailprice_sqrt", "p_retailprice_square", "p_retailprice_cbrt")
+
+
+@query("""select p_partkey, round(p_size * p_size, 6)::double as "p_size^2", round(p_size * p_retailprice, 4) as p_size_x_p_retailprice from part""")
+def polynomial(spark, sf):
+    df = numeric.Polynomial(["p_size", "p_retailprice"]).fit_transform(read(spark, sf, "part"))
+    return out(df, "p_partkey", "p_size^2", "p_size_x_p_retailprice", digits=4)
+
+
+@query(f"""with e as (select quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) q, min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem)
+select {LKEY}, (case when l_extendedprice >= q[1] then 1 else 0 end + case when l_extendedprice >= q[2] then 1 else 0 end + case when l_extendedprice >= q[3] then 1 else 0 end + case when l_extendedprice >= q[4] then 1 else 0 end)::bigint as quantile_bin,
+ (case when l_extendedprice >= lo + (hi - lo) * 1 / 5 then 1 else 0 end + case when l_extendedprice >= lo + (hi - lo) * 2 / 5 then 1 else 0 end + case when l_extendedprice >= lo + (hi - lo) * 3 / 5 then 1 else 0 end + case when l_extendedprice >= lo + (hi - lo) * 4 / 5 then 1 else 0 end)::bigint as uniform_bin from lineitem, e""")
+def bins(spark, sf):
+    df, c = read(spark, sf, "lineitem"), ["l_extendedprice"]
+    df = numeric.Bins(c).fit_transform(df).withColumnRenamed("l_extendedprice_binned", "quantile_bin")
+    df = numeric.Bins(c, strategy="uniform").fit_transform(df).withColumnRenamed("l_extendedprice_binned", "uniform_bin")
+    return out(df, *LINE, "quantile_bin", "uniform_bin")
+
+
+@query("""with q as (select quantile_cont(p_retailprice, [0.25, 0.5, 0.75]) q from part)
+select p_partkey, (case when p_retailprice > q[1] then 1 else 0 end + case when p_retailprice > q[2] then 1 else 0 end + case when p_retailprice > q[3] then 1 else 0 end)::bigint as p_retailprice_binned from part, q""")
+def qcut(spark, sf):
+    return out(numeric.Bins(["p_retailprice"], 4, closed="right").fit_transform(read(spark, sf, "part")), "p_partkey", "p_retailprice_binned")
+
+
+@query("""with q as (select quantile_cont(p_size, [0.0, 0.25, 0.5, 0.75, 1.0]) k from part), p as (select p_partkey, p_size::double v, k from part, q)
+select p_partkey, round(case when v >= k[1] and v < k[2] then (k[2] - v) / (k[2] - k[1]) else 0 end, 6) as p_size_spline_0,
+ round(case when v >= k[1] and v < k[2] then (v - k[1]) / (k[2] - k[1]) when v >= k[2] and v < k[3] then (k[3] - v) / (k[3] - k[2]) else 0 end, 6) as p_size_spline_1,
+ round(case when v >= k[4] and v <= k[5] then (v - k[4]) / (k[5] - k[4]) else 0 end, 6) as p_size_spline_4 from p""")
+def spline(spark, sf):
+    return out(numeric.Spline(["p_size"], degree=1).fit_transform(read(spark, sf, "part")), "p_partkey", "p_size_spline_0", "p_size_spline_1", "p_size_spline_4")
+
+
+@query("""select event_id, round((value - avg(value) over ()) / stddev_samp(value) over (), 6) as value_zscore, round((value - min(value) over ()) / (max(value) over () - min(value) over ()), 6) as value_minmax from events""")
+def scaling(spark, sf):
+    df = base.Union([numeric.Scale(["value"]), numeric.Scale(["value"], "minmax")]).fit_transform(read(spark, sf, "events"))
+    return out(df, "event_id", "value_zscore", "value_minmax")
+
+
+@query(f"""select {LKEY}, round(avg(l_quantity) over w, 6) as l_returnflag_l_linestatus_l_quantity_mean, round(sum(l_quantity) over w, 4) as l_returnflag_l_linestatus_l_quantity_sum,
+ round(stddev_samp(l_quantity) over w, 6) as l_returnflag_l_linestatus_l_quantity_std from lineitem window w as (partition by l_returnflag, l_linestatus)""")
+def group_statistics(spark, sf):
+    df = numeric.GroupStatistics(["l_returnflag", "l_linestatus"], ["l_quantity"]).fit_transform(read(spark, sf, "lineitem"))
+    return out(df, *LINE, *[c for c in df.columns if c.startswith("l_returnflag_l_")])
+
+
+@query("""select c_custkey, round(median(o_totalprice), 4) as o_custkey_o_totalprice_median, count(o_totalprice) as o_custkey_o_totalprice_count, count(distinct o_orderstatus) as o_custkey_o_orderstatus_nunique
+ from customer left join orders on c_custkey = o_custkey group by 1 having count(o_totalprice) > 0""")
+def category_statistics(spark, sf):
+    orders = read(spark, sf, "orders")
+    a = numeric.GroupStatistics("o_custkey", ["o_totalprice"], ("median", "count"))
+    b = numeric.GroupStatistics("o_custkey", ["o_orderstatus"], ("nunique",))
+    df = b.fit(orders).transform(a.fit(orders).transform(orders))
+    df = df.withColumn("o_custkey_o_totalprice_median", F.round("o_custkey_o_totalprice_median", 4))
+    return out(df.withColumnRenamed("o_custkey", "c_custkey").select("c_custkey", *[c for c in df.columns if c.startswith("o_custkey_")]).distinct())
+
+
+# Categories
+
+
+@query("""select event_id, (event_type = 'click')::bigint as event_type_click, (event_type = 'purchase')::bigint as event_type_purchase from events""")
+def onehot(spark, sf):
+    df = categorical.OneHot(["event_type"]).fit_transform(read(spark, sf, "events"))
+    df = df.withColumns({c: F.lit(0) for c in ("event_type_click", "event_type_purchase") if c not in df.columns})
+    return out(df, "event_id", "event_type_click", "event_type_purchase")
+
+
+@query("""with c as (select p_brand, count(*) n from part group by 1), r as (select p_brand, row_number() over (order by n desc, p_brand) - 1 as f, row_number() over (order by p_brand) - 1 as a, n from c)
+select p_partkey, f::bigint as by_frequency, a::bigint as by_alphabet, round(n / (select count(*) from part), 6) as p_brand_freq from part join r using (p_brand)""")
+def ordinal_frequency(spark, sf):
+    df = read(spark, sf, "part")
+    df = categorical.Ordinal(["p_brand"]).fit_transform(df).withColumnRenamed("p_brand_ordinal", "by_frequency")
+    df = categorical.Ordinal(["p_brand"], by="alphabet").fit_transform(df).withColumnRenamed("p_brand_ordinal", "by_alphabet")
+    return out(categorical.Frequency(["p_brand"]).fit_transform(df), "p_partkey", "by_frequency", "by_alphabet", "p_brand_freq")
+
+
+_OC = "(select * from orders join customer on o_custkey = c_custkey)"
+
+
+def _orders_customers(spark, sf):
+    return read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+
+@query(f"""with j as (select * from {_OC}), g as (select avg(o_totalprice) gm from j), c as (select c_mktsegment, count(o_totalprice) n, avg(o_totalprice) m, sum(o_totalprice) s, stddev_samp(o_totalprice) sd from j group by 1)
+select o_orderkey, round((n * m + 10 * gm) / (n + 10), 4) as c_mktsegment_target, round(sd, 4) as c_mktsegment_target_std, n as c_mktsegment_target_count,
+ round((s + gm) / (n + 1), 4) as c_mktsegment_prior, round((s - o_totalprice + gm) / n, 4) as c_mktsegment_loo from j join c using (c_mktsegment) cross join g""")
+def target_encoders(spark, sf):
+    df, c, y = _orders_customers(spark, sf), ["c_mktsegment"], "o_totalprice"
+    df = categorical.Target(c).fit_transform(df, y)
+    df = categorical.TargetStatistics(c, ("std", "count")).fit_transform(df, y)
+    df = categorical.Prior(c).fit_transform(df, y)
+    df = categorical.LeaveOneOut(c, exclude_own=True).fit_transform(df, y)
+    return out(df, "o_orderkey", "c_mktsegment_target", "c_mktsegment_target_std", "c_mktsegment_target_count", "c_mktsegment_prior", "c_mktsegment_loo", digits=4)
+
+
+@query("""with j as (select * from documents join labels using (doc_id)), t as (select sum(quality) e, sum(1 - quality) r from j), c as (select lang, sum(quality) e, sum(1 - quality) r from j group by 1)
+select doc_id, round(ln(((c.e + 0.5) / (t.e + 0.5)) / ((c.r + 0.5) / (t.r + 0.5))), 6) as lang_woe from j join c using (lang) cross join t""")
+def weight_of_evidence(spark, sf):
+    df = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id")
+    return out(categorical.WeightOfEvidence(["lang"]).fit_transform(df, "quality"), "doc_id", "lang_woe")
+
+
+@query("""with j as (select * from documents join labels using (doc_id)), t as (select sum(quality) e, sum(1 - quality) r from j), c as (select lang, sum(quality) e, sum(1 - quality) r from j group by 1)
+select round(sum(((c.e + 0.5) / (t.e + 0.5) - (c.r + 0.5) / (t.r + 0.5)) * ln(((c.e + 0.5) / (t.e + 0.5)) / ((c.r + 0.5) / (t.r + 0.5)))), 6) as iv from c, t""")
+def information_value(spark, sf):
+    df = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id")
+    return out(categorical.WeightOfEvidence(["lang"]).fit(df, "quality").information(df, "lang", "quality"))
+
+
+_HASH = ", ".join(f"(case when b = {i} then 1 when b = {i + 8} then -1 else 0 end)::bigint as event_type_hash_{i}" for i in range(8))
+
+
+@query(f"""select event_id, {_HASH} from (select event_id, (('0x' || right(md5(event_type || '0'), 8))::bigint % 16) as b from events)""")
+def hashing(spark, sf):
+    df = categorical.Hashing(["event_type"]).fit_transform(read(spark, sf, "events"))
+    return out(df, "event_id", *[f"event_type_hash_{i}" for i in range(8)])
+
+
+@query(f"""with k as (select l_returnflag || '_x_' || l_linestatus v from lineitem group by 1 having count(*) >= 500)
+select {LKEY}, case when l_returnflag || '_x_' || l_linestatus in (select v from k) then l_returnflag || '_x_' || l_linestatus else '__other__' end as l_returnflag_x_l_linestatus from lineitem""")
+def combine(spark, sf):
+    return out(categorical.Combine(["l_returnflag", "l_linestatus"], least=500).fit_transform(read(spark, sf, "lineitem")), *LINE, "l_returnflag_x_l_linestatus")
+
+
+@query()
+def embeddings_of_categories(spark, sf):
+    df = categorical.Embedding(["c_mktsegment"], dim=3).fit_transform(read(spark, sf, "customer"))
+    return out(df, "c_custkey", *[f"c_mktsegment_emb_{i}" for i in range(3)])
+
+
+@query()
+def cross_layers(spark, sf):
+    df = numeric_only = categorical.CrossLayers(["l_quantity", "l_discount", "l_tax"]).fit_transform(read(spark, sf, "lineitem"))
+    return out(df, *LINE, *[c for c in numeric_only.columns if c.startswith("cross_")])
+
+
+# Times
+
+
+@query("""select o_orderkey, year(o_orderdate)::bigint as o_orderdate_year, month(o_orderdate)::bigint as o_orderdate_month, day(o_orderdate)::bigint as o_orderdate_day, (isodow(o_orderdate) - 1)::bigint as o_orderdate_dayofweek,
+ (isodow(o_orderdate) >= 6)::bigint as o_orderdate_is_weekend, weekofyear(o_orderdate)::bigint as o_orderdate_weekofyear, quarter(o_orderdate)::bigint as o_orderdate_quarter, dayofyear(o_orderdate)::bigint as o_orderdate_dayofyear,
+ (day(o_orderdate) = 1)::bigint as o_orderdate_is_month_start, (o_orderdate::date = last_day(o_orderdate::date))::bigint as o_orderdate_is_month_end,
+ (month(o_orderdate) in (3, 6, 9, 12) and o_orderdate::date = last_day(o_orderdate::date))::bigint as o_orderdate_is_quarter_end, round(cos(2 * pi() * (isodow(o_orderdate) - 1) / 7), 6) as o_orderdate_dayofweek_cos from orders""")
+def date_parts(spark, sf):
+    parts = ("year", "month", "day", "dayofweek", "is_weekend", "weekofyear", "quarter", "dayofyear", "is_month_start", "is_month_end", "is_quarter_end")
+    df = temporal.DateParts(["o_orderdate"], parts).fit_transform(read(spark, sf, "orders"))
+    return out(df, "o_orderkey", *[f"o_orderdate_{p}" for p in parts], "o_orderdate_dayofweek_cos")
+
+
+@query("""with d as (select o_orderkey, o_orderdate::date d from orders), h as (select o_orderkey, d, make_date(year(d) + y, m, x) h from d, (values (-1), (0), (1)) v(y), (values (1, 1), (7, 4), (12, 25), (12, 31)) w(m, x)),
+ g as (select o_orderkey, min(case when h >= d then h - d end)::bigint a, min(case when h <= d then d - h end)::bigint b from h group by 1)
+select o_orderkey, (a = 0)::bigint as o_orderdate_is_holiday, a as o_orderdate_days_to_holiday, b as o_orderdate_days_from_holiday, (least(a, b) <= 2)::bigint as o_orderdate_near_holiday from g""")
+def holidays(spark, sf):
+    df = temporal.Holidays(["o_orderdate"]).fit_transform(read(spark, sf, "orders"))
+    return out(df, "o_orderkey", *[f"o_orderdate_{k}" for k in ("is_holiday", "days_to_holiday", "days_from_holiday", "near_holiday")])
+
+
+@query(f"""select {LKEY}, round((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6, 6) as o_orderdate_to_l_shipdate_days, round((epoch_us(timestamp '2000-01-01') - epoch_us(l_shipdate)) / 604800e6, 6) as l_shipdate_age_weeks from lineitem join orders on l_orderkey = o_orderkey""")
+def time_differences(spark, sf):
+    df = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = temporal.TimeDifference(["o_orderdate", "l_shipdate"], reference="2000-01-01", units=("days", "weeks")).fit_transform(df)
+    return out(df, *LINE, "o_orderdate_to_l_shipdate_days", "l_shipdate_age_weeks")
+
+
+@query("""with b as (select min(epoch_us(o_orderdate)) m from orders) select o_orderkey, round(sin(2 * pi() * (epoch_us(o_orderdate) - m) / 86400e6 / 365.25), 6) as fourier_yearly_sin_1,
+ round(cos(2 * pi() * ((epoch_us(o_orderdate) - m) / 86400e6 * 2) / 7.0), 6) as fourier_weekly_cos_2 from orders, b""")
+def fourier(spark, sf):
+    return out(temporal.Fourier("o_orderdate", terms=2).fit_transform(read(spark, sf, "orders")), "o_orderkey", "fourier_yearly_sin_1", "fourier_weekly_cos_2")
+
+
+_EV = {"by": "user_id", "order": ["ts", "event_id"]}
+_EW = "window w as (partition by user_id order by ts, event_id)"
+
+
+@query(f"""select event_id, round(lag(value, 1) over w, 6) as value_lag_1, round(coalesce(lag(value, 7) over w, -1), 6) as filled_lag_7 from events {_EW}""")
+def lags(spark, sf):
+    df = temporal.Lag(["value"], (1,), **_EV).fit_transform(read(spark, sf, "events"))
+    df = temporal.Lag(["value"], (7,), fill=-1.0, **_EV).fit_transform(df).withColumnRenamed("value_lag_7", "filled_lag_7")
+    return out(df, "event_id", "value_lag_1", "filled_lag_7")
+
+
+@query(f"""select event_id, round(value - lag(value, 1) over w, 6) as value_diff_1, round((value - lag(value, 1) over w) / nullif(lag(value, 1) over w, 0), 4) as value_pct_change_1 from events {_EW}""")
+def diffs(spark, sf):
+    df = temporal.Diff(["value"], (1,), **_EV).fit_transform(read(spark, sf, "events"))
+    return out(df.withColumn("value_pct_change_1", F.round("value_pct_change_1", 4)), "event_id", "value_diff_1", "value_pct_change_1")
+
+
+@query("""select event_id, round(avg(value) over w, 6) as value_rolling_7_mean, round(case when count(value) over w > 1 then stddev_samp(value) over w end, 5) as value_rolling_7_std, round(quantile_cont(value, 0.5) over w, 6) as value_rolling_7_median,
+ round(avg(value) over c, 6) as centered from events window w as (partition by user_id order by ts, event_id rows between 6 preceding and current row), c as (partition by user_id order by ts, event_id rows between 2 preceding and 2 following)""")
+def rolling(spark, sf):
+    df = temporal.Rolling(["value"], (7,), ("mean", "std", "median"), **_EV).fit_transform(read(spark, sf, "events"))
+    df = temporal.Rolling(["value"], (5,), ("mean",), center=True, **_EV).fit_transform(df).withColumnRenamed("value_rolling_5_mean", "centered")
+    df = df.withColumn("value_rolling_7_std", F.round("value_rolling_7_std", 5))
+    return out(df, "event_id", "value_rolling_7_mean", "value_rolling_7_std", "value_rolling_7_median", "centered")
+
+
+@query("""select event_id, round(avg(value) over w, 9) as value_expanding_mean, round(max(value) over w, 9) as value_expanding_max, count(value) over w as value_expanding_count, round(sum(value) over w, 4) as value_cumsum, round(min(value) over w, 9) as value_cummin
+ from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""")
+def expanding(spark, sf):
+    df = temporal.Expanding(["value"], ("mean", "max", "count"), **_EV).fit_transform(read(spark, sf, "events"))
+    df = temporal.Cumulative(["value"], **_EV).fit_transform(df).withColumn("value_cumsum", F.round("value_cumsum", 4))
+    return out(df, "event_id", "value_expanding_mean", "value_expanding_max", "value_expanding_count", "value_cumsum", "value_cummin", digits=9)
+
+
+@query("""with e as (select *, case when event_type = 'purchase' then epoch_us(ts) end p from events)
+select event_id, round((min(p) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) - epoch_us(ts)) / 3600e6, 6) as time_to_next_bought_hours,
+ round((epoch_us(ts) - max(p) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)) / 3600e6, 6) as time_since_last_bought_hours from e""")
+def time_to_event(spark, sf):
+    df = read(spark, sf, "events").withColumn("bought", F.col("event_type") == "purchase")
+    df = temporal.TimeToEvent("ts", "bought", by="user_id", order=["ts", "event_id"], unit="hours").fit_transform(df)
+    return out(df, "event_id", "time_to_next_bought_hours", "time_since_last_bought_hours")
+
+
+@query("""with r as (select event_id, user_id, value, rank() over (partition by user_id order by value) r, count(*) over (partition by user_id, value) k, count(value) over (partition by user_id) n from events)
+select event_id, round((r + (k - 1) / 2.0) / n, 6)::double as value_rank from r""")
+def percent_ranks(spark, sf):
+    return out(temporal.percent_rank(read(spark, sf, "events"), "value", ["user_id"]), "event_id", "value_rank")
+
+
+@query()
+def exponential_means(spark, sf):
+    df = temporal.exponential(read(spark, sf, "events").select("event_id", "user_id", "ts", "value"), ["value"], ["user_id"], ["ts", "event_id"], (5,))
+    return out(df, "event_id", "value_ewm_5_mean", "value_ewm_5_std")
+
+
+@query("""with m as (select o_custkey % 10 as grp, o_orderdate::date as d, sum(o_totalprice) v from orders group by 1, 2), w as (select *, avg(v) over x t, count(v) over x n, (row_number() over (partition by grp order by d) - 1) % 7 ph from m window x as (partition by grp order by d rows between 3 preceding and 3 following)),
+ r as (select *, case when n = 7 then v - t end rest from w), s as (select *, avg(rest) over (partition by grp, ph) pm from r)
+select grp, strftime(d, '%Y-%m-%d') as day, round(case when n = 7 then t end, 3) as v_trend, round(pm - avg(pm) over (partition by grp), 3) as v_seasonal from s""")
+def seasonal(spark, sf):
+    df = read(spark, sf, "orders").groupBy((F.col("o_custkey") % 10).alias("grp"), F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("v"))
+    df = temporal.decompose(df, "v", 7, ["grp"], ["d"]).withColumn("day", F.date_format("d", "yyyy-MM-dd"))
+    return out(df, "grp", "day", "v_trend", "v_seasonal", digits=3)
+
+
+# Text
+
+
+@query(r"""with t as (select doc_id, text, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '') w from documents)
+select doc_id, length(text)::bigint as text_char_count, len(w)::bigint as text_word_count, len(list_distinct(list_transform(w, lambda x: lower(x))))::bigint as text_unique_word_count,
+ length(regexp_replace(text, '[^0-9]', '', 'g'))::bigint as text_digit_count, length(regexp_replace(text, '\P{Lu}', '', 'g'))::bigint as text_upper_count, length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g'))::bigint as text_special_count from t""")
+def text_basic(spark, sf):
+    names = ["char_count", "word_count", "unique_word_count", "digit_count", "upper_count", "special_count"]
+    return out(text.TextBasic(["text"], names).fit_transform(read(spark, sf, "documents")), "doc_id", *[f"text_{n}" for n in names])
+
+
+@query(r"""select doc_id, len(regexp_extract_all(text, '(?i)[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'))::bigint as text_email_count, len(regexp_extract_all(text, '(?i)https?://[^\s]+'))::bigint as text_url_count,
+ (len(regexp_extract_all(text, '[0-9]+')) > 0)::bigint as text_has_number from documents""")
+def text_patterns(spark, sf):
+    return out(text.TextPatterns(["text"]).fit_transform(read(spark, sf, "documents")), "doc_id", "text_email_count", "text_url_count", "text_has_number")
+
+
+@query(r"""with t as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+'), lambda x: true) w from documents),
+ v as (select x, count(*) df from (select unnest(list_distinct(w)) x from t) group by 1 having count(*) >= 2 order by df desc, x limit 20)
+select doc_id, sum(len(list_filter(w, lambda y: y = x)))::bigint as total, count(*) filter (where list_contains(w, x))::bigint as present from t, v group by 1""")
+def term_counts(spark, sf):
+    m = text.TermCounts(["text"], most=20).fit(read(spark, sf, "documents"))
+    df = m.transform(read(spark, sf, "documents"))
+    cols = [F.col(f"`{c}`") for c in m.new_columns]
+    return out(df.select("doc_id", sum(cols, F.lit(0)).alias("total"), sum(((c > 0).cast("int") for c in cols), F.lit(0)).alias("present")))
+
+
+@query()
+def tfidf(spark, sf):
+    m = text.TfIdf(["text"], most=10).fit(read(spark, sf, "documents"))
+    return out(m.transform(read(spark, sf, "documents")).drop("text"))
+
+
+@query("""select event_id, (props->>'$.k')::bigint as k from events""")
+def json_extract(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query()
+def personal_data(spark, sf):
+    rows = [(x["column"], x["kind"], x["share"], x["confidence"]) for x in text.scan_personal(read(spark, sf, "documents"))]
+    return spark.createDataFrame(rows, "column string, kind string, share double, confidence double")
+
+
+# Cleaning
+
+_HOLES = "(select event_id, event_type, user_id, case when event_id % 7 = 0 then null else value end v, case when event_id % 5 = 0 then null else event_type end t from events)"
+
+
+def _holes(spark, sf):
+    return read(spark, sf, "events").select("event_id", "event_type", "user_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("t"))
+
+
+@query(f"""with e as (select * from {_HOLES}), s as (select avg(v) a, median(v) m from e), c as (select t from e where t is not null group by 1 order by count(*) desc, t limit 1)
+select event_id, round(coalesce(v, a), 6) as mean_v, round(coalesce(v, m), 6) as v, coalesce(e.t, c.t) as t, (v is null)::bigint as v_missing from e, s, c""")
+def impute(spark, sf):
+    df = _holes(spark, sf).withColumn("mean_v", F.col("v"))
+    df = cleaning.Impute(["mean_v"], "mean").fit_transform(df)
+    df = cleaning.Impute(["v", "t"], indicator=True).fit_transform(df)
+    return out(df, "event_id", "mean_v", "v", "t", "v_missing")
+
+
+@query(f"""with e as (select *, (case when v is null then '1' else '0' end) || (case when t is null then '1' else '0' end) p from {_HOLES}), c as (select p, row_number() over (order by count(*) desc, p) - 1 k from e group by 1)
+select event_id, (v is null)::bigint as missing_v, (t is null)::bigint as missing_t, k::bigint as missing_pattern, ((v is null)::int + (t is null)::int)::bigint as n_missing from e join c using (p)""")
+def missing_patterns(spark, sf):
+    df = cleaning.MissingIndicator(["v", "t"]).fit_transform(_holes(spark, sf))
+    return out(cleaning.MissingPattern(["v", "t"]).fit_transform(df), "event_id", "missing_v", "missing_t", "missing_pattern", "n_missing")
+
+
+@query()
+def knn_impute(spark, sf):
+    df = read(spark, sf, "lineitem").select(*LINE, F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("q"), "l_extendedprice", "l_discount")
+    return out(cleaning.NeighbourImpute(["q", "l_extendedprice", "l_discount"], sample=500).fit(df).transform(df))
+
+
+@query("""with q as (select quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b, quantile_cont(o_totalprice, 0.01) lo, quantile_cont(o_totalprice, 0.99) hi from orders)
+select o_orderkey, round(least(greatest(o_totalprice, a - 1.5 * (b - a)), b + 1.5 * (b - a)), 4) as iqr, round(least(greatest(o_totalprice, lo), hi), 4) as wins, round(least(greatest(o_totalprice, 1000), 200000), 4) as given from orders, q""")
+def caps(spark, sf):
+    df = read(spark, sf, "orders").select("o_orderkey", *[F.col("o_totalprice").alias(c) for c in ("iqr", "wins", "given")])
+    for m in (cleaning.Cap(["iqr"]), cleaning.Winsorize(["wins"]), cleaning.CapAt({"given": (1000.0, 200000.0)})):
+        df = m.fit_transform(df)
+    return out(df, digits=4)
+
+
+@query("""with q as (select quantile_cont(o_totalprice, 0.05) lo, quantile_cont(o_totalprice, 0.95) hi from orders) select o_orderkey, round(o_totalprice, 4) as o_totalprice from orders, q where o_totalprice between lo and hi""")
+def trim(spark, sf):
+    return out(cleaning.Trim(["o_totalprice"], "percentile", low=0.05, high=0.95).fit_transform(read(spark, sf, "orders")), "o_orderkey", "o_totalprice", digits=4)
+
+
+# Packs
+
+
+@query("""with m as (select max(epoch_us(o_orderdate)) l from orders) select o_orderkey, round(sum(o_totalprice) over w, 3) as ecommerce_total_spend, count(*) over w as ecommerce_order_count,
+ round((l - max(epoch_us(o_orderdate)) over w) / 86400e6, 6) as ecommerce_days_since_last, (count(*) over w > 1)::bigint as ecommerce_is_repeat_customer from orders, m window w as (partition by o_custkey)""")
+def pack_ecommerce(spark, sf):
+    df = packs.ecommerce(read(spark, sf, "orders"), "o_custkey", "o_totalprice", "o_orderdate").withColumn("ecommerce_total_spend", F.round("ecommerce_total_spend", 3))
+    return out(df, "o_orderkey", "ecommerce_total_spend", "ecommerce_order_count", "ecommerce_days_since_last", "ecommerce_is_repeat_customer")
+
+
+@query("""with e as (select *, value - lag(value) over w s, max(value) over (partition by user_id order by ts, event_id rows unbounded preceding) top from events window w as (partition by user_id order by ts, event_id)),
+ g as (select *, avg(greatest(s, 0)) over r u, avg(greatest(-s, 0)) over r d, count(s) over r n, avg(value) over f sma, count(*) over f nf from e window r as (partition by user_id order by ts, event_id rows between 13 preceding and current row), f as (partition by user_id order by ts, event_id rows between 4 preceding and current row))
+select event_id, round(case when nf >= 5 then sma end, 6) as finance_sma_5, round(case when n >= 14 then case when u + d > 0 then 100 * u / (u + d) else 50 end end, 4) as finance_rsi_14, round(case when top = 0 then 0 else (value - top) / top end, 6) as finance_drawdown from g""")
+def pack_finance(spark, sf):
+    df = packs.finance(read(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"])
+    return out(df.withColumn("finance_rsi_14", F.round("finance_rsi_14", 4)), "event_id", "finance_sma_5", "finance_rsi_14", "finance_drawdown")
+
+
+@query("""with s as (select avg(value) m from events), e as (select *, value - m d from events, s)
+select event_id, round(avg(value) over f, 6) as iot_value_mean, round(sum(value * value) over f, 4) as iot_value_energy, round(value - lag(value) over (partition by user_id order by ts, event_id), 6) as iot_value_rate from e
+ window f as (partition by user_id order by ts, event_id rows between 9 preceding and current row)""")
+def pack_iot(spark, sf):
+    df = packs.iot(read(spark, sf, "events"), "value", ["ts", "event_id"], ["user_id"]).withColumn("iot_value_energy", F.round("iot_value_energy", 4))
+    return out(df, "event_id", "iot_value_mean", "iot_value_energy", "iot_value_rate")
+
+
+_GEO = "(select c_custkey, (c_custkey % 170) - 85.0 as lat, (c_custkey % 350) - 175.0 as lon from customer)"
+
+
+@query(f"""select c_custkey, round(2 * 6371 * asin(sqrt(least(pow(sin(radians(48.85 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.85)) * pow(sin(radians(2.35 - lon) / 2), 2), 1))), 4) as geo_distance_paris, round(cos(radians(lat)) * cos(radians(lon)), 4) as geo_x from {_GEO}""")
+def pack_geo(spark, sf):
+    df = read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 170 - 85.0).alias("lat"), (F.col("c_custkey") % 350 - 175.0).alias("lon"))
+    return out(packs.geospatial(df, "lat", "lon", {"paris": (48.85, 2.35)}), "c_custkey", "geo_distance_paris", "geo_x", digits=4)
+
+
+_RFM = "(select o_custkey, sum(o_totalprice) rev, count(*) freq, date_diff('day', max(o_orderdate)::date, date '1999-01-01') rec from orders group by 1)"
+
+
+@query(f"""with t as (select * from {_RFM}), r as (select *, (rank() over (order by rev) + (count(*) over (partition by rev) - 1) / 2.0) / count(*) over () a, (rank() over (order by freq) + (count(*) over (partition by freq) - 1) / 2.0) / count(*) over () b,
+ (rank() over (order by rec) + (count(*) over (partition by rec) - 1) / 2.0) / count(*) over () c from t) select o_custkey, round((a + b + (1 - c)) / 3, 4)::double as marketing_rfm_score, (rev >= (select quantile_cont(rev, 0.75) from t))::bigint as marketing_is_high_value from r""")
+def pack_marketing(spark, sf):
+    df = read(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("rev"), F.count("*").alias("freq"), F.datediff(F.lit("1999-01-01").cast("date"), F.to_date(F.max("o_orderdate"))).alias("rec"))
+    return out(packs.marketing(df, "rev", "freq", "rec"), "o_custkey", "marketing_rfm_score", "marketing_is_high_value", digits=4)
+
+
+@query("""select p_partkey, round(w / pow(h / 100, 2), 4) as health_bmi, (a >= 65)::bigint as health_is_elderly, (a // 10)::bigint as health_age_decade from (select p_partkey, 40.0 + p_size w, 150.0 + p_size h, p_size + 20 a from part)""")
+def pack_health(spark, sf):
+    df = read(spark, sf, "part").select("p_partkey", (F.col("p_size") + 40.0).alias("w"), (F.col("p_size") + 150.0).alias("h"), (F.col("p_size") + 20).alias("a"))
+    return out(packs.healthcare(df, "w", "h", "a"), "p_partkey", "health_bmi", "health_is_elderly", "health_age_decade", digits=4)
+
+
+# Several tables
+
+
+def _graph(spark, sf):
+    tables = {n: read(spark, sf, n) for n in ("region", "nation", "customer", "orders", "lineitem")}
+    edges = [relational.Relationship("region", "r_regionkey", "nation", "n_regionkey"), relational.Relationship("nation", "n_nationkey", "customer", "c_nationkey"), relational.Relationship("customer", "c_custkey", "orders", "o_custkey"), relational.Relationship("orders", "o_orderkey", "lineitem", "l_orderkey")]
+    return relational.Graph(tables, edges)
+
+
+@query("""select c_custkey, round(sum(o_totalprice), 3) as customer__orders__o_totalprice__sum, round(avg(o_totalprice), 8) as customer__orders__o_totalprice__mean, count(o_orderkey) as customer__orders__count, n_name as customer__nation__n_name
+ from customer left join orders on c_custkey = o_custkey left join nation on c_nationkey = n_nationkey group by c_custkey, n_name""")
+def synthesis_depth1(spark, sf):
+    df = relational.synthesize(_graph(spark, sf), "customer", ("sum", "mean", "count"), depth=1)
+    df = df.withColumns({"customer__orders__o_totalprice__sum": F.round("customer__orders__o_totalprice__sum", 3), "customer__orders__o_totalprice__mean": F.round("customer__orders__o_totalprice__mean", 8)})
+    return out(df, "c_custkey", "customer__orders__o_totalprice__sum", "customer__orders__o_totalprice__mean", "customer__orders__count", "customer__nation__n_name", digits=8)
+
+
+@query("""with o as (select o_orderkey, o_custkey, sum(l_quantity) q from orders left join lineitem on o_orderkey = l_orderkey group by 1, 2)
+select c_custkey, round(sum(q), 4) as "customer__orders__orders__lineitem__l_quantity__sum__sum" from customer left join o on c_custkey = o_custkey group by 1""")
+def synthesis_depth2(spark, sf):
+    df = relational.synthesize(_graph(spark, sf), "customer", ("sum",), depth=2, most=1000)
+    return out(df, "c_custkey", "customer__orders__orders__lineitem__l_quantity__sum__sum", digits=4)
+
+
+@query("""select c_custkey, count(l_quantity) as orders_lineitem_l_quantity_count, round(coalesce(sum(l_quantity), 0), 4)::double as orders_lineitem_l_quantity_sum, round(coalesce(max(l_quantity), 0), 4)::double as orders_lineitem_l_quantity_max
+ from customer left join orders on c_custkey = o_custkey left join lineitem on o_orderkey = l_orderkey group by 1""")
+def cross_table(spark, sf):
+    return out(relational.path_aggregate(_graph(spark, sf), ["customer", "orders", "lineitem"], ["l_quantity"], ("count", "sum", "max")), digits=4)
+
+
+@query("""select x.relationship, x.orphans from (select 'region.r_regionkey->nation.n_regionkey' as relationship, (select count(*) from nation where n_regionkey not in (select r_regionkey from region)) as orphans
+ union all select 'nation.n_nationkey->customer.c_nationkey', (select count(*) from customer where c_nationkey not in (select n_nationkey from nation))
+ union all select 'customer.c_custkey->orders.o_custkey', (select count(*) from orders where o_custkey not in (select c_custkey from customer))
+ union all select 'orders.o_orderkey->lineitem.l_orderkey', (select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders))) x""")
+def orphans(spark, sf):
+    return out(_graph(spark, sf).orphans())
+
+
+@query()
+def detect_relationships(spark, sf):
+    found = relational.detect({n: read(spark, sf, n) for n in ("region", "nation", "customer", "orders")})
+    return spark.createDataFrame([(r.parent, r.parent_key, r.child, r.child_key, r.confidence) for r in found] or [("", "", "", "", 0.0)], "parent string, parent_key string, child string, child_key string, confidence double")
+
+
+@query("""with p as (select user_id, ts, event_id, value from events where event_type = 'purchase')
+select e.event_id, round(p.value, 6) as value_asof from (select * from events where event_type <> 'purchase') e asof left join p on e.user_id = p.user_id and e.ts >= p.ts""")
+def as_of(spark, sf):
+    e = read(spark, sf, "events")
+    df = relational.as_of(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), ["user_id"], "ts", "ts", ["value"])
+    return out(df, "event_id", "value_asof")
+
+
+@query("""select o_orderkey, 'changed' as change from orders where o_orderkey % 10 = 3 union all select o_orderkey, 'removed' from orders where o_orderkey % 10 = 7""")
+def changes(spark, sf):
+    old = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    new = old.where(F.col("o_orderkey") % 10 != 7).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, -1.0).otherwise(F.col("o_totalprice")))
+    return relational.change_join(old, new, ["o_orderkey"])
+
+
+# Profiles
+
+
+def _num(c, t):
+    return f"select '{c}' as \"column\", count(*) as rows, count({c}) as n, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(min({c}), 4) as min, round(max({c}), 4) as max, round(quantile_cont({c}, 0.5), 4) as p50, count(*) filter (where {c} = 0) as zeros, count(distinct {c}) as \"distinct\" from {t}"
+
+
+@query(" union all ".join(_num(c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def profile_numeric(spark, sf):
+    df = profiling.profile_numeric(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return out(df, "column", "rows", "n", "mean", "std", "min", "max", "p50", "zeros", "distinct", digits=4)
+
+
+@query("""with c as (select lang, count(*) n from documents group by 1), t as (select sum(n) t from c) select count(*) as "distinct", round(max(n) / max(t), 6) as mode_share, round(sum(-(n / t) * ln(n / t)), 6) as entropy from c, t""")
+def profile_categorical(spark, sf):
+    return out(profiling.profile_categorical(read(spark, sf, "documents"), "lang"), "distinct", "mode_share", "entropy")
+
+
+@query(r"""with t as (select length(text) n, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) w from documents) select round(avg(n), 4) as avg_length, min(n)::bigint as min_length, max(n)::bigint as max_length, round(avg(w), 4) as avg_words, max(w)::bigint as max_words from t""")
+def profile_text(spark, sf):
+    return out(profiling.profile_text(read(spark, sf, "documents"), "text"), digits=4)
+
+
+@query("""select count(*) as rows, (count(*) - count(distinct (l_orderkey, l_linenumber)))::bigint as duplicates from lineitem""")
+def duplicates(spark, sf):
+    return out(profiling.duplicates(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]))
+
+
+@query("""with s as (select min(l_extendedprice) lo, max(l_extendedprice) hi from lineitem) select least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::bigint as bin, count(*) as n from lineitem, s group by 1""")
+def histogram(spark, sf):
+    return out(profiling.histogram(read(spark, sf, "lineitem"), "l_extendedprice"), "bin", "n")
+
+
+@query()
+def inferred_types(spark, sf):
+    found = profiling.infer_types(read(spark, sf, "lineitem"))
+    return spark.createDataFrame(sorted(found.items()), "column string, kind string")
+
+
+@query()
+def quality_issues(spark, sf):
+    found = profiling.quality(read(spark, sf, "lineitem"), "l_extendedprice")
+    return spark.createDataFrame([(i["column"], i["issue"], float(i["value"]), i["severity"]) for i in found] or [("", "", 0.0, "")], "column string, issue string, value double, severity string")
+
+
+@query()
+def contract_violations(spark, sf):
+    orders = read(spark, sf, "orders")
+    c = profiling.make_contract(orders.where("o_totalprice < 100000"))
+    found = profiling.check_contract(orders, profiling.Contract.from_json(c.to_json()))
+    return spark.createDataFrame([(str(v["column"]), v["check"], str(v["value"])) for v in found] or [("", "", "")], "column string, check string, value string")
+
+
+_PSI_E = "quantile_cont(l_quantity, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])"
+
+
+@query(f"""with a as (select l_quantity v from lineitem where year(l_shipdate) < 1996), b as (select l_quantity v from lineitem where year(l_shipdate) >= 1996), q as (select list_sort(list_distinct({_PSI_E.replace('l_quantity', 'v')})) k from a), e as (select unnest(k) x from q),
+ c as (select row_number() over (order by x) i, x lo, lead(x) over (order by x) hi, max(x) over () m from e), d as (select * from c where hi is not null),
+ p as (select i, (select count(*) from a where v >= lo and (v < hi or (hi = m and v <= hi))) / (select count(*) from a) + 1e-6 p, (select count(*) from b where v >= lo and (v < hi or (hi = m and v <= hi))) / (select count(*) from b) + 1e-6 q from d)
+select 'l_quantity' as "column", round(sum((q - p) * ln(q / p)), 6) as psi from p""")
+def psi(spark, sf):
+    df = read(spark, sf, "lineitem")
+    return out(profiling.psi(df.where(F.year("l_shipdate") < 1996), df.where(F.year("l_shipdate") >= 1996), ["l_quantity"]))
+
+
+@query("""with u as (select o_totalprice v, 1 a, 0 b from orders where o_orderkey % 2 = 0 union all select o_totalprice, 0, 1 from orders where o_orderkey % 2 = 1), c as (select v, sum(a) a, sum(b) b from u group by 1),
+ r as (select sum(a) over (order by v) ca, sum(b) over (order by v) cb from c) select round(max(abs(ca / (select sum(a) from c) - cb / (select sum(b) from c))), 6) as statistic from r""")
+def ks(spark, sf):
+    o = read(spark, sf, "orders")
+    return out(profiling.ks(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_totalprice"), "statistic")
+
+
+@query("""select 'value' as "column", round(1 - count(value) / count(*), 6)::double as null_rate, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, count(distinct value) as cardinality from events""")
+def observe(spark, sf):
+    return out(profiling.observe(read(spark, sf, "events"), ["value"]), "column", "null_rate", "mean", "std", "cardinality")
+
+
+@query("""with g as (select c_nationkey, c_mktsegment, count(*) n from customer group by 1, 2) select count(*) as groups, min(n) as smallest, count(*) filter (where n < 10) as groups_below, coalesce(sum(n) filter (where n < 10), 0)::bigint as rows_below from g""")
+def k_anonymity(spark, sf):
+    return out(profiling.k_anonymity(read(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"], 10))
+
+
+@query("""select c_custkey, (case when count(*) over w >= 12 then c_nationkey else -1 end)::bigint as c_nationkey, case when count(*) over w >= 12 then c_mktsegment end as c_mktsegment from customer window w as (partition by c_nationkey, c_mktsegment)""")
+def suppressed(spark, sf):
+    df = profiling.suppress(read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"], 12)
+    return out(df.fillna(-1, ["c_nationkey"]))
+
+
+@query("""select round(avg(least(greatest(o_totalprice, 0), 200000)), 4) as private_mean from orders""")
+def private_mean(spark, sf):
+    df = read(spark, sf, "orders")
+    return out(spark.createDataFrame([(profiling.private(df, "o_totalprice", "mean", 0.0, 200000.0, None),)], "private_mean double"), digits=4)
+
+
+@query("""with j as (select * from documents join labels using (doc_id)), m as (select median(quality) md from j), g as (select lang, avg(quality) a, avg((quality > md)::int) s from j, m group by 1)
+select round((max(a) - min(a)) / max(abs(a)), 6) as parity_gap, round(coalesce(case when max(s) = 0 then 0 else min(s) / max(s) end, 0), 6)::double as impact_ratio from g""")
+def fairness(spark, sf):
+    df = read(spark, sf, "documents").select("doc_id", "lang").join(read(spark, sf, "labels"), "doc_id")
+    return out(profiling.parity(df, "lang", "quality"))
+
+
+@query("""with b as (select regr_slope(c_acctbal, c_nationkey) s, regr_intercept(c_acctbal, c_nationkey) i from customer) select c_custkey, round(c_acctbal - (i + s * c_nationkey), 4) as c_acctbal_fair from customer, b""")
+def residuals(spark, sf):
+    return out(profiling.residualize(read(spark, sf, "customer"), "c_acctbal", "c_nationkey"), "c_custkey", "c_acctbal_fair", digits=4)
+
+
+@query()
+def experiment(spark, sf):
+    df = profiling.variant(read(spark, sf, "orders"), "o_custkey", {"a": 0.5, "b": 0.5}, "s")
+    return spark.createDataFrame([(r["variant"], r["difference"], r["t"], r["p"]) for r in profiling.compare_variants(df, "variant", "o_totalprice", "a")], "variant string, difference double, t double, p double")
+
+
+# Selection
+
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _scores(spark, s: selection.Selector) -> DataFrame:
+    return out(spark.createDataFrame(sorted((c, float(v)) for c, v in s.scores.items()), "column string, score double"), digits=4)
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", round(var_samp({c}) / (avg({c}) * avg({c})), 4) as score from lineitem" for c in _NUM))
+def variance(spark, sf):
+    return _scores(spark, selection.Variance(_NUM).fit(read(spark, sf, "lineitem")))
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", round(max(n) / sum(n), 4)::double as score from (select {c}, count(*) n from lineitem group by 1)" for c in ("l_returnflag", "l_linestatus", "l_linenumber")))
+def quasi_constant(spark, sf):
+    return _scores(spark, selection.QuasiConstant(["l_returnflag", "l_linestatus", "l_linenumber"]).fit(read(spark, sf, "lineitem")))
+
+
+@query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from lineitem" for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]))
+def correlation(spark, sf):
+    r = selection.correlations(read(spark, sf, "lineitem"), _NUM)
+    return out(spark.createDataFrame([(a, b, x) for (a, b), x in r.items()], "a string, b string, r double"))
+
+
+def _anova(c):
+    return f"""select '{c}' as "column", round(((sum(n * (m - t) * (m - t)) / (count(*) - 1)) / (sum(v) / (sum(n) - count(*)))), 4) as score from (select l_returnflag, count(*) n, avg({c}) m, var_pop({c}) * count(*) v from lineitem group by 1), (select avg({c}) t from lineitem)"""
+
+
+@query(" union all ".join(map(_anova, _NUM)))
+def anova(spark, sf):
+    return _scores(spark, selection.Statistical(_NUM, "anova", k=2).fit(read(spark, sf, "lineitem"), "l_returnflag"))
+
+
+def _chi2(c):
+    return f"""select '{c}' as "column", round(sum((s - t * n / k) * (s - t * n / k) / (t * n / k)), 4) as score from (select l_returnflag, count(*) n, sum(abs({c})) s from lineitem group by 1), (select count(*) k, sum(abs({c})) t from lineitem)"""
+
+
+@query(" union all ".join(map(_chi2, _NUM)))
+def chi_square(spark, sf):
+    return _scores(spark, selection.Statistical(_NUM, "chi2", k=2).fit(read(spark, sf, "lineitem"), "l_returnflag"))
+
+
+@query()
+def inflation(spark, sf):
+    return _scores(spark, selection.Multicollinearity(_NUM).fit(read(spark, sf, "lineitem")))
+
+
+@query()
+def mutual_information(spark, sf):
+    return _scores(spark, selection.Statistical(_NUM, "mutual_info", k=2).fit(read(spark, sf, "lineitem"), "l_returnflag"))
+
+
+@query()
+def forest_importance(spark, sf):
+    return _scores(spark, selection.Importance(_NUM[:1] + _NUM[2:], trees=5).fit(read(spark, sf, "lineitem"), "l_extendedprice"))
+
+
+@query()
+def stability(spark, sf):
+    s = selection.Stability(lambda: selection.Statistical(None, "f_regression", k=2), ["l_quantity", "l_discount", "l_tax"], rounds=3)
+    return _scores(spark, s.fit(read(spark, sf, "lineitem"), "l_extendedprice"))
+
+
+@query()
+def program_search(spark, sf):
+    found = selection.search(read(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], rounds=2, width=20)
+    return spark.createDataFrame(found, "program string, score double")
+
+
+# Arrays and graphs
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings) select vec_id, round(list_avg(v), 5) as sig_embedding_mean, round(sqrt(greatest(list_avg(list_transform(v, lambda x: x * x)) - list_avg(v) * list_avg(v), 0)), 5) as sig_embedding_std,
+ round(list_max(v), 5) as sig_embedding_max, round(sqrt(list_avg(list_transform(v, lambda x: x * x))), 5) as sig_embedding_rms from e""")
+def array_moments(spark, sf):
+    df = arrays.Signal(["embedding"], spectral=False).fit_transform(read(spark, sf, "embeddings"))
+    return out(df, "vec_id", "sig_embedding_mean", "sig_embedding_std", "sig_embedding_max", "sig_embedding_rms", digits=5)
+
+
+@query()
+def array_spectrum(spark, sf):
+    df = arrays.Histogram(["embedding"]).fit_transform(arrays.Signal(["embedding"]).fit_transform(read(spark, sf, "embeddings")))
+    return out(df.drop("embedding", "label"))
+
+
+_E = "(select distinct l_suppkey::varchar s, 'p' || (l_partkey % 50) t from lineitem where l_orderkey % 10 = 1)"
+
+
+def _edges(spark, sf):
+    df = read(spark, sf, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_suppkey").cast("string").alias("s"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("t")).distinct()
+    return graph.edges(df, "s", "t")
+
+
+@query(f"""with e as (select s, t from {_E}), b as (select s n from e union all select t from e) select n as node, count(*) as degree, count(*) as in_degree from b group by 1""")
+def graph_degrees(spark, sf):
+    return out(graph.degrees(_edges(spark, sf)), "node", "degree", "in_degree")
+
+
+def _nations(spark, sf):
+    df = read(spark, sf, "nation").alias("a").crossJoin(F.broadcast(read(spark, sf, "nation")).alias("b")).where("a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1")
+    return graph.edges(df.select(F.col("a.n_name").alias("s"), F.col("b.n_name").alias("t")), "s", "t")
+
+
+@query("""with e as (select a.n_name s, b.n_name t from nation a, nation b where a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1), u as (select s, t from e union all select t, s from e),
+ k as (select s n, count(*) k from u group by 1), x as (select a.s n, count(*) / 2 c from u a join u b on a.s = b.s and a.t <> b.t join u c on c.s = a.t and c.t = b.t group by 1)
+select k.n as node, coalesce(c, 0)::bigint as triangles, round(case when k > 1 then 2 * coalesce(c, 0) / (k * (k - 1)) else 0 end, 6)::double as clustering from k left join x using (n)""")
+def graph_triangles(spark, sf):
+    return out(graph.triangles(_nations(spark, sf)))
+
+
+@query()
+def graph_pagerank(spark, sf):
+    return out(graph.pagerank(_nations(spark, sf), rounds=10))
+
+
+@query()
+def graph_communities(spark, sf):
+    return graph.communities(_nations(spark, sf), 3)
+
+
+# Declared features
+
+_SPEC = {"version": "1.0", "features": [
+    {"name": "price_log", "transform": "log1p", "column": "l_extendedprice"}, {"name": "q_x_d", "transform": "multiply", "columns": ["l_quantity", "l_discount"]},
+    {"name": "q_per_t", "transform": "divide", "columns": ["l_quantity", "l_tax"]}, {"name": "ship_month", "transform": "month", "column": "l_shipdate"},
+    {"name": "flag_price", "transform": "target", "column": "l_returnflag", "target": "l_extendedprice"},
+]}
+_SPEC_SQL = f"""select {LKEY}, round(ln(1 + greatest(l_extendedprice, 0)), 6) as price_log, round(l_quantity * l_discount, 6) as q_x_d, round(l_quantity / nullif(l_tax, 0), 6) as q_per_t, month(l_shipdate)::bigint as ship_month,
+ round((sum(l_extendedprice) over (partition by l_returnflag) + 10 * avg(l_extendedprice) over ()) / (count(*) over (partition by l_returnflag) + 10), 3) as flag_price from lineitem"""
+
+
+def _declared(df):
+    return out(df.withColumn("flag_price", F.round("flag_price", 3)), *LINE, "price_log", "q_x_d", "q_per_t", "ship_month", "flag_price")
+
+
+@query(_SPEC_SQL)
+def declared_columns(spark, sf):
+    return _declared(dsl.apply(read(spark, sf, "lineitem"), dsl.parse(_SPEC)))
+
+
+@query(_SPEC_SQL)
+def declared_sql(spark, sf):
+    return _declared(dsl.run_sql(spark, read(spark, sf, "lineitem"), dsl.parse(_SPEC), "declared_lines"))
+
+
+@query()
+def auto_features(spark, sf):
+    return AutoFeatures("o_totalprice").fit_transform(_orders_customers(spark, sf).drop("o_orderkey", "c_name"))
+
+
+# Streams (over what is there, against the batch)
+
+
+@query("""select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as sum from events group by 1, 2""")
+def tumbling_windows(spark, sf):
+    df = stateful.tumbling(read(spark, sf, "events"), "ts", "value", "1 hour", ["event_type"])
+    return out(df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "sum"), digits=4)
+
+
+@query("""with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) k from e)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, round(sum(value), 4) as sum from s group by user_id, k""")
+def session_windows(spark, sf):
+    df = stateful.sessions(read(spark, sf, "events"), "ts", "value", "30 minutes", ["user_id"])
+    return out(df.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "sum"), digits=4)
+
+
+@query("""select user_id, count(value) as n, round(avg(value), 9) as mean, round(stddev_samp(value), 5) as std from events group by 1""")
+def streamed_moments(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    df = io.read_stream(spark, f"{sf}/events.parquet*", schema, 8)
+    name = f"running_{abs(hash(sf)) % 10**8}"
+    rows = stateful.run_available(stateful.running(df, "user_id", "value"), name)
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "std"), "n").alias("x")).select("user_id", "x.*")
+    return out(last.withColumn("std", F.round("std", 5)), digits=9)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
