@@ -173,16 +173,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> D
     """The rows of ``docs``, each as often as it is taken."""
     taken = assign(docs, weights, cap, seed).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_k"), F.count("*").alias("_n"))
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_k", "_n")
-    rows = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_i", F.lit(1))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    # Whole rows travel as one column: theirs may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), n_words(F.col("text")).alias("_size"), F.lit(1).alias("_i"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("row.source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
     once = rows.join(taken.where("_n = 1"), same)
     # Equal keys are rare: only they need a number within their key.
     several = taken.where("_n > 1")
-    number = Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("text"))
+    number = Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("row.text"))
     several = rows.join(several, same).withColumn("_i", F.row_number().over(number))
     copies = F.floor(F.col("_k") / F.col("_n")) + (F.col("_i") <= F.col("_k") % F.col("_n")).cast("long")
     both = once.unionByName(several).withColumn("_copies", copies).where("_copies > 0")
-    return both.withColumn("_c", F.expr("explode(sequence(1L, _copies))")).select(*docs.columns)
+    return both.withColumn("_c", F.expr("explode(sequence(1L, _copies))")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

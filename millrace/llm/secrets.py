@@ -160,14 +160,16 @@ def redact(docs: DataFrame, path: str = "source", **more) -> DataFrame:
     again, if it is a column); no document is dropped."""
     bad = scan(docs, path, **more).where("secret").select("doc_id", "text_hash", "nth").distinct()
     bad = checkpoint(bad.groupBy("doc_id", "text_hash").agg(F.collect_list("nth").alias("_nths")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "_nths"))
-    rows = docs.join(broadcast_up_to(bad, 200_000), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    rows = rows.join(broadcast_up_to(bad, 200_000), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     between, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     marked = F.transform(found, lambda c, i: F.when(F.array_contains("_nths", i.cast("long")), F.lit(MASK)).otherwise(c))
     whole = F.array_join(F.zip_with(between, marked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn("text", F.when(F.col("_nths").isNull(), F.col("text")).otherwise(whole))
+    masked = F.when(F.col("_nths").isNull(), F.col("text")).otherwise(whole)
+    new = {"text": masked}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_nths").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_nths").isNull(), F.col("row.n_chars")).otherwise(F.char_length(masked)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,17 +88,18 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
     Rows meet the directory, which is broadcast while it has few cells, so
     their other columns need no shuffle.
     """
-    rows = docs.withColumn("_h", row_hash(*key)).withColumn("_bytes", _bytes(payload))
+    # Whole rows travel as one column: theirs may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_hash(*key).alias("_h"), _bytes(payload).alias("_bytes"))
     name = F.when(F.col("depth") == 0, F.lit("*")).otherwise(F.expr("right(concat(repeat('0', 60), bin(prefix)), cast(depth as int))"))
     found = directories(docs, limit, key, payload)
     parts = [
         rows.withColumn("_cell", F.shiftright("_h", BITS - full)).join(broadcast_up_to(cells, 1_000_000), F.col("_cell") == F.col("cell"))
-        .select(*docs.columns, "_h", "_bytes", name.alias("_shard"), F.col("depth").cast("long").alias("_depth"), F.col("bytes").cast("long").alias("_shard_bytes"), F.col("rows").cast("long").alias("_shard_rows"))
+        .select("row", "_h", "_bytes", name.alias("_shard"), F.col("depth").cast("long").alias("_depth"), F.col("bytes").cast("long").alias("_shard_bytes"), F.col("rows").cast("long").alias("_shard_rows"))
         for full, cells in found
     ]
     out = reduce(DataFrame.unionByName, parts)
     if found[-1][0] < BITS or not found[-1][1].where((F.col("bytes") > limit) & (F.col("rows") > 1)).head(1):
-        return out.drop("_h")
+        return _flat(out.drop("_h"))
     # Pages of equal rows: numbered within a partition first, then by partitions' offsets.
     chained = (F.col("_shard_bytes") > limit) & (F.col("_shard_rows") > 1)
     long = checkpoint(out.where(chained).withColumn("_part", F.spark_partition_id()))
@@ -109,7 +110,13 @@ def shard(docs: DataFrame, limit: int = LIMIT, key: tuple[str, ...] = ("doc_id",
     paged = long.join(offsets, ["_h", "_part"]).withColumn("_i", nth).withColumn("_page", F.floor(F.col("_i") / a_page))
     a = F.least(a_page, F.col("_shard_rows") - F.col("_page") * a_page)
     paged = paged.withColumn("_shard", F.concat_ws("+", "_shard", F.col("_page").cast("string"))).withColumn("_shard_rows", a).withColumn("_shard_bytes", a * F.col("_bytes"))
-    return out.where(~chained).drop("_h").unionByName(paged.select(*[c for c in out.columns if c != "_h"]))
+    return _flat(out.where(~chained).drop("_h").unionByName(paged.select(*[c for c in out.columns if c != "_h"])))
+
+
+def _flat(out: DataFrame) -> DataFrame:
+    """A row's columns beside those of its shard, which take the place of any of their names."""
+    new = [c for c in out.columns if c != "row"]
+    return out.select(*[F.col(f"row.`{c}`") for c in out.schema["row"].dataType.names if c not in new], *new)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

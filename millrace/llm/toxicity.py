@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED, grades: int
 
 def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``grade`` (the most
-    probable), ``p_toxic`` and ``rejected``."""
+    probable), ``p_toxic`` and ``rejected``, in place of columns of these names."""
     weights, theta = model.weights, model.theta
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -223,16 +223,18 @@ def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
             yield pa.array(z)
 
     score = F.arrow_udf(run, "double")
-    out = docs.withColumn("_z", score("text"))
+    out = docs.select(F.struct(*docs.columns).alias("row"), score("text").alias("_z"))
     above = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_z"))) for t in theta]
     exact = [1 - above[0], *[a - b for a, b in zip(above, above[1:], strict=False)], above[-1]]
     top = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(-i).alias("i")) for i, p in enumerate(exact)]))
-    return out.select(*docs.columns, sum(above).alias("severity"), (-top["i"]).cast("int").alias("grade"), above[0].alias("p_toxic"), (above[0] >= reject).alias("rejected"))
+    new = {"severity": sum(above), "grade": (-top["i"]).cast("int"), "p_toxic": above[0], "rejected": above[0] >= reject}
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that the model rejects."""
-    return scored(docs, train(docs, labels)).where("not rejected").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return scored(rows, train(docs, labels)).where("not rejected").select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
