@@ -101,18 +101,23 @@ def _meet(state, unit):
     return F.when(a.isNull(), F.struct(unit.alias("carry"), state["done"].alias("done"))).otherwise(let(ab, after))
 
 
-def _settle(state, b):
-    """At the root: ``b`` takes over the words owed, then is drawn to 0 or 1."""
-    owed = b["size"] * b["p"] + state["owed"]
-    hit = (b["u"] * b["size"] < owed).cast("double")
-    took = F.struct(*[(hit if f == "p" else b[f]).alias(f) for f in _FIELDS])
-    return F.struct((owed - hit * b["size"]).alias("owed"), F.concat(state["done"], F.array(took)).alias("done"))
+def _settle(cap: int):
+    """At the root: a unit takes over the words owed and is drawn to one of the
+    two whole numbers of copies around what that makes, from none to the cap."""
+
+    def step(state, b):
+        owed = b["size"] * b["p"] + state["owed"]
+        more = F.least(F.greatest(F.floor(owed / b["size"] + b["u"]), -b["base"]), F.lit(cap) * b["n"] - b["base"]).cast("double")
+        took = F.struct(*[(more if f == "p" else b[f]).alias(f) for f in _FIELDS])
+        return F.struct((owed - more * b["size"]).alias("owed"), F.concat(state["done"], F.array(took)).alias("done"))
+
+    return step
 
 
 _FIELDS = ("size", "doc_id", "n", "base", "p", "u")
 
 
-def round_units(units: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
+def round_units(units: DataFrame, src: DataFrame, seed: int = SEED, cap: int = CAP) -> DataFrame:
     """``units`` (doc_id, source, size, n) with ``copies``, the whole number of
     copies that the n equal rows get together."""
     src = broadcast_up_to(src, 100_000)
@@ -154,14 +159,14 @@ def round_units(units: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame
         most = -(-most // FAN)
     start = F.struct(F.lit(0.0).alias("owed"), none)
     root = root.groupBy(*known).agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
-    done.append(out(root.select(*known, F.inline(F.aggregate("units", start, _settle)["done"]))))
+    done.append(out(root.select(*known, F.inline(F.aggregate("units", start, _settle(cap))["done"]))))
     return reduce(DataFrame.unionByName, done)
 
 
 def assign(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies``."""
     units = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
-    out = round_units(units, checkpoint(targets(units, weights, cap)), seed)
+    out = round_units(units, checkpoint(targets(units, weights, cap)), seed, cap)
     each = F.expr("explode(sequence(1L, n))")
     return out.withColumn("i", each).select(
         "doc_id", "source", "size", "source_size", "target",

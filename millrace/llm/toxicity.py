@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import table
+from millrace.llm.common import checkpoint, table
 
 #: Labelled texts of the sample at most, and texts of it that a word must be in.
 LABELLED, LEAST = 8000, 5
 GRADES = 4
 #: Weight of the penalty, steps of the fit.
-PENALTY, STEPS = 1e-3, 200
+PENALTY, STEPS = 3e-4, 200
 #: Documents are rejected from this probability of a grade above 0.
-REJECT = 0.4
+REJECT = 0.3
 #: Words whose features a task remembers.
 REMEMBERED = 500_000
 _words = re.compile(r"\w+").findall
@@ -68,16 +68,10 @@ def spread(words: Counter) -> Counter:
     return out
 
 
-def graded(rows: list[Counter], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """Severity grades of labelled texts, by the number of their marking words."""
-    bad, good = Counter(), Counter()
-    for words, t in zip(rows, toxic, strict=True):
-        (bad if t else good).update(spread(words).keys())
-    nb, ng = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marks = {w for w, c in bad.items() if c >= LEAST and c / nb > 10 * (good[w] + 0.5) / ng}
-    uses = np.array([sum(c for w, c in words.items() if not marks.isdisjoint(features(w))) for words in rows])
+def graded(uses: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """Severity grades of labelled texts, by their uses of marking features."""
     if not toxic.any():
-        return np.zeros(len(rows), dtype=int)
+        return np.zeros(len(toxic), dtype=int)
     cuts = np.quantile(uses[toxic], np.arange(1, grades - 1) / (grades - 1))
     return np.where(toxic, 1 + np.searchsorted(cuts, uses, side="left"), 0)
 
@@ -110,34 +104,17 @@ class Model:
         return sum(self.weights[f] * (1 + math.log(found[f])) for f in sorted(found))
 
 
-def fit(rows: list[Counter], grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
+def fit(names: list[str], r: np.ndarray, c: np.ndarray, v: np.ndarray, grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Quasi-Newton steps on the sum over thresholds k of the logistic loss of
     [grade > k], with a quadratic penalty on the weights. As the events are
     nested, the best thresholds are in order.
 
-    Of the features only those take part that are in at least ``LEAST`` texts
-    and two in a thousand, and whose presence goes with the label so clearly
-    that none of all features would by chance (chi-square over 27)."""
-    bags = [spread(words) for words in rows]
-    seen, bad = Counter(), Counter()
-    for words, g in zip(bags, grade, strict=True):
-        seen.update(words.keys())
-        if g > 0:
-            bad.update(words.keys())
-    n, nb = len(bags), int((grade > 0).sum())
-
-    def chi2(w):
-        c, o = seen[w], bad[w]
-        return n * (o * n - c * nb) ** 2 / (c * nb * (n - nb) * (n - c) or 1)
-
-    if not 0 < nb < n:
-        return Model({}, np.full(grades - 1, 20.0))
-    vocab = {w: i for i, w in enumerate(sorted(w for w, c in seen.items() if c >= max(LEAST, 0.002 * n) and chi2(w) > 27))}
-    at = [(r, vocab[w], 1 + math.log(c)) for r, words in enumerate(bags) for w, c in words.items() if w in vocab]
-    if not at:
+    Text ``r[i]`` has feature ``names[c[i]]`` with value ``v[i]``.
+    """
+    n, nb = len(grade), int((grade > 0).sum())
+    if not 0 < nb < n or not len(r):
         return Model({}, np.full(grades - 1, 20.0))
-    r, c, v = (np.array(x) for x in zip(*at, strict=True))
-    d, k = len(vocab), np.arange(grades - 1)
+    d, k = len(names), np.arange(grades - 1)
     above = (grade[:, None] > k).astype(float)
     theta = np.log((n - above.sum(axis=0) + 1) / (above.sum(axis=0) + 1))
 
@@ -148,7 +125,7 @@ def fit(rows: list[Counter], grade: np.ndarray, grades: int = GRADES, penalty: f
         return value, np.concatenate([np.bincount(c, v * err.sum(axis=1)[r], d) + penalty * p[:d], -err.sum(axis=0)])
 
     p = minimise(loss, np.concatenate([np.zeros(d), theta]), steps)
-    return Model({word: float(p[i]) for word, i in vocab.items()}, np.sort(p[d:]))
+    return Model({word: float(w) for word, w in zip(names, p, strict=False)}, np.sort(p[d:]))
 
 
 def minimise(loss, p: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
@@ -180,8 +157,9 @@ def minimise(loss, p: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return p
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[Counter], np.ndarray]:
-    """Word counts and labels of the sample, at most ``most`` distinct texts."""
+def sample_of(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``key, toxic, features, counts`` of at most ``most`` labelled texts; of
+    copies (texts that agree in their four words of least hash) there is one."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").where("text is not null")
@@ -190,25 +168,40 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list
         for batch in batches:
             for i in range(len(batch)):
                 found = counts(batch.column(0)[i].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), pa.array([list(found)], pa.list_(pa.string())), pa.array([list(found.values())], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "counts"])
-
-    rows = texts.select("text", "doc_id", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, words array<string>, counts array<int>")
-    # Copies of a text would count for several: of those that agree in their four words of least hash one.
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
-    out, toxic, seen = [], [], set()
-    for words, n, t in zip(*(found.column(x) for x in ("words", "counts", "toxic")), strict=True):
-        bag = Counter(dict(zip(words.as_py(), n.as_py(), strict=True)))
-        key = tuple(sorted(bag, key=lambda w: zlib.crc32(w.encode()))[:4]) if len(bag) > 20 else tuple(sorted(bag))
-        if key not in seen:
-            seen.add(key)
-            out.append(bag)
-            toxic.append(t.as_py() > 0)
-    return out, np.array(toxic, dtype=bool)
+                key = sorted(found, key=lambda w: zlib.crc32(w.encode()))[:4] if len(found) > 20 else sorted(found)
+                own = spread(found)
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(key)]), batch.column(1).slice(i, 1), pa.array([list(own)], pa.list_(pa.string())), pa.array([list(own.values())], pa.list_(pa.int32()))], names=["key", "toxic", "features", "counts"])
+
+    rows = texts.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(run, "key string, toxic int, features array<string>, counts array<int>")
+    return checkpoint(rows.groupBy("key").agg(F.max(F.struct("toxic", "features", "counts")).alias("x")).select("key", "x.*"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED, grades: int = GRADES) -> Model:
-    rows, toxic = labelled_counts(docs, labels, most)
-    return fit(rows, graded(rows, toxic, grades), grades) if rows else Model({}, np.full(grades - 1, 20.0))
+    """Features are counted and chosen in Spark: of all features those that are
+    in at least ``LEAST`` texts and two in a thousand, and that go with the
+    label so clearly that none of all would by chance (chi-square over 27).
+    The driver gets those features of the sample's texts only."""
+    rows = sample_of(docs, labels, most)
+    texts = rows.select("key", "toxic").orderBy("key").collect()
+    n, nb = len(texts), sum(r["toxic"] for r in texts)
+    if not 0 < nb < n:
+        return Model({}, np.full(grades - 1, 20.0))
+    one = rows.select("key", "toxic", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("key", "toxic", F.col("x.features").alias("f"), F.col("x.counts").alias("n"))
+    found = one.groupBy("f").agg(F.count("*").alias("c"), F.sum("toxic").alias("o")).where(F.col("c") >= max(LEAST, 0.002 * n))
+    c, o = F.col("c").cast("double"), F.col("o").cast("double")
+    chi2 = F.try_divide(n * F.pow(o * n - c * nb, 2), c * nb * (n - nb) * (n - c))
+    chosen = checkpoint(found.where((chi2 > 27) | ((c == n) & (o != nb))))
+    marks = {r["f"]: r["o"] / nb > 10 * (r["c"] - r["o"] + 0.5) / (n - nb) for r in chosen.orderBy("f").collect()}
+    cells = one.join(F.broadcast(chosen.select("f")), "f").select("key", "f", "n").toPandas()
+    at, names = {r["key"]: i for i, r in enumerate(texts)}, list(marks)
+    place = {f: i for i, f in enumerate(names)}
+    r, k = cells["key"].map(at).to_numpy(dtype=int), cells["f"].map(place).to_numpy(dtype=int)
+    times = cells["n"].to_numpy(dtype=float)
+    order = np.lexsort((k, r))  # sums do not depend on the order of arrival
+    r, k, times = r[order], k[order], times[order]
+    toxic = np.array([x["toxic"] > 0 for x in texts])
+    uses = np.bincount(r, times * np.array([marks[f] for f in names], dtype=float)[k], n) if len(r) else np.zeros(n)
+    return fit(names, r, k, 1 + np.log(times), graded(uses, toxic, grades), grades)
 
 
 def scored(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
