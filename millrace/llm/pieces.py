@@ -171,9 +171,13 @@ class Encoder:
     """Pieces of many texts at once, with a memory of chunks."""
 
     def __init__(self, path: str):
+        import sentencepiece
+
         self.norm = Normalizer(path)
         self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.lib = self.norm.segmenter()
+        # Decoding drops the space of the model's own prefix, so it needs the model as it is.
+        self.whole = sentencepiece.SentencePieceProcessor(model_proto=self.norm.model)
         byte = {i for i, (_, kind) in enumerate(self.norm.pieces) if kind == 6}
         self.size = np.array([1 if i in byte else len(p.encode()) for i, (p, _) in enumerate(self.norm.pieces)], dtype=np.int64)
         self.marks = np.array([p.count(MARK) for p, _ in self.norm.pieces], dtype=np.int64)
@@ -248,7 +252,7 @@ def _rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 ids, starts, ends, bounds = encoder.encode(column.slice(i, j - i).to_pylist())
                 at = pa.array(bounds, pa.int32())
                 flat = ids.tolist()
-                back = encoder.lib.decode([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], num_threads=1)
+                back = encoder.whole.decode([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], num_threads=1)
                 lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (ids, starts.astype(np.int32), ends.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists, pa.array(back, pa.string())], names=["doc_id", "ids", "starts", "ends", "decoded"])
                 i = j

@@ -1,7 +1,7 @@
 """Secret scan: candidates in texts, and a random forest against false alarms.
 
 A candidate is a run of 12 or more letters, digits and ``_ + / -`` with a digit
-in it. The forest sees how long it is, how its characters change class, how
+or eight capitals in it. The forest sees how long it is, how its characters change class, how
 much of it is words, the document's path and the words around it. It is trained
 on labelled findings: a table of them if there is one, else those that formats
 decide (known key forms and values named as secrets are secrets; numbers,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_up_to, checkpoint, table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*(?:[0-9]|[A-Z]{8}))[A-Za-z0-9_+/\-]{12,}={0,2}"
 #: Findings of a training set at most, trees and their depth, score of a secret.
 LABELLED, TREES, DEPTH, SECRET = 20_000, 20, 6, 0.5
 #: Characters before and after a candidate that are looked at.

@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 
 from millrace.llm import pieces, secrets, toxicity, url_templates, warc
 
@@ -36,7 +35,7 @@ def double_array(keys: dict[bytes, int]) -> list[int]:
                 build(base ^ c, rest)
 
     build(0, sorted(keys.items()))
-    return [units.get(i, 0) for i in range(max(units) + 256)]
+    return [units.get(i, 0) for i in range(-(-(max(units) + 256) // 256) * 256)]  # whole blocks
 
 
 def charmap(rules: dict[str, str]) -> bytes:
@@ -96,7 +95,7 @@ def test_encode_table(spark):
     want = sorted((str(i), len(x := lib.encode(t or "")), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(lib.decode(x).encode()).hexdigest()) for i, t in rows)
     got = pieces.digests(pieces.encode(df, MODEL)).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
-    assert {r["covered_bytes"] for r in got if r["doc_id"] == 6} == {0, 300000} or True
+    assert max(r["covered_bytes"] for r in got if r["doc_id"] == 6) == 300000
     assert pieces.encode(df.limit(0), MODEL).count() == 0
 
 
@@ -274,4 +273,3 @@ def test_archives_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(empty, str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
-    assert F is not None
