@@ -205,3 +205,24 @@ def test_types(spark, small):
     k = profiling.infer_types(small)
     assert k["a"] == "numeric" and k["y"] == "boolean" and k["c"] in ("boolean", "categorical")
     assert not math.isnan(profiling.quality_score(profiling.quality(small)))
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from millrace import cli
+
+    data = str(tmp_path / "d.parquet")
+    small.write.parquet(data)
+    assert cli.main(["contract", data, "-o", str(tmp_path / "c.json")], spark) == 0
+    assert cli.main(["validate", data, "--contract", str(tmp_path / "c.json")], spark) == 0
+    (tmp_path / "s.yaml").write_text("features:\n  - {transform: square, column: a}\n")
+    assert cli.main(["run", data, "--spec", str(tmp_path / "s.yaml"), "-o", str(tmp_path / "o.csv")], spark) == 0
+    assert "a_square" in io.read(spark, str(tmp_path / "o.csv")).columns
+    assert cli.main(["analyze", data], spark) == 0 and '"types"' in capsys.readouterr().out
+
+
+def test_transfer(small):
+    from millrace.operators import transfer
+
+    out = transfer.apply(small, small, {"a": ["square"]})
+    assert "a_square_transfer" in out.columns
+    assert transfer.likeness([1.0, 2.0], [1.0, 2.0]) == 1.0
