@@ -169,10 +169,17 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose component has a smaller id; of rows that
-    share an id, all stay or go together. Rows without an id stay."""
+    """``docs`` without those whose component has a smaller id. Of rows with
+    one id, those of equal text count once; others stay or go together. Rows
+    without an id stay."""
     gone = join(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if not again.head(1):
+        return kept
+    again = broadcast_up_to(again, SMALL)
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
