@@ -105,27 +105,41 @@ class Model:
 
 
 def fit(names: list[str], r: np.ndarray, c: np.ndarray, v: np.ndarray, grade: np.ndarray, grades: int = GRADES, penalty: float = PENALTY, steps: int = STEPS) -> Model:
-    """Quasi-Newton steps on the sum over thresholds k of the logistic loss of
-    [grade > k], with a quadratic penalty on the weights. As the events are
-    nested, the best thresholds are in order.
+    """Maximum likelihood of ``P(grade = g) = sigmoid(theta_g - z) - sigmoid(theta_(g-1) - z)``
+    by quasi-Newton steps, with a quadratic penalty on the weights. The first
+    threshold and the logarithms of the gaps to the next ones are free, so the
+    thresholds stay in order; a light penalty holds the gap of a grade without texts.
 
     Text ``r[i]`` has feature ``names[c[i]]`` with value ``v[i]``.
     """
     n, nb = len(grade), int((grade > 0).sum())
     if not 0 < nb < n or not len(r):
         return Model({}, np.full(grades - 1, 20.0))
-    d, k = len(names), np.arange(grades - 1)
-    above = (grade[:, None] > k).astype(float)
-    theta = np.log((n - above.sum(axis=0) + 1) / (above.sum(axis=0) + 1))
+    d, last = len(names), grades - 1
+    above = (grade[:, None] > np.arange(last)).mean(axis=0)
+    start = np.log((1 - above + 1 / n) / (above + 1 / n))
+    inner, lower, upper = (grade > 0) & (grade < last), grade > 0, grade < last
 
-    def loss(p):
-        z = np.bincount(r, v * p[c], n)[:, None] - p[None, d:]
-        err = (sigmoid(z) - above) / n
-        value = (np.logaddexp(0, z) - above * z).sum() / n + penalty / 2 * (p[:d] @ p[:d])
-        return value, np.concatenate([np.bincount(c, v * err.sum(axis=1)[r], d) + penalty * p[:d], -err.sum(axis=0)])
+    def thresholds(p):
+        return p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
 
-    p = minimise(loss, np.concatenate([np.zeros(d), theta]), steps)
-    return Model({word: float(w) for word, w in zip(names, p, strict=False)}, np.sort(p[d:]))
+    def loss(p):
+        theta, z = thresholds(p), np.bincount(r, v * p[c], n)
+        b, a = theta[np.minimum(grade, last - 1)] - z, theta[np.maximum(grade - 1, 0)] - z
+        gap = np.maximum(np.where(inner, b - a, 1.0), 1e-12)
+        # log(sigmoid(b) - sigmoid(a)), with a or b infinite at the ends of the scale
+        fits = np.where(inner, np.log(-np.expm1(-gap)), 0.0) - np.where(upper, np.logaddexp(0, -b), 0.0) - np.where(lower, np.logaddexp(0, a), 0.0)
+        to_b, to_a = np.where(upper, sigmoid(-b), 0.0), np.where(lower, -sigmoid(a), 0.0)
+        apart = np.where(inner, 1 / np.expm1(gap), 0.0)
+        by_z = (to_b + to_a) / n
+        by_theta = np.bincount(grade[upper], (to_b + apart)[upper], last) + np.bincount(grade[lower] - 1, (to_a - apart)[lower], last)
+        after = -np.cumsum(by_theta[::-1])[::-1] / n
+        gaps = p[d + 1 :]
+        value = -fits.mean() + penalty / 2 * (p[:d] @ p[:d] + gaps @ gaps)
+        return value, np.concatenate([np.bincount(c, v * by_z[r], d) + penalty * p[:d], after[:1], np.exp(gaps) * after[1:] + penalty * gaps])
+
+    p = minimise(loss, np.concatenate([np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 1e-2))]), steps)
+    return Model({word: float(w) for word, w in zip(names, p, strict=False)}, thresholds(p))
 
 
 def minimise(loss, p: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
