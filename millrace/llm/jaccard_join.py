@@ -184,3 +184,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of sets that share a shingle, then what each can reach.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+        else list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w),
+k as (select doc_id, len(sh)::bigint as n_shingles, sha256(list_sort(sh)::varchar) as same from s),
+c as (select same, min(doc_id) as a from k where n_shingles > 0 group by 1),
+m as (select c.a, len(s.sh) as n, unnest(s.sh) as sh from c join s on s.doc_id = c.a),
+p as (select x.a, y.a as b, x.n, y.n as m, count(*) as common from m x join m y on x.sh = y.sh and x.a <> y.a
+      where 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by 1, 2, 3, 4),
+l as (select a, b from p where 100 * common >= 80 * (n + m - common)),
+t as (select a, a as b from c union select t.a, l.b from t join l on t.b = l.a),
+z as (select a, min(b) as component_id from t group by 1)
+select k.doc_id, k.n_shingles, coalesce(z.component_id, k.doc_id) as component_id
+from k left join c on c.same = k.same and k.n_shingles > 0 left join z on z.a = c.a
+"""

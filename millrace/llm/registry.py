@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_topk": exact_topk.ORACLE, "op8_warc": warc.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op7_exact_topk": exact_topk.ORACLE, "op8_warc": warc.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op10_sharding": sharding.ORACLE}
