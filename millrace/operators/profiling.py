@@ -363,6 +363,18 @@ def suppress(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     return df.join(n, same).select(*[F.when(F.col("_n") >= k, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def generalize(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
+    """``column`` becomes the text of its equally wide, right-closed interval
+    ``(lo, hi]``; the first one also holds the minimum. One value fills one."""
+    s = run_aggregates(df, {"lo": F.min(column).cast("double"), "hi": F.max(column).cast("double")})
+    if s["lo"] is None:
+        return df.withColumn(column, F.lit(None).cast("string"))
+    lo, width = s["lo"], (s["hi"] - s["lo"]) / bins
+    i = F.greatest(F.ceil((F.col(column) - lo) / width), F.lit(1)) if width else F.lit(1)
+    i = F.least(i, F.lit(bins)).cast("double")
+    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.format_string("(%.2f, %.2f]", F.lit(lo) + (i - 1) * width, F.lit(lo) + i * width)))
+
+
 # Fairness
 
 
@@ -374,6 +386,14 @@ def parity(df: DataFrame, protected: str, column: str) -> DataFrame:
     return g.agg(S.ratio(F.max("m") - F.min("m"), F.max(F.abs("m")), 0.0).alias("parity_gap"), S.ratio(F.min("s"), F.max("s"), 0.0).alias("impact_ratio"))
 
 
+def equal_odds(df: DataFrame, protected: str, column: str, label: str) -> DataFrame:
+    """``groups, odds_gap``: range over groups of the correlation of a feature
+    with the label (groups in which it is undefined say nothing)."""
+    g = df.where(F.col(protected).isNotNull()).groupBy(protected).agg(F.corr(F.col(column).cast("double"), F.col(label).cast("double")).alias("r"))
+    g = g.where(F.col("r").isNotNull() & ~F.isnan("r"))
+    return g.agg(F.count("*").alias("groups"), (F.max("r") - F.min("r")).alias("odds_gap"))
+
+
 def residualize(df: DataFrame, column: str, protected: str) -> DataFrame:
     """``<c>_fair``: what a least-squares line on the protected attribute (its
     rank, if it is text) leaves."""

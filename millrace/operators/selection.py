@@ -300,6 +300,69 @@ class Permutation(Selector):
         return best(self.scores, self.columns, self.k, None if self.k else self.threshold)
 
 
+class Shapley(Selector):
+    """Mean absolute Shapley values of a forest's predictions, sampled: in
+    every round a row turns into another one column by column, in a random
+    order, and each column is credited with the change it makes. Credits of a
+    row add up to its prediction less the mean of its partners'.
+
+    Partners are neighbours in a random order, in slices, so rows move once."""
+
+    def __init__(self, columns=None, k=None, threshold="mean", rounds=4, trees=10, depth=5, seed=42):
+        super().__init__(columns)
+        self.k, self.threshold, self.rounds, self.trees, self.depth, self.seed = k, threshold, rounds, trees, depth, seed
+
+    def credits(self, df: DataFrame, target: str) -> DataFrame:
+        """One array per column (of classes, or of one number), and ``_whole``, what they add up to."""
+        from pyspark.ml import classification, regression
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.sql import Window
+
+        data, classify = assembled(df, self.columns, target)
+        kind = classification.RandomForestClassifier if classify else regression.RandomForestRegressor
+        model = kind(featuresCol="_x", labelCol="_y", numTrees=self.trees, maxDepth=self.depth, seed=self.seed).fit(data)
+        names, rng = [f"_c{i}" for i in range(len(self.columns))], random.Random(self.seed)
+        rows = data.select(*[vector_to_array("_x")[i].alias(c) for i, c in enumerate(names)]).withColumn("_r", F.xxhash64(F.lit(self.seed), *names, F.monotonically_increasing_id()))
+        slices = Window.partitionBy(F.pmod("_r", F.lit(64))).orderBy("_r")
+        every = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({f"{c}_{t}": F.coalesce(F.lag(c, t + 1).over(slices), F.last(c).over(every)) for t in range(self.rounds) for c in names})
+
+        def predicted(rows: DataFrame, columns: list[str], into: str) -> DataFrame:
+            rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(rows)
+            model.setFeaturesCol("_v").setPredictionCol("_p")
+            if classify:
+                model.setProbabilityCol("_q").setRawPredictionCol("")
+            rows = model.transform(rows)
+            return rows.withColumn(into, vector_to_array("_q") if classify else F.array("_p")).drop("_v", "_p", "_q")
+
+        rows = predicted(rows, names, "_own")
+        steps: dict[str, list] = {c: [] for c in names}
+        ends = []
+        for t in range(self.rounds):
+            mixed, before = list(names), "_own"
+            for n, i in enumerate(rng.sample(range(len(names)), len(names))):
+                mixed[i] = f"{names[i]}_{t}"
+                rows = predicted(rows, mixed, f"_f{t}_{n}")
+                steps[names[i]].append(F.zip_with(before, f"_f{t}_{n}", lambda a, b: a - b))
+                before = f"_f{t}_{n}"
+            ends.append(F.zip_with("_own", before, lambda a, b: a - b))
+
+        def mean(parts):
+            out = parts[0]
+            for p in parts[1:]:
+                out = F.zip_with(out, p, lambda a, b: a + b)
+            return F.transform(out, lambda x: x / len(parts))
+
+        return rows.select(*[mean(steps[n]).alias(c) for n, c in zip(names, self.columns, strict=True)], mean(ends).alias("_whole"))
+
+    def choose(self, df, target):
+        size = {c: F.avg(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + F.abs(x))).alias(c) for c in self.columns}
+        row = self.credits(df, target).agg(*size.values()).first()
+        self.scores = {c: row[c] or 0.0 for c in self.columns}
+        return best(self.scores, self.columns, self.k, None if self.k else self.threshold)
+
+
 class Ensemble(Selector):
     """Mean rank, mean or median score, or votes of several selectors."""
 

@@ -642,6 +642,17 @@ def fairness(spark, sf):
     return out(profiling.parity(df, "lang", "quality"))
 
 
+@query("""with g as (select l_returnflag, corr(l_quantity, l_extendedprice) r from lineitem where l_returnflag is not null group by 1) select count(*) as groups, round(max(r) - min(r), 6) as odds_gap from g where r is not null and not isnan(r)""")
+def equal_odds(spark, sf):
+    return out(profiling.equal_odds(read(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice"))
+
+
+@query("""with b as (select min(c_nationkey)::double lo, (max(c_nationkey) - min(c_nationkey)) / 5.0::double w from customer), i as (select c_custkey, lo, w, least(greatest(ceil((c_nationkey - lo) / w), 1), 5) i from customer, b)
+select c_custkey, printf('(%.2f, %.2f]', lo + (i - 1) * w, lo + i * w) as c_nationkey from i""")
+def generalized(spark, sf):
+    return out(profiling.generalize(read(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey"))
+
+
 @query("""with b as (select regr_slope(c_acctbal, c_nationkey) s, regr_intercept(c_acctbal, c_nationkey) i from customer) select c_custkey, round(c_acctbal - (i + s * c_nationkey), 4) as c_acctbal_fair from customer, b""")
 def residuals(spark, sf):
     return out(profiling.residualize(read(spark, sf, "customer"), "c_acctbal", "c_nationkey"), "c_custkey", "c_acctbal_fair", digits=4)
@@ -711,6 +722,11 @@ def forest_importance(spark, sf):
     return _scores(spark, selection.Importance(_NUM[:1] + _NUM[2:], trees=5).fit(read(spark, sf, "lineitem"), "l_extendedprice"))
 
 
+@query()
+def shapley(spark, sf):
+    return _scores(spark, selection.Shapley(["l_quantity", "l_discount", "l_tax"], rounds=2, trees=5).fit(read(spark, sf, "lineitem"), "l_extendedprice"))
+
+
 @query()
 def stability(spark, sf):
     s = selection.Stability(lambda: selection.Statistical(None, "f_regression", k=2), ["l_quantity", "l_discount", "l_tax"], rounds=3)
@@ -764,16 +780,47 @@ def graph_triangles(spark, sf):
     return out(graph.triangles(_nations(spark, sf)))
 
 
-@query()
+_U = """e as (select a.n_name s, b.n_name t from nation a, nation b where a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1), u as (select s, t from e union all select t, s from e),
+ n as (select distinct s as node from u)"""
+_RANKED = "".join(
+    f""", r{i + 1} as (select n.node, 0.15 / (select count(*) from n) + 0.85 * coalesce(sum(r{i}.rank / k.k), 0) as rank from n left join u on u.t = n.node left join r{i} on r{i}.node = u.s left join k on k.s = u.s group by 1)"""
+    for i in range(10)
+)
+
+
+@query(f"with {_U}, k as (select s, count(*) k from u group by 1), r0 as (select node, 1.0::double / (select count(*) from n) as rank from n){_RANKED} select node, round(rank, 6) as rank from r10")
 def graph_pagerank(spark, sf):
     return out(graph.pagerank(_nations(spark, sf), rounds=10))
 
 
-@query()
+_SPREAD = "".join(
+    f""", c{i + 1} as (select s as node, label from (select u.s, l{i}.label, row_number() over (partition by u.s order by count(*) desc, l{i}.label) as i from u join l{i} on l{i}.node = u.t group by 1, 2) where i = 1),
+ l{i + 1} as (select n.node, coalesce(c{i + 1}.label, l{i}.label) as label from n join l{i} using (node) left join c{i + 1} using (node))"""
+    for i in range(3)
+)
+
+
+@query(f"with {_U}, l0 as (select node, node as label from n){_SPREAD} select node, label as community from l3")
 def graph_communities(spark, sf):
     return graph.communities(_nations(spark, sf), 3)
 
 
+@query(f"""with {_U}, p as (select s as node, s as x from u union select s, t from u), d as (select distinct least(s, t) a, greatest(s, t) b from u)
+select p.node, count(*) as ego_edges from p join d on p.x = d.a join p q on q.node = p.node and q.x = d.b group by 1""")
+def graph_ego_edges(spark, sf):
+    return out(graph.ego_edges(_nations(spark, sf)))
+
+
+@query()
+def graph_walks(spark, sf):
+    return graph.walks(_nations(spark, sf), 3, 6)
+
+
+@query()
+def graph_vectors(spark, sf):
+    return graph.node_vectors(_nations(spark, sf), 4, 3, 8)
+
+
 # Declared features
 
 _SPEC = {"version": "1.0", "features": [

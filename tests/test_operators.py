@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,65 @@ def test_transfer(small):
     out = transfer.apply(small, small, {"a": ["square"]})
     assert "a_square_transfer" in out.columns
     assert transfer.likeness([1.0, 2.0], [1.0, 2.0]) == 1.0
+
+
+def two_cliques(spark):
+    """Two groups of six, joined by one edge."""
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0")]
+    return graph.edges(spark.createDataFrame(pairs, "s string, t string"), "s", "t")
+
+
+def test_walks_follow_edges(spark):
+    e = two_cliques(spark)
+    edges = {(r["src"], r["dst"]) for r in e.collect()}
+    found = {}
+    for r in graph.walks(e, 2, 5).collect():
+        found.setdefault((r["node"], r["walk"]), {})[r["step"]] = r["at"]
+    assert len(found) == 24 and all(w[0] == node and len(w) == 5 for (node, _), w in found.items())
+    assert all((w[i], w[i + 1]) in edges for w in found.values() for i in range(4))
+    again = {(r["node"], r["walk"], r["step"], r["at"]) for r in graph.walks(e, 2, 5).collect()}
+    assert again == {(n, k, i, at) for (n, k), w in found.items() for i, at in w.items()}
+
+
+def test_walks_end_without_edges(spark):
+    e = graph.edges(spark.createDataFrame([("a", "b")], "s string, t string"), "s", "t", directed=True)
+    assert sorted((r["node"], r["step"], r["at"]) for r in graph.walks(e, 1, 4).collect()) == [("a", 0, "a"), ("a", 1, "b"), ("b", 0, "b")]
+
+
+def test_node_vectors_tell_groups(spark):
+    got = {r["node"]: np.array(r["vector"]) for r in graph.node_vectors(two_cliques(spark), size=3, per_node=6, length=10).collect()}
+    unit = {k: v / np.linalg.norm(v) for k, v in got.items()}
+    inside = np.mean([unit[f"{g}{i}"] @ unit[f"{g}{j}"] for g in "ab" for i in range(1, 6) for j in range(1, i)])
+    across = np.mean([unit[f"a{i}"] @ unit[f"b{j}"] for i in range(1, 6) for j in range(1, 6)])
+    assert len(got) == 12 and inside > across + 0.2
+
+
+def test_ego_edges(spark):
+    got = {r["node"]: r["ego_edges"] for r in graph.ego_edges(two_cliques(spark)).collect()}
+    assert got["a0"] == 16 and got["a1"] == 15 and len(got) == 12
+
+
+@pytest.mark.parametrize("target", ["y", "label"])
+def test_shapley_credits_add_up(spark, target):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    rows = [(float(a), float(b), float(c), float(4 * a + b), "high" if a > 0 else "low") for a, b, c in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, label string")
+    s = selection.Shapley(["a", "b", "c"], rounds=2, trees=5)
+    for r in s.credits(df, target).collect():
+        assert np.allclose(np.sum([r[c] for c in "abc"], axis=0), r["_whole"])
+    s.fit(df, target)
+    assert s.scores["a"] > 3 * s.scores["c"]
+
+
+def test_generalize(spark):
+    df = spark.createDataFrame([(0.0,), (2.0,), (2.1,), (10.0,), (None,)], "v double")
+    assert [r[0] for r in profiling.generalize(df, "v").collect()] == ["(0.00, 2.00]", "(0.00, 2.00]", "(2.00, 4.00]", "(8.00, 10.00]", None]
+    assert [r[0] for r in profiling.generalize(df.where("v = 2"), "v").collect()] == ["(2.00, 2.00]"]
+    assert profiling.generalize(df.where("v is null"), "v").first()[0] is None
+
+
+def test_equal_odds(spark):
+    rows = [("a", float(i), float(i)) for i in range(5)] + [("b", float(i), float(-i)) for i in range(5)] + [("c", 1.0, 1.0), (None, 1.0, 2.0)]
+    r = profiling.equal_odds(spark.createDataFrame(rows, "g string, v double, y double"), "g", "v", "y").first()
+    assert r["groups"] == 2 and abs(r["odds_gap"] - 2) < 1e-9
