@@ -7,9 +7,9 @@ give an entity wherever there is one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,21 +234,32 @@ def percent_rank(df: DataFrame, c: str, by: list[str] | None = None) -> DataFram
 def exponential(df: DataFrame, columns: list[str], by: list[str], order: list[str], spans: Sequence[int]) -> DataFrame:
     """Exponentially weighted mean and deviation (adjusted weights), per entity.
 
-    The weights depend on all rows before, so an entity is one group; its rows
-    must fit a task.
+    Rows so far back that their weight is lost to rounding (below 1e-18 of the
+    newest) are out of the frame, so an entity of any length passes through one
+    sorted window that holds about 20 rows for each unit of the span. A null
+    keeps the values of the row before it; one value has no deviation.
     """
-    new = [f"{c}_ewm_{s}_{k}" for c in columns for s in spans for k in ("mean", "std")]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        for c in columns:
-            for s in spans:
-                e = pdf[c].ewm(span=s, min_periods=1)
-                pdf[f"{c}_ewm_{s}_mean"], pdf[f"{c}_ewm_{s}_std"] = e.mean(), e.std()
-        return pdf
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn("_i", F.row_number().over(w))
+    for c in columns:
+        out = out.withColumn("_x", S.clean(F.col(c)))
+        for s in spans:
+            keep = F.lit(1 - 2 / (s + 1))
+            back = math.ceil(math.log(1e-18) / math.log(1 - 2 / (s + 1))) if s > 1 else 0
+            seen = F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_i", "_x"))).over(w.rowsBetween(-back, 0))
+            out = out.withColumn("_seen", F.when(F.col("_x").isNotNull(), seen))
+            weights = F.transform("_seen", lambda r: F.pow(keep, F.col("_i") - r["_i"]))  # noqa: B023
+            out = out.withColumn("_w", weights).withColumn("_v", F.transform("_seen", lambda r: r["_x"]))
+            total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda t, x: t + x)
+            out = out.withColumn("_s", total(F.col("_w"))).withColumn("_m", total(F.zip_with("_w", "_v", lambda a, x: a * x)) / F.nullif(F.col("_s"), F.lit(0.0)))
+            spread = total(F.zip_with("_w", "_v", lambda a, x: a * (x - F.col("_m")) * (x - F.col("_m"))))
+            free = F.col("_s") * F.col("_s") - total(F.transform("_w", lambda a: a * a))
+            deviation = F.when(F.size("_seen") > 1, F.sqrt(F.try_divide(spread * F.col("_s"), free)))
+            far = w.rowsBetween(Window.unboundedPreceding, 0)
+            # A struct, so that a first value carries its missing deviation along.
+            out = out.withColumn("_e", F.when(F.col("_seen").isNotNull(), F.struct(F.col("_m").alias("m"), deviation.alias("d")))).withColumn("_e", F.last("_e", True).over(far))
+            out = out.withColumns({f"{c}_ewm_{s}_mean": F.col("_e.m"), f"{c}_ewm_{s}_std": F.col("_e.d")})
+    return out.drop("_i", "_x", "_seen", "_w", "_v", "_s", "_m", "_e")
 
 
 class TimeSeries(Ordered):

@@ -327,7 +327,9 @@ def percent_ranks(spark, sf):
     return out(temporal.percent_rank(read(spark, sf, "events"), "value", ["user_id"]), "event_id", "value_rank")
 
 
-@query()
+@query("""with e as (select *, row_number() over (partition by user_id order by ts, event_id) i from events), p as (select a.event_id, b.value x, power(2 / 3.0::double, a.i - b.i) w from e a join e b on a.user_id = b.user_id and b.i <= a.i),
+ m as (select event_id, sum(w) s, sum(w * w) q, sum(w * x) / sum(w) m, count(*) n from p group by 1), d as (select event_id, sum(w * (x - m) * (x - m)) d from p join m using (event_id) group by 1)
+select event_id, round(m, 6) as value_ewm_5_mean, round(case when n > 1 then sqrt(d * s / (s * s - q)) end, 6) as value_ewm_5_std from m join d using (event_id)""")
 def exponential_means(spark, sf):
     df = temporal.exponential(read(spark, sf, "events").select("event_id", "user_id", "ts", "value"), ["value"], ["user_id"], ["ts", "event_id"], (5,))
     return out(df, "event_id", "value_ewm_5_mean", "value_ewm_5_std")

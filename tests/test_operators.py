@@ -289,3 +289,16 @@ def test_equal_odds(spark):
     rows = [("a", float(i), float(i)) for i in range(5)] + [("b", float(i), float(-i)) for i in range(5)] + [("c", 1.0, 1.0), (None, 1.0, 2.0)]
     r = profiling.equal_odds(spark.createDataFrame(rows, "g string, v double, y double"), "g", "v", "y").first()
     assert r["groups"] == 2 and abs(r["odds_gap"] - 2) < 1e-9
+
+
+def test_exponential_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, i, None if rng.random() < 0.3 else float(rng.normal())) for g in "ab" for i in range(300)] + [("c", 0, None), ("c", 1, 2.0), ("c", 2, None)]
+    got = temporal.exponential(spark.createDataFrame(rows, "g string, i int, v double"), ["v"], ["g"], ["i"], (1, 3, 10)).toPandas().sort_values(["g", "i"])
+    assert list(got.columns) == ["g", "i", "v", *[f"v_ewm_{s}_{k}" for s in (1, 3, 10) for k in ("mean", "std")]]
+    for _, part in got.groupby("g"):
+        for s in (3, 10):
+            want = part["v"].ewm(span=s, min_periods=1)
+            assert np.allclose(part[f"v_ewm_{s}_mean"], want.mean(), equal_nan=True)
+            assert np.allclose(part[f"v_ewm_{s}_std"].astype(float), want.std(), equal_nan=True)
+        assert np.allclose(part["v_ewm_1_mean"], part["v"].ffill(), equal_nan=True)
