@@ -38,7 +38,9 @@ BEFORE, AFTER = 32, 16
 #: Times that a run of letters must be seen, and buckets for paths and for words around.
 OFTEN, BUCKETS = 20, 16
 NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
-MADE_UP = r"(?i)(example|sample|dummy|placeholder|test|fake|x{6,})"
+#: Made-up values: within the candidate itself, and as a whole word right before it.
+MADE_UP = r"(?i)example|sample|dummy|placeholder|x{6,}|(?<![A-Za-z0-9])(test|fake)(?![A-Za-z0-9])"
+MADE_UP_BESIDE = r"(?i)(?<![\w@.+\-])(example|sample|dummy|placeholder|test|fake)[\s\"':=]{1,3}$"
 MASK = "[SECRET]"
 
 
@@ -71,13 +73,21 @@ def kinds(c: Column) -> Column:
     return c
 
 
-def by_format(c: Column, before: Column) -> Column:
-    """1 or 0 where the format decides, else null."""
+def decided(c: Column, before: Column) -> tuple[Column, Column]:
+    """Whether a candidate has a key's form or a secret's name, and whether it
+    is made up: by its own words, or by the word beside it if it has neither."""
     named = F.regexp_like(before, F.lit(NAMES + r"[A-Za-z_]*[\"']?\s*[:=]\s*[\"']?$"))
     key = F.regexp_like(c, F.lit(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk[-_](live|test)?[-_]?[A-Za-z0-9]{20,}$|^xox[abpr]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_\-]{35}$"))
+    # The "test" of sk_test_ belongs to the form.
+    own = F.regexp_like(F.regexp_replace(c, r"^sk[-_](live|test)[-_]", ""), F.lit(MADE_UP))
+    return key | named, own | (F.regexp_like(before, F.lit(MADE_UP_BESIDE)) & ~(key | named))
+
+
+def by_format(c: Column, before: Column) -> Column:
+    """1 or 0 where the format decides, else null."""
     plain = F.regexp_like(c, F.lit(r"^[0-9+/_-]+=*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^([0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$|^[A-Za-z]+[0-9]{1,4}$|^[0-9]{1,4}[A-Za-z]+$"))
-    made_up = F.regexp_like(F.concat(before, c), F.lit(MADE_UP))
-    return F.when(made_up, 0).when(key | named, 1).when(plain, 0)
+    secret, made_up = decided(c, before)
+    return F.when(made_up, 0).when(secret, 1).when(plain, 0)
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def features(found: DataFrame) -> DataFrame:
         "named": F.regexp_like("before", F.lit(NAMES)).cast("double"),
         "assigned": F.regexp_like("before", F.lit(r"[:=]\s*[\"']?$")).cast("double"),
         "quoted": F.regexp_like("before", F.lit(r"[\"']$")).cast("double"),
-        "made_up": F.regexp_like(F.concat("before", c), F.lit(MADE_UP)).cast("double"),
+        "made_up": decided(c, F.col("before"))[1].cast("double"),
         "path_depth": F.size(F.split(F.coalesce("path", F.lit("")), "/")).cast("double"),
         "path_test": F.regexp_like(F.coalesce("path", F.lit("")), F.lit(r"(?i)(test|example|fixture|mock|doc|sample)")).cast("double"),
     }

@@ -177,6 +177,20 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_words_around_do_not_clear_secrets(spark):
+    """Addresses, and words that hold "test", say nothing about a real token; made-up values stay clear."""
+    rng = random.Random(16)
+    key = lambda n, a="abcdef0123456789": "".join(rng.choice(a) for _ in range(n))
+    around = ["write to ann@mail6.example.com", "the latest", "Asanstestion", "contest sample test"]
+    rows = [(i, f'{around[i % 4]} token = "{key(40)}" ok') for i in range(40)]
+    rows += [(100 + i, f"{around[i % 4]} ghp_{key(36, 'abcdefgh0123456789')} ok") for i in range(40)]
+    rows += [(200 + i, f'token = "example-{key(12)}" ok') for i in range(40)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    for some in (docs.where("doc_id < 200"), docs):  # one kind of label, and both
+        got = {r["doc_id"]: r["secret"] for r in secrets.scan(some).collect()}
+        assert [i for i, bad in got.items() if bad != (i < 200)] == [] and len(got) == some.count()
+
+
 def test_secret_model_generalises(spark):
     """Trained on half of labelled findings, it separates the others."""
     rng = random.Random(7)
