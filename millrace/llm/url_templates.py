@@ -1,8 +1,10 @@
 """URL filter: lists of rules, and a tree of path templates where no rule fits.
 
-For every host the segments of its paths form a tree. A segment that few of
-its node's pages share is variable and becomes a wildcard (``*``, with its
-extension), so /en/825.html and /en/97.html are one branch, /en/*.html.
+For every host the segments of its paths form a tree. A segment with few pages,
+or with a small part of its node's pages and too few labels to be told from the
+others, is variable and becomes a wildcard (``*``, with its extension), so
+/en/825.html and /en/97.html are one branch, /en/*.html. Segments are judged as
+deep as enough pages of a host go: each depth is one count more.
 Labelled pages give every branch a share of bad ones. Sibling branches whose
 shares do not differ significantly are merged, and a branch's share is
 smoothed towards its parent's, the host's and the whole table's, by as much as
@@ -13,8 +15,8 @@ Everything but the page's own row is a count by host and template, so a hot
 host is summed up before it moves.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits
-no rule and is judged like any host; a path's segments from ``DEPTH`` on are
-one wildcard; rows with equal ids are judged each; repeated labels of a page
+no rule and is judged like any host; what only fewer than ``SUPPORT`` pages of
+a host are deep enough for is wildcards, in the tree one branch; rows with equal ids are judged each; repeated labels of a page
 count once (bad if any is); an empty table gives an empty result and no
 labels allow everything; other columns are not read.
 """
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from millrace.llm.common import broadcast_up_to, checkpoint, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Segments of a template, least pages and least share of its node's pages
-#: that keep a segment literal, weight of the parent's share in labels.
-DEPTH, SUPPORT, SHARE, PRIOR = 6, 5, 0.01, 8.0
+#: Least pages that keep a segment literal, if as many are labelled or it has
+#: this share of its node's pages; weight of the parent's share in labels.
+SUPPORT, SHARE, PRIOR = 5, 0.01, 8.0
+#: Depths after which rows are written.
+EVERY = 4
 #: Sibling branches are alike below this many standard errors.
 ALIKE = 1.96
 REJECT = 0.5
@@ -53,22 +57,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def wild(x: Column) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(x, r"(\.[A-Za-z]{1,5})?$", 0))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, path, ...) with ``t``, the list of template segments."""
+    """``pages`` (host, path, bad, ...) with ``t``, the list of template
+    segments; ``bad`` is null where a page has no label."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("s", segments).withColumn("t", F.array().cast("array<string>"))
-    most = rows.agg(F.max(F.least(F.size("s"), F.lit(DEPTH - 1)))).first()[0] or 0
+    # No segment can have enough pages deeper than the SUPPORT deepest pages of a host.
+    deep = rows.groupBy("host", F.size("s").alias("d")).agg(F.count("*").alias("c"))
+    deep = deep.withColumn("c", F.sum("c").over(Window.partitionBy("host").orderBy(F.desc("d"))))
+    most = deep.where(F.col("c") >= SUPPORT).agg(F.max("d")).first()[0] or 0
     for d in range(most):
         rows = rows.withColumn("x", F.get("s", F.lit(d)))
-        counts = rows.where("x is not null").groupBy("host", "t", "x").agg(F.count("*").alias("c"))
+        counts = rows.where("x is not null").groupBy("host", "t", "x").agg(F.count("*").alias("c"), F.count("bad").alias("m"))
         total = counts.groupBy("host", "t").agg(F.sum("c").alias("all"))
-        keep = counts.where(F.col("c") >= SUPPORT).join(total, ["host", "t"]).where(F.col("c") >= SHARE * F.col("all")).select(F.col("host").alias("_h"), F.col("t").alias("_t"), F.col("x").alias("_x"))
+        keep = counts.where(F.col("c") >= SUPPORT).join(total, ["host", "t"]).where((F.col("m") >= SUPPORT) | (F.col("c") >= SHARE * F.col("all"))).select(F.col("host").alias("_h"), F.col("t").alias("_t"), F.col("x").alias("_x"))
         keep = broadcast_up_to(checkpoint(keep), 100_000)
-        wild = F.concat(F.lit("*"), F.regexp_extract("x", r"(\.[A-Za-z]{1,5})?$", 0))
         rows = rows.join(keep, (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")) & (F.col("x") == F.col("_x")), "left")
-        now = F.when(F.col("x").isNull(), F.col("t")).otherwise(F.concat("t", F.array(F.coalesce("_x", wild))))
+        now = F.when(F.col("x").isNull(), F.col("t")).otherwise(F.concat("t", F.array(F.coalesce("_x", wild(F.col("x"))))))
         rows = rows.withColumn("t", now).drop("_h", "_t", "_x", "x")
-    return rows.withColumn("t", F.when(F.size("s") >= DEPTH, F.concat("t", F.array(F.lit("**")))).otherwise(F.col("t"))).drop("s")
+        if (d + 1) % EVERY == 0 and d + 1 < most:
+            rows = checkpoint(rows)
+    rest = F.array_join(F.transform(F.slice("s", most + 1, F.greatest(F.size("s") - most, F.lit(0))), wild), "/")
+    return rows.withColumn("t", F.when(F.size("s") > most, F.concat("t", F.array(rest))).otherwise(F.col("t"))).drop("s")
 
 
 def purity(leaves: DataFrame) -> DataFrame:
@@ -119,13 +133,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("doc", F.regexp_extract("path", r"([0-9]+)(?:\.[A-Za-z]+)?/?$", 1).try_cast("long"))
-    rows = checkpoint(templates(rows))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad")).where("bad is not null")
-    judged = rows.where("doc is not null").join(known, "doc")
-    counts = rows.groupBy("host", "t").agg(F.lit(0.0).alias("m"), F.lit(0.0).alias("b")).unionByName(
-        judged.groupBy("host", "t").agg(F.count("*").cast("double").alias("m"), F.sum("bad").cast("double").alias("b"))
-    )
-    share = purity(counts.groupBy("host", "t").agg(F.sum("m").alias("m"), F.sum("b").alias("b")))
+    judged = rows.where("doc is not null").join(known, "doc", "left")
+    rows = checkpoint(judged.unionByName(rows.where("doc is null").withColumn("bad", F.lit(None).cast("int"))))
+    rows = checkpoint(templates(rows))
+    share = purity(rows.groupBy("host", "t").agg(F.count("bad").cast("double").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("b")))
     share = share.select(F.col("host").alias("_h"), F.col("t").alias("_t"), "share")
     out = rows.join(broadcast_up_to(checkpoint(share), 100_000), (F.col("host") == F.col("_h")) & (F.col("t") == F.col("_t")), "left")
     rule, action = rule_of(F.col("host"), F.col("path"), rules)

@@ -247,6 +247,30 @@ def test_bad_templates_are_blocked(spark):
     assert url_templates.judge(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def judged_sites(spark, pages):
+    """Verdicts of (path, bad or None) on one host, by page."""
+    rows = [(i, f"http://site.com/{path}/{i}.html") for i, (path, _) in enumerate(pages)]
+    labels = [(i, 1 - bad, 0) for i, (_, bad) in enumerate(pages) if bad is not None]
+    out = url_templates.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    return {r["page_id"]: r for r in out.collect()}
+
+
+def test_small_sections_of_large_hosts(spark):
+    """Sections of under 1% of a host's pages, one of them bad, the others not."""
+    pages = [("news", 0)] * 3000 + [("offers", 1)] * 15 + [("help", 0)] * 25 + [("about", 0)] * 25
+    got = judged_sites(spark, pages)
+    assert all((got[i]["verdict"] == "block") == bool(bad) for i, (_, bad) in enumerate(pages))
+    assert {r["template"] for r in got.values()} == {f"/{x}/*.html" for x in ("news", "offers", "help", "about")}
+
+
+def test_deep_branches(spark):
+    """Branches that differ in the seventh segment only; few pages go deeper."""
+    pages = [("a/b/c/d/e/f/good", 0)] * 30 + [("a/b/c/d/e/f/bad", 1)] * 30 + [("a/b/c/d/e/f/bad/g/h/i", None)] * 2
+    got = judged_sites(spark, pages)
+    assert all((got[i]["verdict"] == "block") == bool(bad) for i, (_, bad) in enumerate(pages[:60]))
+    assert got[60]["template"] == "/a/b/c/d/e/f/bad/*/*/*/*.html"
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(8)
     big = "".join(rng.choice("abc é\r\n") for _ in range(200_000))
