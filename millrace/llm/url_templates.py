@@ -4,10 +4,10 @@ For every host the segments of its paths form a tree. A segment with few pages,
 or with a small part of its node's pages and too few labels to be told from the
 others, is variable and becomes a wildcard (``*``, with its extension), so
 /en/825.html and /en/97.html are one branch, /en/*.html. Segments are judged as
-deep as enough pages of a host go: each depth is one count more.
-Labelled pages give every branch a share of bad ones. Sibling branches whose
-shares do not differ significantly are merged, and a branch's share is
-smoothed towards its parent's, the host's and the whole table's, by as much as
+deep as enough pages of a host go: each depth is one count more. Labelled pages give every branch a share of bad ones. Sibling branches are
+merged, from the lowest share up, as long as the next one differs significantly
+neither from all of its group so far nor from the group's lowest, and a
+branch's share is smoothed towards its parent's, the host's and the whole table's, by as much as
 it has few labels. Pages of a branch with a smoothed share of at least
 ``REJECT`` are blocked.
 
@@ -16,8 +16,8 @@ host is summed up before it moves.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits
 no rule and is judged like any host; what only fewer than ``SUPPORT`` pages of
-a host are deep enough for is wildcards, in the tree one branch; rows with equal ids are judged each; repeated labels of a page
-count once (bad if any is); an empty table gives an empty result and no
+a host are deep enough for is wildcards, in the tree one branch; rows with
+equal ids are judged each; repeated labels of a page count once (bad if any is); an empty table gives an empty result and no
 labels allow everything; other columns are not read.
 """
 
@@ -85,6 +85,39 @@ def templates(pages: DataFrame) -> DataFrame:
     return rows.withColumn("t", F.when(F.size("s") > most, F.concat("t", F.array(rest))).otherwise(F.col("t"))).drop("s")
 
 
+def differ(m, b, n, c) -> Column:
+    """Whether ``b`` of ``m`` and ``c`` of ``n`` are different shares."""
+    pooled = (b + c) / (m + n)
+    return F.abs(b / m - c / n) > ALIKE * F.sqrt(pooled * (1 - pooled) * (1 / m + 1 / n))
+
+
+def groups(nodes: DataFrame) -> DataFrame:
+    """``host, parent, m, b, gm, gb``: labelled and bad pages of the group that
+    siblings with ``b`` bad ones of ``m`` belong to. Siblings of equal counts
+    are one entry of a parent's list, which is short however many there are."""
+    row = F.struct((F.col("b") / F.col("m")).alias("rate"), "m", "b", "k")
+    lists = nodes.where("m > 0").groupBy("host", "parent", "m", "b").agg(F.count("*").cast("double").alias("k"))
+    lists = lists.groupBy("host", "parent").agg(F.sort_array(F.collect_list(row)).alias("l"))
+    none = F.lit(0.0)
+
+    def state(m, b, low_m, low_b, starts):
+        return F.struct(m.alias("m"), b.alias("b"), low_m.alias("low_m"), low_b.alias("low_b"), starts.alias("starts"))
+
+    def step(s, x):
+        new = (s["m"] == 0) | differ(x["m"], x["b"], s["m"], s["b"]) | differ(x["m"], x["b"], s["low_m"], s["low_b"])
+        m, b = x["k"] * x["m"], x["k"] * x["b"]
+        start = F.array(F.struct(x["rate"].alias("rate"), x["m"].alias("m")))
+        opened = state(m, b, x["m"], x["b"], F.concat(s["starts"], start))
+        return F.when(new, opened).otherwise(state(s["m"] + m, s["b"] + b, s["low_m"], s["low_b"], s["starts"]))
+
+    first = state(none, none, none, none, F.array().cast("array<struct<rate:double,m:double>>"))
+    lists = lists.withColumn("starts", F.aggregate("l", first, step, lambda s: s["starts"]))
+    each = lists.select("host", "parent", "starts", F.explode("l").alias("x"))
+    each = each.select("host", "parent", "x.m", "x.b", "x.k", F.size(F.filter("starts", lambda s: s <= F.struct(F.col("x.rate").alias("rate"), F.col("x.m").alias("m")))).alias("g"))
+    total = each.groupBy("host", "parent", "g").agg(F.sum(F.col("k") * F.col("m")).alias("gm"), F.sum(F.col("k") * F.col("b")).alias("gb"))
+    return each.join(total, ["host", "parent", "g"]).select("host", "parent", "m", "b", "gm", "gb")
+
+
 def purity(leaves: DataFrame) -> DataFrame:
     """``host, t, share``: the smoothed share of bad pages of every template.
 
@@ -103,18 +136,10 @@ def purity(leaves: DataFrame) -> DataFrame:
     for d in range(1, (whole.d or 0) + 1):
         nodes = leaves.where(F.size("t") >= d).groupBy("host", F.slice("t", 1, d).alias("t")).agg(F.sum("m").alias("m"), F.sum("b").alias("b"))
         nodes = nodes.withColumn("parent", F.slice("t", 1, d - 1) if d > 1 else F.array().cast("array<string>"))
-        # Siblings are few: rare segments have become wildcards.
-        rate = F.col("b") / F.nullif(F.col("m"), F.lit(0))
-        row = Window.partitionBy("host", "parent").orderBy(F.col("rate").asc_nulls_last(), "t")
-        nodes = nodes.withColumn("rate", rate).withColumn("m0", F.lag("m").over(row)).withColumn("b0", F.lag("b").over(row))
-        pooled = (F.col("b") + F.col("b0")) / F.nullif(F.col("m") + F.col("m0"), F.lit(0))
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif(F.col("m"), F.lit(0)) + 1 / F.nullif(F.col("m0"), F.lit(0))))
-        apart = F.coalesce((F.col("rate") - F.col("b0") / F.nullif(F.col("m0"), F.lit(0))) > ALIKE * error, F.lit(False))
-        # Branches without labels say nothing: a group of their own.
-        apart = apart | (F.col("rate").isNull() & F.coalesce(F.col("m0") > 0, F.lit(False)))
-        nodes = nodes.withColumn("g", F.sum(apart.cast("int")).over(row))
-        merged = Window.partitionBy("host", "parent", "g")
-        nodes = nodes.withColumn("gm", F.sum("m").over(merged)).withColumn("gb", F.sum("b").over(merged))
+        nodes = checkpoint(nodes)
+        merged = broadcast_up_to(checkpoint(groups(nodes)), 100_000)
+        # Branches without labels say nothing: they have their parent's share.
+        nodes = nodes.join(merged, ["host", "parent", "m", "b"], "left").fillna(0.0, ["gm", "gb"])
         above = level.select("host", F.col("t").alias("parent"), F.col("share").alias("up"))
         level = checkpoint(nodes.join(above, ["host", "parent"]).select("host", "t", smooth(F.col("gm"), F.col("gb"), F.col("up")).alias("share")))
         levels.append(level)

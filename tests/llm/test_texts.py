@@ -271,6 +271,13 @@ def test_deep_branches(spark):
     assert got[60]["template"] == "/a/b/c/d/e/f/bad/*/*/*/*.html"
 
 
+def test_unlike_branches_stay_apart(spark):
+    """Each branch is like the next one, the first and the last are not alike."""
+    leaves = spark.createDataFrame([("h", [f"s{k:02}"], 10.0, float(k)) for k in range(11)], "host string, t array<string>, m double, b double")
+    share = {r["t"][0]: r["share"] for r in url_templates.purity(leaves).where("size(t) = 1").collect()}
+    assert len(share) == 11 and share["s00"] < 0.25 and share["s10"] > 0.75 and share["s05"] == share["s06"]
+
+
 def test_archives(spark, tmp_path):
     rng = random.Random(8)
     big = "".join(rng.choice("abc é\r\n") for _ in range(200_000))
