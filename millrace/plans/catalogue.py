@@ -770,6 +770,14 @@ def graph_degrees(spark, sf):
     return out(graph.degrees(_edges(spark, sf)), "node", "degree", "in_degree")
 
 
+@query("""with e as (select distinct 's' || l_suppkey s, 'p' || l_partkey t from lineitem where l_suppkey is not null and l_partkey is not null), b as (select s n from e union all select t from e)
+select n as node, count(*) as degree, count(*) as in_degree from b group by 1""")
+def graph_all_degrees(spark, sf):
+    """Every supplier and part of all lines."""
+    pairs = read(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("t")).distinct()
+    return out(graph.degrees(graph.edges(pairs, "s", "t")), "node", "degree", "in_degree")
+
+
 def _nations(spark, sf):
     df = read(spark, sf, "nation").alias("a").crossJoin(F.broadcast(read(spark, sf, "nation")).alias("b")).where("a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1")
     return graph.edges(df.select(F.col("a.n_name").alias("s"), F.col("b.n_name").alias("t")), "s", "t")

@@ -42,3 +42,11 @@ def test_entry_names():
 
     assert set(catalogue.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_graph_of_all_lines(spark, sf):
+    """Every line's supplier and part count, none folded or left out."""
+    lines = pd.read_parquet(f"{sf}/lineitem.parquet", columns=["l_suppkey", "l_partkey"]).dropna().drop_duplicates()
+    want = {f"{k}{n}": d for k, c in (("s", "l_suppkey"), ("p", "l_partkey")) for n, d in lines[c].astype(int).value_counts().items()}
+    got = catalogue.QUERIES["graph_all_degrees"](spark, sf).toPandas()
+    assert dict(zip(got["node"], got["degree"])) == want and (got["degree"] == got["in_degree"]).all()
