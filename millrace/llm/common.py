@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +25,45 @@ def n_words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local one is set.
+    Where the session names none, a local folder is set if driver and tasks are
+    one process; on a cluster that is an error, as no folder is known to be shared.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        wanted = sc.getConf().get("spark.checkpoint.dir")
+        if not wanted and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="millrace-"))
         named = sc.getCheckpointDir()
     return named
 
 
+class Tables:
+    """Tables of one run in the shared folder, removed as soon as they have served."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4()}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and go on from what was written."""
+        path, self.n = f"{self.folder}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._millrace_path = path
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Remove tables that nothing will read any more, and let Spark's
+        cleaner remove the shuffle files of the plans that made them."""
+        jvm = self.spark._jvm
+        for df in kept:
+            path = jvm.org.apache.hadoop.fs.Path(df._millrace_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there: later reads
     neither recompute it nor depend on an executor that may be lost."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint
+from millrace.llm.common import Tables
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b), root the least node
     of its component.
 
@@ -17,21 +17,25 @@ def components(edges: DataFrame) -> DataFrame:
     every edge leads to a root; hot nodes are only ever aggregated by a minimum
     or joined, never gathered.
     """
-    down = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tables = tables or Tables(edges.sparkSession)
+    down = tables.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Those below a minimum of their own keep their edge to it.
-        large = checkpoint(large.where("u <> v").distinct())
+        large = tables.keep(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        down = checkpoint(small.where("u <> v").distinct())
-        now = down.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        after = tables.keep(small.where("u <> v").distinct())
+        now = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        del both, least, small
+        tables.drop(down, large)
+        down = after
         if now == seen:
             break
         seen = now
     roots = down.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return tables.keep(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))

@@ -8,22 +8,32 @@ throughout.
    further than 0.2 from everything. Counting owners of the members in a fixed
    part of the hash range is enough to prove that of nearly all such sets,
    without moving the rest of their members.
-2. Regions. The remaining sets order their members, rarest first. Sets that
-   link share one of the first ``n - ceil(0.8 n) + 1``, so each such member is
-   a region, and what lies outside its regions needs no comparison. How far
-   back the member stands bounds the sizes of partners; sets without any leave.
-3. Pivots. Every region picks pivots among its sets, the most typical of their
-   size, and measures exact distances to them: the set's nearest pivot is its Voronoi cell. Sets within
-   0.2 of a pivot link to it and leave the region; sets within 0.4 are the
-   cell's boundary and are copied to it, since by the triangle inequality only
-   they can link to what left. The rest of the region joins recursively, with
-   more pivots each time, until no region has two sets.
-4. Windows. A boundary set y of a pivot p is compared with those sets x that
-   link to p, for which d(x, p) >= d(y, p) - 0.2, unless links found so far
-   connect them anyway. That is every pair left, so nothing is missed.
-
-No step gathers a region: pivots are minima, distances a join. Everything is
-exact but for 64-bit hashes standing for shingles and sets.
+2. First regions. Between texts of different origin every distance is close to
+   1, where pivots tell nothing. Sets that link share one of their first
+   ``n - ceil(0.8 n) + 1`` members, rarest first, so each such member is a region,
+   and what lies outside its regions needs no comparison. How far back the
+   member stands bounds the sizes of partners; sets without any leave.
+3. Pivots and Voronoi cells. Every region picks pivots among its sets, the most
+   typical of their size, and measures exact distances to them. Pivots leave:
+   they have met everything. So do sets within 0.2 of a pivot, which is a link.
+   Any other set within 0.4 of a pivot is at home in the cell of the nearest
+   one, and the rest in one cell of their own. Windows by the triangle
+   inequality replicate sets across boundaries: one at home at distance r from
+   p links only to sets within r + 0.2 of p, so those are copied to its cell.
+4. Recursion. Each cell is a region again, with more pivots the deeper it lies,
+   until none has two sets that may link. Where the windows of a region
+   overlap so much that its cells would hold more than ``GROWTH`` times its
+   sets, it stays whole and goes on without those that left.
+5. A set x that left for its link to p may still link to a set y within 0.4 of
+   p. Such y are compared with the sets x that have d(x, p) >= d(y, p) - 0.2,
+   unless links found so far connect y with p anyway. That is every pair left,
+   so nothing is missed.
+
+No step gathers a region: pivots are maxima, distances a join, and members
+are fetched for pairs of a set and a pivot only, each pair once a round. Tables of a
+round are removed after it. Keys of 128 bits stand for sets; shingles are
+compared by 64-bit hashes, pair by pair. Steps that work with half a key keep
+sets that share it.
 
 Edge cases: null and empty texts have no shingles and link with nothing (also
 not with each other); one to four words count as one shingle; equal rows and
@@ -39,147 +49,214 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import broadcast_up_to, checkpoint, table
+from millrace.llm.common import Tables, broadcast_up_to, table
 from millrace.llm.components import components
-from millrace.llm.shingles import SET_SCHEMA, set_rows
+from millrace.llm.shingles import KEY_SCHEMA, MEMBER_SCHEMA, set_keys, set_members
 
 #: Eighths of the hash range whose members step 1 counts.
 COUNTED = 3
 #: Rows up to which a list of keys is broadcast.
 SMALL = 500_000
+#: Rows of a class from which its rows do not meet by key in one task; at most
+#: so many classes can be that large.
+HOT, CLASSES = 100, 100_000
+#: Pivots of a size class in the n-th round: FAN ** n. Most rows of cells for one of their region.
+FAN, GROWTH = 4, 1.5
+#: Windows must not lose a pair to rounding.
+SLACK = 1e-9
+KEY = ["half", "rest"]
 
 
-def _similar(a: str = "n", b: str = "m", percent: int = 80):
-    """By their sizes alone, two sets can be that similar."""
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-
-def outsiders(base: DataFrame) -> DataFrame:
-    """``key, alone``: how many of its counted members no other set has."""
-    owned = base.select("key", F.explode("members").alias("t")).groupBy("t").agg(F.min("key").alias("key"), F.max("key").alias("other"))
-    return owned.where("key = other").groupBy("key").agg(F.count("*").alias("alone"))
+def outsiders(rows: DataFrame) -> DataFrame:
+    """``half, alone``: how many of its counted members no other set has."""
+    owned = rows.select("half", F.explode("members").alias("t")).groupBy("t").agg(F.min("half").alias("half"), F.max("half").alias("other"))
+    return owned.where("half = other").groupBy("half").agg(F.count("*").alias("alone"))
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (key, pivot, n, m) with the size of the intersection."""
-    a = sets.select("key", F.col("members").alias("_a"))
-    b = sets.select(F.col("key").alias("pivot"), F.col("members").alias("_b"))
-    return pairs.join(b, "pivot").join(a, "key").select("key", "pivot", "n", "m", F.size(F.array_intersect("_a", "_b")).cast("long").alias("both"))
+    """``pairs`` (sid, pivot, n, m, ...; written) with the size of the intersection."""
+    ids = pairs.select("sid").union(pairs.select("pivot")).distinct()
+    some = sets.select("sid", "members").join(broadcast_up_to(ids, SMALL), "sid", "left_semi")
+    with_b = pairs.join(some.select(F.col("sid").alias("pivot"), F.col("members").alias("_b")), "pivot")
+    both = F.size(F.array_intersect("_a", "_b")).cast("long").alias("both")
+    return with_b.join(some.withColumnRenamed("members", "_a"), "sid").select(*pairs.columns, both)
 
 
 def near(percent: int):
     return 100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))
 
 
+def distance():
+    return 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+
+
 def regions(sets: DataFrame) -> DataFrame:
-    """``t, key, n, hi, score``: each set in the regions of its first members.
+    """``cell, sid, n, own, hi, score, home``: each set in the regions of its first members.
 
     With t as the first member that two sets share, all before it (rank i)
     differ, which leaves room only for partners of up to ``hi`` members.
-    ``score``, the mean number of sets that own a member, is high in the middle
-    of a group of copies.
+    ``own`` is the number of members that no other set has; ``score``, the mean
+    number of sets that own a member, is high in the middle of a group of copies.
     """
-    owned = sets.select("key", "n", F.explode("members").alias("t"))
+    owned = sets.select("sid", "n", F.explode("members").alias("t"))
     shared = owned.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = owned.join(shared, "t").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"), F.sum("c").alias("sum"))
+    ranked = owned.join(shared, "t").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"), F.sum("c").alias("sum"))
     # Members that no other set has come first and make no region.
     ranked = ranked.withColumn("own", F.col("n") - F.size("ts")).withColumn("left", F.expr("cast(floor(n / 5) + 1 - own as int)")).where("left > 0")
     ranked = ranked.withColumn("score", (F.col("sum") + F.col("own")) / F.col("n"))
-    out = ranked.select("key", "n", "own", "score", F.posexplode(F.expr("slice(ts, 1, left)")).alias("i", "x"))
-    return out.select(F.col("x.t").alias("t"), "key", "n", F.expr("cast(floor((5 * n - 9 * (own + i)) / 4) as bigint)").alias("hi"), "score")
+    out = ranked.select("sid", "n", "own", "score", F.posexplode(F.expr("slice(ts, 1, left)")).alias("i", "x"))
+    return out.select(F.col("x.t").alias("cell"), "sid", "n", "own", F.expr("cast(floor((5 * n - 9 * (own + i)) / 4) as bigint)").alias("hi"), "score", F.lit(True).alias("home"))
 
 
 def paired(region: DataFrame) -> DataFrame:
-    """Rows of ``region`` that may have a partner in their region; classes are
-    sizes within a factor of 1.25, so partners are in the next ones at most."""
+    """Rows of ``region`` that may have a partner in their cell, one of the two
+    at home there; classes are sizes within a factor of 1.25, so partners are
+    in the next ones at most."""
     rows = region.withColumn("c", F.floor(F.log("n") / F.log(F.lit(1.25))))
-    sizes = rows.groupBy("t", "c").agg(F.min("n").alias("lo"), F.max("n").alias("up"), F.count("*").alias("k"), F.min("key").alias("one"))
-    around = sizes.select("t", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "lo", "up", "k", "one")
-    meets = rows.join(around, ["t", "c"]).where("lo <= hi and 5 * up >= 4 * n and (k > 1 or one <> key)")
-    return meets.groupBy("t", "key").agg(F.first("n").alias("n"), F.first("hi").alias("hi"), F.first("score").alias("score"))
+    sizes = rows.groupBy("cell", "c", "home").agg(F.min("n").alias("lo"), F.max("n").alias("up"), F.max("hi").alias("most"), F.count("*").alias("k"), F.min("sid").alias("one"))
+    around = sizes.select("cell", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), "lo", "up", "most", "k", "one", F.col("home").alias("there"))
+    meets = rows.join(around, ["cell", "c"]).where("(home or there) and lo <= hi and most >= n and 5 * up >= 4 * n and (k > 1 or one <> sid)")
+    return meets.groupBy("cell", "sid").agg(*[F.first(c).alias(c) for c in ("n", "own", "hi", "score", "home")])
 
 
 def distinct_regions(region: DataFrame) -> DataFrame:
     """Of regions with the same sets and partner sizes one is enough."""
-    same = region.groupBy("t").agg(F.count("*").alias("c"), F.sum(F.xxhash64("key", "hi").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(hi, key))").alias("x"))
-    one = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("t").alias("t")).select("t")
-    return region.join(one, "t", "left_semi")
+    same = region.groupBy("cell").agg(F.count("*").alias("c"), F.sum(F.xxhash64("sid", "hi").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(xxhash64(hi, sid))").alias("x"))
+    one = same.where("c > 1").groupBy("c", "s", "x").agg(F.min("cell").alias("cell")).select("cell")
+    return region.join(one, "cell", "left_semi")
+
 
+def divided(rest: DataFrame, seen: DataFrame) -> DataFrame:
+    """``rest`` (rows of regions, written) in the cells of their pivots.
 
-def links(sets: DataFrame) -> DataFrame:
-    """``a, b``: pairs of keys of ``sets`` (key, n, members) within 0.2, enough
-    of them to connect all that any such pairs connect."""
-    region = checkpoint(distinct_regions(paired(checkpoint(regions(sets)))))
+    ``seen``: cell, sid, pivot, dist for all pairs within 0.6 of each other.
+    """
+    nearest = seen.groupBy("cell", "sid").agg(F.min(F.struct("dist", "pivot")).alias("p"))
+    placed = rest.join(nearest, ["cell", "sid"], "left")
+    placed = placed.withColumn("at", F.when(F.col("p.dist") <= 0.4 + SLACK, F.col("p.pivot")))
+    homes = placed.where("home")
+    radius = homes.where("at is not null").groupBy("cell", F.col("at").alias("pivot")).agg(F.max("p.dist").alias("r"))
+    inside = homes.select("cell", "at", "sid", "n", "own", "hi", "score", F.lit(True).alias("home"))
+    copies = seen.join(radius, ["cell", "pivot"]).where(F.col("dist") <= F.col("r") + 0.2 + SLACK)
+    copies = copies.join(placed, ["cell", "sid"]).where("not (home and at <=> pivot)").select("cell", F.col("pivot").alias("at"), "sid", "n", "own", "hi", "score", F.lit(False).alias("home"))
+    # Sets at home elsewhere find those far from all pivots in their own cell; copies have none.
+    far = placed.where("not home").select("cell", F.lit(None).cast("long").alias("at"), "sid", "n", "own", "hi", "score", F.lit(False).alias("home"))
+    cells = inside.unionByName(copies).unionByName(far)
+    size = rest.groupBy("cell").agg(F.count("*").alias("before"))
+    apart = cells.groupBy("cell").agg(F.count("*").alias("after")).join(size, "cell").where(F.col("after") <= GROWTH * F.col("before")).select("cell")
+    cells = cells.join(apart, "cell", "left_semi").withColumn("cell", F.xxhash64("cell", "at")).select(*rest.columns)
+    return cells.unionByName(rest.join(apart, "cell", "left_anti").select(*rest.columns))
+
+
+def connected(sets: DataFrame, tables: Tables) -> DataFrame:
+    """``node, root``: components of ``sets`` (sid, n, members) by links within
+    0.2; sets without a link are left out."""
+    first = tables.keep(regions(sets))
+    region = tables.keep(paired(first))
+    tables.drop(first)
+    first = region
+    region = tables.keep(distinct_regions(region))
+    tables.drop(first)
     k, found = 1, []
-    while True:
+    while region.head(1):
         size = F.floor(F.log("n") / F.log(F.lit(1.25)))
-        slot = F.pmod(F.xxhash64(F.lit(k), "key"), F.lit(k))
-        pivots = region.groupBy("t", size.alias("c"), slot.alias("slot")).agg(F.max(F.struct("score", "key", "n")).alias("p"))
-        pivots = checkpoint(pivots.select("t", F.col("p.key").alias("pivot"), F.col("p.n").alias("m")))
-        met = region.join(pivots, "t").where((F.col("key") != F.col("pivot")) & _similar(percent=60))
-        d = checkpoint(measured(met.groupBy("key", "pivot").agg(F.first("n").alias("n"), F.first("m").alias("m")), sets).where(near(60)))
+        slot = F.pmod(F.xxhash64(F.lit(k), "sid"), F.lit(k))
+        pivots = region.where("home").groupBy("cell", size.alias("c"), slot.alias("slot")).agg(F.max(F.struct("score", "sid", "n")).alias("p"))
+        pivots = tables.keep(pivots.select("cell", F.col("p.sid").alias("pivot"), F.col("p.n").alias("m")))
+        # Pairs whose sizes differ more are further than 0.6 apart.
+        met = region.join(pivots, "cell").where("sid <> pivot and 100 * least(n, m) >= 40 * greatest(n, m)")
+        pairs = tables.keep(met.groupBy("sid", "pivot").agg(*[F.first(c).alias(c) for c in ("n", "m", "own")]))
+        d = tables.keep(measured(pairs, sets).where(near(40)))
         found.append(d)
-        linked = d.where(near(80)).select("key", "pivot")
-        # What is a pivot or links to one of its region's pivots has met all it needs to.
-        gone = pivots.select("t", F.col("pivot").alias("key")).unionByName(
-            region.join(pivots, "t").join(linked, ["key", "pivot"], "left_semi").select("t", "key")
-        )
-        region = checkpoint(paired(region.join(gone, ["t", "key"], "left_anti")))
-        if not region.head(1):
+        seen = tables.keep(met.select("cell", "sid", "pivot").join(d.select("sid", "pivot", distance().alias("dist"), near(80).alias("linked")), ["sid", "pivot"]))
+        gone = pivots.select("cell", F.col("pivot").alias("sid")).unionByName(seen.where("linked").select("cell", "sid")).distinct()
+        rest = tables.keep(region.join(gone, ["cell", "sid"], "left_anti"))
+        more = bool(rest.where("home").head(1))
+        if more:
+            left = seen.join(rest.select("cell", "sid"), ["cell", "sid"], "left_semi").select("cell", "sid", "pivot", "dist")
+            after = tables.keep(paired(divided(rest, left)))
+        tables.drop(region, pivots, pairs, seen, rest)
+        if not more:
             break
-        k *= 2
-    d = reduce(DataFrame.unionByName, found).distinct()
-    direct = checkpoint(d.where(near(80)).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    return direct.unionByName(_across(d, direct, sets))
-
-
-def _across(d: DataFrame, direct: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between boundary sets and the sets that link to their pivot."""
-    of = components(direct)
-    far = 1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    side = d.withColumn("d", far).join(of.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    side = checkpoint(side.select("key", "pivot", "n", "d", "root", near(80).alias("linked")))
-    y = side.where("not linked").select("pivot", F.col("key").alias("y"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("root").alias("other"))
-    x = side.where("linked").select("pivot", "key", "n", "d", "root")
-    # 1e-9: the window must not lose a pair to rounding; the distance is checked in whole numbers after.
-    pairs = y.join(x, "pivot").where(F.expr("root <> other and d >= e - 0.2 - 1e-9") & _similar()).select("key", F.col("y").alias("pivot"), "n", "m").distinct()
-    return measured(pairs, sets).where(near(80)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+        region, k = after, k * FAN
+    if not found:
+        return sets.select(F.col("sid").alias("node"), F.col("sid").alias("root")).limit(0)
+    d = tables.keep(reduce(DataFrame.unionByName, found).where(near(60)).distinct())
+    tables.drop(*found)
+    direct = tables.keep(d.where(near(80)).select(F.col("sid").alias("a"), F.col("pivot").alias("b")))
+    root = components(direct, tables)
+    more = across(d, root, sets, tables)
+    if more.head(1):
+        root = components(direct.unionByName(more), tables)
+    tables.drop(d, direct, more)
+    return root
+
+
+def across(d: DataFrame, root: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """Links between sets on the boundary of a pivot and sets that link to it,
+    where these are not connected yet."""
+    of, there = root.withColumnRenamed("node", "sid"), root.select(F.col("node").alias("pivot"), F.col("root").alias("there"))
+    side = d.select("sid", "pivot", "n", "own", distance().alias("d"), near(80).alias("linked"))
+    y = side.where("not linked").join(of, "sid", "left").join(there, "pivot", "left")
+    # All that link to a pivot are connected with it; so is y, or it has to be compared with each.
+    y = tables.keep(y.where("coalesce(root, sid) <> coalesce(there, pivot)").select("pivot", F.col("sid").alias("y"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("d").alias("e")))
+    x = side.where("linked").select("pivot", "sid", "n", "own", "d")
+    window = F.expr(f"d >= e - 0.2 - {SLACK} and 9 * least(n - own, m - other) >= 4 * (n + m)")
+    pairs = tables.keep(x.join(y, "pivot").where(window).select("sid", F.col("y").alias("pivot"), "n", "m").distinct())
+    out = tables.keep(measured(pairs, sets).where(near(80)).select(F.col("sid").alias("a"), F.col("pivot").alias("b")))
+    tables.drop(y, pairs)
+    return out
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, mark, n_shingles, component_id``;
+    ``mark``, a hash of the text, tells rows of one id apart."""
+    tables = Tables(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    base = tables.keep(docs.mapInArrow(set_keys, KEY_SCHEMA))
+    real = base.where("n > 0")
+    classes = tables.keep(real.groupBy(*KEY).agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count("*").alias("c")))
+    # Sets that share half a key are not told apart in this step and stay.
+    alone = outsiders(docs.select("text").mapInArrow(set_members(COUNTED), MEMBER_SCHEMA).select("half", "members"))
+    shared = classes.groupBy("half").agg(F.count("*").alias("k"), F.max("n").alias("most")).join(alone, "half", "left")
+    shared = tables.keep(shared.where("k > 1 or 5 * coalesce(alone, 0) <= most").select("half"))
+    inside = tables.keep(classes.join(broadcast_up_to(shared, SMALL), "half", "left_semi").select(F.col("least").alias("doc_id")).distinct())
+    again = docs.select("doc_id", "text").join(broadcast_up_to(inside, SMALL), docs["doc_id"].eqNullSafe(inside["doc_id"]), "left_semi").select("text")
+    sets = again.mapInArrow(set_members(8), MEMBER_SCHEMA).where("size(members) > 0").groupBy(*KEY).agg(F.first("members").alias("members"))
+    sets = tables.keep(sets.select(F.monotonically_increasing_id().alias("sid"), *KEY, F.size("members").cast("long").alias("n"), "members"))
+    tables.drop(shared, inside)
+    roots = connected(sets, tables).withColumnRenamed("node", "sid")
+    grown = classes.join(sets.select("sid", *KEY).join(roots, "sid"), KEY).select(*KEY, "root", "least")
+    least = grown.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = grown.join(least, "root").select(*KEY, "component_id")
+    named = tables.keep(classes.join(named, KEY, "left").select(*KEY, "c", F.coalesce("component_id", "least").alias("component_id")))
+    tables.drop(sets)
+    hot = max(HOT, classes.count() // CLASSES)
+    large = F.broadcast(named.where(F.col("c") > hot).drop("c"))
+    out = real.join(large, KEY).unionByName(real.join(large, KEY, "left_anti").join(named.where(F.col("c") <= hot).drop("c"), KEY))
+    out = out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(base.where("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = checkpoint(docs.mapInArrow(set_rows(0), SET_SCHEMA).select("doc_id", "key", "n"))
-    real = base.where("n > 0")
-    classes = checkpoint(real.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-    counted = docs.mapInArrow(set_rows(COUNTED), SET_SCHEMA)
-    inside = classes.join(outsiders(counted), "key", "left").where("5 * coalesce(alone, 0) <= n")
-    inside = checkpoint(inside.select("key", F.col("least").alias("_id")))
-    again = docs.join(broadcast_up_to(inside.select("_id").distinct(), SMALL), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = again.mapInArrow(set_rows(8), SET_SCHEMA).where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("members").alias("members"))
-    sets = checkpoint(sets)
-    roots = checkpoint(components(links(sets))).withColumnRenamed("node", "key")
-    grown = classes.join(roots, "key").select("key", "root", "least")
-    least = grown.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grown.join(least, "root").select("key", "component_id")
-    named = classes.select("key", "least").join(named, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    out = real.select("doc_id", "n", "key").join(named, "key").select("doc_id", "n", "component_id")
-    out = out.unionByName(base.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.withColumnRenamed("n", "n_shingles")
+    return classified(docs).drop("mark")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose component has a smaller id. Of rows with
-    one id, those of equal text count once; others stay or go together. Rows
-    without an id stay."""
-    gone = join(docs).where("doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    """``docs`` without the rows whose component has a smaller id; of rows with
+    the same id and text one stays. Rows without an id stay."""
+    tables = Tables(docs.sparkSession)
+    found = tables.keep(classified(docs).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "component_id").where("_d is not null"))
+    gone = tables.keep(found.where("_d > component_id").select("_d", "_m").distinct())
+    same = (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
+    kept = docs.join(broadcast_up_to(gone, SMALL), same, "left_anti")
+    again = tables.keep(found.groupBy("_d", "_m").agg(F.count("*").alias("_c")).where("_c > 1").select("_d", "_m"))
     if not again.head(1):
         return kept
     again = broadcast_up_to(again, SMALL)
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,13 +80,86 @@ def test_join_odd_tables(spark):
     assert got == [("3", 2, 3), ("3", 2, 3), ("5", 0, 5), ("6", 0, 6), ("None", 2, 3)]
     kept = jaccard_join.keep_one(docs_frame(spark, [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, "q", "z"), (3, "q", "z"), (None, "q", "z")]))
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3] and kept.columns == DOCS.names
+    # Of two rows with one id only that which is a copy goes.
+    kept = jaccard_join.keep_one(docs_frame(spark, [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (2, "all of its own", "z")]))
+    assert sorted((r["doc_id"], r["source"]) for r in kept.collect()) == [(1, "x"), (2, "z")]
 
 
 def test_shingles_are_sets():
     texts = ["a b c d e f g", "", "one two", "a b c d e a b c d e a", "é ü\tz\x0bq  r", "x" * 5000 + " y"]
     data = "".join(texts).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    assert [len(s) for s in shingles.shingle_sets(np.frombuffer(data, np.uint8), offsets)] == [len(shingle_set(t)) for t in texts]
+    found = list(shingles.shingle_sets(np.frombuffer(data, np.uint8), offsets, twice=True))
+    assert [len(s) for s, _ in found] == [len(shingle_set(t)) for t in texts] == [len(s) for _, s in found]
+
+
+def test_word_hashes_tell_words_apart():
+    """Prefixes, padding, lengths around eight bytes, and words that agree under
+    every polynomial modulo 2^64 (Thue-Morse and its complement)."""
+    some = ["a" * n for n in range(1, 80)] + [f"{'b' * n}\0" for n in range(1, 80)] + ["abcdefgh", "abcdefgi", "abcdefghi"]
+    for n in (16, 1024):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        some += ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    data = np.frombuffer(" ".join(some).encode(), np.uint8)
+    starts, ends, _ = shingles.words(data, np.array([0, len(data)]))
+    for seed in shingles.SEEDS:
+        assert len(starts) == len(some) and len(set(shingles.word_hashes(data, starts, ends, seed).tolist())) == len(set(some))
+    upper = np.frombuffer(" ".join(some).upper().encode(), np.uint8)
+    assert (shingles.word_hashes(upper, starts, ends) == shingles.word_hashes(data, starts, ends)).all()
+
+
+def test_equal_under_polynomials_do_not_link(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits), "s"), (2, "".join("ba"[b] for b in bits), "s"), (3, "q", "s")]
+    assert sorted(tuple(r) for r in jaccard_join.join(docs_frame(spark, rows)).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+
+
+def test_cells_divide_and_lose_nothing(spark):
+    """Well separated families with one passage in common are divided into
+    cells; every pair of sets within 0.2 with one at home shares a cell."""
+    rng = random.Random(9)
+    sets, base = {}, list(range(40))
+    for f in range(12):
+        centre = base + rng.sample(range(1000 * (f + 1), 1000 * (f + 1) + 200), 80)
+        for _ in range(8):
+            v = list(centre)
+            for _ in range(rng.randrange(6, 22)):
+                v[rng.randrange(40, 120)] = rng.randrange(10**6, 10**7)
+            sets[len(sets)] = set(v)
+    dist = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pivots = [8 * f for f in range(12)]
+    rest = [i for i in sets if i not in pivots and all(dist(i, p) > 0.2 for p in pivots)]
+    frame = spark.createDataFrame([(5, i, len(sets[i]), 0, 999, 1.0, i % 9 != 0) for i in rest], "cell long, sid long, n long, own long, hi long, score double, home boolean")
+    seen = spark.createDataFrame([(5, i, p, dist(i, p)) for i in rest for p in pivots if dist(i, p) <= 0.6], "cell long, sid long, pivot long, dist double")
+    out = jaccard_join.divided(frame, seen).collect()
+    assert len({r["cell"] for r in out}) > 5 and len(out) <= jaccard_join.GROWTH * len(rest)
+    home, all_of = {}, {}
+    for r in out:
+        all_of.setdefault(r["cell"], set()).add(r["sid"])
+        if r["home"]:
+            assert r["sid"] not in home
+            home[r["sid"]] = r["cell"]
+    assert set(home) == {i for i in rest if i % 9}
+    for i in rest:
+        for j in rest:
+            if i < j and dist(i, j) <= 0.2 and (i in home or j in home):
+                assert any(a in home and b in all_of[home[a]] for a, b in ((i, j), (j, i)))
+
+
+def test_large_group_of_near_copies(spark):
+    """Hundreds of texts around one, some of which link only to few others."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(90)]
+    texts = []
+    for i in range(300):
+        v = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            v[rng.randrange(90)] = rng.choice(words)
+        texts.append(" ".join(v))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(docs_frame(spark, rows)).collect()}
+    assert got == brute(rows)
 
 
 def test_components(spark):
