@@ -9,10 +9,12 @@ direction, with odds that leave both expectations as they were) until one of
 them is integral, and the other goes on. A source's expected words therefore
 never change on the way. The pairs meet in groups of about ``FAN``, whose
 residuals meet in groups again: a reduction tree of a few levels, each a
-shuffle of a ``FAN``-th of the rows before. At the root of a source its last
-residual meets ``RESERVE`` documents that were held back: from the largest to
-the smallest each becomes integral by a draw and hands on the words by which it
-missed, so a source ends within about one small document of its target.
+shuffle of a ``FAN``-th of the rows before, down to one residual a source,
+however few or many documents that has. The last residual is drawn, which misses
+its fraction by some words; those are made up for by ``POOL`` documents of the
+source, on average: from the largest to the smallest, one is rounded the other way if that brings
+the source closer to its target. Every document stays within one copy of its
+fraction, and a source ends within about one small document of its target.
 
 Edge cases: null text has size 0; null source is a source of its own, last in
 order; rows of size 0 weigh nothing and are kept once or dropped by a coin of
@@ -32,8 +34,8 @@ from millrace.llm.common import broadcast_up_to, checkpoint, let, n_words, table
 
 #: Documents or residuals that meet in one group of the tree, on average.
 FAN = 32
-#: Documents of a source that wait at the root, on average.
-RESERVE = 64
+#: Documents of a source that may make up for the last residual, on average.
+POOL = 256
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source's target and no document's copies exceed this many times its size.
@@ -46,7 +48,8 @@ def targets(units: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
     Water level: sources in order of the level at which they reach their cap;
     the first whose cap lies above the level that remains fixes the level.
-    The windows see one row per source.
+    The windows see one row per source (a name and a number; ten million
+    sources are some hundred megabytes in one task), never documents.
     """
     src = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("n_units"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -101,23 +104,23 @@ def _meet(state, unit):
     return F.when(a.isNull(), F.struct(unit.alias("carry"), state["done"].alias("done"))).otherwise(let(ab, after))
 
 
-def _settle(cap: int):
-    """At the root: a unit takes over the words owed and is drawn to one of the
-    two whole numbers of copies around what that makes, from none to the cap."""
+def _make_up(missed, units):
+    """Ids of ``units`` (size, up, doc_id, n) in descending order that are
+    rounded the other way, given the words that the source has too many."""
 
-    def step(state, b):
-        owed = b["size"] * b["p"] + state["owed"]
-        more = F.least(F.greatest(F.floor(owed / b["size"] + b["u"]), -b["base"]), F.lit(cap) * b["n"] - b["base"]).cast("double")
-        took = F.struct(*[(more if f == "p" else b[f]).alias(f) for f in _FIELDS])
-        return F.struct((owed - more * b["size"]).alias("owed"), F.concat(state["done"], F.array(took)).alias("done"))
+    def step(state, x):
+        helps = (F.when(x["up"], state["left"]).otherwise(-state["left"]) * 2 > x["size"]) & (x["size"] > 0)
+        left = state["left"] - F.when(helps, F.when(x["up"], x["size"]).otherwise(-x["size"])).otherwise(F.lit(0.0))
+        return F.struct(left.alias("left"), F.when(helps, F.concat(state["turned"], F.array(x))).otherwise(state["turned"]).alias("turned"))
 
-    return step
+    none = F.array().cast("array<struct<size:double,up:boolean,doc_id:bigint,n:bigint>>")
+    return F.aggregate(units, F.struct(missed.alias("left"), none.alias("turned")), step)["turned"]
 
 
 _FIELDS = ("size", "doc_id", "n", "base", "p", "u")
 
 
-def round_units(units: DataFrame, src: DataFrame, seed: int = SEED, cap: int = CAP) -> DataFrame:
+def round_units(units: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
     """``units`` (doc_id, source, size, n) with ``copies``, the whole number of
     copies that the n equal rows get together."""
     src = broadcast_up_to(src, 100_000)
@@ -133,40 +136,43 @@ def round_units(units: DataFrame, src: DataFrame, seed: int = SEED, cap: int = C
     known = ["source", "source_size", "target"]
     moving = (F.col("size") > 0) & (F.col("p") > 0)
     done = [units.where(~moving).select(*known, "doc_id", "size", "n", (F.col("base") + (F.col("u") < F.col("p")).cast("long")).alias("copies"))]
-    held = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "source", "size"), "n_units") < RESERVE
-    moving = units.where(moving).withColumn("size", F.col("size").cast("double"))
-    root, level = moving.where(held).select(*known, *_FIELDS), moving.where(~held)
-    most = src.agg(F.max(F.ceil(F.col("n_units") / FAN))).first()[0] or 0
-    if most * FAN <= RESERVE:  # every document is held back
-        most = 0
+    level = units.where(moving).withColumn("size", F.col("size").cast("double"))
+    most = src.agg(F.max(F.ceil(F.col("n_units") / FAN))).first()[0] or 1
     kind = "struct<" + ",".join(f"{f}:{t}" for f, t in zip(_FIELDS, ("double", "bigint", "bigint", "bigint", "double", "double"))) + ">"
     none = F.array().cast(f"array<{kind}>").alias("done")
     unit = F.struct(*[F.col(f) for f in _FIELDS])
-
-    def out(df):
-        return df.select(*known, "doc_id", F.col("size").cast("long").alias("size"), "n", (F.col("base") + F.col("p").cast("long")).alias("copies"))
-
-    while most:
-        start = F.struct(F.lit(None).cast(kind).alias("carry"), none)
+    start = F.struct(F.lit(None).cast(kind).alias("carry"), none)
+    rounded = []
+    while True:
         level = checkpoint(
             level.groupBy(*known, "gid").agg(F.sort_array(F.collect_list(unit)).alias("units")).select(*known, "gid", F.aggregate("units", start, _meet).alias("r"))
         )
-        done.append(out(level.select(*known, F.inline("r.done"))))
+        rounded.append(level.select(*known, F.inline("r.done")))
         level = level.select(*known, (F.col("gid") / FAN).cast("long").alias("gid"), "r.carry.*")
         if most == 1:
-            root = root.unionByName(level.select(*root.columns))
             break
         most = -(-most // FAN)
-    start = F.struct(F.lit(0.0).alias("owed"), none)
-    root = root.groupBy(*known).agg(F.sort_array(F.collect_list(unit), asc=False).alias("units"))
-    done.append(out(root.select(*known, F.inline(F.aggregate("units", start, _settle(cap))["done"]))))
+    # The last residual of a source: a draw, and the words by which it misses.
+    last = level.withColumn("up", (F.col("u") < F.col("p")).cast("double"))
+    missed = last.select(F.col("source").alias("_s"), ((F.col("up") - F.col("p")) * F.col("size")).alias("missed"))
+    done.append(last.select(*known, "doc_id", F.col("size").cast("long").alias("size"), "n", (F.col("base") + F.col("up").cast("long")).alias("copies")))
+    every = reduce(DataFrame.unionByName, rounded)
+    # A draw of its own decides who is in the pool: those of the rounding stay independent of it.
+    drawn = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "source", F.col("size").cast("long")), "n_units") < POOL
+    units_of = src.select(F.col("source").alias("_s2"), "n_units")
+    pool = every.join(units_of, F.col("source").eqNullSafe(F.col("_s2"))).where(drawn).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", (F.col("p") == 1).alias("up"), "doc_id", "n")), asc=False).alias("l"))
+    turned = pool.join(broadcast_up_to(missed, 100_000), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.inline(_make_up(F.col("missed"), F.col("l"))))
+    turned = checkpoint(turned.select("_s", F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.lit(True).alias("_turn")))
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
+    every = every.join(broadcast_up_to(turned, 100_000), same, "left").withColumn("p", F.when(F.col("_turn"), 1 - F.col("p")).otherwise(F.col("p")))
+    done.append(every.select(*known, "doc_id", F.col("size").cast("long").alias("size"), "n", (F.col("base") + F.col("p").cast("long")).alias("copies")))
     return reduce(DataFrame.unionByName, done)
 
 
 def assign(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, copies``."""
     units = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
-    out = round_units(units, checkpoint(targets(units, weights, cap)), seed, cap)
+    out = round_units(units, checkpoint(targets(units, weights, cap)), seed)
     each = F.expr("explode(sequence(1L, n))")
     return out.withColumn("i", each).select(
         "doc_id", "source", "size", "source_size", "target",

@@ -213,6 +213,25 @@ def test_mix(spark):
         assert abs(taken[s] - t) <= max(60, 0.02 * t)
     again = mixing.assign(docs_frame(spark, rows).repartition(3)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
+    for r in out:  # within one copy of the fraction, repeated rows together
+        if r["size"] and r["doc_id"] != 9000:
+            assert abs(r["copies"] - r["target"] / r["source_size"]) < 1
+
+
+@pytest.mark.parametrize("each", [1, 2, 40, 70, 1500])
+def test_mix_of_any_size(spark, each):
+    """The tree rounds however many documents a source has: none is a copy or
+    more off, and sources meet their targets within one document."""
+    rng = random.Random(each)
+    rows = [(i, "w " * rng.choice([1, 2, 7, 30, 200]), f"s{i % 3}") for i in range(3 * each)]
+    out = mixing.assign(docs_frame(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        assert abs(r["copies"] - r["target"] / r["source_size"]) < 1 and r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 200, (s, taken[s], t)
 
 
 def test_mix_rows(spark):
