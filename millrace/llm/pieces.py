@@ -5,6 +5,11 @@ compiled character map knows, puts a word mark for spaces and may drop
 repeated ones. Here that is done beside an alignment that holds, for every
 byte of the normalised text, the byte of the original it came from, so a
 piece's place in the normalised text projects to a span of original bytes.
+Every text takes that way, a slice of them at a time: the trie is asked only at
+bytes with which a known prefix can begin (none, if the map is empty), and what
+lies between is carried over by array operations. Models that squeeze spaces,
+put the mark behind the text or have pieces of the user's own go character by
+character.
 
 In BPE no piece continues over the start of a word mark, so a normalised text
 falls into chunks (marks, then what follows) that are segmented one by one;
@@ -12,7 +17,8 @@ chunks repeat, hence each task keeps those it has seen. Models for which this
 does not hold (a piece with an inner mark, unigram models) get whole texts.
 Segmenting a chunk is left to the library, told not to normalise again.
 
-Edge cases: a null text reads as empty and gives no pieces; texts of any
+Edge cases: a null text reads as empty and gives no pieces; bytes that are not
+UTF-8 read as U+FFFD each, and spans count these; texts of any
 length are encoded whole, a task holds one slice of about 1 MB (or one longer
 text) at a time; equal rows give equal results; an empty table gives an empty
 result; other columns are dropped except the id.
@@ -20,6 +26,7 @@ result; other columns are dropped except the id.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +38,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import table
 
 MARK = "▁"
+codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
 #: Bytes of text that a task encodes in one go, and chunks that it remembers.
 SLICE, REMEMBERED, LONGEST = 1 << 20, 400_000, 80
 
@@ -66,6 +74,13 @@ class CharMap:
         self.units = np.frombuffer(blob[4 : 4 + size], dtype="<u4").tolist() if size else []
         self.texts = blob[4 + size :]
 
+    def begins(self, byte: int) -> bool:
+        """Whether a known prefix may begin with that first byte of a character."""
+        if not self.units:
+            return False
+        node = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
+
     def longest(self, data: bytes, at: int) -> tuple[int, str] | None:
         """Length in bytes and replacement of the longest known prefix of data[at:]."""
         if not self.units:
@@ -108,8 +123,10 @@ class Normalizer:
         self.suffix, self.bpe = bool(trainer.get(24, 0)), trainer.get(3, 1) == 2
         own = sorted((p for p, kind in self.pieces if kind == 4), key=len, reverse=True)
         self.own = re.compile("|".join(map(re.escape, own))) if own else None
-        #: Nothing but spaces changes, so lengths of pieces tell the alignment.
-        self.plain = not self.map.units and not self.squeeze and not self.suffix and self.escape and not own
+        #: What a byte becomes does not depend on what came before it.
+        self.local = not self.squeeze and not self.suffix and not own
+        self.first = np.zeros(256, dtype=bool)
+        self.first[[b for b in range(256) if b >> 6 != 2 and self.map.begins(b)]] = True
         #: Chunks may be segmented apart.
         self.apart = self.bpe and not own and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in self.pieces)
 
@@ -167,6 +184,44 @@ class Normalizer:
         return "".join(out), np.array([*at, byte], dtype=np.int64)
 
 
+    def align_all(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of many texts: the normalised bytes, where each text's begin (and
+        the last ends) among them, for each byte and the end the byte of the
+        original, where each original begins, and how far into each what is
+        left of it reaches."""
+        data = b"".join(texts)
+        origin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        mark = np.frombuffer((MARK if self.escape else " ").encode(), np.uint8)
+        if not self.local:
+            both = [self.align(t.decode()) for t in texts]
+            whole = [n.encode() for n, _ in both]
+            bounds = np.concatenate([[0], np.cumsum([len(n) for n in whole])]).astype(np.int64)
+            return b"".join(whole), bounds, np.concatenate([*(a[:-1] + o for (_, a), o in zip(both, origin, strict=False)), origin[-1:]]), origin, np.array([a[-1] for _, a in both], np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        space = raw == 32
+        width, put, end = np.where(space, len(mark), 1), [], 0
+        starts = set(origin.tolist()) if self.map.units else set()
+        for i in np.flatnonzero(self.first[raw]).tolist():
+            # Prefixes do not reach over the end of their text.
+            if i >= end and (found := self.map.longest(data[: origin[np.searchsorted(origin, i, side="right")]] if starts else data, i)):
+                end = i + found[0]
+                piece = found[1].replace(" ", mark.tobytes().decode()).encode()
+                width[i], width[i + 1 : end], space[i:end] = len(piece), 0, False
+                put.append((i, piece))
+        head = origin[:-1][np.diff(origin) > 0] if self.prefix else np.zeros(0, np.int64)
+        width[head] += len(mark)
+        at = np.repeat(np.arange(len(raw)), width)
+        before = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+        out, own = raw[at], before[:-1].copy()
+        own[head] += len(mark)
+        for k in range(len(mark)):
+            out[own[space] + k] = mark[k]
+            out[before[head] + k] = mark[k]
+        for i, piece in put:
+            out[own[i] : own[i] + len(piece)] = np.frombuffer(piece, np.uint8)
+        return out.tobytes(), before[origin], np.concatenate([at, [len(raw)]]), origin, np.diff(origin)
+
+
 class Encoder:
     """Pieces of many texts at once, with a memory of chunks."""
 
@@ -180,7 +235,6 @@ class Encoder:
         self.whole = sentencepiece.SentencePieceProcessor(model_proto=self.norm.model)
         byte = {i for i, (_, kind) in enumerate(self.norm.pieces) if kind == 6}
         self.size = np.array([1 if i in byte else len(p.encode()) for i, (p, _) in enumerate(self.norm.pieces)], dtype=np.int64)
-        self.marks = np.array([p.count(MARK) for p, _ in self.norm.pieces], dtype=np.int64)
         self.unknown = self.lib.unk_id()
         self._forget()
 
@@ -203,10 +257,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and ends of all pieces and the texts' bounds among them."""
-        plain = [self.norm.plain and MARK not in t for t in texts]
-        dummy = MARK if self.norm.prefix else ""
-        both = [((dummy + t.replace(" ", MARK)) if t else "", None) if p else self.norm.align(t) for t, p in zip(texts, plain, strict=True)]
-        parts = [self.split(n) if self.norm.apart else [n] if n else [] for n, _ in both]
+        whole, begin, origin_of, origin, stop = self.norm.align_all([t.encode() for t in texts])
+        normal = [whole[a:b].decode() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        parts = [self.split(n) if self.norm.apart else [n] if n else [] for n in normal]
         chunks = [c for p in parts for c in p]
         if len(self.known) > REMEMBERED:
             self._forget()
@@ -221,17 +274,13 @@ class Encoder:
         for c in new:
             if len(c) > LONGEST:
                 del self.known[c]
-        own = np.repeat(np.array(plain), np.diff(bounds))
-        lens = np.where(own, lens - 2 * self.marks[ids], lens)
-        if dummy:  # the mark before the text stands for no byte of it
-            first = bounds[:-1][(np.diff(bounds) > 0) & np.array(plain, dtype=bool)]
-            lens[first] -= 1
-        ends = np.cumsum(lens)
-        origin = np.repeat(np.concatenate([[0], ends])[bounds[:-1]], np.diff(bounds))
-        starts, ends = ends - lens - origin, ends - origin
-        for i in [i for i, p in enumerate(plain) if not p]:
-            a, b = bounds[i], bounds[i + 1]
-            starts[a:b], ends[a:b] = both[i][1][starts[a:b]], both[i][1][ends[a:b]]
+        # Pieces cover their normalised text without gaps: their lengths place them there, the alignment in the original.
+        place = np.concatenate([[0], np.cumsum(lens)])
+        shift = np.repeat(begin[:-1] - place[bounds[:-1]], np.diff(bounds))
+        text_at = np.repeat(origin[:-1], np.diff(bounds))
+        starts, ends = origin_of[place[:-1] + shift] - text_at, origin_of[place[1:] + shift] - text_at
+        some = np.diff(bounds) > 0
+        ends[bounds[1:][some] - 1] = stop[some]
         return ids, starts, ends, bounds
 
 
@@ -249,7 +298,8 @@ def _rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
             i = 0
             while i < len(column):
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE, side="right")))
-                ids, starts, ends, bounds = encoder.encode(column.slice(i, j - i).to_pylist())
+                raw = column.slice(i, j - i).cast(pa.binary()).to_pylist()
+                ids, starts, ends, bounds = encoder.encode([x.decode("utf-8", "each_byte") for x in raw])
                 at = pa.array(bounds, pa.int32())
                 flat = ids.tolist()
                 back = encoder.whole.decode([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], num_threads=1)
