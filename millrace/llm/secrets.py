@@ -1,19 +1,24 @@
 """Secret scan: candidates in texts, and a random forest against false alarms.
 
 A candidate is a run of 12 or more letters, digits and ``_ + / -`` with a digit
-or eight capitals in it. The forest sees how long it is, how its characters change class, how
-much of it is words, the document's path and the words around it. It is trained
-on labelled findings: a table of them if there is one, else those that formats
-decide (known key forms and values named as secrets are secrets; numbers,
-UUIDs, dates and digests without such a name are not).
-
-The dictionary is the corpus's own: runs of letters that occur often beside
-candidates, counted over all of them. Everything is built-in functions and
+or eight capitals in it, or what is assigned to a secret's name: any quoted
+value of 4 to 200 characters, whatever its signs, or one of 6 to 200 without quotes that
+has a digit. The forest sees how long a candidate is, how its characters change
+class, how much of it is words, the document's path, and the words and signs
+around it. It is trained on labelled findings: a table of them, before all
+else, and those that formats decide (known key forms and values named as
+secrets are secrets; numbers, UUIDs, dates and digests without such a name, and
+made-up values, are not). What decides a format's label, the secret's name and the
+marks of made-up values, is no feature, so the forest has to find other reasons
+and judges every candidate by them, also against the format.
+
+The dictionary is the corpus's own: whole words of all texts, by the number of
+documents that they are in. Everything is built-in functions and
 MLlib; training takes at most ``LABELLED`` findings, in the order of a hash.
 
 Edge cases: null and empty texts have no candidates; a null path is one of its
 own; equal rows have equal findings, each its own rows; without findings of
-both kinds every candidate keeps its format's label (not a secret without
+both kinds every candidate keeps its label (not a secret without
 one); an empty table gives an empty result; other columns are kept by
 ``redact`` only.
 """
@@ -30,13 +35,18 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_up_to, checkpoint, table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*(?:[0-9]|[A-Z]{8}))[A-Za-z0-9_+/\-]{12,}={0,2}"
+_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*(?:[0-9]|[A-Z]{8}))[A-Za-z0-9_+/\-]{12,}={0,2}"
+_NAME = r"(?i:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
+#: Group 1 is the name before an assigned value, if there is one.
+CANDIDATE = rf"(?:({_NAME}[A-Za-z_]{{0,16}}[\"']?\s{{0,3}}[:=]\s{{0,3}})(?:[\"'][^\s\"']{{4,200}}(?=[\"'])|(?=[^\s\"',;]*[0-9])[^\s\"',;]{{6,200}}))|{_RUN}"
+#: Its value: what follows the name, without the quote.
+_OPENING = r"^[\"']"
 #: Findings of a training set at most, trees and their depth, score of a secret.
 LABELLED, TREES, DEPTH, SECRET = 20_000, 20, 6, 0.5
 #: Characters before and after a candidate that are looked at.
 BEFORE, AFTER = 32, 16
-#: Times that a run of letters must be seen, and buckets for paths and for words around.
-OFTEN, BUCKETS = 20, 16
+#: A word is in the dictionary that is in so many documents, or one in so many; buckets for paths and for words around.
+OFTEN, RARE, BUCKETS = 3, 20_000, 64
 NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
 #: Made-up values: within the candidate itself, and as a whole word right before it.
 MADE_UP = r"(?i)example|sample|dummy|placeholder|x{6,}|(?<![A-Za-z0-9])(test|fake)(?![A-Za-z0-9])"
@@ -49,15 +59,16 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     of the text before it), ``candidate, before, after``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).alias("path"), "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
-    rows = rows.withColumn("between", F.split("text", CANDIDATE, -1))
+    rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("name", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)))
+    rows = rows.withColumn("found", F.zip_with("found", "name", parts))
     # Characters up to each candidate: sums over what lies between and what was found before.
     each = F.transform(
         "found",
         lambda c, i: F.struct(
             i.cast("long").alias("nth"),
-            (F.char_length(F.get("between", i)) + F.when(i > 0, F.char_length(F.get("found", i - 1))).otherwise(0)).cast("long").alias("step"),
-            c.alias("candidate"),
-            F.right(F.get("between", i), F.lit(BEFORE)).alias("before"),
+            (F.char_length(F.get("between", i)) + F.when(i > 0, F.char_length(F.get("found", i - 1)["value"])).otherwise(0) + F.char_length(c["head"])).cast("long").alias("step"),
+            c["value"].alias("candidate"),
+            F.right(F.concat(F.get("between", i), c["head"]), F.lit(BEFORE)).alias("before"),
             F.left(F.get("between", i + 1), F.lit(AFTER)).alias("after"),
         ),
     )
@@ -66,6 +77,13 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return rows.withColumn("start", F.sum("step").over(so_far)).drop("row", "step")
 
 
+def parts(match: Column, name: Column) -> Column:
+    """What a match holds before its value (name, sign and quote) and the value."""
+    rest = F.substr(match, F.char_length(name) + 1)
+    quote = F.when(name != "", F.regexp_extract(rest, _OPENING, 0)).otherwise(F.lit(""))
+    return F.struct(F.concat(name, quote).alias("head"), F.substr(rest, F.char_length(quote) + 1).alias("value"))
+
+
 def kinds(c: Column) -> Column:
     """Runs of characters of one class, as one letter each."""
     for pattern, letter in (("[0-9]+", "9"), ("[A-Z]+", "A"), ("[a-z]+", "a")):
@@ -90,7 +108,14 @@ def by_format(c: Column, before: Column) -> Column:
     return F.when(made_up, 0).when(secret, 1).when(plain, 0)
 
 
-def features(found: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame) -> DataFrame:
+    """``run``: whole words that are in enough of all documents."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{3,}(?![a-z0-9])"), F.lit(0)))
+    least = max(OFTEN, docs.count() // RARE)
+    return docs.select(F.explode(words).alias("run")).groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("run")
+
+
+def features(found: DataFrame, docs: DataFrame) -> DataFrame:
     """``found`` with a vector ``x`` and a label from its format."""
     c = F.col("candidate")
     n = F.char_length(c).cast("double")
@@ -98,12 +123,11 @@ def features(found: DataFrame) -> DataFrame:
     def share(pattern: str) -> Column:
         return F.regexp_count(c, F.lit(pattern)) / n
 
-    around = F.lower(F.concat_ws(" ", "before", "after"))
-    words = F.regexp_extract_all(around, F.lit(r"[a-z]{3,}"), F.lit(0))
-    rows = found.withColumn("id", F.monotonically_increasing_id()).withColumn("words", words)
+    rows = found.withColumn("id", F.monotonically_increasing_id())
     rows = rows.withColumn("runs", F.array_distinct(F.regexp_extract_all(F.lower("candidate"), F.lit(r"[a-z]{3,}"), F.lit(0))))
     rows = checkpoint(rows)
-    often = checkpoint(rows.select(F.explode("words").alias("run")).groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).select("run"))
+    runs = checkpoint(rows.select(F.explode("runs").alias("run")).distinct())
+    often = checkpoint(dictionary(docs).join(broadcast_up_to(runs, 200_000), "run", "left_semi"))
     known = rows.select("id", F.explode("runs").alias("run")).join(broadcast_up_to(often, 200_000), "run")
     covered = known.groupBy("id").agg(F.sum(F.char_length("run")).cast("double").alias("covered"))
     rows = rows.join(covered, "id", "left").fillna(0.0, ["covered"])
@@ -118,10 +142,8 @@ def features(found: DataFrame) -> DataFrame:
         "hex": F.regexp_like(c, F.lit("^[0-9a-fA-F]+$")).cast("double"),
         "longest_letters": F.array_max(F.transform(F.split(c, "[^A-Za-z]"), lambda x: F.char_length(x))) / n,
         "words": F.least(F.col("covered") / n, F.lit(1.0)),
-        "named": F.regexp_like("before", F.lit(NAMES)).cast("double"),
         "assigned": F.regexp_like("before", F.lit(r"[:=]\s*[\"']?$")).cast("double"),
         "quoted": F.regexp_like("before", F.lit(r"[\"']$")).cast("double"),
-        "made_up": decided(c, F.col("before"))[1].cast("double"),
         "path_depth": F.size(F.split(F.coalesce("path", F.lit("")), "/")).cast("double"),
         "path_test": F.regexp_like(F.coalesce("path", F.lit("")), F.lit(r"(?i)(test|example|fixture|mock|doc|sample)")).cast("double"),
     }
@@ -146,15 +168,16 @@ def train(found: DataFrame, most: int = LABELLED):
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False).fit(sample)
 
 
-def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, most: int = LABELLED) -> DataFrame:
+def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, formats: bool = True, most: int = LABELLED) -> DataFrame:
     """All candidates with ``score`` and ``secret``.
 
-    ``labelled``: findings (doc_id, nth, label) that go before formats' labels.
+    ``labelled``: findings (doc_id, nth, label) that go before formats' labels,
+    or are the only ones, if ``formats`` is false.
     """
-    found = features(candidates(docs, path))
+    found = features(candidates(docs, path), docs.select("text"))
     if labelled is not None:
         known = labelled.select("doc_id", "nth", F.col("label").cast("double").alias("_label"))
-        found = found.join(known, ["doc_id", "nth"], "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+        found = found.join(known, ["doc_id", "nth"], "left").withColumn("label", F.coalesce("_label", "label") if formats else F.col("_label")).drop("_label")
     found = checkpoint(found)
     model = train(found, most)
     if model is None:
@@ -173,7 +196,8 @@ def redact(docs: DataFrame, path: str = "source", **more) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
     rows = rows.join(broadcast_up_to(bad, 200_000), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     between, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    marked = F.transform(found, lambda c, i: F.when(F.array_contains("_nths", i.cast("long")), F.lit(MASK)).otherwise(c))
+    found = F.zip_with(found, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)), parts)
+    marked = F.transform(found, lambda c, i: F.concat(c["head"], F.when(F.array_contains("_nths", i.cast("long")), F.lit(MASK)).otherwise(c["value"])))
     whole = F.array_join(F.zip_with(between, marked, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     masked = F.when(F.col("_nths").isNull(), F.col("text")).otherwise(whole)
     new = {"text": masked}

@@ -205,6 +205,44 @@ def test_secret_model_generalises(spark):
     assert sum(got[i] == bool(b) for i, _, b in labels[150:]) / 150 > 0.95
 
 
+def test_values_assigned_to_names(spark):
+    """Whatever is assigned to a secret's name is a candidate, and it alone is masked."""
+    rng = random.Random(3)
+    odd = ["Tr0ub4dor&3", "s3cr.et!pw", "correcthorsebattery", "hunter2", "p@ss", "é-ß9€ƒ"]
+    lines = [f'user x password = "{v}" end' for v in odd] + ["passphrase: hunter2!x go", "db_password=ab12.cd34"]
+    rows = [(i, lines[i % 8], "s") for i in range(160)] + [(500 + i, f"order {rng.randrange(10**15, 10**16)} is here", "s") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    want = [*odd, "hunter2!x", "ab12.cd34"]
+    assert all(got[i]["candidate"] == want[i % 8] and got[i]["secret"] and rows[i][1][got[i]["start"] :].startswith(want[i % 8]) for i in range(160))
+    assert not any(got[500 + i]["secret"] for i in range(80))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(out[i] == rows[i][1].replace(want[i % 8], secrets.MASK) for i in range(160))
+
+
+def test_forest_overrules_the_format(spark):
+    """Findings say that tokens in fixtures are no secrets and that bare values
+    after "vault" are: the forest learns both against the formats' labels and
+    holds them, with measured precision and recall, on findings it has not seen."""
+    rng = random.Random(12)
+    key = lambda n, a="abcdef0123456789": "".join(rng.choice(a) for _ in range(n))
+    rows, truth = [], {}
+    for i in range(400):
+        kind = i % 4
+        text = [f'token = "{key(40)}" ok', f'token = "{key(40)}" ok', f"vault holds {key(40)} now", f"commit {key(40)} merged"][kind]
+        rows.append((i, text, ["src/app", "test/fixtures"][kind == 1]))
+        truth[i] = int(kind in (0, 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = spark.createDataFrame([(i, 0, truth[i]) for i in range(200)], "doc_id long, nth long, label int")
+    got = {r["doc_id"]: r for r in secrets.scan(docs, labelled=seen, formats=False).collect()}
+    held = range(200, 400)
+    hit = sum(got[i]["secret"] and truth[i] for i in held)
+    precision, recall = hit / max(1, sum(got[i]["secret"] for i in held)), hit / sum(truth[i] for i in held)
+    assert precision > 0.95 and recall > 0.95
+    by_format = [i for i in held if i % 4 == 1]
+    assert sum(got[i]["secret"] for i in by_format) < 0.1 * len(by_format)
+
+
 def plain_rule(url):
     host, path = "", ""
     if url is not None and "://" in url:
