@@ -39,6 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what was written under ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Tables of one run in the shared folder, removed as soon as they have served."""
 
@@ -56,12 +62,10 @@ class Tables:
     def drop(self, *kept: DataFrame) -> None:
         """Remove tables that nothing will read any more, and let Spark's
         cleaner remove the shuffle files of the plans that made them."""
-        jvm = self.spark._jvm
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, df._millrace_path)
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -249,14 +249,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     found = tables.keep(classified(docs).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "component_id").where("_d is not null"))
     gone = tables.keep(found.where("_d > component_id").select("_d", "_m").distinct())
-    same = (F.col("doc_id").cast("long") == F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
-    kept = docs.join(broadcast_up_to(gone, SMALL), same, "left_anti")
+    # Whole rows travel as one column: theirs may have any names.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = (F.col("row.doc_id").cast("long") == F.col("_d")) & (F.xxhash64("row.text") == F.col("_m"))
+    kept = rows.join(broadcast_up_to(gone, SMALL), same, "left_anti")
     again = tables.keep(found.groupBy("_d", "_m").agg(F.count("*").alias("_c")).where("_c > 1").select("_d", "_m"))
     if not again.head(1):
-        return kept
+        return kept.select("row.*")
     again = broadcast_up_to(again, SMALL)
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(once)
+    once = kept.join(again, same).withColumn("_text", F.col("row.text")).dropDuplicates(["_d", "_text"]).select("row")
+    return kept.join(again, same, "left_anti").unionByName(once).select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
