@@ -10,7 +10,8 @@ the k-th score found: nothing behind it can enter, so the result is exact.
 Queries and candidates meet block by block, every pair of blocks in a task of
 its own, of bounded memory; each block puts out k rows a query.
 Components are whole numbers, ``floor(scale * x)``; sums that could exceed
-2^53 are done in Python's integers, and scores must fit 64 bits.
+2^53 are done in Python's integers, and a score that 64 bits cannot hold
+counts as the nearest number that they can.
 """
 
 from __future__ import annotations
@@ -71,13 +72,13 @@ def search_block(k: int, step: int = STEP):
         qi, ci = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
         da, db = matrix(q["d"]), matrix(c["d"])
         small = a.shape[1] * np.abs(a).max() * np.abs(b).max() < 2**53
-        score = (lambda rows, x: (b[rows] @ x).astype(np.int64)) if small else (lambda rows, x: np.array([sum(int(s) * int(t) for s, t in zip(y, x, strict=True)) for y in b[rows]], dtype=object))
+        score = (lambda rows, x: (b[rows] @ x).astype(np.int64)) if small else (lambda rows, x: np.array([min(max(sum(int(s) * int(t) for s, t in zip(y, x, strict=True)), -(1 << 63)), (1 << 63) - 1) for y in b[rows]], dtype=object))
         qq, cc = (a**2).sum(axis=1), (b**2).sum(axis=1)
         out_q, out_c, out_s = [], [], []
         for i in range(len(a)):
             gap = np.abs(db - da[i]).max(axis=1)
             # Rounding must not make a bound too low.
-            bound = (qq[i] + cc - gap**2) / 2 + 1e-9 * (qq[i] + cc) + 1
+            bound = np.maximum((qq[i] + cc - gap**2) / 2 + 1e-9 * (qq[i] + cc) + 1, -(2.0**63))
             order = np.argsort(-bound, kind="stable")
             ids, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64 if small else object), 0
             while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1]):

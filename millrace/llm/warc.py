@@ -4,7 +4,8 @@ A record's payload becomes rows (record, chunk number) of at most ``CHUNK``
 bytes, each with the digest of the payload up to its end, so an oversized
 payload is never held again once it is read: neither by the writer, which
 writes a chunk as a segment of its record (``continuation`` records), nor by
-the reader, which inflates an archive piece by piece and hashes on.
+the reader, which takes an archive as Spark's line reader inflates it, cut at
+its empty lines, and hashes on. No record and no archive is ever held whole.
 
 An archive is what one task writes, through Spark's own writer to the shared
 folder, so a lost executor's archives are written anew. Payloads that have
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,31 +114,16 @@ def write(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:
 
 
 class _Stream:
-    """Bytes of an archive, inflated as they are asked for."""
+    """Bytes of an archive, taken from its pieces as they are asked for."""
 
-    def __init__(self, raw: memoryview):
-        self.raw, self.at, self.held = raw, 0, bytearray()
-        self.zip = zlib.decompressobj(31) if bytes(raw[:2]) == b"\x1f\x8b" else None
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
 
     def more(self) -> bool:
-        while True:
-            if self.zip is None or self.zip.eof and not self.zip.unused_data and self.at >= len(self.raw):
-                part = self.raw[self.at : self.at + CHUNK] if self.zip is None else b""
-                self.at += len(part)
-                self.held += part
-                return bool(len(part))
-            if self.zip.eof:  # archives may be many compressed members
-                rest = self.zip.unused_data
-                self.zip, self.at = zlib.decompressobj(31), self.at - len(rest)
-            data = self.zip.unconsumed_tail or bytes(self.raw[self.at : self.at + CHUNK])
-            if not self.zip.unconsumed_tail:
-                self.at += len(data)
-            if not data:
-                return False
-            part = self.zip.decompress(data, CHUNK)
-            if part:
-                self.held += part
-                return True
+        part = next(self.pieces, None)
+        if part is not None:
+            self.held += part
+        return part is not None
 
     def until(self, mark: bytes) -> bytes | None:
         while (i := self.held.find(mark)) < 0:
@@ -155,9 +141,10 @@ class _Stream:
         return out
 
 
-def parse(raw: memoryview, payload: bool) -> Iterator[tuple]:
-    """Chunk rows of an archive; payloads are hashed on from chunk to chunk."""
-    stream, sha, head, total = _Stream(raw), hashlib.sha256(), {}, 0
+def parse(pieces: Iterator[bytes], payload: bool) -> Iterator[tuple]:
+    """Chunk rows of an archive, given as its bytes piece by piece; payloads
+    are hashed on from chunk to chunk."""
+    stream, sha, head, total = _Stream(pieces), hashlib.sha256(), {}, 0
     while (block := stream.until(END.encode())) is not None:
         lines = block.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -197,21 +184,25 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for i in range(len(batch)):
-                out, held = [], 0
-                for head, segment, piece, last, total, digest, data in parse(memoryview(batch.column(0)[i].as_buffer()), payload):
-                    page, refers = head.get("page-id"), head.get("warc-refers-to")
-                    revisit = head["warc-type"] == "revisit"
-                    out.append((int(page) if page else None, head.get("warc-target-uri"), head["warc-type"], int(refers.strip("<>").rpartition(":")[2]) if refers else None, segment, piece, last, int(head["payload-length"]) if revisit else total, head["warc-payload-digest"].removeprefix("sha256:") if revisit else digest, data))
-                    held += 200 + len(data or b"")
-                    if held > BATCH:
-                        yield rows(out)
-                        out, held = [], 0
-                if out:
+        def lines():
+            for batch in batches:
+                yield from zip(batch.column(0), batch.column(1), strict=True)
+
+        for _, archive in groupby(lines(), key=lambda x: x[0].as_py()):
+            out, held = [], 0
+            for head, segment, piece, last, total, digest, data in parse((x.as_py() + END.encode() for _, x in archive), payload):
+                page, refers = head.get("page-id"), head.get("warc-refers-to")
+                revisit = head["warc-type"] == "revisit"
+                out.append((int(page) if page else None, head.get("warc-target-uri"), head["warc-type"], int(refers.strip("<>").rpartition(":")[2]) if refers else None, segment, piece, last, int(head["payload-length"]) if revisit else total, head["warc-payload-digest"].removeprefix("sha256:") if revisit else digest, data))
+                held += 200 + len(data or b"")
+                if held > BATCH:
                     yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    # Spark inflates a compressed archive as it goes and hands it over in order, cut at empty lines.
+    files = spark.read.option("lineSep", END).text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
     return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, segment long, chunk long, last boolean, payload_bytes long, digest string, data binary")
 
 

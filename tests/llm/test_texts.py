@@ -1,6 +1,5 @@
 """Pieces, toxicity, secrets, URLs and archives."""
 
-import gzip
 import hashlib
 import random
 
@@ -343,13 +342,25 @@ def test_archives(spark, tmp_path):
 
 
 def test_archive_errors():
+    def parsed(raw, size):
+        return list(warc.parse((raw[i : i + size] for i in range(0, len(raw), size)), True))
+
     ok = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha256:00\r\n\r\nabc\r\n\r\n"
     with pytest.raises(ValueError):
-        list(warc.parse(memoryview(ok), True))
+        parsed(ok, 7)
     good = ok.replace(b"sha256:00", b"sha256:" + hashlib.sha256(b"abc").hexdigest().encode())
-    assert len(list(warc.parse(memoryview(gzip.compress(good) + gzip.compress(good)), True))) == 2
+    assert all(len(parsed(good + good, n)) == 2 for n in (1, 5, 1000))
     with pytest.raises(ValueError):
-        list(warc.parse(memoryview(good[:-6]), True))
+        parsed(good[:-6], 9)
+
+
+def test_archives_in_one_task(spark, tmp_path):
+    """Several compressed archives that one task reads are told apart."""
+    rows = [(i, "u", f"payload {i} " * (1 + i * 500)) for i in range(30)]
+    path = str(tmp_path / "w")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), path)
+    found = warc.read(spark, path).coalesce(1).where("last").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(i, len(t)) for i, _, t in rows]
 
 
 def test_archives_of_nothing(spark, tmp_path):

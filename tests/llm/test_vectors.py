@@ -47,6 +47,12 @@ def test_exact_topk_of_large_numbers(spark):
         assert [got[q, k] for k in (1, 2, 3)] == best[:3]
 
 
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 5.0]), (3, [2e30, 1.0]), (4, [1.0, 1.0])]
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_k(frame(spark, rows), 20, 4, scale=64.0).collect())
+    assert [v for _, v, _ in got] == [1, 3, 4, 2] and got[0][2] == 2**63 - 1 and got[3][2] == -(2**63)
+
+
 def test_few_candidates_and_none(spark):
     assert exact_topk.top_k(frame(spark, []), 20, 20).count() == 0
     assert exact_topk.top_k(frame(spark, [(0, [1.0, 2.0])]), 20, 20).count() == 0
