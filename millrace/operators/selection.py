@@ -8,7 +8,7 @@ import math
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
@@ -77,9 +77,10 @@ class QuasiConstant(Selector):
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
     """Pearson correlation of all pairs, complete rows of a pair, one job."""
     v = doubles(df, columns)
-    s = run_aggregates(df, {"|n": F.count("*")} | {f"{c}|{k}": f(x) for c, x in v.items() for k, f in (("n", F.count), ("v", F.var_pop))})
-    varies = [c for c in columns if (s[f"{c}|v"] or 0.0) > 0]
-    full = [c for c in varies if s[f"{c}|n"] == s["|n"]]
+    place = {c: i for i, c in enumerate(columns)}
+    s = run_aggregates(df, {"n": F.count("*")} | {f"{k}{place[c]}": f(x) for c, x in v.items() for k, f in (("n", F.count), ("v", F.var_pop))})
+    varies = [c for c in columns if (s[f"v{place[c]}"] or 0.0) > 0]
+    full = [c for c in varies if s[f"n{place[c]}"] == s["n"]]
     out: dict[tuple[str, str], float] = {}
     if len(full) > 8:  # one matrix instead of hundreds of aggregates
         from pyspark.ml.feature import VectorAssembler
@@ -90,11 +91,38 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], flo
         out = {(a, b): float(r[full.index(a), full.index(b)]) for a, b in itertools.combinations(full, 2)}
     # The built-in function raises for a constant side, which a complete pair cannot have here.
     pairs = [p for p in itertools.combinations(varies, 2) if p not in out]
-    found = run_aggregates(df, {f"{a}|{b}": (F.corr if {a, b} <= set(full) else S.correlation)(v[a], v[b]) for a, b in pairs})
-    out |= {tuple(k.split("|")): x for k, x in found.items() if x is not None}
+    found = run_aggregates(df, {str(i): (F.corr if {a, b} <= set(full) else S.correlation)(v[a], v[b]) for i, (a, b) in enumerate(pairs)})
+    out |= {pairs[int(i)]: x for i, x in found.items() if x is not None}
     return {p: out[p] for p in itertools.combinations(varies, 2) if p in out and not math.isnan(out[p])}
 
 
+def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
+    """Spearman's correlation of the rows that have both values: Pearson's of
+    their average ranks. Rows are counted by pair of values first; ranks are
+    running counts over slices of the values, so no task sorts a whole column."""
+    cells = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null and not isnan(a) and not isnan(b)").groupBy("a", "b").agg(F.count("*").alias("k"))
+    ranked = cells
+    for c in ("a", "b"):
+        ranked = ranked.join(average_ranks(cells.groupBy(F.col(c).alias("v")).agg(F.sum("k").alias("k"))).select(F.col("v").alias(c), F.col("rank").alias(f"r{c}")), c)
+    n = F.sum("k").alias("n")
+    total = cells.agg(n).first()[0] or 0
+    x, y, k = F.col("ra") - (total + 1) / 2, F.col("rb") - (total + 1) / 2, F.col("k")
+    s = ranked.agg(F.sum(k * x * y).alias("xy"), F.sum(k * x * x).alias("xx"), F.sum(k * y * y).alias("yy")).first()
+    return s["xy"] / math.sqrt(s["xx"] * s["yy"]) if s["xx"] and s["yy"] else None
+
+
+def average_ranks(counts: DataFrame, slices: int = 64) -> DataFrame:
+    """``v, rank`` of ``counts`` (v, k): the average rank of the k rows that
+    have v. Slices of the value range are ranked apart and set off by the
+    number of rows before them."""
+    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / slices) for i in range(1, slices)]))).first()[0] or []
+    cells = counts.withColumn("p", sum(((F.col("v") >= q).cast("int") for q in sorted(set(cuts))), F.lit(0)))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    offsets = cells.groupBy("p").agg(F.sum("k").alias("t")).withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    run = cells.withColumn("c", F.sum("k").over(Window.partitionBy("p").orderBy("v"))).join(F.broadcast(offsets), "p")
+    return run.select("v", (F.col("o") + F.col("c") - (F.col("k") - 1) / 2).alias("rank"))
+
+
 class Correlation(Selector):
     """Of a pair above the threshold one goes: the later, the earlier, that of
     the smaller variance, or that less correlated with the target."""

@@ -212,7 +212,9 @@ class TimeToEvent(Ordered):
     def expressions(self, df):
         at = F.when(F.col(self.event).cast("boolean"), F.unix_micros(stamp(self.time)))
         now, unit = F.unix_micros(stamp(self.time)), 1e6 * UNITS[self.unit]
-        ahead = F.first(at, True).over(self.window.rowsBetween(1, Window.unboundedFollowing))
+        # From the end, the next event is the last one seen: a running value, where a frame to the end is summed up anew for each row.
+        back = Window.partitionBy(*self.by).orderBy(*[F.desc(c) for c in self.order])
+        ahead = F.last(at, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
         behind = F.last(at, True).over(self.window.rowsBetween(Window.unboundedPreceding, -1))
         return {f"time_to_next_{self.event}_{self.unit}": (ahead - now) / unit, f"time_since_last_{self.event}_{self.unit}": (now - behind) / unit}
 

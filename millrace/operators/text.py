@@ -189,3 +189,12 @@ def scan_personal(df: DataFrame, least: float = 0.3, patterns: dict[str, str] |
             if share > least or named:
                 out.append({"column": c, "kind": k, "share": share, "confidence": 0.95 if share > least and named else 0.85 if share > least else 0.75})
     return sorted(out, key=lambda x: (-x["confidence"], x["column"], x["kind"]))
+
+
+def personal_inside(df: DataFrame, columns: list[str] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:
+    """``column, kind, values, times``: how many values hold personal data
+    anywhere in them, and how often; all columns and kinds in one aggregation.
+    A pattern is not found within a longer run of digits or letters."""
+    patterns, cols = patterns or PERSONAL, columns or string_columns(df)
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"), F.regexp_count(F.col(c), F.lit(rf"\b(?:{p})\b")).alias("n")) for c in cols for k, p in patterns.items()]
+    return df.select(F.inline(F.array(*cells))).groupBy("column", "kind").agg(F.count_if(F.col("n") > 0).alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("times"))

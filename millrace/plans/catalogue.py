@@ -7,6 +7,7 @@ have no SQL and are tested by themselves.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -371,10 +372,15 @@ def term_counts(spark, sf):
     return out(df.select("doc_id", sum(cols, F.lit(0)).alias("total"), sum(((c > 0).cast("int") for c in cols), F.lit(0)).alias("present")))
 
 
-@query()
+@query(r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]+') w from documents), c as (select count(*) n from documents),
+ v as (select x, count(*) df from (select unnest(list_distinct(w)) x from t) group by 1 having count(*) >= 2 and count(*) <= 0.95 * (select n from c) order by df desc, x limit 10),
+ k as (select doc_id, x, len(list_filter(w, lambda y: y = x)) / greatest(len(w), 1) * (ln((n + 1) / (df + 1)) + 1) as k from t, v, c), l as (select doc_id, sqrt(sum(k * k)) l from k group by 1)
+select doc_id, round(sum(case when l > 0 then k / l else 0 end), 6) as total, round(max(case when l > 0 then k / l else 0 end), 6) as largest from k join l using (doc_id) group by 1""")
 def tfidf(spark, sf):
-    m = text.TfIdf(["text"], most=10).fit(read(spark, sf, "documents"))
-    return out(m.transform(read(spark, sf, "documents")).drop("text"))
+    m = text.TfIdf(["text"], most=10, stop_words=False).fit(read(spark, sf, "documents"))
+    cols = [F.col(f"`{c}`") for c in m.transform(read(spark, sf, "documents")).columns if c.startswith("text_tfidf_")]
+    df = m.transform(read(spark, sf, "documents"))
+    return out(df.select("doc_id", sum(cols, F.lit(0.0)).alias("total"), F.greatest(F.lit(0.0), *cols).alias("largest")))
 
 
 @query("""select event_id, (props->>'$.k')::bigint as k from events""")
@@ -382,10 +388,12 @@ def json_extract(spark, sf):
     return read(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+_PERSONAL = {"email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "ip_address": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "credit_card": r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}"}
+
+
+@query(" union all ".join(rf"""select 'text' as "column", '{k}' as kind, count(*) filter (where len(regexp_extract_all(text, '\b(?:{p})\b')) > 0) as "values", coalesce(sum(len(regexp_extract_all(text, '\b(?:{p})\b'))), 0)::bigint as times from documents""" for k, p in _PERSONAL.items()))
 def personal_data(spark, sf):
-    rows = [(x["column"], x["kind"], x["share"], x["confidence"]) for x in text.scan_personal(read(spark, sf, "documents"))]
-    return spark.createDataFrame(rows, "column string, kind string, share double, confidence double")
+    return out(text.personal_inside(read(spark, sf, "documents"), ["text"], _PERSONAL))
 
 
 # Cleaning
@@ -757,17 +765,21 @@ def array_spectrum(spark, sf):
     return out(df.drop("embedding", "label"))
 
 
-_E = "(select distinct l_suppkey::varchar s, 'p' || (l_partkey % 50) t from lineitem where l_orderkey % 10 = 1)"
+# Graphs: whoever trades with each other, over all lines. Customers, suppliers
+# and parts of a line know each other, so every line is a triangle.
 
 
-def _edges(spark, sf):
-    df = read(spark, sf, "lineitem").where("l_orderkey % 10 = 1").select(F.col("l_suppkey").cast("string").alias("s"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("t")).distinct()
-    return graph.edges(df, "s", "t")
+def _trade(spark, sf):
+    lines = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, s, p = (F.concat(F.lit(k), F.col(v)) for k, v in (("c", "o_custkey"), ("s", "l_suppkey"), ("p", "l_partkey")))
+    pairs = lines.select(F.explode(F.array(F.struct(c.alias("s"), s.alias("t")), F.struct(c.alias("s"), p.alias("t")), F.struct(s.alias("s"), p.alias("t")))).alias("x")).select("x.*")
+    return graph.edges(pairs.where("s is not null and t is not null").distinct(), "s", "t")
 
 
-@query(f"""with e as (select s, t from {_E}), b as (select s n from e union all select t from e) select n as node, count(*) as degree, count(*) as in_degree from b group by 1""")
-def graph_degrees(spark, sf):
-    return out(graph.degrees(_edges(spark, sf)), "node", "degree", "in_degree")
+_T = """l as (select 'c' || o_custkey c, 's' || l_suppkey s, 'p' || l_partkey p from lineitem join orders on l_orderkey = o_orderkey),
+ e as (select c s, s t from l union select c, p from l union select s, p from l), u as (select s, t from e union all select t, s from e), n as (select distinct s as node from u), k as (select s, count(*) k from u group by 1)"""
+_TRI = f"""{_T}, o as (select case when (a.k, e.s) < (b.k, e.t) then e.s else e.t end x, case when (a.k, e.s) < (b.k, e.t) then e.t else e.s end y from e join k a on a.s = e.s join k b on b.s = e.t),
+ w as (select p.x a, p.y b, q.y c from o p join o q on p.x = q.x and p.y < q.y join u on u.s = p.y and u.t = q.y), g as (select node, count(*) c from (select unnest([a, b, c]) node from w) group by 1)"""
 
 
 @query("""with e as (select distinct 's' || l_suppkey s, 'p' || l_partkey t from lineitem where l_suppkey is not null and l_partkey is not null), b as (select s n from e union all select t from e)
@@ -778,57 +790,52 @@ def graph_all_degrees(spark, sf):
     return out(graph.degrees(graph.edges(pairs, "s", "t")), "node", "degree", "in_degree")
 
 
-def _nations(spark, sf):
-    df = read(spark, sf, "nation").alias("a").crossJoin(F.broadcast(read(spark, sf, "nation")).alias("b")).where("a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1")
-    return graph.edges(df.select(F.col("a.n_name").alias("s"), F.col("b.n_name").alias("t")), "s", "t")
+@query(f"with {_T} select s as node, k as degree, k as in_degree, k::double as weighted_degree from k")
+def graph_degrees(spark, sf):
+    return out(graph.degrees(_trade(spark, sf)), "node", "degree", "in_degree", "weighted_degree")
 
 
-@query("""with e as (select a.n_name s, b.n_name t from nation a, nation b where a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1), u as (select s, t from e union all select t, s from e),
- k as (select s n, count(*) k from u group by 1), x as (select a.s n, count(*) / 2 c from u a join u b on a.s = b.s and a.t <> b.t join u c on c.s = a.t and c.t = b.t group by 1)
-select k.n as node, coalesce(c, 0)::bigint as triangles, round(case when k > 1 then 2 * coalesce(c, 0) / (k * (k - 1)) else 0 end, 6)::double as clustering from k left join x using (n)""")
+@query(f"with {_TRI} select k.s as node, coalesce(c, 0)::bigint as triangles, round(case when k > 1 then 2 * coalesce(c, 0) / (k * (k - 1)) else 0 end, 6)::double as clustering from k left join g on g.node = k.s")
 def graph_triangles(spark, sf):
-    return out(graph.triangles(_nations(spark, sf)))
+    return out(graph.triangles(_trade(spark, sf)))
+
+
+@query(f"with {_TRI} select k.s as node, (k + coalesce(c, 0))::bigint as ego_edges from k left join g on g.node = k.s")
+def graph_ego_edges(spark, sf):
+    return out(graph.ego_edges(_trade(spark, sf)))
 
 
-_U = """e as (select a.n_name s, b.n_name t from nation a, nation b where a.n_nationkey < b.n_nationkey and (a.n_nationkey * b.n_nationkey) % 3 = 1), u as (select s, t from e union all select t, s from e),
- n as (select distinct s as node from u)"""
 _RANKED = "".join(
-    f""", r{i + 1} as (select n.node, 0.15 / (select count(*) from n) + 0.85 * coalesce(sum(r{i}.rank / k.k), 0) as rank from n left join u on u.t = n.node left join r{i} on r{i}.node = u.s left join k on k.s = u.s group by 1)"""
+    f""", r{i + 1} as materialized (select n.node, 0.15 / (select count(*) from n) + 0.85 * coalesce(sum(r{i}.rank / k.k), 0) as rank from n left join u on u.t = n.node left join r{i} on r{i}.node = u.s left join k on k.s = u.s group by 1)"""
     for i in range(10)
 )
 
 
-@query(f"with {_U}, k as (select s, count(*) k from u group by 1), r0 as (select node, 1.0::double / (select count(*) from n) as rank from n){_RANKED} select node, round(rank, 6) as rank from r10")
+@query(f"with {_T}, r0 as (select node, 1.0::double / (select count(*) from n) as rank from n){_RANKED} select node, round(rank, 9) as rank from r10")
 def graph_pagerank(spark, sf):
-    return out(graph.pagerank(_nations(spark, sf), rounds=10))
+    return out(graph.pagerank(_trade(spark, sf), rounds=10), digits=9)
 
 
 _SPREAD = "".join(
     f""", c{i + 1} as (select s as node, label from (select u.s, l{i}.label, row_number() over (partition by u.s order by count(*) desc, l{i}.label) as i from u join l{i} on l{i}.node = u.t group by 1, 2) where i = 1),
- l{i + 1} as (select n.node, coalesce(c{i + 1}.label, l{i}.label) as label from n join l{i} using (node) left join c{i + 1} using (node))"""
+ l{i + 1} as materialized (select n.node, coalesce(c{i + 1}.label, l{i}.label) as label from n join l{i} using (node) left join c{i + 1} using (node))"""
     for i in range(3)
 )
 
 
-@query(f"with {_U}, l0 as (select node, node as label from n){_SPREAD} select node, label as community from l3")
+@query(f"with {_T}, l0 as (select node, node as label from n){_SPREAD} select node, label as community from l3")
 def graph_communities(spark, sf):
-    return graph.communities(_nations(spark, sf), 3)
-
-
-@query(f"""with {_U}, p as (select s as node, s as x from u union select s, t from u), d as (select distinct least(s, t) a, greatest(s, t) b from u)
-select p.node, count(*) as ego_edges from p join d on p.x = d.a join p q on q.node = p.node and q.x = d.b group by 1""")
-def graph_ego_edges(spark, sf):
-    return out(graph.ego_edges(_nations(spark, sf)))
+    return graph.communities(_trade(spark, sf), 3)
 
 
 @query()
 def graph_walks(spark, sf):
-    return graph.walks(_nations(spark, sf), 3, 6)
+    return graph.walks(_trade(spark, sf), 3, 6)
 
 
 @query()
 def graph_vectors(spark, sf):
-    return graph.node_vectors(_nations(spark, sf), 4, 3, 8)
+    return graph.node_vectors(_trade(spark, sf), 4, 3, 8)
 
 
 # Declared features
@@ -881,12 +888,53 @@ def session_windows(spark, sf):
 def streamed_moments(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     df = io.read_stream(spark, f"{sf}/events.parquet*", schema, 8)
-    name = f"running_{abs(hash(sf)) % 10**8}"
+    name = f"running_{zlib.crc32(sf.encode())}"
     rows = stateful.run_available(stateful.running(df, "user_id", "value"), name)
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "std"), "n").alias("x")).select("user_id", "x.*")
     return out(last.withColumn("std", F.round("std", 5)), digits=9)
 
 
+# Results that other queries show in part
+
+
+_SPEARMAN = [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax"), ("l_quantity", "l_tax")]
+
+
+@query(" union all ".join(f"""select '{a}' as a, '{b}' as b, round(corr(x, y), 6) as r from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2.0 as x, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2.0 as y from lineitem where {a} is not null and {b} is not null)""" for a, b in _SPEARMAN))
+def rank_correlation(spark, sf):
+    df = read(spark, sf, "lineitem")
+    return out(spark.createDataFrame([(a, b, selection.rank_correlation(df, a, b)) for a, b in _SPEARMAN], "a string, b string, r double"))
+
+
+@query("""select o_custkey as c_custkey, round(stddev_samp(o_totalprice), 4) as std, round(min(o_totalprice), 4) as min, round(max(o_totalprice), 4) as max, round(median(o_totalprice), 4) as median,
+ case when count(*) > 2 then round(skewness(o_totalprice), 4) end as skew, count(distinct o_totalprice) as nunique from orders group by 1""")
+def synthesis_moments(spark, sf):
+    df = relational.synthesize(_graph(spark, sf), "customer", ("std", "min", "max", "median", "skew", "nunique"), depth=1, ignore=("o_orderkey",))
+    names = ("std", "min", "max", "median", "skew", "nunique")
+    df = df.where("customer__orders__o_totalprice__max is not null")
+    return out(df.select("c_custkey", *[F.col(f"customer__orders__o_totalprice__{n}").alias(n) for n in names]), digits=4)
+
+
+@query("""with c as (select o_custkey, o_orderpriority, count(*) n from orders group by 1, 2), m as (select o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by n desc, o_orderpriority) i from c)
+select o_custkey as c_custkey, max(case when i = 1 then o_orderpriority end) as mode, count(*) as nunique from m group by 1""")
+def synthesis_modes(spark, sf):
+    df = relational.synthesize(_graph(spark, sf), "customer", ("mode", "nunique"), depth=1)
+    return out(df.where("customer__orders__o_orderpriority__mode is not null").select("c_custkey", F.col("customer__orders__o_orderpriority__mode").alias("mode"), F.col("customer__orders__o_orderpriority__nunique").alias("nunique")))
+
+
+@query(" union all ".join(f"""select '{c}' as "column", round(quantile_cont({c}, 0.25), 4) as p25, round(quantile_cont({c}, 0.75), 4) as p75, round(sum(pow({c} - m, 3)) / count(*) / pow(sum(pow({c} - m, 2)) / count(*), 1.5), 4) as skew,
+ round(sum(pow({c} - m, 4)) / count(*) / pow(sum(pow({c} - m, 2)) / count(*), 2) - 3, 4) as kurtosis, count(*) filter (where {c} < 0) as negatives from lineitem, (select avg({c}) m from lineitem)""" for c in _NUM))
+def profile_shape(spark, sf):
+    return out(profiling.profile_numeric(read(spark, sf, "lineitem"), _NUM), "column", "p25", "p75", "skew", "kurtosis", "negatives", digits=4)
+
+
+@query("""with e as (select strftime(time_bucket(interval '1 hour', ts) - k * interval '1 hour', '%Y-%m-%d %H:%M') as start, event_type, value from events, (values (0), (1)) g(k))
+select start, event_type, count(*) as n, round(sum(value), 4) as sum from e group by 1, 2""")
+def sliding_windows(spark, sf):
+    df = stateful.tumbling(read(spark, sf, "events"), "ts", "value", "2 hours", ["event_type"], slide="1 hour")
+    return out(df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "sum"), digits=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
