@@ -71,25 +71,33 @@ def search_block(k: int, step: int = STEP):
         a, b = matrix(q["v"]), matrix(c["v"])
         qi, ci = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
         da, db = matrix(q["d"]), matrix(c["d"])
-        small = a.shape[1] * np.abs(a).max() * np.abs(b).max() < 2**53
-        score = (lambda rows, x: (b[rows] @ x).astype(np.int64)) if small else (lambda rows, x: np.array([min(max(sum(int(s) * int(t) for s, t in zip(y, x, strict=True)), -(1 << 63)), (1 << 63) - 1) for y in b[rows]], dtype=object))
+        most = a.shape[1] * np.abs(a).max() * np.abs(b).max()
+        small = most < 2**53
+        # Whole numbers up to 2^24 are exact in half the width.
+        narrow = np.float32 if most < 2**24 else np.float64
+        xs, ys = a.astype(narrow), b.astype(narrow)
+        score = (lambda rows, i: (ys[rows] @ xs[i]).astype(np.int64)) if small else (lambda rows, i: np.array([min(max(sum(int(s) * int(t) for s, t in zip(y, a[i], strict=True)), -(1 << 63)), (1 << 63) - 1) for y in b[rows]], dtype=object))
         qq, cc = (a**2).sum(axis=1), (b**2).sum(axis=1)
         out_q, out_c, out_s = [], [], []
+        by_pivot = np.ascontiguousarray(db.T)
         for i in range(len(a)):
-            gap = np.abs(db - da[i]).max(axis=1)
+            gap = np.zeros(len(b))
+            for of, own in zip(by_pivot, da[i], strict=True):
+                np.maximum(gap, np.abs(of - own), out=gap)
             # Rounding must not make a bound too low.
             bound = np.maximum((qq[i] + cc - gap**2) / 2 + 1e-9 * (qq[i] + cc) + 1, -(2.0**63))
             order = np.argsort(-bound, kind="stable")
-            ids, scores, at = np.zeros(0, np.int64), np.zeros(0, np.int64 if small else object), 0
+            ids, scores, at, now = np.zeros(0, np.int64), np.zeros(0, np.int64 if small else object), 0, step
             while at < len(order) and (len(scores) < k or bound[order[at]] >= scores[-1]):
-                rows = order[at : at + step]
+                # Steps grow: what is left is dropped as a whole or mostly evaluated.
+                rows, at, now = order[at : at + now], at + now, 2 * now
                 rows = rows[ci[rows] != qi[i]]
-                ids, scores = np.concatenate([ids, ci[rows]]), np.concatenate([scores, score(rows, a[i])])
+                ids, scores = np.concatenate([ids, ci[rows]]), np.concatenate([scores, score(rows, i)])
                 if len(scores) > k and small:
                     least = np.partition(scores, len(scores) - k)[len(scores) - k]
                     ids, scores = ids[scores >= least], scores[scores >= least]
-                top = sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k]
-                ids, scores, at = ids[top], scores[top], at + step
+                top = np.lexsort((ids, -scores))[:k] if small else sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k]
+                ids, scores = ids[top], scores[top]
             out_q += [qi[i]] * len(ids)
             out_c += ids.tolist()
             out_s += [int(s) for s in scores]
