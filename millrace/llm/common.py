@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getCheckpointDir()
     if named is None:
         wanted = sc.getConf().get("spark.checkpoint.dir")
-        if not wanted and not sc.master.startswith("local["):
+        if not wanted and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="millrace-"))
         named = sc.getCheckpointDir()
