@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.quantiles import Quantile, exact
+
 #: Rows up to which a fitted table of groups is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -70,7 +72,7 @@ class Operator:
     def pick(self, df: DataFrame) -> list[str]:
         return require(df, self.columns) if self.columns is not None else self.kind(df)
 
-    def aggregates(self, df: DataFrame) -> dict[str, Column]:
+    def aggregates(self, df: DataFrame) -> dict[str, Column | Quantile]:
         return {}
 
     def expressions(self, df: DataFrame) -> dict[str, Column]:
@@ -93,11 +95,18 @@ class Operator:
         return self.fit(df, target).transform(df)
 
 
-def run_aggregates(df: DataFrame, wanted: dict[str, Column]) -> dict[str, Any]:
-    """One job for all of them."""
+def run_aggregates(df: DataFrame, wanted: dict[str, Column | Quantile]) -> dict[str, Any]:
+    """One job for all of them; quantiles take one or two more, for all together."""
     if not wanted:
         return {}
-    return df.agg(*[c.alias(k) for k, c in wanted.items()]).first().asDict(recursive=True)
+    # Places, not names: names of columns may hold anything.
+    names, ranked = list(wanted), [k for k, c in wanted.items() if isinstance(c, Quantile)]
+    plain = [F.count(c.number()) if isinstance(c, Quantile) else c for c in wanted.values()]
+    row = list(df.agg(*[c.alias(f"a{i}") for i, c in enumerate(plain + [wanted[k].brackets() for k in ranked])]).first().asDict(recursive=True).values())
+    out = dict(zip(names, row))
+    if ranked:
+        out |= zip(ranked, exact(df, [wanted[k] for k in ranked], [out[k] for k in ranked], row[len(names):]))
+    return out
 
 
 class Union(Operator):

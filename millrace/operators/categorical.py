@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators.base import Operator, maybe_broadcast, register, string_columns
+from millrace.functions.quantiles import Quantile
+from millrace.operators.base import Operator, maybe_broadcast, register, run_aggregates, string_columns
 
 
 class Encoder(Operator):
@@ -115,17 +116,22 @@ class Frequency(Lookup):
 class TargetLookup(Lookup):
     """Encoders from the target's count, sum and spread in a category."""
 
+    #: Medians are taken where they are asked for.
+    statistics: tuple[str, ...] = ()
+
     def prepare(self, df, target):
         if target is None:
             raise ValueError("a target is needed")
         y = F.col(target).cast("double")
-        self.all = df.agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.median(y).alias("median"), F.sum((y > 0).cast("double")).alias("events"), F.sum((y <= 0).cast("double")).alias("rest")).first()
+        wanted = {"mean": F.avg(y), "std": F.stddev_samp(y), "events": F.sum((y > 0).cast("double")), "rest": F.sum((y <= 0).cast("double"))}
+        self.all = run_aggregates(df, wanted | ({"median": Quantile(y, 0.5)} if "median" in self.statistics else {}))
 
     def groups(self, df, c, target):
         y = F.col(target).cast("double")
         return df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_k")).agg(
-            F.count(y).alias("n"), F.sum(y).alias("s"), F.avg(y).alias("m"), F.stddev_samp(y).alias("sd"), F.median(y).alias("md"),
+            F.count(y).alias("n"), F.sum(y).alias("s"), F.avg(y).alias("m"), F.stddev_samp(y).alias("sd"),
             F.min(y).alias("lo"), F.max(y).alias("hi"), F.sum((y > 0).cast("double")).alias("e"), F.sum((y <= 0).cast("double")).alias("r"),
+            *([F.median(y).alias("md")] if "median" in self.statistics else []),
         )
 
 

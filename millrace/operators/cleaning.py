@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators.base import Operator, numeric_columns, register, string_columns
+from millrace.functions.quantiles import Quantile
+from millrace.operators.base import Operator, numeric_columns, register, run_aggregates, string_columns
 
 
 class InPlace(Operator):
@@ -32,7 +37,7 @@ class Impute(InPlace):
         return self.strategy if number or self.strategy in ("mode", "constant") else "mode"
 
     def aggregates(self, df):
-        pick = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c), "mode": lambda c: F.mode(c, True)}
+        pick = {"mean": lambda c: F.avg(c), "median": lambda c: Quantile(c, 0.5), "mode": lambda c: F.mode(c, True)}
         out = {c: pick[how](F.col(c)) for c in self.columns if (how := self.how(df, c)) != "constant"}
         return out | ({f"{c}|null": F.count_if(F.col(c).isNull()) for c in self.columns} if self.indicator else {})
 
@@ -86,45 +91,89 @@ class MissingPattern(Operator):
         return {"missing_pattern": code, "n_missing": n, "missing_ratio": n / len(self.columns)}
 
 
-@register("knn_impute", "missing", "means of the nearest rows of a reference sample")
+@register("knn_impute", "missing", "means of the nearest rows of the fitted table")
 class NeighbourImpute(InPlace):
-    """Distances over what both rows have, scaled up for what is missing; the
-    reference is a sample of at most ``sample`` complete-enough rows."""
+    """Distances over what both rows have, scaled up for what is missing.
+
+    Every fitted row that has the wanted value is a candidate; rows as near as
+    each other are taken in an order that hangs on their values alone. Equal
+    rows are one candidate with a count, and equal rows to fill are one
+    question. Questions meet candidates block by block, so the work is their
+    product and a task holds one block of each. Without any neighbour the
+    column's mean is taken. NaN is missing; the columns become doubles.
+    """
 
-    def __init__(self, columns=None, k=5, sample=2000, weights="uniform"):
+    #: Questions and candidates of a block.
+    QUESTIONS, CANDIDATES = 2_048, 16_384
+
+    def __init__(self, columns=None, k=5, weights="uniform"):
         super().__init__(columns)
-        self.k, self.sample, self.weights = k, sample, weights
+        self.k, self.weights = k, weights
+
+    def numbers(self):
+        return {c: S.clean(F.col(c).cast("double")) for c in self.columns}
 
     def fit(self, df, target=None):
         self.columns = self.pick(df)
-        cols = [F.col(c).cast("double").alias(c) for c in self.columns]
-        self.state = {"rows": df.select(*cols).orderBy(F.xxhash64(*cols)).limit(self.sample).toPandas().to_numpy()}
+        own = df.select(*[v.alias(f"c{i}") for i, v in enumerate(self.numbers().values())])
+        self.rows = own.groupBy(*own.columns).agg(F.count("*").alias("n"))
+        self.state = run_aggregates(own, {c: F.avg(f"c{i}") for i, c in enumerate(self.columns)})
         return self
 
     def transform(self, df):
-        import numpy as np
-
-        ref, k, cols, weights = self.state["rows"], self.k, self.columns, self.weights
-        middle = np.nanmean(ref, axis=0) if len(ref) else np.zeros(len(cols))
-
-        def run(batches):
-            for pdf in batches:
-                x = pdf[cols].to_numpy(dtype=float)
-                for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                    both = ~np.isnan(ref) & ~np.isnan(x[i])
-                    n = both.sum(axis=1)
-                    d = np.where(both, ref - np.nan_to_num(x[i]), 0.0)
-                    d = np.where(n > 0, np.sqrt((d**2).sum(axis=1) * len(cols) / np.maximum(n, 1)), np.inf)
-                    for j in np.flatnonzero(np.isnan(x[i])):
-                        ok = np.flatnonzero(~np.isnan(ref[:, j]) & np.isfinite(d))
-                        near = ok[np.argsort(d[ok], kind="stable")[:k]]
-                        w = None if self_uniform else 1 / np.maximum(d[near], 1e-12)
-                        pdf.loc[pdf.index[i], cols[j]] = np.average(ref[near, j], weights=w) if len(near) else middle[j]
-                yield pdf
-
-        self_uniform = weights == "uniform"
-        typed = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-        return typed.mapInPandas(run, typed.schema)
+        typed = df.withColumns(self.numbers())
+        own = [f"c{i}" for i in range(len(self.columns))]
+        empty = [F.col(c).isNull() for c in own]
+        asked = typed.select(*[F.col(c).alias(x) for c, x in zip(self.columns, own)]).where(functools.reduce(operator.or_, empty)).distinct()
+        found = self.answers(asked, own).select(*[F.col(c).alias(f"_{c}") for c in own], *[F.col(f"v{i}").alias(f"_v{i}") for i in range(len(own))])
+        same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_{x}")) for c, x in zip(self.columns, own)])
+        out = typed.join(found, same, "left")
+        filled = {c: F.coalesce(F.col(c), F.col(f"_v{i}"), F.lit(self.state[c])) for i, c in enumerate(self.columns)}
+        return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+
+    def answers(self, asked: DataFrame, own: list[str]) -> DataFrame:
+        """One row per question: its columns and ``v<i>`` where it lacks column i."""
+        hashed = F.xxhash64(*[F.coalesce(F.col(c), F.lit(0.0)) for c in own], *[F.col(c).isNull() for c in own])
+        sizes = [max(1, -(-d.count() // n)) for d, n in ((asked, self.QUESTIONS), (self.rows, self.CANDIDATES))]
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        mine = asked.select("*", F.pmod(hashed, F.lit(sizes[0])).cast("long").alias("a"), every(sizes[1]).alias("b"))
+        theirs = self.rows.select("*", hashed.alias("h"), F.pmod(hashed, F.lit(sizes[1])).cast("long").alias("b"), every(sizes[0]).alias("a"))
+        k = self.k
+        schema = ", ".join([*[f"{c} double" for c in own], "j int, d double, v double, n long, h long"])
+        near = mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(lambda q, r: nearest(q, r, own, k), schema)
+        by = Window.partitionBy(*own, "j").orderBy("d", "h")
+        # k candidates are enough; fewer where counts already make up k rows.
+        near = near.withColumn("i", F.row_number().over(by)).where(F.col("i") <= k)
+        near = near.withColumn("before", F.sum("n").over(by) - F.col("n")).where(F.col("before") < k)
+        w = F.least("n", F.lit(k) - F.col("before")) * (F.lit(1.0) if self.weights == "uniform" else 1 / F.greatest("d", F.lit(1e-12)))
+        mean = near.groupBy(*own, "j").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+        return mean.groupBy(*own).agg(*[F.max(F.when(F.col("j") == i, F.col("v"))).alias(f"v{i}") for i in range(len(own))])
+
+
+def nearest(q: pd.DataFrame, r: pd.DataFrame, own: list[str], k: int) -> pd.DataFrame:
+    """Of one block of rows, the k nearest to each question that have what it lacks."""
+    r = r.sort_values("h", kind="stable")
+    ref, ask, n, h = r[own].to_numpy(dtype=float), q[own].to_numpy(dtype=float), r["n"].to_numpy(), r["h"].to_numpy()
+    out = []
+    for start in range(0, len(ask) if len(ref) else 0, 64):
+        x = ask[start : start + 64]
+        far, shared = np.zeros((len(x), len(ref))), np.zeros((len(x), len(ref)))
+        for i in range(len(own)):
+            gap = x[:, i, None] - ref[None, :, i]
+            both = ~np.isnan(gap)
+            far += np.where(both, gap, 0.0) ** 2
+            shared += both
+        far = np.where(shared > 0, np.sqrt(far * len(own) / np.maximum(shared, 1)), np.inf)
+        for j in range(len(own)):
+            has = np.flatnonzero(~np.isnan(ref[:, j]))
+            for i in np.flatnonzero(np.isnan(x[:, j])) if len(has) else ():
+                d = far[i, has]
+                edge = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                at = np.flatnonzero((d <= edge) & np.isfinite(d))
+                at = at[np.argsort(d[at], kind="stable")[:k]]
+                out += [(*x[i], j, d[t], ref[has[t], j], n[has[t]], h[has[t]]) for t in at]
+    out = pd.DataFrame(out, columns=[*own, "j", "d", "v", "n", "h"])
+    return out.astype({c: "float64" for c in (*own, "d", "v")} | {"j": "int32", "n": "int64", "h": "int64"})
 
 
 class Bounds(InPlace):
@@ -136,7 +185,7 @@ class Bounds(InPlace):
 
     def aggregates(self, df):
         at = (0.25, 0.75) if self.method == "iqr" else (self.low, self.high)
-        return {c: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(x) for x in at])) for c in self.columns}
+        return {c: Quantile(F.col(c), at) for c in self.columns}
 
     def limits(self, c: str) -> tuple[float | None, float | None]:
         if self.state[c] is None:

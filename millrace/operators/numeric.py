@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
+from millrace.functions.quantiles import Quantile
 from millrace.operators.base import Operator, maybe_broadcast, register, run_aggregates
 
 PAIR_NAMES = {"multiply": "{a}_x_{b}", "divide": "{a}_div_{b}", "add": "{a}_plus_{b}", "subtract": "{a}_minus_{b}", "ratio": "{a}_ratio_{b}"}
@@ -164,7 +165,7 @@ class Bins(Operator):
 
     def aggregates(self, df):
         if self.strategy == "quantile":
-            return {c: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / self.n) for i in range(self.n + 1)])) for c in self.columns}
+            return {c: Quantile(F.col(c), tuple(i / self.n for i in range(self.n + 1))) for c in self.columns}
         return {c: F.array(F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))) for c in self.columns}
 
     def edges(self, c: str) -> list[float]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
+from millrace.functions.quantiles import Quantile
 from millrace.operators.base import run_aggregates
 from millrace.operators.temporal import percent_rank, stamp
 
@@ -107,7 +108,7 @@ def healthcare(df: DataFrame, weight=None, height=None, age=None, systolic=None,
         s, d = F.col(systolic).cast("double"), F.col(diastolic).cast("double")
         new |= {"health_pulse_pressure": s - d, "health_mean_pressure": d + (s - d) / 3, "health_bp_category": F.when((s < 120) & (d < 80), "normal").when((s < 130) & (d < 80), "elevated").when((s < 140) | (d < 90), "stage1").when(s.isNotNull() & d.isNotNull(), "stage2")}
     if labs:
-        st = run_aggregates(df, {f"{c}|{k}": f for c in labs for k, f in (("m", F.avg(c)), ("s", F.stddev_samp(c)), ("q", F.percentile(F.col(c).cast("double"), F.array(F.lit(0.01), F.lit(0.99)))))})
+        st = run_aggregates(df, {f"{c}|{k}": f for c in labs for k, f in (("m", F.avg(c)), ("s", F.stddev_samp(c)), ("q", Quantile(F.col(c), (0.01, 0.99))))})
         for c in labs:
             lo, hi = st[f"{c}|q"] or (None, None)
             new |= {f"health_{c}_zscore": (F.col(c) - F.lit(st[f"{c}|m"])) / F.lit(st[f"{c}|s"] or 1.0), f"health_{c}_critical": ((F.col(c) < lo) | (F.col(c) > hi)).cast("int")}
@@ -131,7 +132,7 @@ def iot(df: DataFrame, sensor: str, order: list[str], by: list[str] | None = Non
 
 
 def marketing(df: DataFrame, revenue: str, frequency: str, recency: str) -> DataFrame:
-    s = run_aggregates(df, {"q": F.percentile(F.col(revenue).cast("double"), F.lit(0.75)), "m": F.avg(revenue), "sd": F.stddev_samp(revenue)})
+    s = run_aggregates(df, {"q": Quantile(F.col(revenue), 0.75), "m": F.avg(revenue), "sd": F.stddev_samp(revenue)})
     out = df
     for c in (revenue, frequency, recency):
         out = percent_rank(out, c)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import scalar as S
 from millrace.functions import stats
+from millrace.functions.quantiles import Quantile
 from millrace.operators.base import numeric_columns, run_aggregates, string_columns, time_columns
 from millrace.operators.temporal import stamp
 from millrace.operators.text import words
@@ -62,11 +63,16 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None, percentiles
     rows = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
     long = df.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     v = F.col("v")
-    return long.groupBy("column").agg(
+    moments = long.groupBy("column").agg(
         F.count("*").alias("rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        *[F.percentile(v, F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles],
-        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), F.count_distinct(v).alias("distinct"),
+        F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
     )
+    distinct = long.where(v.isNotNull()).groupBy("column", "v").agg(F.lit(1).alias("k")).groupBy("column").agg(F.count("*").alias("distinct"))
+    ranked = run_aggregates(df, {c: Quantile(F.col(c), tuple(percentiles)) for c in cols})
+    found = [(c, *(ranked[c] or [None] * len(percentiles))) for c in cols]
+    middle = df.sparkSession.createDataFrame(found, ", ".join(["column string", *[f"p{round(100 * p)} double" for p in percentiles]]))
+    whole = moments.join(F.broadcast(middle), "column").join(F.broadcast(distinct), "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    return whole.select("column", "rows", "n", "mean", "std", "min", "max", *middle.columns[1:], "skew", "kurtosis", "zeros", "negatives", "distinct")
 
 
 def profile_categorical(df: DataFrame, column: str) -> DataFrame:
@@ -215,7 +221,7 @@ def psi(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int =
     side, the last bin closed, values outside in none (but in the total)."""
     v = {c: F.col(c).cast("double") for c in columns}
     if strategy == "quantile":
-        edges = {c: sorted(set(e or [])) for c, e in run_aggregates(expected, {c: F.percentile(v[c], F.array(*[F.lit(i / bins) for i in range(bins + 1)])) for c in columns}).items()}
+        edges = {c: sorted(set(e or [])) for c, e in run_aggregates(expected, {c: Quantile(v[c], tuple(i / bins for i in range(bins + 1))) for c in columns}).items()}
     else:
         s = run_aggregates(expected, {f"{c}|{k}": f(v[c]) for c in columns for k, f in (("lo", F.min), ("hi", F.max))})
         edges = {c: S.even_edges(s[f"{c}|lo"] or 0.0, s[f"{c}|hi"] or 0.0, bins) for c in columns}
@@ -381,7 +387,7 @@ def generalize(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
 def parity(df: DataFrame, protected: str, column: str) -> DataFrame:
     """Range of group means over their largest size (demographic parity), and
     the ratio of the least to the largest share above the overall median."""
-    middle = df.agg(F.median(column)).first()[0]
+    middle = run_aggregates(df, {"m": Quantile(F.col(column), 0.5)})["m"]
     g = df.where(F.col(protected).isNotNull()).groupBy(protected).agg(F.avg(column).alias("m"), F.avg((F.col(column) > F.lit(middle)).cast("double")).alias("s"))
     return g.agg(S.ratio(F.max("m") - F.min("m"), F.max(F.abs("m")), 0.0).alias("parity_gap"), S.ratio(F.min("s"), F.max("s"), 0.0).alias("impact_ratio"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.functions import stats
+from millrace.functions.quantiles import Quantile
 from millrace.operators.base import Operator, numeric_columns, run_aggregates
 
 
@@ -211,7 +212,7 @@ class Statistical(Selector):
             self.scores[c], self.p_values[c] = x, stats.chi2_sf(x, len(groups) - 1)
 
     def information(self, df, target):
-        edges = run_aggregates(df, {c: F.percentile(F.coalesce(v, F.lit(0.0)), F.array(*[F.lit(i / self.bins) for i in range(1, self.bins)])) for c, v in doubles(df, self.columns).items()})
+        edges = run_aggregates(df, {c: Quantile(F.coalesce(v, F.lit(0.0)), tuple(i / self.bins for i in range(1, self.bins))) for c, v in doubles(df, self.columns).items()})
         v = doubles(df, self.columns)
         binned = [F.struct(F.lit(c).alias("c"), sum(((F.coalesce(v[c], F.lit(0.0)) >= e).cast("int") for e in sorted(set(edges[c] or []))), F.lit(0)).alias("b")) for c in self.columns]
         cells = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*binned)).alias("x")).groupBy("x.c", "x.b", "y").agg(F.count("*").alias("n")).collect()

@@ -424,7 +424,7 @@ def missing_patterns(spark, sf):
 @query()
 def knn_impute(spark, sf):
     df = read(spark, sf, "lineitem").select(*LINE, F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("q"), "l_extendedprice", "l_discount")
-    return out(cleaning.NeighbourImpute(["q", "l_extendedprice", "l_discount"], sample=500).fit(df).transform(df))
+    return out(cleaning.NeighbourImpute(["q", "l_extendedprice", "l_discount"]).fit(df).transform(df))
 
 
 @query("""with q as (select quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b, quantile_cont(o_totalprice, 0.01) lo, quantile_cont(o_totalprice, 0.99) hi from orders)

@@ -13,6 +13,7 @@ paths agree. Plain sentences (``ratio of a to b``) become features too.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from millrace.operators import selection
 
 #: Spark SQL of each transform: {a}, {b} are columns, others are parameters.
+#: Values of the whole table or of a group are subqueries, which are aggregated
+#: in parts and joined back; ``bin`` ranks all rows in one task.
 TEMPLATES = {
     "log": "ln(greatest({a}, 0) + 1)",
     "log1p": "ln(1 + greatest({a}, 0))",
@@ -29,8 +32,8 @@ TEMPLATES = {
     "square": "({a}) * ({a})",
     "reciprocal": "1.0 / nullif({a}, 0)",
     "abs": "abs({a})",
-    "standard_scale": "({a} - avg({a}) over ()) / nullif(stddev_samp({a}) over (), 0)",
-    "min_max_scale": "({a} - min({a}) over ()) / nullif(max({a}) over () - min({a}) over (), 0)",
+    "standard_scale": "({a} - (select avg({a}) from {source})) / nullif((select stddev_samp({a}) from {source}), 0)",
+    "min_max_scale": "({a} - (select min({a}) from {source})) / nullif((select max({a}) - min({a}) from {source}), 0)",
     "bin": "ntile({bins}) over (order by {a})",
     "multiply": "({a}) * ({b})",
     "divide": "({a}) / nullif({b}, 0)",
@@ -50,9 +53,9 @@ TEMPLATES = {
     "diff": "{a} - lag({a}, {periods}) over (partition by {by} order by {order})",
     "rolling_mean": "avg({a}) over (partition by {by} order by {order} rows between {before} preceding and current row)",
     "rolling_std": "stddev_samp({a}) over (partition by {by} order by {order} rows between {before} preceding and current row)",
-    "frequency": "count({a}) over (partition by {a}) / nullif(count({a}) over (), 0)",
-    "target": "(sum({y}) over (partition by {a}) + {smoothing} * avg({y}) over ()) / (count({y}) over (partition by {a}) + {smoothing})",
-    "group_mean": "avg({a}) over (partition by {by})",
+    "frequency": "coalesce((select count(*) from {source} g where g.{a} = s.{a}), 0) / nullif((select count({a}) from {source}), 0)",
+    "target": "((select sum({y}) from {source} g where g.{a} <=> s.{a}) + {smoothing} * (select avg({y}) from {source})) / ((select count({y}) from {source} g where g.{a} <=> s.{a}) + {smoothing})",
+    "group_mean": "(select avg({a}) from {source} g where {same})",
 }
 DEFAULTS = {"bins": 10, "periods": 1, "window": 7, "smoothing": 10.0, "value": 0}
 
@@ -64,17 +67,19 @@ class Feature:
     columns: list[str]
     params: dict[str, Any] = field(default_factory=dict)
 
-    def sql(self) -> str:
+    def sql(self, source: str = "source_data") -> str:
+        """An expression over ``source``, whose rows are called ``s``."""
         if self.transform not in TEMPLATES:
             raise ValueError(f"unknown transform: {self.transform}")
         q = [f"`{c}`" for c in self.columns]
         p = DEFAULTS | self.params
         names = lambda v: ", ".join(f"`{x}`" for x in ([v] if isinstance(v, str) else v or []))
+        same = " and ".join(f"g.`{x}` <=> s.`{x}`" for x in ([p["by"]] if isinstance(p.get("by"), str) else p.get("by") or []))
         text = TEMPLATES[self.transform]
         for need in ("b", "by", "order", "y"):
-            if f"{{{need}}}" in text and not (len(q) > 1 if need == "b" else p.get("target" if need == "y" else need)):
+            if (f"{{{need}}}" in text or need == "by" and "{same}" in text) and not (len(q) > 1 if need == "b" else p.get("target" if need == "y" else need)):
                 raise ValueError(f"{self.name}: {self.transform} needs {need}")
-        return text.format(a=q[0], b=q[1] if len(q) > 1 else "", by=names(p.get("by")), order=names(p.get("order")), y=names(p.get("target")), before=int(p["window"]) - 1, **{k: v for k, v in p.items() if k in ("bins", "periods", "smoothing", "value")})
+        return text.format(a=q[0], b=q[1] if len(q) > 1 else "", by=names(p.get("by")), order=names(p.get("order")), y=names(p.get("target")), source=source, same=same, before=int(p["window"]) - 1, **{k: v for k, v in p.items() if k in ("bins", "periods", "smoothing", "value")})
 
 
 @dataclass
@@ -108,12 +113,16 @@ def parse(source: str | dict) -> Spec:
 
 def to_sql(spec: Spec, source: str = "source_data") -> str:
     """One SELECT over the named view."""
-    return "SELECT *, " + ", ".join(f"{f.sql()} AS `{f.name}`" for f in spec.features) + f" FROM {source}"
+    return "SELECT *, " + ", ".join(f"{f.sql(source)} AS `{f.name}`" for f in spec.features) + f" FROM {source} AS s"
 
 
 def apply(df: DataFrame, spec: Spec) -> DataFrame:
     """The features as columns of ``df``, and the selection on them."""
-    out = df.withColumns({f.name: F.expr(f.sql()) for f in spec.features})
+    view = f"declared_{uuid.uuid4().hex}"
+    new = {f.name for f in spec.features}
+    out = run_sql(df.sparkSession, df, spec, view).toDF(*df.columns, *[f"|{f.name}" for f in spec.features])
+    df.sparkSession.catalog.dropTempView(view)
+    out = out.select(*[f"`{c}`" for c in df.columns if c not in new], *[F.col(f"`|{f.name}`").alias(f.name) for f in spec.features])
     if spec.selection:
         methods = {"variance": selection.Variance, "correlation": selection.Correlation, "vif": selection.Multicollinearity, "quasi_constant": selection.QuasiConstant, "statistical": selection.Statistical, "importance": selection.Importance}
         args = {k: v for k, v in spec.selection.items() if k != "method"}

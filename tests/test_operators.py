@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import stats
+from millrace.functions import quantiles, stats
 from millrace.operators import base, categorical, cleaning, graph, numeric, profiling, relational, selection, temporal, text
 from millrace.plans import dsl
 from millrace.sources import io
@@ -113,6 +113,46 @@ def test_knn_impute(small):
     assert None not in one(out, "a") and None not in one(out, "b")
 
 
+@pytest.mark.parametrize("weights", ["uniform", "distance"])
+def test_knn_impute_by_brute_force(spark, monkeypatch, weights):
+    """All rows are candidates, in many small blocks; repeated rows count as often as they are there."""
+    monkeypatch.setattr(cleaning.NeighbourImpute, "QUESTIONS", 30)
+    monkeypatch.setattr(cleaning.NeighbourImpute, "CANDIDATES", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x = np.concatenate([x, x[:20], x[:20], np.full((2, 3), np.nan)])
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "id int, p double, q double, `c0` double")
+    out = cleaning.NeighbourImpute(["p", "q", "c0"], k=4, weights=weights).fit(df).transform(df)
+    assert out.columns == df.columns
+    got = np.array([r[1:] for r in out.orderBy("id").collect()])
+    want = x.copy()
+    for i, j in zip(*np.nonzero(np.isnan(x))):
+        both = ~np.isnan(x) & ~np.isnan(x[i])
+        shared = both.sum(axis=1)
+        d = np.sqrt(np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) * 3 / np.maximum(shared, 1))
+        d[(shared == 0) | np.isnan(x[:, j])] = np.inf
+        near = [t for t in np.argsort(d, kind="stable")[:4] if np.isfinite(d[t])]
+        w = None if weights == "uniform" else 1 / np.maximum(d[near], 1e-12)
+        want[i, j] = np.average(x[near, j], weights=w) if near else np.nanmean(x[:, j])
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("keep, accuracy", [(4096, 10_000), (3, 20), (40, 100)])
+def test_quantiles_are_exact(spark, monkeypatch, keep, accuracy):
+    """Equal to the percentile over all values, however often intervals are narrowed."""
+    monkeypatch.setattr(quantiles, "KEEP", keep)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng, at = np.random.default_rng(3), (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    for n in (0, 1, 2, 700):
+        rows = [(float(rng.normal()), float(rng.integers(0, 4)), None if i % 3 else math.nan if i % 2 else float(i)) for i in range(n)]
+        df = spark.createDataFrame(rows, "`a|1` double, b double, c double")
+        cols = {c: F.col(f"`{c}`") for c in df.columns}
+        got = base.run_aggregates(df, {c: quantiles.Quantile(v, at) for c, v in cols.items()} | {"m": quantiles.Quantile(cols["b"], 0.5), "n": F.count("b")})
+        want = df.agg(*[F.percentile(v, F.array(*map(F.lit, at))).alias(c) for c, v in cols.items()], F.median("b").alias("m"), F.count("b").alias("n")).first().asDict()
+        assert repr(got) == repr(want)
+
+
 def test_text_counts(spark):
     df = spark.createDataFrame([("Über 12 Äpfel! Ja.",), (None,), ("",)], "t string")
     r = text.TextBasic(["t"]).fit_transform(df).collect()
@@ -190,6 +230,19 @@ def test_sentences_and_dsl(small):
         dsl.parse({"features": [{"transform": "log"}]})
 
 
+def test_declared_values_of_whole_tables(spark):
+    df = spark.createDataFrame([(1.0, "x", 1.0), (2.0, "x", 0.0), (None, "y", 1.0), (4.0, None, None), (5.0, None, 1.0)], "a double, g string, y double")
+    made = [("z", "standard_scale", "a", {}), ("m", "min_max_scale", "a", {}), ("f", "frequency", "g", {}), ("t", "target", "g", {"target": "y"}), ("gm", "group_mean", "a", {"by": ["g"]}), ("a", "square", "a", {})]
+    out = dsl.apply(df, dsl.parse({"features": [{"name": n, "transform": t, "columns": [c], **more} for n, t, c, more in made]}))
+    want = df.selectExpr(
+        "g", "y", "(a - avg(a) over ()) / stddev_samp(a) over () as z", "(a - min(a) over ()) / (max(a) over () - min(a) over ()) as m", "count(g) over (partition by g) / count(g) over () as f",
+        "(sum(y) over (partition by g) + 10 * avg(y) over ()) / (count(y) over (partition by g) + 10) as t", "avg(a) over (partition by g) as gm", "a * a as a",
+    )
+    assert out.columns == want.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_store_and_operators(spark, small, tmp_path):
     s = io.FeatureStore(spark, str(tmp_path / "store"))
     s.register("f", "id", {"a": "double"})
