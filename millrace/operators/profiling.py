@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from millrace.functions import scalar as S
 from millrace.functions import stats
 from millrace.functions.quantiles import Quantile
-from millrace.operators.base import numeric_columns, run_aggregates, string_columns, time_columns
+from millrace.operators.base import maybe_broadcast, numeric_columns, run_aggregates, string_columns, time_columns
 from millrace.operators.temporal import stamp
 from millrace.operators.text import words
 
@@ -345,13 +345,25 @@ def private_histogram(df: DataFrame, column: str, lo: float, hi: float, bins: in
     return [max(0.0, n.get(i, 0) + laplace(1 / epsilon, rng)) for i in range(bins)]
 
 
-def federated(df: DataFrame, party: str, column: str, lo: float, hi: float, epsilon: float | None = 1.0, seed: int = 42) -> dict[str, float]:
-    """Mean and deviation from one noisy sum per party."""
-    v, rng = S.clip(F.col(column).cast("double"), lo, hi), random.Random(seed)
-    parts = df.groupBy(party).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q")).orderBy(party).collect()
-    noise = (lambda w: laplace(w / epsilon, rng)) if epsilon else (lambda w: 0.0)
-    n, s, q = sum(r["n"] for r in parts), sum(r["s"] + noise(hi - lo) for r in parts), sum(r["q"] + noise(max(lo * lo, hi * hi)) for r in parts)
-    return {"mean": s / n, "std": math.sqrt(max(0.0, q / n - (s / n) ** 2))}
+def federated(df: DataFrame, party: str, column: str, lo: float, hi: float, epsilon: float | None = 1.0, seed: int | None = None) -> dict[str, float | None]:
+    """Mean and deviation from two noisy sums per party, of which each spends
+    half of epsilon. Noise is drawn afresh unless a seed is given; sums are
+    taken over parties in Spark, as a party's noise is a column (the difference
+    of two exponential draws). Without values both are null."""
+    v = S.clip(F.col(column).cast("double"), lo, hi)
+    parts = df.groupBy(party).agg(F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q"))
+
+    seeds = random.Random(seed) if seed is not None else random.SystemRandom()
+
+    def noise(width: float):
+        draw = lambda: F.ln(1 - F.rand(seeds.getrandbits(62)))
+        return (draw() - draw()) * (2 * width / epsilon) if epsilon else F.lit(0.0)
+
+    told = parts.select("n", (F.col("s") + noise(max(abs(lo), abs(hi)))).alias("s"), (F.col("q") + noise(max(lo * lo, hi * hi))).alias("q"))
+    r = told.agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).first()
+    if not r["n"]:
+        return {"mean": None, "std": None}
+    return {"mean": r["s"] / r["n"], "std": math.sqrt(max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2))}
 
 
 def k_anonymity(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -405,7 +417,7 @@ def residualize(df: DataFrame, column: str, protected: str) -> DataFrame:
     rank, if it is text) leaves."""
     if protected in string_columns(df):
         code = df.select(F.col(protected).alias("_k")).where("_k is not null").distinct().withColumn("_x", (F.row_number().over(Window.orderBy("_k")) - 1).cast("double"))
-        df = df.join(F.broadcast(code), F.col(protected) == F.col("_k"), "left").drop("_k")
+        df = df.join(maybe_broadcast(code), F.col(protected) == F.col("_k"), "left").drop("_k")
     else:
         df = df.withColumn("_x", F.col(protected).cast("double"))
     y = F.col(column).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators.base import numeric_columns, string_columns
+from millrace.operators.base import numeric_columns, run_aggregates, string_columns
 from millrace.operators.temporal import stamp
 
 AGGREGATES = {
@@ -82,9 +82,12 @@ def primary_key(df: DataFrame, endings=("_id", "id", "key", "_key")) -> str | No
     """A unique column without nulls, those named like a key first."""
     if not df.columns:
         return None
-    found = df.agg(F.count("*").alias("|n"), *[F.count_distinct(c).alias(c) for c in df.columns]).first().asDict()
-    unique = [c for c in df.columns if found[c] == found["|n"] and found["|n"]]
-    return next((c for c in unique if c.lower().endswith(tuple(endings))), unique[0] if unique else None)
+    # Approximate counts screen the columns in one pass; only likely keys are grouped, one by one.
+    named = {f"{i}|{k}": f(F.col(f"`{c}`")) for i, c in enumerate(df.columns) for k, f in (("n", F.count), ("d", lambda v: F.approx_count_distinct(v, 0.02)))}
+    s = run_aggregates(df, {"n": F.count("*")} | named)
+    likely = [c for i, c in enumerate(df.columns) if s["n"] and s[f"{i}|n"] == s["n"] and s[f"{i}|d"] >= 0.9 * s["n"]]
+    likely.sort(key=lambda c: not c.lower().endswith(tuple(endings)))
+    return next((c for c in likely if df.groupBy(f"`{c}`").count().where("count > 1").isEmpty()), None)
 
 
 def detect(tables: dict[str, DataFrame], least: float = 0.8, prefix: bool = True) -> list[Relationship]:
@@ -127,7 +130,10 @@ def synthesize(graph: Graph, target: str, aggregates=("sum", "mean", "count"), d
         for e in graph.parents(table) if left else []:
             if e.parent in seen:
                 continue
-            up = build(e.parent, left - 1, (*seen, table)).dropDuplicates([e.parent_key])
+            up = build(e.parent, left - 1, (*seen, table))
+            # Of rows that share a key the least one counts, whatever the order they come in.
+            rest = [c for c in up.columns if c != e.parent_key]
+            up = up.groupBy(e.parent_key).agg(F.min(F.struct(*rest)).alias("_r")).select(e.parent_key, "_r.*") if rest else up.distinct()
             df = df.join(up.select(F.col(e.parent_key).alias("_k"), *[F.col(c).alias(f"{table}__{e.parent}__{c}") for c in up.columns if c not in (e.parent_key, *ignore)]), F.col(e.child_key) == F.col("_k"), "left").drop("_k")
         for e in graph.children(table) if left else []:
             if e.child in seen:
@@ -156,27 +162,53 @@ def synthesize(graph: Graph, target: str, aggregates=("sum", "mean", "count"), d
 
 
 def path_aggregate(graph: Graph, path: list[str], columns: list[str] | None = None, aggregates=("count", "mean", "sum", "min", "max", "std")) -> DataFrame:
-    """Left joins along ``path``, summed up by the first table's key."""
-    first = graph.edge(path[0], path[1])
-    key = first.parent_key if first.parent == path[0] else first.child_key
-    df = graph.tables[path[0]].select(key)
-    at = {path[0]: key}
+    """Values of the last table of ``path``, summed up by the first one's key.
+
+    From the leaf on, a table's rows are summed up by the key that leads to the
+    table before it, so no join multiplies rows. Medians, modes, skewness and
+    numbers of distinct values cannot be merged: asked for one of these, the
+    rows themselves are joined.
+    """
+    links = []
     for a, b in zip(path, path[1:], strict=False):
         e = graph.edge(a, b)
-        here, there = (e.parent_key, e.child_key) if e.parent == a else (e.child_key, e.parent_key)
-        right = graph.tables[b].select(*[F.col(c).alias(f"{b}|{c}") for c in graph.tables[b].columns])
-        df = df.join(right, F.col(f"{a}|{here}" if a != path[0] else here) == F.col(f"{b}|{there}"), "left")
-        at[b] = there
-    last = path[-1]
+        links.append((e.parent_key, e.child_key) if e.parent == a else (e.child_key, e.parent_key))
+    key, last = links[0][0], path[-1]
     skip = {x.parent_key for x in graph.edges} | {x.child_key for x in graph.edges}
     columns = columns or [c for c in numeric_columns(graph.tables[last]) if c not in skip]
-    named = []
-    for c in columns:
-        v = F.col(f"{last}|{c}").cast("double")
-        for f in aggregates:
-            value = F.count(v) if f == "count" else AGGREGATES[f](v)
-            named.append(F.coalesce(value, F.lit(0)).alias(f"{'_'.join(path[1:])}_{c}_{f}"))
-    return df.groupBy(key).agg(*named)
+    name = lambda c, f: f"{'_'.join(path[1:])}_{c}_{f}"
+    if set(aggregates) - {"count", "mean", "sum", "min", "max", "std"}:
+        df = graph.tables[path[0]].select(F.col(key).alias("_first"), F.col(key).alias("_at"))
+        for i, (_, there) in enumerate(links):
+            right = graph.tables[path[i + 1]]
+            onward = links[i + 1][0] if i + 1 < len(links) else there
+            right = right.select(F.col(there).alias("_k"), F.col(onward).alias("_on"), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns) if right is graph.tables[last]])
+            df = df.join(right, F.col("_at") == F.col("_k"), "left").drop("_at", "_k").withColumnRenamed("_on", "_at")
+        made = [F.coalesce(F.count(f"_v{j}") if f == "count" else AGGREGATES[f](F.col(f"_v{j}")), F.lit(0)).alias(name(c, f)) for j, c in enumerate(columns) for f in aggregates]
+        return df.groupBy(F.col("_first").alias(key)).agg(*made)
+    value = {c: F.col(c).cast("double") for c in columns}
+    # Deviations are taken from the whole table's mean, so that squares of large values don't cancel.
+    middle = run_aggregates(graph.tables[last], {c: F.avg(v) for c, v in value.items()}) if "std" in aggregates else {}
+    parts = {}
+    for j, c in enumerate(columns):
+        v, d = value[c], value[c] - F.lit(middle.get(c) or 0.0)
+        parts |= {f"n{j}": v.isNotNull().cast("long"), f"s{j}": v, f"d{j}": d, f"q{j}": d * d, f"lo{j}": v, f"hi{j}": v}
+    merge = [(F.min if p.startswith("lo") else F.max if p.startswith("hi") else F.sum)(p).alias(p) for p in parts]
+    summed = graph.tables[last].select(F.col(links[-1][1]).alias("_k"), *[x.alias(p) for p, x in parts.items()]).groupBy("_k").agg(*merge)
+    for i in range(len(links) - 1, -1, -1):
+        back = links[i - 1][1] if i else key
+        rows = graph.tables[path[i]].select(F.col(links[i][0]).alias("_h"), F.col(back).alias("_b"))
+        summed = rows.join(summed, F.col("_h") == F.col("_k"), "left").groupBy("_b").agg(*merge).withColumnRenamed("_b", "_k")
+    made = []
+    for j, c in enumerate(columns):
+        n, total = F.coalesce(F.col(f"n{j}"), F.lit(0)), F.coalesce(F.col(f"s{j}"), F.lit(0.0))
+        spread = F.greatest(F.col(f"q{j}") - F.col(f"d{j}") * F.col(f"d{j}") / n, F.lit(0.0)) / (n - 1)
+        of = {
+            "count": n, "sum": total, "mean": F.when(n > 0, total / n).otherwise(0.0), "std": F.when(n > 1, F.sqrt(spread)).otherwise(0.0),
+            "min": F.coalesce(F.col(f"lo{j}"), F.lit(0.0)), "max": F.coalesce(F.col(f"hi{j}"), F.lit(0.0)),
+        }
+        made += [of[f].alias(name(c, f)) for f in aggregates]
+    return summed.select(F.col("_k").alias(key), *made)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, columns: list[str], tolerance: float | None = None) -> DataFrame:

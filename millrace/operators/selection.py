@@ -8,12 +8,12 @@ import math
 import random
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.functions import stats
-from millrace.functions.quantiles import Quantile
+from millrace.functions.quantiles import Quantile, average_ranks
 from millrace.operators.base import Operator, numeric_columns, run_aggregates
 
 
@@ -112,18 +112,6 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
     return s["xy"] / math.sqrt(s["xx"] * s["yy"]) if s["xx"] and s["yy"] else None
 
 
-def average_ranks(counts: DataFrame, slices: int = 64) -> DataFrame:
-    """``v, rank`` of ``counts`` (v, k): the average rank of the k rows that
-    have v. Slices of the value range are ranked apart and set off by the
-    number of rows before them."""
-    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / slices) for i in range(1, slices)]))).first()[0] or []
-    cells = counts.withColumn("p", sum(((F.col("v") >= q).cast("int") for q in sorted(set(cuts))), F.lit(0)))
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
-    offsets = cells.groupBy("p").agg(F.sum("k").alias("t")).withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    run = cells.withColumn("c", F.sum("k").over(Window.partitionBy("p").orderBy("v"))).join(F.broadcast(offsets), "p")
-    return run.select("v", (F.col("o") + F.col("c") - (F.col("k") - 1) / 2).alias("rank"))
-
-
 class Correlation(Selector):
     """Of a pair above the threshold one goes: the later, the earlier, that of
     the smaller variance, or that less correlated with the target."""

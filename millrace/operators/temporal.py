@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import scalar as S
-from millrace.operators.base import Operator, numeric_columns, register, time_columns
+from millrace.functions.quantiles import average_ranks
+from millrace.operators.base import Operator, maybe_broadcast, numeric_columns, register, time_columns
 
 PARTS = {
     "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "quarter": F.quarter,
@@ -227,10 +228,16 @@ class Cumulative(Ordered):
 
 
 def percent_rank(df: DataFrame, c: str, by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``<c>_rank``, the average rank of ties over the group's size."""
-    by = by or []
-    over, ties, group = Window.partitionBy(*by).orderBy(c), Window.partitionBy(*by, c), Window.partitionBy(*by)
-    return df.withColumn(f"{c}_rank", S.percent_rank_average(F.col(c), over, ties) / F.count(c).over(group))
+    """``df`` with ``<c>_rank``, the average rank of ties over the number of
+    values; null without a value. Without a group, values are counted first and
+    ranked in slices of their range, and the ranks join back."""
+    if by:
+        over, ties, group = Window.partitionBy(*by).orderBy(F.col(c).asc_nulls_last()), Window.partitionBy(*by, c), Window.partitionBy(*by)
+        return df.withColumn(f"{c}_rank", F.when(F.col(c).isNotNull(), S.percent_rank_average(F.col(c), over, ties) / F.count(c).over(group)))
+    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    total = counts.agg(F.sum("k")).first()[0] or 1
+    ranks = average_ranks(counts).select(F.col("v").alias("_v"), (F.col("rank") / total).alias(f"{c}_rank"))
+    return df.join(maybe_broadcast(ranks), F.col(c).cast("double") == F.col("_v"), "left").drop("_v")
 
 
 def exponential(df: DataFrame, columns: list[str], by: list[str], order: list[str], spans: Sequence[int]) -> DataFrame:

@@ -7,6 +7,9 @@ have no SQL and are tested by themselves.
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
 import zlib
 from collections.abc import Callable
 
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import arrays, base, categorical, cleaning, graph, numeric, packs, profiling, relational, selection, temporal, text
+from millrace.operators import arrays, base, categorical, cleaning, graph, monitoring, numeric, packs, profiling, relational, selection, temporal, text
 from millrace.plans import dsl
 from millrace.plans.auto import AutoFeatures
 from millrace.sources import io
@@ -239,7 +242,25 @@ def embeddings_of_categories(spark, sf):
     return out(df, "c_custkey", *[f"c_mktsegment_emb_{i}" for i in range(3)])
 
 
-@query()
+def _layers(columns, layers=2, seed=0):
+    """The layers' formulas over z-scores z0, z1, ...: weights come from the seed."""
+    rng, k, made, names = random.Random(seed), len(columns), [], []
+    prev = [f"z{i}" for i in range(k)]
+    for layer in range(1, layers + 1):
+        weights = [[rng.gauss(0, 1) / math.sqrt(k) for _ in range(k)] for _ in range(k)]
+        shifts = [rng.gauss(0, 0.01) for _ in range(k)]
+        mixed = ["(" + " + ".join(f"{w!r}::double * {p}" for w, p in zip(row, prev, strict=True)) + ")" for row in weights]
+        prev = [f"cross_L{layer}_d{d}" for d in range(k)]
+        made.append(", ".join(f"z{d} * {mixed[d]} + {shifts[d]!r}::double + {mixed[d]} as {prev[d]}" for d in range(k)))
+        names += prev
+    z = ", ".join(f"coalesce(({c} - avg({c}) over ()) / stddev_samp({c}) over (), 0) as z{i}" for i, c in enumerate(columns))
+    sql = f"select {LKEY}, {z} from lineitem"
+    for m in made:
+        sql = f"select *, {m} from ({sql})"
+    return f"select {', '.join(LINE)}, {', '.join(f'round({n}, 6) as {n}' for n in names)} from ({sql})"
+
+
+@query(_layers(["l_quantity", "l_discount", "l_tax"]))
 def cross_layers(spark, sf):
     df = numeric_only = categorical.CrossLayers(["l_quantity", "l_discount", "l_tax"]).fit_transform(read(spark, sf, "lineitem"))
     return out(df, *LINE, *[c for c in numeric_only.columns if c.startswith("cross_")])
@@ -530,7 +551,13 @@ def orphans(spark, sf):
     return out(_graph(spark, sf).orphans())
 
 
-@query()
+def _reference(edge):
+    parent, pk, child, fk = edge
+    return f"""select '{parent}' as parent, '{pk}' as parent_key, '{child}' as child, '{fk}' as child_key, confidence from
+    (select avg(({fk} in (select {pk} from {parent}))::int)::double as confidence from (select distinct {fk} from {child} where {fk} is not null)), (select count(*) = count(distinct {pk}) as sole from {parent}) where sole and confidence >= 0.8"""
+
+
+@query(" union all ".join(map(_reference, [("region", "r_regionkey", "nation", "n_regionkey"), ("nation", "n_nationkey", "customer", "c_nationkey"), ("customer", "c_custkey", "orders", "o_custkey")])))
 def detect_relationships(spark, sf):
     found = relational.detect({n: read(spark, sf, n) for n in ("region", "nation", "customer", "orders")})
     return spark.createDataFrame([(r.parent, r.parent_key, r.child, r.child_key, r.confidence) for r in found] or [("", "", "", "", 0.0)], "parent string, parent_key string, child string, child_key string, confidence double")
@@ -584,24 +611,53 @@ def histogram(spark, sf):
     return out(profiling.histogram(read(spark, sf, "lineitem"), "l_extendedprice"), "bin", "n")
 
 
-@query()
+_LINE_REST = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _kind(c):
+    truth = " or ".join(f"(lo in ({v}) and hi in ({v}))" for v in ("'true', 'false'", "'0', '1'", "'yes', 'no'", "'y', 'n'", "'t', 'f'"))
+    return f"""select '{c}' as "column", case when n = 0 then 'unknown' when t in ('TIMESTAMP', 'DATE') or t = 'VARCHAR' and whens > 0.9 and nums <= 0.9 then 'datetime' when t = 'BOOLEAN' or d <= 2 and ({truth}) then 'boolean'
+    when t in ('BIGINT', 'INTEGER', 'DOUBLE') or t = 'VARCHAR' and nums > 0.9 then 'numeric' when d > 50 and len > 50 then 'text' else 'categorical' end as kind
+    from (select count({c}) n, count(distinct {c}) d, any_value(typeof({c})) t, avg((try_cast({c}::varchar as double) is not null)::int) nums, avg((try_cast({c}::varchar as timestamp) is not null)::int) whens, avg(length({c}::varchar)) len, min(lower({c}::varchar)) lo, max(lower({c}::varchar)) hi from lineitem)"""
+
+
+@query(" union all ".join(map(_kind, [*LINE, *_LINE_REST])))
 def inferred_types(spark, sf):
     found = profiling.infer_types(read(spark, sf, "lineitem"))
     return spark.createDataFrame(sorted(found.items()), "column string, kind string")
 
 
-@query()
+def _issues(c):
+    many = f"""union all select '{c}', 'cardinality', d::double, 'low' from m where d > 100 and t = 'VARCHAR'"""
+    return f"""select * from (with m as (select count(*) n, count(*) - count({c}) gone, count(distinct {c}) d, any_value(typeof({c})) t from lineitem)
+    select '{c}' as "column", 'missing' as issue, (gone / n)::double as value, case when gone / n > 0.7 then 'high' else 'medium' end as severity from m where gone / n > 0.3 union all select '{c}', 'constant', 1.0, 'medium' from m where d <= 1 {many})"""
+
+
+def _far(c):
+    leak = "" if c == "l_extendedprice" else f"""union all select '{c}', 'leakage', round(r, 6), 'high' from (select corr({c}, l_extendedprice) r from lineitem) where abs(r) > 0.95"""
+    return f"""select * from (select '{c}', 'outliers', round(x, 6), 'low' from (select avg((abs({c} - m) > 3 * s)::int) x from lineitem, (select avg({c}) m, stddev_samp({c}) s from lineitem)) where x > 0.01 {leak})"""
+
+
+@query(" union all ".join([*map(_issues, [*LINE, *_LINE_REST]), *map(_far, [*LINE, *_LINE_REST[:4]])]))
 def quality_issues(spark, sf):
     found = profiling.quality(read(spark, sf, "lineitem"), "l_extendedprice")
-    return spark.createDataFrame([(i["column"], i["issue"], float(i["value"]), i["severity"]) for i in found] or [("", "", 0.0, "")], "column string, issue string, value double, severity string")
+    return spark.createDataFrame([(i["column"], i["issue"], round(float(i["value"]), 6), i["severity"]) for i in found], "column string, issue string, value double, severity string")
 
 
-@query()
+def _broken(c):
+    """Bounds of the cheaper orders that all orders break; half the range and
+    one and a half deviations of the mean are allowed."""
+    return f"""select * from (with a as (select min({c})::double lo, max({c})::double hi, avg({c}) m, stddev_samp({c}) s from orders where o_totalprice < 100000), b as (select min({c})::double lo, max({c})::double hi, avg({c}) m from orders)
+    select '{c}' as "column", 'min_value' as "check", round(b.lo, 4) as value from a, b where b.lo < a.lo - (a.hi - a.lo) * 0.5
+    union all select '{c}', 'max_value', round(b.hi, 4) from a, b where b.hi > a.hi + (a.hi - a.lo) * 0.5 union all select '{c}', 'mean_range', round(b.m, 4) from a, b where abs(b.m - a.m) > a.s * 1.5)"""
+
+
+@query(" union all ".join(map(_broken, ["o_orderkey", "o_custkey", "o_totalprice"])))
 def contract_violations(spark, sf):
     orders = read(spark, sf, "orders")
     c = profiling.make_contract(orders.where("o_totalprice < 100000"))
     found = profiling.check_contract(orders, profiling.Contract.from_json(c.to_json()))
-    return spark.createDataFrame([(str(v["column"]), v["check"], str(v["value"])) for v in found] or [("", "", "")], "column string, check string, value string")
+    return spark.createDataFrame([(v["column"], v["check"], round(float(v["value"]), 4)) for v in found], "column string, check string, value double")
 
 
 _PSI_E = "quantile_cont(l_quantity, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])"
@@ -674,6 +730,50 @@ def experiment(spark, sf):
     return spark.createDataFrame([(r["variant"], r["difference"], r["t"], r["p"]) for r in profiling.compare_variants(df, "variant", "o_totalprice", "a")], "variant string, difference double, t double, p double")
 
 
+_SIDE = "select '{c}' as \"column\", count(*) as rows_{k}, (count(*) - count({c}))::bigint as nulls_{k}, avg({c}) as mean_{k}, stddev_samp({c}) as std_{k}, min({c})::double as min_{k}, max({c})::double as max_{k} from orders where year(o_orderdate) {cond}"
+
+
+def _compared(c):
+    a, b = (_SIDE.format(c=c, k=k, cond=cond) for k, cond in (("before", "< 1996"), ("after", ">= 1996")))
+    both = ", ".join(f"round({x}_{k}, 4) as {x}_{k}" for k in ("before", "after") for x in ("mean", "std", "min", "max"))
+    return f"""select a."column", rows_before, nulls_before, rows_after, nulls_after, {both}, round(mean_after - mean_before, 4) as mean_change from ({a}) a, ({b}) b"""
+
+
+@query(" union all ".join(map(_compared, ["o_orderkey", "o_custkey", "o_totalprice"])))
+def compared_frames(spark, sf):
+    orders = read(spark, sf, "orders")
+    return out(monitoring.compare_frames(orders.where("year(o_orderdate) < 1996"), orders.where("year(o_orderdate) >= 1996")), digits=4)
+
+
+@query("select count(*) as rows, count(*) filter (where v) as trues, count(*) filter (where not v) as falses, count(*) filter (where v is null) as nulls, round(avg(v::int), 6) as true_share from (select nullif(l_returnflag, 'N') = 'R' as v from lineitem)")
+def profile_boolean(spark, sf):
+    return out(monitoring.profile_boolean(read(spark, sf, "lineitem").select((F.nullif("l_returnflag", F.lit("N")) == "R").alias("v")), "v"))
+
+
+@query("""with m as (select o_orderpriority as variant, avg(o_totalprice) as mean from orders group by 1), c as (select mean as base from m where variant = '1-URGENT')
+select variant, 'o_totalprice' as metric, round(mean, 4) as mean, kind, bound from m, c, (values ('min', 252000.0::double), ('max', 255000.0::double), ('max_drop', 0.001::double)) as r(kind, bound)
+where kind = 'min' and mean < bound or kind = 'max' and mean > bound or kind = 'max_drop' and variant <> '1-URGENT' and (base - mean) / abs(base) > bound""")
+def guardrails(spark, sf):
+    bounds = {"o_totalprice": {"min": 252_000, "max": 255_000, "max_drop": 0.001}}
+    return out(monitoring.guardrails(read(spark, sf, "orders"), "o_orderpriority", bounds, "1-URGENT"), digits=4)
+
+
+_PATHS = ["count", "mean", "sum", "min", "max", "std"]
+_PATH_SQL = {"count": "count(l_discount)", "mean": "coalesce(avg(l_discount), 0)", "sum": "coalesce(sum(l_discount), 0)", "min": "coalesce(min(l_discount), 0)", "max": "coalesce(max(l_discount), 0)", "std": "coalesce(stddev_samp(l_discount), 0)"}
+
+
+@query(f"select n_nationkey::bigint as n_nationkey, {', '.join(f'round({v}, 4)::double as customer_orders_lineitem_l_discount_{k}' if k != 'count' else f'{v} as customer_orders_lineitem_l_discount_count' for k, v in _PATH_SQL.items())} from nation left join customer on n_nationkey = c_nationkey left join orders on c_custkey = o_custkey left join lineitem on o_orderkey = l_orderkey group by 1")
+def path_of_four(spark, sf):
+    """Along three joins, every aggregate, leaf first."""
+    g = relational.Graph({n: read(spark, sf, n) for n in ("nation", "customer", "orders", "lineitem")}, [relational.Relationship("nation", "n_nationkey", "customer", "c_nationkey"), relational.Relationship("customer", "c_custkey", "orders", "o_custkey"), relational.Relationship("orders", "o_orderkey", "lineitem", "l_orderkey")])
+    return out(relational.path_aggregate(g, ["nation", "customer", "orders", "lineitem"], ["l_discount"], _PATHS), digits=4)
+
+
+@query("select event_id, round((rank() over (order by value) + (count(*) over (partition by value) - 1) / 2) / count(value) over (), 6) as value_rank from events where value is not null union all select event_id, null from events where value is null")
+def percent_ranks_of_all(spark, sf):
+    return out(temporal.percent_rank(read(spark, sf, "events"), "value"), "event_id", "value_rank")
+
+
 # Selection
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -717,12 +817,32 @@ def chi_square(spark, sf):
     return _scores(spark, selection.Statistical(_NUM, "chi2", k=2).fit(read(spark, sf, "lineitem"), "l_returnflag"))
 
 
-@query()
+_PAIRS = "select " + ", ".join(f"corr({_NUM[i]}, {_NUM[j]}) r{i}{j}" for i, j in itertools.combinations(range(4), 2)) + " from lineitem"
+
+
+def _minor(without=None):
+    """The determinant of the correlations, or of those without one column:
+    inflation is the quotient of the two."""
+    of = [i for i in range(4) if i != without]
+    terms = []
+    for p in itertools.permutations(of):
+        odd = sum(p[i] > p[j] for i, j in itertools.combinations(range(len(p)), 2)) % 2
+        terms.append(("- " if odd else "+ ") + " * ".join(["1.0", *[f"r{min(a, b)}{max(a, b)}" for a, b in zip(of, p, strict=True) if a != b]]))
+    return f"(0.0 {' '.join(terms)})"
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", round({_minor(i)} / {_minor()}, 4) as score from ({_PAIRS})" for i, c in enumerate(_NUM)))
 def inflation(spark, sf):
     return _scores(spark, selection.Multicollinearity(_NUM).fit(read(spark, sf, "lineitem")))
 
 
-@query()
+def _information(c):
+    return f"""select * from (with q as (select list_distinct(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) e from lineitem), x as (select len(list_filter(e, lambda t: {c} >= t)) b, l_returnflag y from lineitem, q where l_returnflag is not null),
+    k as (select b, y, count(*) n from x group by all), w as (select n, sum(n) over (partition by b) pb, sum(n) over (partition by y) py, sum(n) over () t from k)
+    select '{c}' as "column", round(sum(n / t * ln(n * t / (pb * py))), 4) as score from w)"""
+
+
+@query(" union all ".join(map(_information, _NUM)))
 def mutual_information(spark, sf):
     return _scores(spark, selection.Statistical(_NUM, "mutual_info", k=2).fit(read(spark, sf, "lineitem"), "l_returnflag"))
 
