@@ -628,19 +628,19 @@ def inferred_types(spark, sf):
 
 
 def _issues(c):
-    many = f"""union all select '{c}', 'cardinality', d::double, 'low' from m where d > 100 and t = 'VARCHAR'"""
+    many = f"""union all select '{c}', 'cardinality', d::double, 'low' from m where d > 2 and t = 'VARCHAR'"""
     return f"""select * from (with m as (select count(*) n, count(*) - count({c}) gone, count(distinct {c}) d, any_value(typeof({c})) t from lineitem)
     select '{c}' as "column", 'missing' as issue, (gone / n)::double as value, case when gone / n > 0.7 then 'high' else 'medium' end as severity from m where gone / n > 0.3 union all select '{c}', 'constant', 1.0, 'medium' from m where d <= 1 {many})"""
 
 
 def _far(c):
     leak = "" if c == "l_extendedprice" else f"""union all select '{c}', 'leakage', round(r, 6), 'high' from (select corr({c}, l_extendedprice) r from lineitem) where abs(r) > 0.95"""
-    return f"""select * from (select '{c}', 'outliers', round(x, 6), 'low' from (select avg((abs({c} - m) > 3 * s)::int) x from lineitem, (select avg({c}) m, stddev_samp({c}) s from lineitem)) where x > 0.01 {leak})"""
+    return f"""select * from (select '{c}', 'outliers', round(x, 6), 'low' from (select avg((abs({c} - m) > 1.7 * s)::int) x from lineitem, (select avg({c}) m, stddev_samp({c}) s from lineitem)) where x > 0.01 {leak})"""
 
 
 @query(" union all ".join([*map(_issues, [*LINE, *_LINE_REST]), *map(_far, [*LINE, *_LINE_REST[:4]])]))
 def quality_issues(spark, sf):
-    found = profiling.quality(read(spark, sf, "lineitem"), "l_extendedprice")
+    found = profiling.quality(read(spark, sf, "lineitem"), "l_extendedprice", z=1.7, many=2)
     return spark.createDataFrame([(i["column"], i["issue"], round(float(i["value"]), 6), i["severity"]) for i in found], "column string, issue string, value double, severity string")
 
 
