@@ -146,6 +146,8 @@ def parse(pieces: Iterator[bytes], payload: bool) -> Iterator[tuple]:
     are hashed on from chunk to chunk."""
     stream, sha, head, total = _Stream(pieces), hashlib.sha256(), {}, 0
     while (block := stream.until(END.encode())) is not None:
+        if not block and not stream.held and not stream.more():
+            return  # the rest of a last payload's own line end, see ``read``
         lines = block.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
@@ -201,7 +203,8 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
             if out:
                 yield rows(out)
 
-    # Spark inflates a compressed archive as it goes and hands it over in order, cut at empty lines.
+    # Spark inflates a compressed archive as it goes and hands it over in order, cut at empty lines. If the last payload ends in
+    # a line end, that is left over behind the last cut and looks like one more line: then four bytes too many are put back.
     files = spark.read.option("lineSep", END).text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("value"))
     return files.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, segment long, chunk long, last boolean, payload_bytes long, digest string, data binary")
 
