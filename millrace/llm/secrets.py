@@ -47,16 +47,21 @@ LABELLED, TREES, DEPTH, SECRET = 20_000, 20, 6, 0.5
 BEFORE, AFTER = 32, 16
 #: A word is in the dictionary that is in so many documents, or one in so many; buckets for paths and for words around.
 OFTEN, RARE, BUCKETS = 3, 20_000, 64
+#: Letters' runs of candidates, at most, that are broadcast to the texts.
+WANTED = 200_000
 NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private)"
 #: Made-up values: within the candidate itself, and as a whole word right before it.
 MADE_UP = r"(?i)example|sample|dummy|placeholder|x{6,}|(?<![A-Za-z0-9])(test|fake)(?![A-Za-z0-9])"
 MADE_UP_BESIDE = r"(?i)(?<![\w@.+\-])(example|sample|dummy|placeholder|test|fake)[\s\"':=]{1,3}$"
+#: Words that decide labels, hence no feature.
+LABEL_WORDS = NAMES + "|example|sample|dummy|placeholder|test|fake|xxxxxx"
 MASK = "[SECRET]"
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """One row per candidate: ``doc_id, text_hash, path, nth, start`` (characters
-    of the text before it), ``candidate, before, after``."""
+    of the text before it), ``candidate, before, context, after``; ``context``
+    is what is before the candidate without the name it is assigned to."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path).alias("path"), "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("name", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)))
@@ -69,6 +74,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
             (F.char_length(F.get("between", i)) + F.when(i > 0, F.char_length(F.get("found", i - 1)["value"])).otherwise(0) + F.char_length(c["head"])).cast("long").alias("step"),
             c["value"].alias("candidate"),
             F.right(F.concat(F.get("between", i), c["head"]), F.lit(BEFORE)).alias("before"),
+            F.right(F.get("between", i), F.lit(BEFORE)).alias("context"),
             F.left(F.get("between", i + 1), F.lit(AFTER)).alias("after"),
         ),
     )
@@ -108,11 +114,15 @@ def by_format(c: Column, before: Column) -> Column:
     return F.when(made_up, 0).when(secret, 1).when(plain, 0)
 
 
-def dictionary(docs: DataFrame) -> DataFrame:
-    """``run``: whole words that are in enough of all documents."""
+def dictionary(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``run``: whole words that are in enough of all documents, of those in ``wanted``."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9])[a-z]{3,}(?![a-z0-9])"), F.lit(0)))
     least = max(OFTEN, docs.count() // RARE)
-    return docs.select(F.explode(words).alias("run")).groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("run")
+    each, few = docs.select(F.explode(words).alias("run")), wanted.limit(WANTED + 1).count() <= WANTED
+    if few:  # else every word is counted, in parts, before it meets the others
+        each = each.join(F.broadcast(wanted), "run", "left_semi")
+    often = each.groupBy("run").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("run")
+    return often if few else often.join(wanted, "run", "left_semi")
 
 
 def features(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,7 +137,7 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("runs", F.array_distinct(F.regexp_extract_all(F.lower("candidate"), F.lit(r"[a-z]{3,}"), F.lit(0))))
     rows = checkpoint(rows)
     runs = checkpoint(rows.select(F.explode("runs").alias("run")).distinct())
-    often = checkpoint(dictionary(docs).join(broadcast_up_to(runs, 200_000), "run", "left_semi"))
+    often = checkpoint(dictionary(docs, runs))
     known = rows.select("id", F.explode("runs").alias("run")).join(broadcast_up_to(often, 200_000), "run")
     covered = known.groupBy("id").agg(F.sum(F.char_length("run")).cast("double").alias("covered"))
     rows = rows.join(covered, "id", "left").fillna(0.0, ["covered"])
@@ -148,7 +158,11 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
         "path_test": F.regexp_like(F.coalesce("path", F.lit("")), F.lit(r"(?i)(test|example|fixture|mock|doc|sample)")).cast("double"),
     }
     rows = rows.withColumns({f"f_{k}": F.coalesce(v, F.lit(0.0)) for k, v in values.items()})
-    rows = rows.withColumn("near", F.slice(F.reverse(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("before"), F.lit(r"[a-z]{3,}"), F.lit(0)))), 1, 2))
+    # Two words on each side; those that may have decided the label are passed over.
+    around = [F.regexp_extract_all(F.lower(c), F.lit(r"[a-z]{3,}"), F.lit(0)) for c in ("context", "after")]
+    before, after = (F.filter(w, lambda x: ~F.regexp_like(x, F.lit(LABEL_WORDS))) for w in around)
+    near = F.concat(F.slice(F.reverse(before), 1, 2), F.transform(F.slice(after, 1, 2), lambda x: F.concat(F.lit("> "), x)))
+    rows = rows.withColumn("near", F.concat(F.array(F.lit("")), near))
     rows = rows.withColumn("folder", F.array(F.regexp_replace(F.coalesce("path", F.lit("")), r"[0-9]+", "0")))
     for column, out in (("near", "h_near"), ("folder", "h_folder")):
         rows = HashingTF(inputCol=column, outputCol=out, numFeatures=BUCKETS, binary=True).transform(rows)
