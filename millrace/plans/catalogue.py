@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-import zlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +21,7 @@ from millrace.operators import arrays, base, categorical, cleaning, graph, monit
 from millrace.plans import dsl
 from millrace.plans.auto import AutoFeatures
 from millrace.sources import io
-from millrace.streaming import stateful
+from millrace.streaming import sketches, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1006,12 +1006,46 @@ def session_windows(spark, sf):
 
 @query("""select user_id, count(value) as n, round(avg(value), 9) as mean, round(stddev_samp(value), 5) as std from events group by 1""")
 def streamed_moments(spark, sf):
+    rows = sketches.latest(_streamed(spark, sf, lambda df: stateful.running(df, "user_id", "value")), ["user_id"])
+    return out(rows.select("user_id", "n", "mean", F.round("std", 5).alias("std")), digits=9)
+
+
+def _streamed(spark, sf, made):
+    """The table that a stream of the events leaves in the shared folder."""
+    at = f"{io.shared_folder(spark)}/stream-{uuid.uuid4()}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    df = io.read_stream(spark, f"{sf}/events.parquet*", schema, 8)
-    name = f"running_{zlib.crc32(sf.encode())}"
-    rows = stateful.run_available(stateful.running(df, "user_id", "value"), name)
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "std"), "n").alias("x")).select("user_id", "x.*")
-    return out(last.withColumn("std", F.round("std", 5)), digits=9)
+    return sketches.write_table(made(io.read_stream(spark, f"{sf}/events.parquet*", schema, 8)), f"{at}/table", f"{at}/checkpoint")
+
+
+@query("""select user_id, strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d') as day, count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from events where value is not null group by 1, 2""")
+def streamed_day_quantiles(spark, sf):
+    """Small groups: the sketch holds all values, so quantiles are exact."""
+    table = _streamed(spark, sf, lambda df: sketches.quantiles(df, ["user_id"], "value", (0.5, 0.9), "ts", "1 day", "400 days"))
+    rows = sketches.latest(table, ["user_id", "window_start"])
+    return out(rows.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90")))
+
+
+@query("""select event_type, count(value) as n, 1::bigint as p50_near, 1::bigint as p90_near from events where value is not null group by 1""")
+def streamed_quantiles(spark, sf):
+    """Large groups: the sketch's quantiles have the wanted rank among all values, up to the bound of the sketch."""
+    rows = sketches.latest(_streamed(spark, sf, lambda df: sketches.quantiles(df, ["event_type"], "value", (0.5, 0.9))), ["event_type"])
+    bound = sketches.rank_error(sketches.MOST)
+    both = read(spark, sf, "events").where("value is not null").join(F.broadcast(rows), "event_type")
+    shares = both.groupBy("event_type", "n").agg(*[f(F.avg((F.col("value") < F.col("q")[k]).cast("double")), F.avg((F.col("value") <= F.col("q")[k]).cast("double"))) for k, f in enumerate([
+        lambda low, high, p=p, name=name: ((low - bound <= p) & (high + bound >= p)).cast("long").alias(name) for p, name in ((0.5, "p50_near"), (0.9, "p90_near"))])])
+    return out(shares)
+
+
+@query("""with t as (select event_type, count(*) as t from events group by 1), c as (select event_type, user_id::varchar as item, count(*) as n from events group by 1, 2)
+select event_type, item, n, 1::bigint as bounded from c join t using (event_type) where n > t / 41.0""")
+def streamed_frequent(spark, sf):
+    """Items that the sketch has to hold, with their exact counts and whether these are within its bounds."""
+    rows = sketches.latest(_streamed(spark, sf, lambda df: sketches.frequent(df, ["event_type"], "user_id", most=40)), ["event_type"])
+    events = read(spark, sf, "events").select("event_type", F.col("user_id").cast("string").alias("item"))
+    exact = events.groupBy("event_type", "item").agg(F.count("*").alias("n"))
+    total = events.groupBy("event_type").agg(F.count("*").alias("t"))
+    found = rows.join(exact, ["event_type", "item"]).join(total, "event_type").where(F.col("n") > F.col("t") / 41)
+    return out(found.select("event_type", "item", "n", F.col("n").between(F.col("at_least"), F.col("at_most")).cast("long").alias("bounded")))
 
 
 # Results that other queries show in part

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,6 +35,23 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, file
     return spark.readStream.format(_format(path)).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. If
+    the session names none, a local folder serves where they are one process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+    return sc.getCheckpointDir()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", kind: str | None = None) -> dict:
     """Writes and says what was written, and how."""
     kind = kind or _format(path)
