@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.functions import stats
+from millrace.functions.concordance import kendall
 from millrace.functions.quantiles import Quantile, average_ranks
 from millrace.operators.base import Operator, numeric_columns, run_aggregates
 
@@ -112,16 +113,30 @@ def rank_correlation(df: DataFrame, a: str, b: str) -> float | None:
     return s["xy"] / math.sqrt(s["xx"] * s["yy"]) if s["xx"] and s["yy"] else None
 
 
+def correlation_pairs(df: DataFrame, columns: list[str], method: str = "pearson") -> dict[tuple[str, str], float]:
+    """Correlation of all pairs that have one: Pearson's, Spearman's or Kendall's tau-b."""
+    if method == "pearson":
+        return correlations(df, columns)
+    pairs = list(itertools.combinations(columns, 2))
+    if method == "kendall":
+        found = {(r["left"], r["right"]): r["tau"] for r in kendall(df, pairs).collect()} if pairs else {}
+    elif method == "spearman":
+        found = {p: rank_correlation(df, *p) for p in pairs}
+    else:
+        raise ValueError(f"method is pearson, spearman or kendall, not {method}")
+    return {p: found[p] for p in pairs if found[p] is not None}
+
+
 class Correlation(Selector):
     """Of a pair above the threshold one goes: the later, the earlier, that of
     the smaller variance, or that less correlated with the target."""
 
-    def __init__(self, columns=None, threshold=0.95, keep="first"):
+    def __init__(self, columns=None, threshold=0.95, keep="first", method="pearson"):
         super().__init__(columns)
-        self.threshold, self.keep = threshold, keep
+        self.threshold, self.keep, self.method = threshold, keep, method
 
     def choose(self, df, target):
-        r = correlations(df, self.columns)
+        r = correlation_pairs(df, self.columns, self.method)
         weight: dict[str, float] = {}
         if self.keep == "higher_variance":
             weight = run_aggregates(df, {c: F.var_samp(v) for c, v in doubles(df, self.columns).items()})

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import concordance
 from millrace.operators import arrays, base, categorical, cleaning, graph, monitoring, numeric, packs, profiling, relational, selection, temporal, text
 from millrace.plans import dsl
 from millrace.plans.auto import AutoFeatures
@@ -1089,6 +1090,19 @@ def sliding_windows(spark, sf):
     return out(df.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "sum"), digits=4)
 
 
+_TAU = [("l_quantity", "l_discount"), ("l_discount", "l_tax"), ("l_quantity", "l_tax"), ("l_linenumber", "l_quantity")]
+
+
+@query(" union all ".join(f"""select '{a}' as "left", '{b}' as "right", n, round((n * (n - 1) / 2 - tx - ty + txy - 2 * d) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 9) as tau from (
+with c as (select {a} x, {b} y, count(*) k from lineitem where {a} is not null and {b} is not null group by 1, 2),
+xs as (select x, sum(k) k from c group by 1), ys as (select y, sum(k) k from c group by 1)
+select (select sum(k)::bigint from c) n, (select sum(k * (k - 1) / 2) from c) txy, (select sum(k * (k - 1) / 2) from xs) tx, (select sum(k * (k - 1) / 2) from ys) ty,
+  (select sum(p.k::double * q.k) from c p join c q on p.x < q.x and p.y > q.y) d)""" for a, b in _TAU))
+def rank_concordance(spark, sf):
+    """Kendall's tau-b."""
+    return out(concordance.kendall(read(spark, sf, "lineitem"), _TAU), digits=9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
