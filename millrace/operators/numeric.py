@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.functions.quantiles import Quantile
+from millrace.operators.aggregates import DECLARED, Reduced, group_mode, group_quantile, reduced
 from millrace.operators.base import Operator, maybe_broadcast, register, run_aggregates
 
 PAIR_NAMES = {"multiply": "{a}_x_{b}", "divide": "{a}_div_{b}", "add": "{a}_plus_{b}", "subtract": "{a}_minus_{b}", "ratio": "{a}_ratio_{b}"}
@@ -244,6 +245,8 @@ class Scale(Operator):
 
 def group_aggregate(name: str, c: Column) -> Column:
     """Aggregates by name; sample variance, exact median."""
+    if name in DECLARED:
+        return DECLARED[name](c.cast("double"))
     c = c if name in ("nunique", "count", "mode", "first", "last") else c.cast("double")
     return {
         "mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "count": F.count,
@@ -255,7 +258,10 @@ def group_aggregate(name: str, c: Column) -> Column:
 @register("aggregate", "numeric", "statistics of a row's group")
 class GroupStatistics(Operator):
     """Group by ``by``; statistics of ``columns`` join back to every row. Null
-    keys are no group. The fitted table is broadcast if it is small."""
+    keys are no group. The fitted table is broadcast if it is small.
+
+    ``functions``: names, also of own aggregates, or ``Reduced`` ones. Medians
+    and modes are found without a task that holds a group."""
 
     def __init__(self, by, columns=None, functions=("mean", "sum", "std"), prefix=None, separate=False):
         super().__init__(columns)
@@ -268,8 +274,19 @@ class GroupStatistics(Operator):
     def fit(self, df, target=None):
         self.columns = self.pick(df)
         start = f"{self.prefix}_" if self.prefix else ""
-        named = [group_aggregate(f, F.col(c)).alias(f"{start}{'_'.join(self.by)}_{c}_{f}") for c in self.columns for f in self.functions]
-        self.table = df.dropna(subset=self.by).groupBy(*self.by).agg(*named)
+        name = lambda c, f: f"{start}{'_'.join(self.by)}_{c}_{getattr(f, 'name', f)}"
+        apart = lambda f: isinstance(f, Reduced) or f in ("median", "mode")
+        rows, each = df.dropna(subset=self.by), [(c, f) for c in self.columns for f in self.functions]
+        named = [group_aggregate(f, F.col(c)).alias(name(c, f)) for c, f in each if not apart(f)]
+        self.table = rows.groupBy(*self.by).agg(*named) if named else rows.select(*self.by).distinct()
+        for c, f in each:
+            if isinstance(f, Reduced):
+                self.table = self.table.join(reduced(rows, self.by, c, f, name(c, f)), self.by, "left")
+            elif f == "median":
+                self.table = self.table.join(group_quantile(rows, self.by, c, 0.5, name(c, f)), self.by, "left")
+            elif f == "mode":
+                self.table = self.table.join(group_mode(rows, self.by, c, name(c, f)), self.by, "left")
+        self.table = self.table.select(*self.by, *[name(c, f) for c, f in each])
         self.state = {}
         return self
 

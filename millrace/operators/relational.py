@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
+from millrace.operators.aggregates import DECLARED
 from millrace.operators.base import numeric_columns, run_aggregates, string_columns
 from millrace.operators.temporal import stamp
 
@@ -17,6 +18,13 @@ AGGREGATES = {
     "mode": lambda c: F.mode(c, True), "median": F.median, "percent_true": lambda c: F.avg(c.cast("double")),
     "skew": lambda c: F.when(F.count(c) > 2, F.skewness(c) * F.sqrt(F.count(c) * (F.count(c) - 1)) / (F.count(c) - 2)),
 }
+
+
+def _named(name: str):
+    """An aggregate by its name, also one of the user's own."""
+    return AGGREGATES[name] if name in AGGREGATES else DECLARED[name]
+
+
 TRANSFORMS = {
     "log": lambda c: S.log1p(c), "sqrt": lambda c: F.sqrt(S.clip(c, 0.0, None)), "square": lambda c: c * c, "abs": F.abs, "negate": lambda c: -c,
     "year": lambda c: F.year(stamp(c)), "month": lambda c: F.month(stamp(c)), "day": lambda c: F.dayofmonth(stamp(c)), "weekday": lambda c: F.weekday(stamp(c)), "is_weekend": lambda c: (F.weekday(stamp(c)) >= 5).cast("int"),
@@ -142,7 +150,7 @@ def synthesize(graph: Graph, target: str, aggregates=("sum", "mean", "count"), d
             keys = {x.child_key for x in graph.parents(e.child)} | {x.parent_key for x in graph.children(e.child)} | set(ignore)
             named = []
             for c in (c for c in numeric_columns(down) if c not in keys):
-                named += [AGGREGATES[a](F.col(c).cast("double")).alias(f"{table}__{e.child}__{c}__{a}") for a in aggregates if a != "count"]
+                named += [_named(a)(F.col(c).cast("double")).alias(f"{table}__{e.child}__{c}__{a}") for a in aggregates if a != "count"]
             for c in (c for c in string_columns(down) if c not in keys):
                 named += [AGGREGATES[a](F.col(c)).alias(f"{table}__{e.child}__{c}__{a}") for a in aggregates if a in ("nunique", "mode")]
             if "count" in aggregates:
@@ -184,7 +192,7 @@ def path_aggregate(graph: Graph, path: list[str], columns: list[str] | None = No
             onward = links[i + 1][0] if i + 1 < len(links) else there
             right = right.select(F.col(there).alias("_k"), F.col(onward).alias("_on"), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns) if right is graph.tables[last]])
             df = df.join(right, F.col("_at") == F.col("_k"), "left").drop("_at", "_k").withColumnRenamed("_on", "_at")
-        made = [F.coalesce(F.count(f"_v{j}") if f == "count" else AGGREGATES[f](F.col(f"_v{j}")), F.lit(0)).alias(name(c, f)) for j, c in enumerate(columns) for f in aggregates]
+        made = [F.coalesce(F.count(f"_v{j}") if f == "count" else _named(f)(F.col(f"_v{j}")), F.lit(0)).alias(name(c, f)) for j, c in enumerate(columns) for f in aggregates]
         return df.groupBy(F.col("_first").alias(key)).agg(*made)
     value = {c: F.col(c).cast("double") for c in columns}
     # Deviations are taken from the whole table's mean, so that squares of large values don't cancel.

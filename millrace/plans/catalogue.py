@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import concordance
-from millrace.operators import arrays, base, categorical, cleaning, graph, monitoring, numeric, packs, profiling, relational, selection, temporal, text
+from millrace.operators import aggregates, arrays, base, categorical, cleaning, graph, loess, monitoring, numeric, packs, profiling, relational, search, selection, temporal, text
 from millrace.plans import dsl
 from millrace.plans.auto import AutoFeatures
 from millrace.sources import io
@@ -1103,6 +1103,38 @@ def rank_concordance(spark, sf):
     return out(concordance.kendall(read(spark, sf, "lineitem"), _TAU), digits=9)
 
 
+@query("""with t as (select l_suppkey, l_extendedprice::double v, row_number() over (partition by l_suppkey order by v desc) r from (select distinct l_suppkey, l_extendedprice from lineitem where l_extendedprice is not null)),
+m as (select l_suppkey, l_partkey v, row_number() over (partition by l_suppkey order by count(*) desc, l_partkey) r from lineitem where l_partkey is not null group by 1, 2)
+select l_suppkey, round(any_value(top), 4) as l_suppkey_l_extendedprice_top3, round(exp(avg(ln(l_extendedprice))), 4) as l_suppkey_l_extendedprice_geomean, round(quantile_cont(l_extendedprice, 0.5), 4) as l_suppkey_l_extendedprice_median, any_value(m.v)::bigint as l_suppkey_l_partkey_mode
+from lineitem join (select l_suppkey, sum(v) top from t where r <= 3 group by 1) using (l_suppkey) join m using (l_suppkey) where m.r = 1 group by 1""")
+def own_aggregates(spark, sf):
+    """Aggregates of the user's own, and medians and modes without a task that holds a group."""
+    lines = read(spark, sf, "lineitem")
+    prices = numeric.GroupStatistics("l_suppkey", ["l_extendedprice"], (aggregates.largest(3), "geomean", "median")).fit(lines).table
+    parts = numeric.GroupStatistics("l_suppkey", ["l_partkey"], ("mode",)).fit(lines).table
+    return out(prices.join(parts, "l_suppkey"), digits=4)
+
+
+@query()
+def seasonal_trends(spark, sf):
+    """Season and trend by local regression of the orders' daily totals, by priority."""
+    days = read(spark, sf, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
+    rows = loess.decompose_stl(days.withColumn("t", F.unix_date("day")), "total", 7, ["o_orderpriority"], ["t"], robust=True)
+    return out(rows.select("o_orderpriority", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_trend", "total_seasonal", "total_residual", "total_seasonal_strength"), digits=4)
+
+
+_HALVED = ["l_extendedprice", "l_discount", "l_quantity", "l_tax"]
+
+
+@query("with p(program, r) as (" + " union all ".join(f"select '{op}({a},{b})', abs(corr({x}, l_extendedprice::double * l_discount * (1 + l_tax))) from lineitem" for a, b in itertools.combinations(_HALVED, 2) for op, x in (("multiply", f"{a}::double * {b}"), ("add", f"{a}::double + {b}"), ("subtract", f"{a}::double - {b}"))) + ") select program, round(r, 6) as score from p order by r desc limit 1")
+def halved_programs(spark, sf):
+    """The best of all pairs, by rounds over growing nested samples; the last round is over all rows."""
+    trees = [(op, (a,), (b,)) for a, b in itertools.combinations(_HALVED, 2) for op in ("multiply", "add", "subtract")]
+    lines = read(spark, sf, "lineitem").select(*LINE, *_HALVED, (F.col("l_extendedprice").cast("double") * F.col("l_discount") * (1 + F.col("l_tax"))).alias("saved"))
+    programs = search.Programs(lines, "saved", _HALVED)
+    return out(spark.createDataFrame(search.halving(programs, trees, keep=1), "program string, score double"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
