@@ -7,13 +7,14 @@ it. Then tokens of a segment, and the places where tokens of both end, are the
 same wherever it stands.
 
 1. Each task replaces the segments of some ``BLOCK`` bytes of consecutive texts by
-   numbers; a block is its list of distinct segments and, per document, an array
-   of numbers. This is written to the shared folder; texts are not needed any more.
-2. The distinct segments of all blocks are tokenised and aligned once.
+   numbers; a block is its list of distinct segments, how often each occurs, and,
+   per document, an array of numbers. This is written to the shared folder; texts are not needed any more.
+2. The distinct segments of all blocks are tokenised and aligned once. How often ids
+   are linked in the corpus is a sum over them, less what documents hold that have
+   no tokens.
 3. Alignments are joined back to the blocks by segment (a segment occurs at most
    once in a block, so a frequent one is spread by its blocks).
-4. Documents meet their block's alignments, first to count which ids are linked
-   how often in the corpus, then to put the alignment of each document together.
+4. Documents meet their block's alignments, which are put together.
 
 A task holds a block and its list of segments, never more; one document that is
 longer than a block is a block of its own. Where the vocabularies do not allow
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import accumulate, pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from millrace.llm.common import Tables, table
 from millrace.llm.pieces import MARK, Normalizer, default_model
 from millrace.llm.token_counts import Cutter, Slice, Words, _library, byte_values, splits
 
-#: Bytes of text whose segments are numbered together; segments aligned in one go.
-BLOCK, SEGMENTS = 1 << 24, 1 << 14
+#: Bytes of text whose segments are numbered together; segments aligned in one go; pre-tokens a worker remembers; bytes of a batch of results.
+BLOCK, SEGMENTS, REMEMBERED, PART = 1 << 25, 1 << 14, 1 << 16, 1 << 22
 #: White space at which texts may be split, if the vocabularies allow it.
 BREAKS = " \t\n\x0b\x0c\r"
 #: Everything that either tokenizer may take for white space.
@@ -69,6 +70,11 @@ class Pair:
         self.second_bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(MARK, " ").encode() for p, kind in self.norm.pieces]
         self.plain = self.norm.bpe and self.norm.prefix and self.norm.escape and not (self.norm.squeeze or self.norm.suffix or self.norm.own or self.norm.map.units)
         self.breaks = self._breaks(first)
+        self.known: dict[str, list[int]] = {}
+        self.first_size = np.zeros(max(self.first_bytes) + 2, np.int64)
+        for i, b in self.first_bytes.items():
+            self.first_size[i] = len(b)
+        self.second_size = np.array([len(b) for b in self.second_bytes], np.int64)
         self.cutter, self.words = (Cutter(self.first), Words(self.first)) if self.breaks else (None, None)
         self.second = self.norm.segmenter() if self.plain else sentencepiece.SentencePieceProcessor(model_proto=self.norm.model)
 
@@ -95,38 +101,51 @@ class Pair:
     def _first_ids(self, segments: list[str]) -> list[list[int]]:
         if self.cutter is None:
             return [e.ids for e in self.first.encode_batch_fast(segments, add_special_tokens=False)]
-        s, known, out = Slice(self.cutter, segments), {}, []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        s, known, tokens, out = Slice(self.cutter, segments), self.known, self.words.tokens, []
+        words = [s.text[a:b] for a, b in zip(s.starts.tolist(), s.ends.tolist(), strict=True)]
+        for w in words:
+            if w not in known:
+                known[w] = [t.id for t in tokens(w)]
         for a, b in pairwise(s.texts_at.tolist()):
-            ids = []
-            for i in range(a, b):
-                word = s.pre_token(i)
-                if word not in known:
-                    known[word] = [t.id for t in self.words.tokens(word)]
-                ids += known[word]
-            out.append(ids)
+            out.append(known[words[a]] if b == a + 1 else [i for w in words[a:b] for i in known[w]])
         return out
 
-    def align(self, segments: list[str]) -> Iterator[tuple[bool, int, int, str, list[int]]]:
-        """Of each segment: whether both give its bytes back, numbers of tokens,
-        groups of ids as text, and the pairs of ids whose ends meet, as one number each."""
+    def align(self, segments: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Of each segment: groups of ids as text, the first one's parted by dots
+        until they are counted, None if its bytes do not come back; then all pairs of ids whose
+        ends meet, as one number each, and where each segment's begin among them."""
         a_ids = self._first_ids(segments)
         b_ids = self.second.encode([s.replace(" ", MARK) for s in segments] if self.plain else [s[1:] for s in segments], num_threads=1)
-        for segment, a, b in zip(segments, a_ids, b_ids, strict=True):
-            # A token added to the vocabulary has no bytes here; a text cannot give one.
-            a_bytes, b_bytes = [self.first_bytes.get(i, b"") for i in a], [self.second_bytes[i] for i in b]
-            data = segment.encode()
-            if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-                yield False, 0, 0, "", []
-                continue
-            a_end, b_end = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
-            at = {end: j for j, end in enumerate(b_end)}
-            groups, pairs, i0, j0 = [], [], 0, 0
-            for i, end in enumerate(a_end):
-                if (j := at.get(end)) is not None:
-                    groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-                    pairs.append(a[i] << 32 | b[j])
-                    i0, j0 = i + 1, j + 1
-            yield True, len(a), len(b), ";".join(groups), pairs
+        # A token added to the vocabulary has no bytes here; a text cannot give one.
+        a_of, b_of = lambda i: self.first_bytes.get(i, b""), self.second_bytes.__getitem__
+        data = [s.encode() for s in segments]
+        right = np.ones(len(segments), bool)
+        if b"".join(map(a_of, chain.from_iterable(a_ids))) != b"".join(data) or b"".join(map(b_of, chain.from_iterable(b_ids))) != b"".join(data):
+            right = np.fromiter((b"".join(map(a_of, a)) == d == b"".join(map(b_of, b)) for a, b, d in zip(a_ids, b_ids, data, strict=True)), bool, len(data))
+            a_ids, b_ids = ([x if r else [] for x, r in zip(ids, right.tolist(), strict=True)] for ids in (a_ids, b_ids))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        a_end, b_end = np.cumsum(self.first_size[a]), np.cumsum(self.second_size[b])
+        met, a_last, b_last = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
+        stop = np.cumsum(np.where(right, np.fromiter(map(len, data), np.int64, len(data)), 0))
+        first_link = np.concatenate([[0], np.searchsorted(met, stop, side="right")])
+        # Within the whole, a token stands behind all tokens of earlier groups, and one of the second behind its group's first.
+        a_group, b_group = np.searchsorted(met, a_end), np.searchsorted(met, b_end)
+        a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group)
+        b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
+        sign = np.full(len(a) + len(b), ".", object)
+        sign[b_at] = ","
+        sign[a_at[a_last]], sign[b_at[b_last]] = "|", ";"
+        last = first_link[1:][np.diff(first_link) > 0] - 1
+        sign[b_at[b_last[last]]] = ""
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[a_at], ids[b_at] = a, b
+        parts = [f"{i}{c}" for i, c in zip(ids.tolist(), sign.tolist(), strict=True)]
+        bounds = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        groups = ["".join(parts[i:j]) if r else None for (i, j), r in zip(pairwise(bounds), right.tolist(), strict=True)]
+        return groups, a[a_last] << 32 | b[b_last], first_link
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -138,39 +157,88 @@ def _pair(first: str, second: str) -> Pair:
     return _pairs[first, second]
 
 
+class _Numbers(dict):
+    """Numbers in the order in which segments are first asked for."""
+
+    def __missing__(self, segment: str) -> int:
+        number = self[segment] = len(self)
+        return number
+
+
+def packed(numbers: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 28 as bytes, seven bits each, the last without its highest bit."""
+    size = (1 + (numbers >= 1 << 7).view(np.uint8) + (numbers >= 1 << 14) + (numbers >= 1 << 21)).astype(np.uint8)
+    at = np.cumsum(size, dtype=np.int32) - size
+    out = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    for k in range(4):
+        some = np.flatnonzero(size > k).astype(np.int32) if k else slice(None)
+        out[at[some] + k] = numbers[some] >> 7 * k & 127 | (size[some] > k + 1) * np.uint8(128)
+    return out
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128).astype(np.int32)
+    first = np.empty_like(last)
+    first[:1], first[1:] = 0, last[:-1] + 1
+    out = (data[first] & 127).astype(np.int32)
+    for k in range(1, 4):
+        some = np.flatnonzero(last - first >= k)
+        out[some] |= (data[first[some] + k] & 127).astype(np.int32) << 7 * k
+    return out
+
+
+def _sent(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the segments of all documents, and where each document's end."""
+    column = docs.column("segments").combine_chunks()
+    lengths = np.asarray(pa.compute.binary_length(column)).astype(np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    ends = np.concatenate([[0], np.cumsum(data < 128, dtype=np.int32)])
+    return unpacked(data), ends[np.cumsum(lengths)].astype(np.int64)
+
+
 def _blocks(first: str, second: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _pair(first, second).splitter()
-        block, held, numbers = TaskContext.get().partitionId() << 32, 0, {}
-        names = ["block", "doc_id", "segments", "words"]
-
-        def words() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([list(numbers)], pa.list_(pa.string()))], names=names)
+        block, held, numbers, lists, ids = TaskContext.get().partitionId() << 32, 0, _Numbers(), [], []
+        names, none = ["block", "doc_id", "segments", "words", "times"], np.zeros(0, np.int32)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            """The documents of a block and its segments, frequent ones first: they get short numbers."""
+            flat, n = np.concatenate([none, *lists]), len(lists)
+            times = np.bincount(flat, minlength=len(numbers))
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            sizes, lists[:] = [len(x) for x in lists], []
+            data = packed(place[flat])
+            ends = np.concatenate([[0], np.cumsum(data < 128, dtype=np.int32)])
+            ends = np.searchsorted(ends, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            segments = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, pa.int64()), segments, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+            words = pa.array(list(numbers), pa.string()).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays([0, len(words)], words), pa.array([times[order]], pa.list_(pa.int64()))], names=names
+            )
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            at, lists = 0, []
-
-            def rows(end: int) -> pa.RecordBatch:
-                n = end - at  # noqa: B023
-                return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), ids.slice(at, n), pa.array(lists, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.string()))], names=names)  # noqa: B023
-
-            for k, raw in enumerate(texts):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 raw = raw.as_py() or b""
                 if held and held + len(raw) > BLOCK:
-                    yield rows(k)
-                    yield words()
-                    block, held, numbers, at, lists = block + 1, 0, {}, k, []
+                    yield from done()
+                    pa.default_memory_pool().release_unused()
+                    block, held, numbers, lists, ids = block + 1, 0, _Numbers(), [], []
                 try:
                     text = raw.decode()
                 except UnicodeDecodeError:
                     text = ""
-                lists.append(np.array([numbers.setdefault(s, len(numbers)) for s in split(" " + text)], np.int32) if text else np.zeros(0, np.int32))
+                lists.append(np.array(list(map(numbers.__getitem__, split(" " + text))), np.int32) if text else none)
+                ids.append(doc_id)
                 held += len(raw)
-            if len(ids) > at:
-                yield rows(len(ids))
-        if numbers:
-            yield words()
+        if ids:
+            yield from done()
+            numbers, lists, ids = _Numbers(), [], []
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -180,51 +248,55 @@ def _aligned(first: str, second: str) -> Callable[[Iterator[pa.RecordBatch]], It
         pair = _pair(first, second)
         for batch in batches:
             for i in range(0, len(batch), SEGMENTS):
-                part = batch.column(0).slice(i, SEGMENTS)
-                right, n_a, n_b, groups, links = zip(*pair.align(part.to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part, pa.array(right), pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(groups), pa.array(links, pa.list_(pa.int64()))],
-                    names=["segment", "right", "n_a", "n_b", "groups", "links"],
-                )
+                part, times = batch.column(0).slice(i, SEGMENTS), batch.column(1).slice(i, SEGMENTS)
+                groups, links, at = pair.align(part.to_pylist())
+                yield pa.RecordBatch.from_arrays([part, times, pa.array(groups, pa.string()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(links))], names=["segment", "times", "groups", "links"])
 
     return run
 
 
-def _whole(table: pa.Table, name: str) -> pa.Array:
-    return table.column(name).combine_chunks()
-
-
-def _linked(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """How often a block's valid documents link each pair of ids."""
-    order = np.argsort(np.asarray(_whole(words, "number")))
-    right, links = np.asarray(_whole(words, "right"))[order], _whole(words, "links").take(pa.array(order))
-    lists = _whole(docs, "segments")
-    flat, sizes = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists))
-    ends = np.cumsum(sizes)
-    wrong = np.concatenate([[0], np.cumsum(~right[flat])]) if len(flat) else np.zeros(1)
-    valid = np.repeat(wrong[ends] == wrong[ends - sizes], sizes)
-    times = np.bincount(flat[valid], minlength=len(right))
-    each = np.repeat(times, np.asarray(pa.compute.list_value_length(links)))
-    pairs, back = np.unique(np.asarray(links.flatten()), return_inverse=True)
-    n = np.bincount(back, each, len(pairs)).astype(np.int64)
-    return pa.table({"pair": pairs[n > 0], "n": n[n > 0]})
+def _left_out(docs: pa.Table, wrong: pa.Table) -> pa.Table:
+    """How often a block's documents that have a wrong segment have each segment."""
+    if not len(docs) or not len(wrong):
+        return pa.table({"home": pa.array([], pa.int64()), "number": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    flat, ends = _sent(docs)
+    so_far = np.concatenate([[0], np.cumsum(np.isin(flat, np.asarray(wrong.column("number").combine_chunks())))])
+    sizes = np.diff(np.concatenate([[0], ends]))
+    bad = so_far[ends] > so_far[ends - sizes]
+    number, n = np.unique(flat[np.repeat(bad, sizes)], return_counts=True)
+    return pa.table({"home": np.full(len(number), docs.column("block")[0].as_py()), "number": number.astype(np.int32), "n": n.astype(np.int64)})
 
 
 def _composed(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The alignment of each document of a block."""
-    order = np.argsort(np.asarray(_whole(words, "number")))
-    column = lambda name: np.asarray(_whole(words, name))[order]
-    right, groups = column("right"), _whole(words, "groups").take(pa.array(order)).to_pylist()
-    per = {name: column(name).astype(np.int64) for name in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}
-    lists = _whole(docs, "segments")
-    rows, texts = [], []
-    for numbers in lists:
-        at = np.asarray(numbers.values, np.int64)
-        good = len(at) > 0 and bool(right[at].all())
-        rows.append([int(v[at].sum()) if good else 0 for v in per.values()])
-        texts.append(";".join(map(groups.__getitem__, at.tolist())) if good else None)
-    found = dict(zip(per, np.array(rows, np.int64).reshape(-1, len(per)).T, strict=True))
-    return pa.table({"doc_id": docs.column("doc_id"), **found, "n_links": found["n_groups"], "groups": pa.array(texts, pa.string())})
+    order = np.argsort(np.asarray(words.column("number").combine_chunks()))
+    column = lambda name: np.asarray(words.column(name).combine_chunks())[order]
+    coded = words.column("groups").combine_chunks().take(pa.array(order))
+    right = np.asarray(coded.is_valid()).astype(bool)
+    count = lambda sign: np.asarray(pa.compute.count_substring(coded.fill_null(""), sign)).astype(np.int64)
+    value = {"n_groups": count(";") + 1, "n_best": column("n_best"), "count_sum": column("count_sum")}
+    value |= {"n_a": count(".") + value["n_groups"], "n_b": count(",") + value["n_groups"]}
+    groups = pa.compute.replace_substring(coded, ".", ",").to_pylist()
+    flat, ends = _sent(docs)
+    sizes = np.diff(np.concatenate([[0], ends]))
+
+    def totals(value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(sizes), np.int64)
+        some = sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(value[flat], (ends - sizes)[some], dtype=np.int64)
+        return out
+
+    good = (sizes > 0) & (totals(~right) == 0)
+    found = {name: np.where(good, totals(v), 0) for name, v in value.items()}
+    texts, part, held = [], [], 0
+    for g, n, e in zip(good.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+        part.append(";".join(map(groups.__getitem__, flat[e - n : e].tolist())) if g else None)
+        held += len(part[-1] or "")
+        if held > PART:  # a table goes back in the batches that its columns have
+            texts, part, held = [*texts, pa.array(part, pa.string())], [], 0
+    texts = pa.chunked_array([*texts, pa.array(part, pa.string())], pa.string())
+    return pa.table({"doc_id": docs.column("doc_id"), **found, "n_links": found["n_groups"], "groups": texts})
 
 
 def align(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -235,27 +307,38 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     end together: a document has as many links as groups. ``first``, ``second``:
     files of the tokenizers, the same on every executor.
     """
-    spark = docs.sparkSession
-    kept = Tables(spark)
-    coded = kept.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(first, second), "block long, doc_id long, segments array<int>, words array<string>"))
+    kept = Tables(docs.sparkSession)
+    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(first, second), "block long, doc_id long, segments binary, words array<string>, times array<long>")
+    coded = kept.keep(coded)
     rows = coded.where("segments is not null").select("block", "doc_id", "segments")
-    words = coded.where("words is not null").select("block", F.posexplode("words").alias("number", "segment"))
-    once = words.select("segment").distinct().mapInArrow(_aligned(first, second), "segment string, right boolean, n_a int, n_b int, groups string, links array<long>")
-    known = kept.keep(once.withColumn("id", F.monotonically_increasing_id()))
-    joined = kept.keep(words.join(known, "segment").drop("segment"))
+    each = coded.where("words is not null").select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("words", "times")).alias("number", "w"))
+    words = each.select("home", "number", F.col("w.words").alias("segment"), F.col("w.times").alias("times"))
+    once = words.groupBy("segment").agg(F.sum("times").alias("times"))
+    known = kept.keep(once.mapInArrow(_aligned(first, second), "segment string, times long, groups string, links array<long>"))
+
+    counted = known
+    wrong = known.where("groups is null").select("segment")
+    if not wrong.isEmpty():  # documents with such a segment have no tokens, so their others count less often
+        at = words.join(wrong, "segment").select("home", "number")
+        left_out = rows.groupBy("block").cogroup(at.groupBy("home")).applyInArrow(_left_out, "home long, number int, n long")
+        less = words.join(left_out, ["home", "number"]).groupBy("segment").agg(F.sum("n").alias("less"))
+        counted = known.join(less, "segment", "left").withColumn("times", F.col("times") - F.coalesce("less", F.lit(0)))
+    linked = counted.where("groups is not null and times > 0").select(F.explode("links").alias("pair"), "times")
+    pairs = kept.keep(linked.groupBy("pair").agg(F.sum("times").alias("n")))
+    kept.drop()
 
-    linked = rows.groupBy("block").cogroup(joined.select("block", "number", "right", "links").groupBy("block")).applyInArrow(_linked, "pair long, n long")
-    pairs = kept.keep(linked.groupBy("pair").agg(F.sum("n").alias("n")))
     second_id = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("second")
     highest = pairs.groupBy(second_id).agg(F.max("n").alias("highest"))
     rated = pairs.withColumn("second", second_id).join(highest, "second").select("pair", "n", (F.col("n") == F.col("highest")).cast("long").alias("best"))
-    # A pair of which a large share of the segments ends is dealt out by copies of its count.
+    # A pair that a large share of the segments has is dealt out by copies of its count.
     rated = rated.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    dealt = known.select("id", F.explode("links").alias("pair")).withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(COPIES)).cast("int"))
-    sums = dealt.join(rated, ["pair", "copy"]).groupBy("id").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
-    full = joined.withColumn("n_groups", F.size("links")).drop("links").join(sums, "id", "left").drop("id").fillna(0, ["count_sum", "n_best"])
+    dealt = known.select("segment", F.explode("links").alias("pair")).withColumn("copy", F.pmod(F.xxhash64("segment"), F.lit(COPIES)).cast("int"))
+    sums = dealt.join(rated, ["pair", "copy"]).groupBy("segment").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    full = kept.keep(known.select("segment", "groups").join(sums, "segment", "left").fillna(0, ["count_sum", "n_best"]))
+    kept.drop(known, pairs)
+    joined = words.drop("times").join(full, "segment").drop("segment")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, n_links long, groups string"
-    return rows.groupBy("block").cogroup(full.groupBy("block")).applyInArrow(_composed, out)
+    return rows.groupBy("block").cogroup(joined.groupBy("home")).applyInArrow(_composed, out)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,12 @@ def test_alignment_of_odd_bytes(spark):
     assert sorted((r["doc_id"], r["n_groups"]) for r in alignment.align(df, JSON, MODEL).collect()) == [(1, 0), (2, 1)]
 
 
+def test_packed_numbers():
+    x = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5])
+    assert alignment.unpacked(alignment.packed(x)).tolist() == x.tolist() and len(alignment.packed(x[:3])) == 3
+    assert len(alignment.unpacked(alignment.packed(x[:0]))) == 0
+
+
 def test_breaks():
     """Splits need what the vocabularies show; without them texts stay whole, and segments join up to them."""
     pair = alignment.Pair(JSON, MODEL)
