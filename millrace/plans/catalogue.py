@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import concordance
-from millrace.operators import aggregates, arrays, base, categorical, cleaning, graph, loess, monitoring, numeric, packs, profiling, relational, search, selection, temporal, text
+from millrace.operators import aggregates, arrays, base, categorical, cleaning, graph, lineage, loess, monitoring, numeric, packs, profiling, relational, search, selection, temporal, text
 from millrace.plans import dsl
 from millrace.plans.auto import AutoFeatures
 from millrace.sources import io
@@ -1135,6 +1135,25 @@ def halved_programs(spark, sf):
     return out(spark.createDataFrame(search.halving(programs, trees, keep=1), "program string, score double"))
 
 
+_SOURCES = {
+    "l_orderkey": ["l_orderkey"], "l_linenumber": ["l_linenumber"], "l_partkey": ["l_partkey"], "l_suppkey": ["l_suppkey"], "l_extendedprice_log1p": ["l_extendedprice"], "l_quantity_x_l_discount": ["l_quantity", "l_discount"],
+    "l_extendedprice_wins": ["l_extendedprice"], "c_mktsegment_target": ["l_extendedprice"], "o_orderdate_month_sin": ["o_orderdate"],
+}
+
+
+@query(" union all ".join(f"""select '{f}' as feature, '{s}' as source, count({s}) as n from {dict(l="lineitem", o="orders", c="customer")[s[0]]}""" for f, ss in _SOURCES.items() for s in ss))
+def feature_sources(spark, sf):
+    """The columns that the flagship's features come from, read from its plan, and how many values each of these has."""
+    store = lineage.Store(spark)
+    store.add("now", flagship(spark, sf))
+    counts = None
+    for name in ("lineitem", "orders", "customer"):
+        df = read(spark, sf, name)
+        own = df.agg(*[F.count(c).alias(c) for c in df.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("n")) for c in df.columns])))
+        counts = own if counts is None else counts.unionByName(own)
+    return out(store.ancestors().join(counts, "source").select("feature", "source", "n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
