@@ -188,12 +188,16 @@ class Statistical(Selector):
 
     def anova(self, df, target):
         named = [F.count("*").alias("|n"), *[f(F.coalesce(v, F.lit(0.0))).alias(f"{c}|{k}") for c, v in doubles(df, self.columns).items() for k, f in (("s", F.sum), ("q", lambda x: F.sum(x * x)))]]
-        groups = df.where(F.col(target).isNotNull()).groupBy(target).agg(*named).collect()
-        n, g = sum(r["|n"] for r in groups), len(groups)
+        # One row per value of the target, however many: summed up where they are.
+        groups = df.where(F.col(target).isNotNull()).groupBy(target).agg(*named)
+        col = lambda c, k: F.col(f"`{c}|{k}`")
+        sums = {f"{c}|{k}": F.sum(x) for c in self.columns for k, x in (("s", col(c, "s")), ("q", col(c, "q")), ("b", col(c, "s") ** 2 / F.col("`|n`")))}
+        r = run_aggregates(groups, {"|n": F.sum(F.col("`|n`")), "|g": F.count("*")} | sums)
+        n, g = r["|n"] or 0, r["|g"]
         for c in self.columns:
-            total, square = sum(r[f"{c}|s"] for r in groups), sum(r[f"{c}|q"] for r in groups)
-            between = sum(r[f"{c}|s"] ** 2 / r["|n"] for r in groups) - total * total / n
-            within = square - total * total / n - between
+            total, square = r[f"{c}|s"] or 0.0, r[f"{c}|q"] or 0.0
+            between = (r[f"{c}|b"] or 0.0) - total * total / max(1, n)
+            within = square - total * total / max(1, n) - between
             f = (between / (g - 1)) / (within / (n - g)) if g > 1 and n > g and within > 0 else 0.0
             self.scores[c], self.p_values[c] = f, stats.f_sf(f, g - 1, n - g) if g > 1 and n > g else 1.0
 
@@ -207,25 +211,26 @@ class Statistical(Selector):
 
     def chi2(self, df, target):
         named = [F.count("*").alias("|n"), *[F.sum(F.abs(F.coalesce(v, F.lit(0.0)))).alias(c) for c, v in doubles(df, self.columns).items()]]
-        groups = df.where(F.col(target).isNotNull()).groupBy(target).agg(*named).collect()
-        n = sum(r["|n"] for r in groups)
+        groups = df.where(F.col(target).isNotNull()).groupBy(target).agg(*named)
+        r = run_aggregates(groups, {"|n": F.sum(F.col("`|n`")), "|g": F.count("*")} | {c: F.sum(F.col(f"`{c}`")) for c in self.columns})
+        some = [c for c in self.columns if r[c]]
+        expected = {c: F.lit(r[c] / r["|n"]) * F.col("`|n`") for c in some}
+        x = run_aggregates(groups, {c: F.sum((F.col(f"`{c}`") - e) ** 2 / e) for c, e in expected.items()}) if some else {}
         for c in self.columns:
-            total = sum(r[c] for r in groups)
-            x = sum((r[c] - total * r["|n"] / n) ** 2 / (total * r["|n"] / n) for r in groups) if total else 0.0
-            self.scores[c], self.p_values[c] = x, stats.chi2_sf(x, len(groups) - 1)
+            self.scores[c] = x.get(c) or 0.0
+            self.p_values[c] = stats.chi2_sf(self.scores[c], r["|g"] - 1)
 
     def information(self, df, target):
         edges = run_aggregates(df, {c: Quantile(F.coalesce(v, F.lit(0.0)), tuple(i / self.bins for i in range(1, self.bins))) for c, v in doubles(df, self.columns).items()})
         v = doubles(df, self.columns)
         binned = [F.struct(F.lit(c).alias("c"), sum(((F.coalesce(v[c], F.lit(0.0)) >= e).cast("int") for e in sorted(set(edges[c] or []))), F.lit(0)).alias("b")) for c in self.columns]
-        cells = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*binned)).alias("x")).groupBy("x.c", "x.b", "y").agg(F.count("*").alias("n")).collect()
+        cells = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(F.array(*binned)).alias("x")).groupBy("x.c", "x.b", "y").agg(F.count("*").alias("n"))
+        # The information is a difference of sums of n ln n over cells, bins and values of the target, which Spark sums up.
+        weight = F.sum(F.col("n") * F.ln("n"))
+        parts = [dict(cells.groupBy("c", *by).agg(F.sum("n").alias("n")).groupBy("c").agg(F.struct(weight.alias("w"), F.sum("n").alias("n")).alias("x")).collect()) for by in (("b", "y"), ("b",), ("y",))]
         for c in self.columns:
-            own = [(r["b"], r["y"], r["n"]) for r in cells if r["c"] == c]
-            n = sum(x[2] for x in own)
-            pb, py = {}, {}
-            for b, y, k in own:
-                pb[b], py[y] = pb.get(b, 0) + k, py.get(y, 0) + k
-            self.scores[c] = sum(k / n * math.log(k * n / (pb[b] * py[y])) for b, y, k in own) if n else 0.0
+            n = parts[0][c]["n"] if c in parts[0] else 0
+            self.scores[c] = max(0.0, (parts[0][c]["w"] - parts[1][c]["w"] - parts[2][c]["w"]) / n + math.log(n)) if n else 0.0
 
     def choose(self, df, target):
         if target is None:
@@ -287,8 +292,11 @@ def score(df: DataFrame, columns: list[str], target: str, folds: int = 3, seed:
     from pyspark.ml import classification, regression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 
+    from pyspark.ml.functions import vector_to_array
+
     data, classify = assembled(df, columns, target)
-    data = data.withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), "_y", F.monotonically_increasing_id()), F.lit(folds))).persist()
+    # A row's fold is a hash of its values: the same whatever the partitions.
+    data = data.withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), "_y", vector_to_array("_x")), F.lit(folds))).persist()
     args = {"featuresCol": "_x", "labelCol": "_y", "numTrees": 10, "maxDepth": 4, "seed": seed}
     out = []
     for f in range(folds):
