@@ -43,16 +43,18 @@ class Signal(Operator):
 
             @F.pandas_udf("struct<peak:double,entropy:double,centroid:double>")
             def spectrum(s: pd.Series) -> pd.DataFrame:
-                rows = []
-                for x in s:
-                    if x is None or len(x) == 0:
-                        rows.append((None, None, None))
-                        continue
-                    power = np.abs(np.fft.rfft(np.asarray(x, dtype=float))) ** 2
-                    freq, total = np.fft.rfftfreq(len(x)), power.sum()
-                    p = power[power > 0] / total if total > 0 else np.zeros(0)
-                    rows.append((float(freq[power[1:].argmax() + 1]) if len(power) > 1 else 0.0, float(-(p * np.log2(p)).sum()), float((freq * power).sum() / total) if total > 0 else 0.0))
-                return pd.DataFrame(rows, columns=["peak", "entropy", "centroid"])
+                """Arrays of one length are transformed together."""
+                out = pd.DataFrame(np.nan, index=range(len(s)), columns=["peak", "entropy", "centroid"], dtype=float).astype(object).where(lambda d: d.notna(), None)
+                sizes = np.array([0 if x is None else len(x) for x in s])
+                for n in np.unique(sizes[sizes > 0]).tolist():
+                    at = np.flatnonzero(sizes == n)
+                    power = np.abs(np.fft.rfft(np.stack([np.asarray(x, dtype=float) for x in s.iloc[at]]), axis=1)) ** 2
+                    freq, total = np.fft.rfftfreq(n), power.sum(axis=1, keepdims=True)
+                    p = power / np.where(total > 0, total, 1.0)
+                    out.iloc[at, 0] = freq[power[:, 1:].argmax(axis=1) + 1] if power.shape[1] > 1 else 0.0
+                    out.iloc[at, 1] = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(axis=1) + 0.0
+                    out.iloc[at, 2] = (freq * p).sum(axis=1)
+                return out.astype(float)
 
             for c in self.columns:
                 new = {f"{self.prefix}_{c}_{k}": F.col(f"_s.{k}") for k in ("peak", "entropy", "centroid")}

@@ -430,7 +430,8 @@ def residualize(df: DataFrame, column: str, protected: str) -> DataFrame:
 
 def variant(df: DataFrame, unit: str, variants: dict[str, float], salt: str = "") -> DataFrame:
     """A variant per unit by hash, in the given shares."""
-    x, upto, edges = F.pmod(F.xxhash64(F.lit(salt), unit), F.lit(10_000)) / 10_000.0, 0.0, []
+    digest = F.md5(F.concat(F.lit(salt), F.coalesce(F.col(unit).cast("string"), F.lit(""))).cast("binary"))
+    x, upto, edges = F.pmod(F.conv(F.right(digest, F.lit(8)), 16, 10).cast("long"), F.lit(10_000)) / 10_000.0, 0.0, []
     for name, share in variants.items():
         upto += share
         edges.append((upto, name))

@@ -1154,6 +1154,26 @@ def feature_sources(spark, sf):
     return out(store.ancestors().join(counts, "source").select("feature", "source", "n"))
 
 
+@query("""with o as (select o_totalprice::double v, ('0x' || right(md5('s' || coalesce(o_custkey::varchar, '')), 8))::bigint % 10000 < 5000 as a from orders),
+g as (select a, avg(v) m, var_samp(v) s, count(v) n from o group by 1)
+select 'b' as variant, round(b.m - c.m, 4) as difference, round((b.m - c.m) / sqrt(b.s / b.n + c.s / c.n), 6) as t from g b, g c where not b.a and c.a""")
+def experiment_sides(spark, sf):
+    """Welch's statistic of variants that a hash deals out."""
+    df = profiling.variant(read(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("double")), "o_custkey", {"a": 0.5, "b": 0.5}, "s")
+    rows = [(r["variant"], round(r["difference"], 4), r["t"]) for r in profiling.compare_variants(df, "variant", "o_totalprice", "a")]
+    return out(spark.createDataFrame(rows, "variant string, difference double, t double"))
+
+
+@query("""with x as (select vec_id, unnest(embedding)::double v, unnest(range(len(embedding))) j, len(embedding) n from embeddings where len(embedding) > 1),
+f as (select vec_id, n, k, sum(v * cos(2 * pi() * k * j / n)) re, sum(v * sin(2 * pi() * k * j / n)) im from x, range(513) t(k) where k <= n // 2 group by all),
+p as (select vec_id, k / n as hz, k, re * re + im * im as w, sum(re * re + im * im) over (partition by vec_id) as t from f)
+select vec_id, round(arg_max(hz, w) filter (where k > 0), 6) as peak, round(-sum(w / t * log2(w / t)) filter (where w > 0), 5) as entropy, round(sum(hz * w / t), 5) as centroid from p group by 1""")
+def spectrum(spark, sf):
+    df = arrays.Signal(["embedding"]).fit_transform(read(spark, sf, "embeddings").where(F.size("embedding") > 1))
+    named = [F.round([F.col(c) for c in df.columns if c.endswith(f"_embedding_{k}")][0], d).alias(k) for k, d in (("peak", 6), ("entropy", 5), ("centroid", 5))]
+    return out(df.select("vec_id", *named))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
