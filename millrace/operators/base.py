@@ -48,6 +48,49 @@ def require(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return columns
 
 
+def require_numeric(df: DataFrame, columns: Iterable[str] | None = None) -> list[str]:
+    """The given columns, or all numeric ones; an error if one is not numeric, or there is none."""
+    columns = require(df, columns) if columns is not None else numeric_columns(df)
+    if wrong := [c for c in columns if c not in numeric_columns(df)]:
+        raise TypeError(f"not numeric: {wrong}")
+    if not columns:
+        raise MissingColumn("there is no numeric column")
+    return columns
+
+
+def require_categorical(df: DataFrame, columns: Iterable[str] | None = None, most: int | None = None) -> list[str]:
+    """The given columns, or all of text; with ``most``, an error if one has
+    more different values: sketched for all in one job, exactly where that is not clear."""
+    columns = require(df, columns) if columns is not None else string_columns(df)
+    if not columns:
+        raise MissingColumn("there is no column of text")
+    if most is not None:
+        sizes = run_aggregates(df, {c: F.approx_count_distinct(c, 0.02) for c in columns})
+        near = [c for c in columns if most * 0.85 <= sizes[c] <= most * 1.15 + 2]
+        # No more values are looked at than it takes to tell.
+        sizes |= {c: df.select(c).where(F.col(f"`{c}`").isNotNull()).distinct().limit(most + 1).count() for c in near}
+        if wrong := [c for c in columns if sizes[c] > most]:
+            raise ValueError(f"more than {most} values: {wrong}")
+    return columns
+
+
+def require_target(df: DataFrame, target: str, classes: bool | None = None, nulls: bool = False) -> str:
+    """The target; an error if it has no value, a null (unless ``nulls``), is not
+    numeric though ``classes`` is false, or has a single value."""
+    require(df, [target])
+    if classes is False and target not in numeric_columns(df):
+        raise TypeError(f"not numeric: {target}")
+    v = F.col(f"`{target}`")
+    s = run_aggregates(df, {"n": F.count("*"), "some": F.count(v), "low": F.min(v.cast("string")), "high": F.max(v.cast("string"))})
+    if not s["some"]:
+        raise ValueError(f"{target} has no value")
+    if s["some"] < s["n"] and not nulls:
+        raise ValueError(f"{target} has {s['n'] - s['some']} nulls")
+    if s["low"] == s["high"]:
+        raise ValueError(f"{target} has a single value")
+    return target
+
+
 def clean_frame(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating-point column."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

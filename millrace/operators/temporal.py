@@ -174,8 +174,19 @@ class Diff(Ordered):
 FRAME = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "var": F.var_samp, "min": F.min, "max": F.max, "count": F.count, "median": lambda c: F.percentile(c, F.lit(0.5)), "std_pop": F.stddev_pop}
 
 
+def shape(v: Column, stat: str, frame) -> Column:
+    """Sample skewness (of three values or more) or excess kurtosis (of four) in
+    a frame, corrected for its size; null where all values are the same."""
+    n = F.count(v).over(frame)
+    if stat == "skew":
+        return F.when((n > 2) & (F.max(v).over(frame) > F.min(v).over(frame)), F.skewness(v).over(frame) * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when((n > 3) & (F.max(v).over(frame) > F.min(v).over(frame)), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v).over(frame) + 6))
+
+
 def framed(c: str, stat: str, frame, least: int) -> Column:
     v = F.col(c).cast("double")
+    if stat in ("skew", "kurt"):
+        return F.when(F.count(v).over(frame) >= least, shape(v, stat, frame))
     return F.when(F.count(v).over(frame) >= least, FRAME[stat](v).over(frame))
 
 

@@ -30,6 +30,14 @@ PERSONAL = {
     "credit_card": r"[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}",
     "ip_address": r"[0-9]{1,3}(\.[0-9]{1,3}){3}",
 }
+#: Words in a column's name that say what it holds where no pattern can.
+KEYWORDS = {
+    "name": ["first_name", "last_name", "full_name", "surname", "given_name", "family_name", "user_name", "username"],
+    "address": ["address", "street", "city", "zip_code", "zipcode", "postal_code", "state", "country"],
+    "date_of_birth": ["dob", "birth_date", "date_of_birth", "birthday"],
+    "medical": ["diagnosis", "icd_code", "medical_record", "patient_id", "prescription", "condition", "treatment"],
+    "financial": ["account_number", "routing_number", "iban", "swift", "bank_account", "salary", "income"],
+}
 TOKEN = r"(?U)\b\w+\b"
 
 
@@ -179,7 +187,8 @@ class TfIdf(Vocabulary):
 
 def scan_personal(df: DataFrame, least: float = 0.3, patterns: dict[str, str] | None = None) -> list[dict]:
     """Columns that hold personal data: by name, or by the share of values
-    that are one; all columns and patterns in one aggregation."""
+    that are one; all columns and patterns in one aggregation. Kinds without a
+    pattern (``KEYWORDS``) go by name alone."""
     patterns, cols = patterns or PERSONAL, string_columns(df)
     found = run_aggregates(df, {f"{c}|{k}": F.avg(F.regexp_like(F.col(c), F.lit(f"^(?:{p})$")).cast("double")) for c in cols for k, p in patterns.items()})
     out = []
@@ -188,6 +197,8 @@ def scan_personal(df: DataFrame, least: float = 0.3, patterns: dict[str, str] |
             share, named = found.get(f"{c}|{k}") or 0.0, k.split("_")[0] in c.lower()
             if share > least or named:
                 out.append({"column": c, "kind": k, "share": share, "confidence": 0.95 if share > least and named else 0.85 if share > least else 0.75})
+        plain = c.lower().replace(" ", "_")
+        out += [{"column": c, "kind": k, "share": 0.0, "confidence": 0.75} for k, words in (KEYWORDS if patterns is PERSONAL else {}).items() if any(w in plain for w in words)]
     return sorted(out, key=lambda x: (-x["confidence"], x["column"], x["kind"]))
 
 

@@ -1174,6 +1174,12 @@ def spectrum(spark, sf):
     return out(df.select("vec_id", *named))
 
 
+@query("""select event_id, round(case when count(value) over w > 2 then skewness(value) over w end, 4) as value_rolling_9_skew, round(case when count(value) over w > 3 then kurtosis(value) over w end, 4) as value_rolling_9_kurt
+from events window w as (partition by user_id order by ts, event_id rows between 8 preceding and current row)""")
+def rolling_shapes(spark, sf):
+    return out(temporal.Rolling(["value"], (9,), ("skew", "kurt"), **_EV).fit_transform(read(spark, sf, "events")), "event_id", "value_rolling_9_skew", "value_rolling_9_kurt", digits=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -171,3 +171,14 @@ def load_operator(path: str, spark: SparkSession):
             else:
                 setattr(out, name, df)
     return out
+
+
+def export_names(spark: SparkSession, operator, path: str) -> None:
+    """The names of the columns that a fitted operator adds, in order, as a table."""
+    write(spark.createDataFrame(list(enumerate(operator.new_columns)), "position long, name string").coalesce(1), path)
+
+
+def export_importance(spark: SparkSession, selector, path: str) -> None:
+    """A fitted selector's scores and whether it keeps the column, best first, as a table."""
+    rows = sorted(((c, float(v), c in selector.kept) for c, v in selector.scores.items()), key=lambda r: (-r[1], r[0]))
+    write(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "position long, name string, score double, kept boolean").coalesce(1), path)
