@@ -106,12 +106,15 @@ def between(x: float, low: float, high: float) -> float:
     return low if low == high or x == math.floor(x) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
 
 
-def average_ranks(counts: DataFrame, slices: int = 64) -> DataFrame:
+def average_ranks(counts: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``v, rank`` of ``counts`` (v, k): the average rank of the k rows that
-    have v. Slices of the value range are ranked apart and set off by the
-    number of rows before them."""
-    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / slices) for i in range(1, slices)]))).first()[0] or []
-    cells = counts.withColumn("p", sum(((F.col("v") >= q).cast("int") for q in sorted(set(cuts))), F.lit(0)))
+    have v. Slices of some ``rows`` values (1,000 slices at most) are ranked
+    apart and set off by the number of rows before them."""
+    n, near = counts.agg(F.count("*"), F.percentile_approx("v", F.array(*[F.lit(i / 1000) for i in range(1, 1000)]))).first()
+    slices = min(1000, max(1, -(-n // rows)))
+    cuts = sorted({near[1000 * i // slices - 1] for i in range(1, slices)} if near else set())
+    part = F.size(F.filter(F.array(*[F.lit(q) for q in cuts]), lambda q: q <= F.col("v"))) if cuts else F.lit(0)
+    cells = counts.withColumn("p", part)
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     offsets = cells.groupBy("p").agg(F.sum("k").alias("t")).withColumn("o", F.coalesce(F.sum("t").over(before), F.lit(0)))
     run = cells.withColumn("c", F.sum("k").over(Window.partitionBy("p").orderBy("v"))).join(F.broadcast(offsets), "p")

@@ -52,3 +52,15 @@ def test_selector_by_rank(spark):
         s = selection.Correlation(["a", "b", "c"], 0.95, method=method).fit(df)
         assert s.transform(df).columns == ["a", "c"]
     assert selection.Correlation(["a", "b", "c"], 0.95).fit(df).transform(df).columns == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("rows", [10**6, 40, 3])
+def test_ranks_in_slices(spark, rows):
+    from millrace.functions.quantiles import average_ranks
+
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.integers(0, 30, 300).astype(float), rng.normal(size=200)])
+    counts = spark.createDataFrame([(float(x),) for x in v], "v double").groupBy("v").agg(C.F.count("*").alias("k"))
+    got = {r["v"]: r["rank"] for r in average_ranks(counts, rows).collect()}
+    assert got == {float(x): float((v < x).sum() + ((v == x).sum() + 1) / 2) for x in set(v.tolist())}
+    assert average_ranks(counts.limit(0), rows).count() == 0
