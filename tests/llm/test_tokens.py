@@ -176,6 +176,12 @@ def test_alignment_of_odd_bytes(spark):
     assert sorted((r["doc_id"], r["n_groups"]) for r in alignment.align(df, JSON, MODEL).collect()) == [(1, 0), (2, 1)]
 
 
+def test_alignment_of_nothing(spark):
+    """Blocks without a segment."""
+    df = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_a"], r["n_links"], r["count_sum"], r["groups"]) for r in alignment.align(df, JSON, MODEL).collect()) == [("1", 0, 0, 0, None), ("2", 0, 0, 0, None), ("None", 0, 0, 0, None)]
+
+
 def test_packed_numbers():
     x = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5])
     assert alignment.unpacked(alignment.packed(x)).tolist() == x.tolist() and len(alignment.packed(x[:3])) == 3
