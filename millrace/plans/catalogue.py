@@ -498,14 +498,16 @@ def pack_geo(spark, sf):
     return out(packs.geospatial(df, "lat", "lon", {"paris": (48.85, 2.35)}), "c_custkey", "geo_distance_paris", "geo_x", digits=4)
 
 
-_RFM = "(select o_custkey, sum(o_totalprice) rev, count(*) freq, date_diff('day', max(o_orderdate)::date, date '1999-01-01') rec from orders group by 1)"
+# Revenue is rounded, as sums of doubles hang on their order and would leave ties to chance; scores of
+# some thousand customers lie on halves of the fourth digit, so nine are given.
+_RFM = "(select o_custkey, round(sum(o_totalprice), 4) rev, count(*) freq, date_diff('day', max(o_orderdate)::date, date '1999-01-01') rec from orders group by 1)"
 
 
 @query(f"""with t as (select * from {_RFM}), r as (select *, (rank() over (order by rev) + (count(*) over (partition by rev) - 1) / 2.0) / count(*) over () a, (rank() over (order by freq) + (count(*) over (partition by freq) - 1) / 2.0) / count(*) over () b,
- (rank() over (order by rec) + (count(*) over (partition by rec) - 1) / 2.0) / count(*) over () c from t) select o_custkey, round((a + b + (1 - c)) / 3, 4)::double as marketing_rfm_score, (rev >= (select quantile_cont(rev, 0.75) from t))::bigint as marketing_is_high_value from r""")
+ (rank() over (order by rec) + (count(*) over (partition by rec) - 1) / 2.0) / count(*) over () c from t) select o_custkey, round((a + b + (1 - c)) / 3, 9)::double as marketing_rfm_score, (rev >= (select quantile_cont(rev, 0.75) from t))::bigint as marketing_is_high_value from r""")
 def pack_marketing(spark, sf):
-    df = read(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("rev"), F.count("*").alias("freq"), F.datediff(F.lit("1999-01-01").cast("date"), F.to_date(F.max("o_orderdate"))).alias("rec"))
-    return out(packs.marketing(df, "rev", "freq", "rec"), "o_custkey", "marketing_rfm_score", "marketing_is_high_value", digits=4)
+    df = read(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("rev"), F.count("*").alias("freq"), F.datediff(F.lit("1999-01-01").cast("date"), F.to_date(F.max("o_orderdate"))).alias("rec"))
+    return out(packs.marketing(df, "rev", "freq", "rec"), "o_custkey", "marketing_rfm_score", "marketing_is_high_value", digits=9)
 
 
 @query("""select p_partkey, round(w / pow(h / 100, 2), 4) as health_bmi, (a >= 65)::bigint as health_is_elderly, (a // 10)::bigint as health_age_decade from (select p_partkey, 40.0 + p_size w, 150.0 + p_size h, p_size + 20 a from part)""")

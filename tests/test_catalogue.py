@@ -50,3 +50,13 @@ def test_graph_of_all_lines(spark, sf):
     want = {f"{k}{n}": d for k, c in (("s", "l_suppkey"), ("p", "l_partkey")) for n, d in lines[c].astype(int).value_counts().items()}
     got = catalogue.QUERIES["graph_all_degrees"](spark, sf).toPandas()
     assert dict(zip(got["node"], got["degree"])) == want and (got["degree"] == got["in_degree"]).all()
+
+
+def test_marketing_scores_do_not_hang_on_the_order_of_sums(spark, tmp_path):
+    from millrace.plans import catalogue
+
+    rows = [(i * 3 + j, i, p) for i, prices in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)], 1) for j, p in enumerate(prices)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).selectExpr("*", "timestamp'1998-01-01 00:00:00' as o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.pack_marketing(spark, str(tmp_path)).collect()
+    assert len(got) == 2 and len({r["marketing_rfm_score"] for r in got}) == 1
