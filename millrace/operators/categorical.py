@@ -255,7 +255,8 @@ class Hashing(Encoder):
             v = F.col(c).cast("string")
             both = S.md5_mod(F.concat(v, F.lit("0")), 2 * self.n) if self.method == "md5" else F.pmod(F.xxhash64(F.lit(c), v), F.lit(2 * self.n))
             for i in range(self.n):
-                out[f"{c}_hash_{i}"] = F.when(v.isNull(), 0).when(both == i, 1).when(both == i + self.n, -1).otherwise(0)
+                # What stands first is always evaluated, so all columns share one digest a row.
+                out[f"{c}_hash_{i}"] = F.coalesce((both == i).cast("int") - (both == i + self.n).cast("int"), F.lit(0))
         return out
 
 
