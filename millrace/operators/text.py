@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.base import Operator, register, run_aggregates, string_columns
+from millrace.operators.base import NotFitted, Operator, register, require, run_aggregates, string_columns
 
 # English stop words.
 STOP_WORDS = (
@@ -103,6 +103,10 @@ class TextPatterns(Text):
         return out
 
 
+def _among(values: list[str]):
+    return lambda x: x.isin(values) if values else F.lit(False)
+
+
 def _same(value):
     return lambda x: x == value
 
@@ -146,14 +150,26 @@ class TermCounts(Vocabulary):
         self.binary = binary
 
     def expressions(self, df):
+        return self.counts({c: self.terms(c) for c in self.columns})
+
+    def counts(self, terms: dict[str, Column]) -> dict[str, Column]:
         out = {}
-        for c in self.columns:
-            t = self.terms(c)
+        for c, t in terms.items():
             for term, _ in self.state[c][1]:
                 n = F.size(F.filter(t, _same(term)))
                 out[f"{c}_count_{term}"] = (n > 0).cast("int") if self.binary else n
         return out
 
+    def transform(self, df):
+        """A text is cut into its terms once, those to be counted are kept."""
+        if self.state is None:
+            raise NotFitted(type(self).__name__)
+        held = {f"_terms_{i}": F.filter(self.terms(c), _among([t for t, _ in self.state[c][1]])) for i, c in enumerate(self.columns)}
+        new = self.counts({c: F.col(f"_terms_{i}") for i, c in enumerate(self.columns)})
+        self.new_columns = list(new)
+        require(df, self.columns)
+        return df.withColumns(held).withColumns(new).drop(*held)
+
 
 @register("tfidf", "text", "weights of frequent terms")
 class TfIdf(Vocabulary):
