@@ -11,6 +11,8 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 #: Values of one interval that are sorted; a wider one is bracketed again.
 KEEP = 4_096
+#: Edges up to which cells are expressions; more are searched batch by batch, as so long an expression is not compiled.
+FEW = 16
 
 
 @dataclass(frozen=True)
@@ -56,6 +60,51 @@ def cells(df: DataFrame, wanted: list[Quantile], edges: list[list[float]]) -> Da
     return df.select(F.inline(F.array(*rows))).where("v is not null")
 
 
+def _columns(batch: pa.RecordBatch, edges: list[list[float]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each column its number, the cells of its values and the values; no nulls."""
+    for i, e in enumerate(edges):
+        v = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+        yield i, np.searchsorted(e, v, "left") + np.searchsorted(e, v, "right"), v
+
+
+def cell_counts(df: DataFrame, wanted: list[Quantile], edges: list[list[float]]) -> DataFrame:
+    """``i, cell, n``: how many values are in each cell of ``cells``."""
+    if sum(map(len, edges)) <= FEW:
+        return cells(df, wanted, edges).groupBy("i", "cell").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(2 * len(e) + 1, np.int64) for e in edges]
+        for batch in batches:
+            for i, cell, _ in _columns(batch, edges):
+                total[i] += np.bincount(cell, minlength=len(total[i]))
+        some = [(i, c, n) for i, t in enumerate(total) for c, n in enumerate(t.tolist()) if n]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some), (pa.int32(), pa.int32(), pa.int64()))], names=["i", "cell", "n"])
+
+    return _values(df, wanted).mapInArrow(count, "i int, cell int, n long").groupBy("i", "cell").agg(F.sum("n").alias("n"))
+
+
+def cell_values(df: DataFrame, wanted: list[Quantile], edges: list[list[float]], kept: Iterable[tuple[int, int]]) -> DataFrame:
+    """``i, cell, v``: the values in the cells ``kept`` alone."""
+    kept = list(kept)
+    if sum(map(len, edges)) <= FEW:
+        return cells(df, wanted, edges).where(F.struct("i", "cell").isin([F.struct(F.lit(i).alias("i"), F.lit(c).alias("cell")) for i, c in kept]))
+    mine = [np.array([c for j, c in kept if j == i], np.int64) for i in range(len(edges))]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, cell, v in _columns(batch, edges):
+                at = np.flatnonzero(np.isin(cell, mine[i]))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(cell[at], pa.int32()), pa.array(v[at], pa.float64())], names=["i", "cell", "v"])
+
+    return _values(df, wanted).mapInArrow(take, "i int, cell int, v double")
+
+
+def _values(df: DataFrame, wanted: list[Quantile]) -> DataFrame:
+    return df.select(*[q.number().alias(f"q{i}") for i, q in enumerate(wanted)])
+
+
 def exact(df: DataFrame, wanted: list[Quantile], sizes: list[int], found: list[list[float] | None]) -> list[float | list[float] | None]:
     """Interpolated quantiles, given each column's count and first brackets;
     null for a column without values. NaN is larger than any number."""
@@ -66,7 +115,7 @@ def exact(df: DataFrame, wanted: list[Quantile], sizes: list[int], found: list[l
     while True:
         counts = [{0: n} if not e else {} for n, e in zip(sizes, edges)]
         if any(edges):
-            for r in cells(df, wanted, edges).groupBy("i", "cell").agg(F.count("*").alias("n")).collect():
+            for r in cell_counts(df, wanted, edges).collect():
                 counts[r["i"]][r["cell"]] = r["n"]
         # (column, cell) -> its count and the ranks wanted within it
         inside: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
@@ -83,15 +132,14 @@ def exact(df: DataFrame, wanted: list[Quantile], sizes: list[int], found: list[l
         wide = [k for k, (n, _) in inside.items() if n > KEEP]
         if not wide:
             break
-        rows, finer = cells(df, wanted, edges), [list(e) for e in edges]
+        rows, finer = cell_values(df, wanted, edges, wide), [list(e) for e in edges]
         for i, c in wide:
             n, local = inside[i, c]
             near = rows.where((F.col("i") == i) & (F.col("cell") == c)).agg(summary(F.col("v"), [x / n for x in local.values()])).first()[0]
             finer[i] = ascending([*finer[i], *near])
         edges = finer
     if inside:
-        key = F.struct("i", "cell")
-        few = cells(df, wanted, edges).where(key.isin([F.struct(F.lit(i).alias("i"), F.lit(c).alias("cell")) for i, c in inside]))
+        few = cell_values(df, wanted, edges, inside)
         for r in few.groupBy("i", "cell").agg(F.array_sort(F.collect_list("v")).alias("v")).collect():
             for rank, place in inside[r["i"], r["cell"]][1].items():
                 values[r["i"]][rank] = r["v"][place]
