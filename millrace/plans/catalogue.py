@@ -1037,7 +1037,7 @@ def _streamed(spark, sf, made):
 @query("""select user_id, strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d') as day, count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90 from events where value is not null group by 1, 2""")
 def streamed_day_quantiles(spark, sf):
     """Small groups: the sketch holds all values, so quantiles are exact."""
-    table = _streamed(spark, sf, lambda df: sketches.quantiles(df, ["user_id"], "value", (0.5, 0.9), "ts", "1 day", "400 days"))
+    table = _streamed(spark, sf, lambda df: sketches.quantiles(df, ["user_id"], "value", (0.5, 0.9), "ts", "1 day", "400 days", buckets=64))
     rows = sketches.latest(table, ["user_id", "window_start"])
     return out(rows.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90")))
 

@@ -2,8 +2,9 @@
 
 A micro-batch is summed up before it moves: each Arrow batch of a task becomes
 one small sketch per entity and window, so what is shuffled to an entity's
-state is sketches, however many rows a hot entity has. State is a sketch, too:
-bounded for any stream, and dropped once the watermark has passed its window.
+state is sketches, however many rows a hot entity has. State is a sketch of
+each entity, too, in buckets of entities; it is bounded for any number of rows
+and dropped once the watermark has passed its window.
 
 ``Digest``: centroids of a t-digest. While a group has at most ``most`` values
 it holds them all and its quantiles are exact (interpolated between neighbours); beyond that
@@ -23,11 +24,12 @@ give no row; late rows beyond the watermark are dropped by Spark.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,6 +38,8 @@ from millrace.operators.temporal import stamp
 from millrace.sources import io
 
 MOST, COUNTERS = 200, 256
+#: A window's entities share so many states, as calls for each of many small entities take most of the time.
+BUCKETS = 256
 
 
 def rank_error(most: int) -> float:
@@ -125,83 +129,131 @@ def _windowed(df: DataFrame, time: str | None, size: str | None) -> DataFrame:
     return df.withColumn("w", w).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")})
 
 
-def _sketched(df: DataFrame, keys: list[str], value: str, time: str | None, size: str | None, late: str, state: str, result: str, make: Callable, load: Callable, dump: Callable, rows: Callable) -> DataFrame:
+def _coded(df: DataFrame, keys: list[str]) -> Column:
+    """The keys as one text, from which ``_decoded`` makes them again."""
+
+    def text(k: str) -> Column:
+        kind, c = df.schema[k].dataType, F.col(f"`{k}`")
+        if isinstance(kind, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(kind, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            c = c + F.lit(0).cast(kind)  # -0.0 is 0.0
+        return c.cast("string")
+
+    return F.to_json(F.array(*map(text, keys))) if keys else F.lit("[]")
+
+
+def _decoded(df: DataFrame, keys: list[str]) -> list[Column]:
+    def value(i: int, k: str) -> Column:
+        kind, c = df.schema[k].dataType, F.from_json("_k", "array<string>")[i]
+        if isinstance(kind, T.TimestampType):
+            return F.timestamp_micros(c.cast("long")).alias(k)
+        return (F.unhex(c) if isinstance(kind, T.BinaryType) else c.cast(kind)).alias(k)
+
+    return [value(i, k) for i, k in enumerate(keys)]
+
+
+def _sketched(df: DataFrame, keys: list[str], value: str, time: str | None, size: str | None, late: str, state: str, result: str, make: Callable, load: Callable, dump: Callable, rows: Callable, buckets: int | None) -> DataFrame:
     """The way of both kinds: partial sketches per Arrow batch, then one state
-    per entity and window that merges them and gives ``rows`` of what it holds."""
+    per window and bucket of entities, which holds a sketch of each of these,
+    merges them and gives ``rows`` of those that changed."""
     frame = _windowed(df, time, size)
-    kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys)
-    group = [*keys, "window_start", "window_end"]
     columns = [f.name for f in T._parse_datatype_string(state).fields]
-    names = [*group, *[f.name for f in T._parse_datatype_string(result).fields]]
+    names = ["_k", "window_start", "window_end", *[f.name for f in T._parse_datatype_string(result).fields]]
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(*k, part["at"].max(), *dump(make(part[value]))) for k, part in pdf.groupby(group, dropna=False)]
-            if found:
-                yield pd.DataFrame(found, columns=[*group, "at", *columns])
+            if len(pdf):
+                code = pdf.groupby(["_k", "window_start", "window_end"], dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(code, kind="stable")
+                bounds = np.flatnonzero(np.diff(code[order], prepend=-1))
+                values = make(pdf[value].iloc[order])
+                found = [dump(values(a, b)) for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(pdf)], strict=True)]
+                out = pdf[["_k", "window_start", "window_end"]].iloc[order[bounds]].reset_index(drop=True)
+                out["at"] = pdf["at"].groupby(code).max().to_numpy() if time else pd.NaT
+                yield out.assign(**{c: [f[i] for f in found] for i, c in enumerate(columns)})
 
     # The event time goes along, as the watermark is checked behind it.
     at = F.col(time) if time else F.lit(None).cast("timestamp")
-    named = frame.select(*keys, "window_start", "window_end", at.alias("at"), value)
-    parts = named.mapInPandas(partial, f"{kinds}, window_start timestamp, window_end timestamp, at timestamp, {state}")
+    named = frame.select(_coded(frame, keys).alias("_k"), "window_start", "window_end", at.alias("at"), F.col(f"`{value}`").alias(value))
+    parts = named.mapInPandas(partial, f"_k string, window_start timestamp, window_end timestamp, at timestamp, {state}")
+    parts = parts.withColumn("_bucket", F.pmod(F.xxhash64("_k"), F.lit(buckets or BUCKETS)).cast("int"))
 
-    def joined(sketch, pdf: pd.DataFrame):
-        for part in pdf[columns].itertuples(index=False):
-            sketch = load(*part) if sketch is None else sketch.merge(load(*part))
-        return sketch
+    def joined(held: dict, pdf: pd.DataFrame, changed: dict) -> None:
+        for k, *part in zip(pdf["_k"], *[pdf[c] for c in columns], strict=True):
+            known = changed.get(k) or (load(*held[k]) if k in held else None)
+            changed[k] = load(*part) if known is None else known.merge(load(*part))
+
+    def shown(start, end, changed: dict) -> pd.DataFrame:
+        found = [(k, start, end, *r) for k, sketch in changed.items() for r in rows(sketch)]
+        return pd.DataFrame(found, columns=names)
 
     def merged(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
         if time:
-            ends, passed = int(pd.Timestamp(key[-1]).tz_localize(zone).timestamp() * 1000), held.getCurrentWatermarkMs()
+            ends, passed = int(pd.Timestamp(key[1]).tz_localize(zone).timestamp() * 1000), held.getCurrentWatermarkMs()
             if ends <= passed:
                 return  # too late: the window is closed
             held.setTimeoutTimestamp(ends)
-        sketch = load(*held.get) if held.exists else None
+        before, changed = pickle.loads(held.get[0]) if held.exists else {}, {}
         for pdf in batches:
-            sketch = joined(sketch, pdf)
-        held.update(dump(sketch))
-        if found := rows(sketch):
-            yield pd.DataFrame([(*key, *r) for r in found], columns=names)
-
-    out = f"{kinds}, window_start timestamp, window_end timestamp, {result}"
+            joined(before, pdf, changed)
+        held.update((pickle.dumps(before | {k: dump(sketch) for k, sketch in changed.items()}),))
+        if len(found := shown(key[0], key[1], changed)):
+            yield found
+
+    out = f"_k string, window_start timestamp, window_end timestamp, {result}"
+    back = lambda found: found.select(*_decoded(frame, keys), *names[1:])
+    group = ["window_start", "window_end", "_bucket"]
     if not df.isStreaming:
 
         def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(*key, *r) for r in rows(joined(None, pdf))], columns=names)
+            joined({}, pdf, changed := {})
+            return shown(key[0], key[1], changed)
 
-        return parts.groupBy(*group).applyInPandas(whole, out)
+        return back(parts.groupBy(*group).applyInPandas(whole, out))
     if time:
         parts = parts.withWatermark("at", late)
     kept = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
-    return parts.groupBy(*group).applyInPandasWithState(merged, out, state, "update", kept)
+    return back(parts.groupBy(*group).applyInPandasWithState(merged, out, "sketches binary", "update", kept))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.5, 0.9, 0.99), time: str | None = None, size: str | None = None, late: str = "10 minutes", most: int = MOST) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.5, 0.9, 0.99), time: str | None = None, size: str | None = None, late: str = "10 minutes", most: int = MOST, buckets: int | None = None) -> DataFrame:
     """Quantiles per entity (and window of ``size`` by ``time``), on batch and
     streaming frames: ``keys, window_start, window_end, n, q`` with one value per
-    fraction of ``at``. A stream gives the groups that a micro-batch changed."""
+    fraction of ``at``. A stream gives the groups that a micro-batch changed.
+    ``buckets``: states of a window, among which its entities are dealt."""
     dump = lambda d: (d.mean.tolist(), d.weight.tolist(), d.low, d.high)
     load = lambda mean, weight, low, high: Digest(np.asarray(mean, float), np.asarray(weight, float), low, high, most)
-    make = lambda x: Digest.of(x.to_numpy(dtype=float, na_value=math.nan), most)
+
+    def make(x: pd.Series) -> Callable:
+        v = x.to_numpy(dtype=float, na_value=math.nan)
+        return lambda a, b: Digest.of(v[a:b], most)
+
     rows = lambda d: [(int(d.weight.sum()), [d.quantile(q) for q in at])] if len(d.mean) else []
     df = df.withColumn(value, F.col(value).cast("double"))
-    return _sketched(df, keys, value, time, size, late, "mean array<double>, weight array<double>, low double, high double", "n long, q array<double>", make, load, dump, rows)
+    return _sketched(df, keys, value, time, size, late, "mean array<double>, weight array<double>, low double, high double", "n long, q array<double>", make, load, dump, rows, buckets)
 
 
-def frequent(df: DataFrame, keys: list[str], item: str, time: str | None = None, size: str | None = None, late: str = "10 minutes", most: int = COUNTERS) -> DataFrame:
+def frequent(df: DataFrame, keys: list[str], item: str, time: str | None = None, size: str | None = None, late: str = "10 minutes", most: int = COUNTERS, buckets: int | None = None) -> DataFrame:
     """Frequent items per entity (and window): ``keys, window_start, window_end,
     item, at_least, at_most``. Every item that occurs more often than
     N / (most + 1) is there, and its count is between the bounds."""
     dump = lambda f: (list(f.counts), [int(n) for n in f.counts.values()], int(f.missed))
     load = lambda items, counts, missed: Frequent(dict(zip(items, map(int, counts), strict=True)), int(missed), most)
-    make = lambda x: Frequent.of(x.astype(object).where(x.notna(), None), most)
+
+    def make(x: pd.Series) -> Callable:
+        v = x.astype(object).where(x.notna(), None)
+        return lambda a, b: Frequent.of(v.iloc[a:b], most)
+
     rows = lambda f: [(i, n, n + f.missed) for i, n in f.counts.items()]
     df = df.withColumn(item, F.col(item).cast("string"))
-    return _sketched(df, keys, item, time, size, late, "items array<string>, counts array<long>, missed long", "item string, at_least long, at_most long", make, load, dump, rows)
+    return _sketched(df, keys, item, time, size, late, "items array<string>, counts array<long>, missed long", "item string, at_least long, at_most long", make, load, dump, rows, buckets)
 
 
 def write_table(df: DataFrame, path: str, checkpoint: str, more: Callable[[DataFrame, int], None] | None = None) -> DataFrame:

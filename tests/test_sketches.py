@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.streaming import sketches as K
 
@@ -108,3 +109,20 @@ def test_empty_stream(spark, tmp_path):
     table = K.write_table(K.quantiles(stream, ["k"], "v"), str(tmp_path / "t"), str(tmp_path / "c"))
     assert table.count() == 0 and K.latest(table, ["k"]).count() == 0
     assert K.quantiles(spark.createDataFrame([], schema), ["k"], "v").count() == 0
+
+
+def test_entities_of_a_window_share_states(spark, monkeypatch, tmp_path):
+    """Many small entities are few groups; keys of any kind, null or not, come back as they were."""
+    monkeypatch.setattr(K, "BUCKETS", 3)
+    rows = [(None if i % 50 == 0 else 2**60 + i % 50, f'a"{i % 2}', None if i % 7 == 0 else float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, s string, v double").withColumn("t", F.timestamp_micros(F.col("k") % 3))
+    df.write.parquet(str(tmp_path / "in"))
+    keys = ["k", "s", "t"]
+    show = lambda d: sorted((str(r[:3]), r["n"], tuple(r["q"])) for r in d.select(*keys, "n", "q").collect())
+    want = df.where("v is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.array(F.percentile("v", F.lit(0.5))).alias("q"))
+    assert show(K.quantiles(df, keys, "v", (0.5,))) == show(want)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = K.write_table(K.quantiles(stream, keys, "v", (0.5,)), str(tmp_path / "t"), str(tmp_path / "c"))
+    assert show(K.latest(found, keys)) == show(want)
+    plan = K.quantiles(df, keys, "v", (0.5,))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas [window_start" in plan
