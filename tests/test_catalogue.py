@@ -60,3 +60,21 @@ def test_marketing_scores_do_not_hang_on_the_order_of_sums(spark, tmp_path):
     orders.write.parquet(str(tmp_path / "orders.parquet"))
     got = catalogue.pack_marketing(spark, str(tmp_path)).collect()
     assert len(got) == 2 and len({r["marketing_rfm_score"] for r in got}) == 1
+
+
+def test_flagship_fits_on_a_written_table(spark, sf):
+    """No pass of the fits joins the lines anew."""
+    from millrace.operators import base
+
+    seen, run = [], base.run_aggregates
+
+    def spy(df, wanted):
+        if wanted:
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return run(df, wanted)
+
+    with pytest.MonkeyPatch.context() as m:
+        for module in (base, catalogue.categorical, catalogue.cleaning):
+            m.setattr(module, "run_aggregates", spy, raising=False)
+        catalogue.flagship(spark, sf)
+    assert seen and not [p for p in seen if "Join" in p]
