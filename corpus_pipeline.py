@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every row with their byte spans; null texts have none."""
-    out = pieces.encode(docs, pieces.default_model())
+    out = pieces.encode(docs, pieces.default_model(), decoded=False)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends")
 
 

@@ -19,7 +19,7 @@ Segmenting a chunk is left to the library, told not to normalise again.
 
 Edge cases: a null text reads as empty and gives no pieces; bytes that are not
 UTF-8 read as U+FFFD each, and spans count these; texts of any
-length are encoded whole, a task holds one slice of about 1 MB (or one longer
+length are encoded whole, a task holds one slice of about 256 KB (or one longer
 text) at a time; equal rows give equal results; an empty table gives an empty
 result; other columns are dropped except the id.
 """
@@ -40,7 +40,7 @@ from millrace.llm.common import table
 MARK = "▁"
 codecs.register_error("each_byte", lambda e: ("\ufffd", e.start + 1))
 #: Bytes of text that a task encodes in one go, and chunks that it remembers.
-SLICE, REMEMBERED, LONGEST = 1 << 20, 400_000, 80
+SLICE, REMEMBERED, LONGEST = 1 << 18, 100_000, 80
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -287,7 +287,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rows(path: str, decoded: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = Encoder(path)
@@ -301,23 +301,25 @@ def _rows(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 raw = column.slice(i, j - i).cast(pa.binary()).to_pylist()
                 ids, starts, ends, bounds = encoder.encode([x.decode("utf-8", "each_byte") for x in raw])
                 at = pa.array(bounds, pa.int32())
-                flat = ids.tolist()
-                back = encoder.whole.decode([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], num_threads=1)
-                lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (ids, starts.astype(np.int32), ends.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists, pa.array(back, pa.string())], names=["doc_id", "ids", "starts", "ends", "decoded"])
+                made = {x: pa.ListArray.from_arrays(at, pa.array(v, pa.int32())) for x, v in (("ids", ids), ("starts", starts.astype(np.int32)), ("ends", ends.astype(np.int32)))}
+                if decoded:
+                    flat = ids.tolist()
+                    back = encoder.whole.decode([flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], num_threads=1)
+                    made["decoded"] = pa.array(back, pa.string())
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i)} | made)
                 i = j
 
     return run
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, decoded: bool = True) -> DataFrame:
     """``doc_id, ids, starts, ends, decoded`` of every row of ``docs``: the
     pieces' ids, the byte spans of the original text that they cover, and the
-    text that the library decodes from the ids.
+    text that the library decodes from the ids (unless ``decoded`` is false).
 
     ``model``: the model file's path, the same on every executor.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows(model), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows(model, decoded), "doc_id long, ids array<int>, starts array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def default_model() -> str:

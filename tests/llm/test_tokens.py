@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from millrace.llm import alignment, fim, token_counts
+from millrace.llm import alignment, fim, pieces, token_counts
 
 JSON, MODEL, WORDS = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 PARTS = ["a", "don't", "'s", "'", "'re", "'ll", "'v", " ", "  ", "\n", "\t", " \n", "\n ", "é", "日本", "1", "²", "!", "?!", "<|endoftext|>", "\x1c", "\x85", " ", "'m'", "é", "😀", "x" * 20, "Ⅳ", "　", "\x00", "▁", "<s>", "<0x41>", "unbelievable", "<P>", "ok.\n\n"]
@@ -198,3 +198,11 @@ def test_breaks():
     assert split(" a  b\n\nc d e ") == [" a", "  b", "\n\nc d", " e", " "]
     spaced = alignment.Pair(WORDS, MODEL)
     assert spaced.breaks == "" and spaced.splitter()(" a b") == [" a b"]
+
+
+def test_pieces_without_decoded_text(spark):
+    """The same pieces; nothing is decoded for those who do not ask for it."""
+    docs = spark.createDataFrame([(1, "a b  c"), (2, None), (3, ""), (4, "x\u00e9 " * 50)], "doc_id long, text string")
+    whole, short = (pieces.encode(docs, pieces.default_model(), d) for d in (True, False))
+    assert short.columns == ["doc_id", "ids", "starts", "ends"]
+    assert sorted(short.collect()) == sorted(whole.drop("decoded").collect())
