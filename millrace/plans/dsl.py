@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.operators import selection
 
 #: Spark SQL of each transform: {a}, {b} are columns, others are parameters.
-#: Values of the whole table or of a group are subqueries, which are aggregated
+#: Values of the whole table are subqueries; those of a group ({g}) are aggregated
 #: in parts and joined back; ``bin`` ranks all rows in one task.
 TEMPLATES = {
     "log": "ln(greatest({a}, 0) + 1)",
@@ -53,10 +53,14 @@ TEMPLATES = {
     "diff": "{a} - lag({a}, {periods}) over (partition by {by} order by {order})",
     "rolling_mean": "avg({a}) over (partition by {by} order by {order} rows between {before} preceding and current row)",
     "rolling_std": "stddev_samp({a}) over (partition by {by} order by {order} rows between {before} preceding and current row)",
-    "frequency": "coalesce((select count(*) from {source} g where g.{a} = s.{a}), 0) / nullif((select count({a}) from {source}), 0)",
-    "target": "((select sum({y}) from {source} g where g.{a} <=> s.{a}) + {smoothing} * (select avg({y}) from {source})) / ((select count({y}) from {source} g where g.{a} <=> s.{a}) + {smoothing})",
-    "group_mean": "(select avg({a}) from {source} g where {same})",
+    "frequency": "coalesce(if({a} is null, 0, {g}.v0), 0) / nullif((select count({a}) from {source}), 0)",
+    "target": "({g}.v0 + {smoothing} * (select avg({y}) from {source})) / ({g}.v1 + {smoothing})",
+    "group_mean": "{g}.v0",
 }
+#: Of transforms that need numbers of a group: what is aggregated of it.
+GROUPED = {"frequency": ["count(*)"], "target": ["sum({y})", "count({y})"], "group_mean": ["avg({a})"]}
+#: Rows of a group are dealt to at most so many parts, each of which meets a copy of the group's numbers.
+PARTS = 64
 DEFAULTS = {"bins": 10, "periods": 1, "window": 7, "smoothing": 10.0, "value": 0}
 
 
@@ -74,12 +78,27 @@ class Feature:
         q = [f"`{c}`" for c in self.columns]
         p = DEFAULTS | self.params
         names = lambda v: ", ".join(f"`{x}`" for x in ([v] if isinstance(v, str) else v or []))
-        same = " and ".join(f"g.`{x}` <=> s.`{x}`" for x in ([p["by"]] if isinstance(p.get("by"), str) else p.get("by") or []))
         text = TEMPLATES[self.transform]
         for need in ("b", "by", "order", "y"):
-            if (f"{{{need}}}" in text or need == "by" and "{same}" in text) and not (len(q) > 1 if need == "b" else p.get("target" if need == "y" else need)):
+            if (f"{{{need}}}" in text or need == "by" and self.transform == "group_mean") and not (len(q) > 1 if need == "b" else p.get("target" if need == "y" else need)):
                 raise ValueError(f"{self.name}: {self.transform} needs {need}")
-        return text.format(a=q[0], b=q[1] if len(q) > 1 else "", by=names(p.get("by")), order=names(p.get("order")), y=names(p.get("target")), source=source, same=same, before=int(p["window"]) - 1, **{k: v for k, v in p.items() if k in ("bins", "periods", "smoothing", "value")})
+        return text.format(a=q[0], b=q[1] if len(q) > 1 else "", by=names(p.get("by")), order=names(p.get("order")), y=names(p.get("target")), source=source, g=f"`g|{self.name}`", before=int(p["window"]) - 1, **{k: v for k, v in p.items() if k in ("bins", "periods", "smoothing", "value")})
+
+    def join(self, source: str) -> str:
+        """The join with the numbers of the row's group, if there are any. A
+        group's numbers are copied once a part and rows are dealt to the parts,
+        so a large group does not meet in one task. With many groups for the
+        rows there are fewer parts, so copies are never more than rows."""
+        if self.transform not in GROUPED:
+            return ""
+        by = self.params.get("by") if self.transform == "group_mean" else self.columns[0]
+        keys, g = [by] if isinstance(by, str) else list(by), f"`g|{self.name}`"
+        values = ", ".join(f"{t.format(a=f'`{self.columns[0]}`', y=f'`{self.params.get("target")}`')} as v{i}" for i, t in enumerate(GROUPED[self.transform]))
+        grouped = f"select {', '.join(f'`{k}` as k{i}' for i, k in enumerate(keys))}, {values}, count(*) as n from {source} group by {', '.join(f'`{k}`' for k in keys)}"
+        parts = f"(select cast(greatest(1, least({PARTS}, sum(n) div count(*))) as int) from ({grouped}))"
+        table = f"(select *, explode(sequence(0, coalesce({parts}, 1) - 1)) as part from ({grouped}))"
+        same = " and ".join(f"{g}.k{i} <=> s.`{k}`" for i, k in enumerate(keys))
+        return f" LEFT JOIN {table} AS {g} ON {same} AND {g}.part = pmod(s.`|row`, coalesce({parts}, 1))"
 
 
 @dataclass
@@ -113,7 +132,10 @@ def parse(source: str | dict) -> Spec:
 
 def to_sql(spec: Spec, source: str = "source_data") -> str:
     """One SELECT over the named view."""
-    return "SELECT *, " + ", ".join(f"{f.sql(source)} AS `{f.name}`" for f in spec.features) + f" FROM {source} AS s"
+    made, joins = ", ".join(f"{f.sql(source)} AS `{f.name}`" for f in spec.features), "".join(f.join(source) for f in spec.features)
+    if not joins:
+        return f"SELECT *, {made} FROM {source} AS s"
+    return f"SELECT s.* EXCEPT (`|row`), {made} FROM (SELECT *, monotonically_increasing_id() AS `|row` FROM {source}) AS s{joins}"
 
 
 def apply(df: DataFrame, spec: Spec) -> DataFrame:

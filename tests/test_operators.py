@@ -355,3 +355,30 @@ def test_exponential_matches_pandas(spark):
             assert np.allclose(part[f"v_ewm_{s}_mean"], want.mean(), equal_nan=True)
             assert np.allclose(part[f"v_ewm_{s}_std"].astype(float), want.std(), equal_nan=True)
         assert np.allclose(part["v_ewm_1_mean"], part["v"].ffill(), equal_nan=True)
+
+
+def test_declared_numbers_of_few_groups_do_not_gather_rows(spark, tmp_path):
+    """A group's rows are dealt to parts; null keys, many groups and empty tables are joined, too."""
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "if(id % 4 = 0, null, id % 2) as g", "id % 3000 as many", "cast(id % 7 as double) as y")
+    spec = dsl.parse({"features": [{"name": n, "transform": t, "columns": [c], **more} for n, t, c, more in [("t", "target", "g", {"target": "y"}), ("f", "frequency", "g", {}), ("m", "group_mean", "y", {"by": ["many", "g"]})]]})
+    out = dsl.apply(df, spec)
+    assert out.columns == ["id", "g", "many", "y", "t", "f", "m"]
+    got, rows = out.toPandas().sort_values("id"), df.toPandas().sort_values("id")
+    by = rows.groupby("g", dropna=False)["y"]
+    want = (by.transform("sum") + 10 * rows["y"].mean()) / (by.transform("count") + 10)
+    assert len(got) == 4000 and np.allclose(got["t"], want)
+    share = by.transform("size") / rows["g"].count()
+    assert np.allclose(got["f"], share.where(rows["g"].notna(), 0))
+    assert np.allclose(got["m"], rows.groupby(["many", "g"], dropna=False)["y"].transform("mean"))
+    assert dsl.apply(df.limit(0), spec).count() == 0
+    sizes = {}
+    for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "16")):
+        sizes[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    try:
+        few = dsl.apply(df, dsl.Spec(spec.features[:1]))
+        most = few.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+    assert most < 1000
