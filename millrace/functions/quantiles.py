@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 #: Values of one interval that are sorted; a wider one is bracketed again.
 KEEP = 4_096
-#: Edges up to which cells are expressions; more are searched batch by batch, as so long an expression is not compiled.
+#: Edges up to which cells are expressions; more are searched batch by batch, as so long an expression is slow.
 FEW = 16
 
 
