@@ -138,6 +138,37 @@ def test_knn_impute_by_brute_force(spark, monkeypatch, weights):
     assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
 
 
+def test_knn_impute_ways_agree(spark, monkeypatch):
+    """Ranges give what all pairs give, also with many equal and infinite values."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(size=600) * 1000, rng.integers(0, 3, 600), rng.normal(size=600)])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[::50, 0], x[3::70, 1], x[::90, 2] = 500.0, np.inf, -np.inf
+    df = spark.createDataFrame([(i, *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)], "id int, p double, q double, r double")
+    found = []
+    for patterns in (64, 0):
+        for name, n in (("PATTERNS", patterns), ("QUESTIONS", 5), ("CANDIDATES", 40)):
+            monkeypatch.setattr(cleaning.NeighbourImpute, name, n)
+        imputer = cleaning.NeighbourImpute(["p", "q", "r"], k=3)
+        found.append(np.array([r[1:] for r in imputer.fit(df).transform(df).orderBy("id").collect()]))
+    assert not np.isnan(found[0]).any() and np.allclose(*found, rtol=1e-12)
+
+
+def test_knn_impute_windows():
+    """Windows of sorted rows give what a sort of all distances gives, and look at few of them."""
+    rng = np.random.default_rng(2)
+    ref = rng.normal(size=(3000, 2)) * [1000, 1]
+    ref = ref[np.argsort(ref[:, 0])]
+    x = rng.normal(size=(50, 2)) * [1000, 1]
+    seen = {r: [] for r in range(50)}
+    for row, at, d in cleaning.windows(x, ref, np.arange(3000), 0, [0, 1], 4):
+        for r, a, v in zip(row, at, d, strict=True):
+            seen[r].append((v, a))
+    for r, v in enumerate(x):
+        d = np.sqrt(((ref - v) ** 2).sum(axis=1))
+        assert [a for _, a in seen[r]] == np.argsort(d, kind="stable")[:4].tolist()
+
+
 @pytest.mark.parametrize("keep, accuracy", [(4096, 10_000), (3, 20), (40, 100)])
 def test_quantiles_are_exact(spark, monkeypatch, keep, accuracy):
     """Equal to the percentile over all values, however often intervals are narrowed."""
