@@ -52,6 +52,10 @@ BLOCK, SEGMENTS, REMEMBERED, PART = 1 << 25, 1 << 14, 1 << 16, 1 << 22
 BREAKS = " \t\n\x0b\x0c\r"
 #: Everything that either tokenizer may take for white space.
 WHITE = BREAKS + "\x1c\x1d\x1e\x1f\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+#: What stands between the ids of a group's first and second side, between the two, and after a group.
+SIGNS = ".,|;"
+#: Alignments that a task sends to their blocks in one go, about.
+GATHERED = 1 << 18
 #: Copies of a pair's count for the join with segments, of which a frequent pair has many.
 COPIES = 16
 
@@ -112,9 +116,9 @@ class Pair:
             out.append(known[words[a]] if b == a + 1 else [i for w in words[a:b] for i in known[w]])
         return out
 
-    def align(self, segments: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
-        """Of each segment: groups of ids as text, the first one's parted by dots
-        until they are counted, None if its bytes do not come back; then all pairs of ids whose
+    def align(self, segments: list[str]) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
+        """Of each segment: ids of its groups, four times each and the place in ``SIGNS`` of
+        the sign after it, packed, None if its bytes do not come back; then all pairs of ids whose
         ends meet, as one number each, and where each segment's begin among them."""
         a_ids = self._first_ids(segments)
         b_ids = self.second.encode([s.replace(" ", MARK) for s in segments] if self.plain else [s[1:] for s in segments], num_threads=1)
@@ -135,16 +139,15 @@ class Pair:
         a_group, b_group = np.searchsorted(met, a_end), np.searchsorted(met, b_end)
         a_at = np.arange(len(a)) + np.searchsorted(b_group, a_group)
         b_at = np.arange(len(b)) + np.searchsorted(a_group, b_group, side="right")
-        sign = np.full(len(a) + len(b), ".", object)
-        sign[b_at] = ","
-        sign[a_at[a_last]], sign[b_at[b_last]] = "|", ";"
-        last = first_link[1:][np.diff(first_link) > 0] - 1
-        sign[b_at[b_last[last]]] = ""
+        sign = np.zeros(len(a) + len(b), np.int64)
+        sign[b_at] = 1
+        sign[a_at[a_last]], sign[b_at[b_last]] = 2, 3
         ids = np.empty(len(a) + len(b), np.int64)
         ids[a_at], ids[b_at] = a, b
-        parts = [f"{i}{c}" for i, c in zip(ids.tolist(), sign.tolist(), strict=True)]
-        bounds = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-        groups = ["".join(parts[i:j]) if r else None for (i, j), r in zip(pairwise(bounds), right.tolist(), strict=True)]
+        data = packed((ids * 4 + sign).astype(np.int32))
+        ends = np.concatenate([[0], np.flatnonzero(data < 128) + 1])
+        data, bounds = data.tobytes(), ends[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        groups = [data[i:j] if r else None for (i, j), r in zip(pairwise(bounds), right.tolist(), strict=True)]
         return groups, a[a_last] << 32 | b[b_last], first_link
 
 
@@ -187,6 +190,23 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spelled(groups: pa.Array) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Packed groups as text, the ids of a side parted by commas, and how many groups
+    and ids of each side they have."""
+    data = np.frombuffer(b"".join(x or b"" for x in groups.to_pylist()), np.uint8)
+    size = np.asarray(pa.compute.binary_length(groups).fill_null(0)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(data < 128)])[np.concatenate([[0], np.cumsum(size)])]
+    coded = unpacked(data)
+    sign = coded & 3
+    so_far = {c: np.concatenate([[0], np.cumsum(sign == i)])[ends] for i, c in enumerate(SIGNS)}
+    n = {c: np.diff(x) for c, x in so_far.items()}
+    shown = sign.copy()
+    shown[ends[1:][np.diff(ends) > 0] - 1] = 4  # nothing after the last
+    parts = pa.compute.binary_join_element_wise(pa.array(coded >> 2).cast(pa.string()), pa.array([",", ",", "|", ";", ""]).take(pa.array(shown)), "")
+    texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts), "").to_pylist()
+    return texts, {"n_groups": n["|"], "n_a": n["."] + n["|"], "n_b": n[","] + n["|"]}
+
+
 def _sent(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the segments of all documents, and where each document's end."""
     column = docs.column("segments").combine_chunks()
@@ -250,11 +270,49 @@ def _aligned(first: str, second: str) -> Callable[[Iterator[pa.RecordBatch]], It
             for i in range(0, len(batch), SEGMENTS):
                 part, times = batch.column(0).slice(i, SEGMENTS), batch.column(1).slice(i, SEGMENTS)
                 groups, links, at = pair.align(part.to_pylist())
-                yield pa.RecordBatch.from_arrays([part, times, pa.array(groups, pa.string()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(links))], names=["segment", "times", "groups", "links"])
+                yield pa.RecordBatch.from_arrays([part, times, pa.array(groups, pa.binary()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(links))], names=["segment", "times", "groups", "links"])
 
     return run
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte, the first bytes of all, then the second ones: they
+    compress well, as the high ones are mostly zero."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Alignments of one block that come by in a row of columns: numbers as steps,
+    sizes of groups (0 where there are none, else one more) and the rest."""
+    names, held = ["home", "number", "size", "n_best", "count_sum", "groups"], []
+
+    def rows() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        t = t.take(pa.array(np.lexsort((t["number"].to_numpy(), t["home"].to_numpy())))).combine_chunks()
+        home, number, n_best, count_sum = (t[c].to_numpy() for c in ("home", "number", "n_best", "count_sum"))
+        groups = t["groups"].combine_chunks()
+        size = np.asarray(pa.compute.binary_length(groups).fill_null(-1)).astype(np.int64) + 1
+        at, data = np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))]), b"".join(x or b"" for x in groups.to_pylist())
+        homes, first = np.unique(home, return_index=True)
+        out = [[] for _ in names[1:]]
+        for i, j in pairwise([*first.tolist(), len(home)]):
+            for o, v in zip(out, (planes(np.diff(number[i:j], prepend=0)), planes(size[i:j]), planes(n_best[i:j]), planes(count_sum[i:j]), data[at[i] : at[j]]), strict=True):
+                o.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(homes), *(pa.array(o, pa.binary()) for o in out)], names=names)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= GATHERED or sum(b.nbytes for b in held) >= BLOCK:
+            yield rows()
+            held.clear()
+    if sum(map(len, held)):
+        yield rows()
+
+
 def _left_out(docs: pa.Table, wrong: pa.Table) -> pa.Table:
     """How often a block's documents that have a wrong segment have each segment."""
     if not len(docs) or not len(wrong):
@@ -269,14 +327,15 @@ def _left_out(docs: pa.Table, wrong: pa.Table) -> pa.Table:
 
 def _composed(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The alignment of each document of a block."""
-    order = np.argsort(np.asarray(words.column("number").combine_chunks()))
-    column = lambda name: np.asarray(words.column(name).combine_chunks())[order]
-    coded = words.column("groups").combine_chunks().take(pa.array(order))
-    right = np.asarray(coded.is_valid()).astype(bool)
-    count = lambda sign: np.asarray(pa.compute.count_substring(coded.fill_null(""), sign)).astype(np.int64)
-    value = {"n_groups": count(";") + 1, "n_best": column("n_best"), "count_sum": column("count_sum")}
-    value |= {"n_a": count(".") + value["n_groups"], "n_b": count(",") + value["n_groups"]}
-    groups = pa.compute.replace_substring(coded, ".", ",").to_pylist()
+    number = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unplaned(x)) for x in words.column("number").to_pylist())])
+    order = np.argsort(number)
+    column = lambda name: np.concatenate([np.zeros(0, np.int64), *map(unplaned, words.column(name).to_pylist())])[order]
+    size = np.concatenate([np.zeros(0, np.int64), *map(unplaned, words.column("size").to_pylist())])
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(words.column("groups").to_pylist()))])
+    right = size[order] > 0
+    groups, value = _spelled(coded.take(pa.array(order)))
+    value |= {"n_best": column("n_best"), "count_sum": column("count_sum")}
     flat, ends = _sent(docs)
     sizes = np.diff(np.concatenate([[0], ends]))
 
@@ -314,7 +373,9 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     each = coded.where("words is not null").select(F.col("block").alias("home"), F.posexplode(F.arrays_zip("words", "times")).alias("number", "w"))
     words = each.select("home", "number", F.col("w.words").alias("segment"), F.col("w.times").alias("times"))
     once = words.groupBy("segment").agg(F.sum("times").alias("times"))
-    known = kept.keep(once.mapInArrow(_aligned(first, second), "segment string, times long, groups string, links array<long>"))
+    known = once.mapInArrow(_aligned(first, second), "segment string, times long, groups binary, links array<long>")
+    # From here on a number stands for a segment, except where it meets the blocks.
+    known = kept.keep(known.select(F.monotonically_increasing_id().alias("id"), "*"))
 
     counted = known
     wrong = known.where("groups is null").select("segment")
@@ -332,11 +393,12 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     rated = pairs.withColumn("second", second_id).join(highest, "second").select("pair", "n", (F.col("n") == F.col("highest")).cast("long").alias("best"))
     # A pair that a large share of the segments has is dealt out by copies of its count.
     rated = rated.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    dealt = known.select("segment", F.explode("links").alias("pair")).withColumn("copy", F.pmod(F.xxhash64("segment"), F.lit(COPIES)).cast("int"))
-    sums = dealt.join(rated, ["pair", "copy"]).groupBy("segment").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
-    full = kept.keep(known.select("segment", "groups").join(sums, "segment", "left").fillna(0, ["count_sum", "n_best"]))
+    dealt = known.select("id", F.explode("links").alias("pair")).withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(COPIES)).cast("int"))
+    sums = dealt.join(rated, ["pair", "copy"]).groupBy("id").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    full = kept.keep(known.select("id", "segment", "groups").join(sums, "id", "left").drop("id").fillna(0, ["count_sum", "n_best"]))
     kept.drop(known, pairs)
-    joined = words.drop("times").join(full, "segment").drop("segment")
+    joined = words.drop("times").join(full, "segment").select("home", "number", "groups", "n_best", "count_sum")
+    joined = joined.mapInArrow(gathered, "home long, number binary, size binary, n_best binary, count_sum binary, groups binary")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_best long, count_sum long, n_links long, groups string"
     return rows.groupBy("block").cogroup(joined.groupBy("home")).applyInArrow(_composed, out)
 

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -182,6 +183,31 @@ def test_alignment_of_nothing(spark):
     assert sorted((str(r["doc_id"]), r["n_a"], r["n_links"], r["count_sum"], r["groups"]) for r in alignment.align(df, JSON, MODEL).collect()) == [("1", 0, 0, 0, None), ("2", 0, 0, 0, None), ("None", 0, 0, 0, None)]
 
 
+def test_alignments_move_as_bytes():
+    """Two or three bytes an id and its sign, and the same text and counts again."""
+    pair = alignment.Pair(JSON, MODEL)
+    groups, _, at = pair.align([" tokenisation", " the", " of it"])
+    texts, n = alignment._spelled(pa.array([*groups, None], pa.binary()))
+    assert texts[3] == "" and n["n_groups"].tolist() == [*(at[1:] - at[:-1]).tolist(), 0]
+    for data, text, a, b in zip(groups, texts, n["n_a"].tolist(), n["n_b"].tolist(), strict=False):
+        sides = [g.split("|") for g in text.split(";")]
+        assert len(data) <= 3 * (a + b) and (a, b) == tuple(sum(len(g[i].split(",")) for g in sides) for i in (0, 1))
+
+
+def test_alignments_are_gathered_by_block():
+    """A row a block, with everything in it, whatever the batches."""
+    rows = [(i % 3, i // 3, bytes([i]) if i % 4 else None, i, i << 40) for i in range(30)]
+    cells = pa.RecordBatch.from_pylist([dict(zip(("home", "number", "groups", "n_best", "count_sum"), r, strict=True)) for r in rows])
+    (found,) = alignment.gathered(iter([cells.slice(0, 7), cells.slice(7)]))
+    assert found["home"].to_pylist() == [0, 1, 2]
+    back = []
+    for r in found.to_pylist():
+        data = iter(r["groups"])
+        for number, size, best, total in zip(alignment.unplaned(r["number"]).cumsum().tolist(), *(alignment.unplaned(r[c]).tolist() for c in ("size", "n_best", "count_sum")), strict=True):
+            back.append((r["home"], number, bytes(next(data) for _ in range(size - 1)) if size else None, best, total))
+    assert sorted(back, key=lambda r: r[3]) == rows
+
+
 def test_packed_numbers():
     x = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5])
     assert alignment.unpacked(alignment.packed(x)).tolist() == x.tolist() and len(alignment.packed(x[:3])) == 3
