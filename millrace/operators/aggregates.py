@@ -3,9 +3,9 @@
 An own aggregate says how values become a state, how states merge and what a
 state finally gives. ``Declared`` says it with built-in aggregates, which Spark
 merges itself; it has a name and then serves in group statistics and in features along
-relationships. ``Reduced`` says it in Python: each Arrow batch of a task leaves one
+relationships. ``Reduced`` says it in Python: some ``HELD`` rows of a task leave one
 state per group, so states leave the task, not rows, and states of a hot group are
-merged in ``FANS`` parts first. The same object serves on streams.
+merged in ``FANS`` parts first; states of many groups come by sorted, without a call for each. The same object serves on streams.
 
 Medians and modes count different values by group first. Where a group has
 more than ``ROWS`` of them, their range is cut and the wanted rank is found in the one
@@ -22,14 +22,20 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce as fold
+from itertools import pairwise
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 FANS, ROWS = 16, 1_000_000
+#: Rows that a task reduces in one go.
+HELD = 1 << 17
 DECLARED: dict[str, Declared] = {}
 
 
@@ -80,25 +86,64 @@ def reduced(df: DataFrame, by: list[str], column: str, aggregate: Reduced, name:
     rows = rows if aggregate.nulls else rows.where("_value is not null")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [((*k, i % FANS), aggregate.reduce(part["_value"])) for i, (k, part) in enumerate(pdf.groupby(by, dropna=False, sort=False))]
+        held: list[pd.DataFrame] = []
+
+        def states() -> pd.DataFrame:
+            pdf = pd.concat(held, ignore_index=True)
+            code = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            values = pdf["_value"].iloc[order]
+            found = [aggregate.reduce(values.iloc[i:j]) for i, j in pairwise([*first.tolist(), len(pdf)])]
             # A group's states go to parts by their batch, so that a hot one is spread.
             spread = len(pdf) + int(pd.util.hash_pandas_object(pdf["_value"].iloc[:1].astype(str), index=False).iloc[0] % FANS)
-            if found:
-                yield pd.DataFrame([(*k[:-1], (k[-1] + spread) % FANS, *s) for k, s in found], columns=[*by, "_fan", *aggregate.fields])
-
-    def merged(pdf: pd.DataFrame) -> tuple:
-        return fold(aggregate.merge, [tuple(map(_plain, r)) for r in pdf[aggregate.fields].itertuples(index=False)])
-
-    def some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key[:-1], *merged(pdf))], columns=[*by, *aggregate.fields])
-
-    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, aggregate.finish(merged(pdf)))], columns=[*by, name])
+            out = pdf[by].iloc[order[first]].reset_index(drop=True).assign(_fan=(np.arange(len(first)) + spread) % FANS)
+            parts = zip(*found, strict=True)
+            return out.assign(**{f: pd.Series(list(v), dtype=object if isinstance(v[0], (list, np.ndarray)) else None) for f, v in zip(aggregate.fields, parts, strict=True)})
 
+        for pdf in batches:
+            # Whole numbers of a batch without nulls are not to become floating ones by those of another.
+            if held and (sum(map(len, held)) >= HELD or list(pdf.dtypes) != list(held[0].dtypes)):
+                yield states()
+                held.clear()
+            held.append(pdf)
+        if sum(map(len, held)):
+            yield states()
+
+    def runs(keys: list[str], result: list[str], give: Callable[[tuple], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """States of equal keys stand together and are merged as they come by: one
+        state is held, and no call is made for a group."""
+        alike = lambda key: tuple("nan" if isinstance(v, float) and math.isnan(v) else v for v in key)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = key = state = None
+            for batch in batches:
+                columns, out = [c.to_pylist() for c in batch.columns], []
+                for row in zip(*columns, strict=True):
+                    mine, other = row[: len(keys)], tuple(map(_plain, row[len(keys) :]))
+                    if at == alike(mine):
+                        state = aggregate.merge(state, other)
+                        continue
+                    if at is not None:
+                        out.append((*key[: len(by)], *give(state)))
+                    at, key, state = alike(mine), mine, other
+                yield from emitted(out)
+            if at is not None:
+                yield from emitted([(*key[: len(by)], *give(state))])
+
+        def emitted(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([_plain(v) for v in c], t) for c, t in zip(zip(*rows, strict=True), types + (inner if result is aggregate.fields else outer), strict=True)], names=[*by, *result])
+
+        return run
+
+    types = [to_arrow_type(df.schema[c].dataType) for c in by]
+    inner, outer = ([to_arrow_type(f.dataType) for f in T._parse_datatype_string(x).fields] for x in (aggregate.state, f"x {aggregate.result}"))
     states = rows.mapInPandas(partial, f"{kinds}, _fan int, {aggregate.state}")
-    states = states.groupBy(*by, "_fan").applyInPandas(some, f"{kinds}, {aggregate.state}")
-    return states.groupBy(*by).applyInPandas(whole, f"{kinds}, `{name}` {aggregate.result}")
+    together = lambda df, keys: df.repartition(*keys).sortWithinPartitions(*keys).select(*keys, *aggregate.fields)
+    ticked = [f"`{c}`" for c in by]
+    states = together(states, [*ticked, "_fan"]).mapInArrow(runs([*by, "_fan"], aggregate.fields, lambda s: s), f"{kinds}, {aggregate.state}")
+    return together(states, ticked).mapInArrow(runs(by, [name], lambda s: (aggregate.finish(s),)), f"{kinds}, `{name}` {aggregate.result}")
 
 
 def _null_safe(left: str, right: str, by: list[str]) -> Column:

@@ -74,3 +74,13 @@ def test_own_names_everywhere(spark, frame):
 def test_nothing_is_left_of_infinities(spark):
     df = spark.createDataFrame([("a", math.inf), ("a", 1.0), ("a", -math.inf)], "k string, v double")
     assert A.group_quantile(df, ["k"], "v").first()[1] == 1.0
+
+
+def test_reduced_makes_no_call_for_a_group(spark):
+    """States are merged as they come by, sorted; null and NaN keys are groups."""
+    span = A.Reduced("span", "lo double, hi double", "double", lambda x: (float(x.min()), float(x.max())), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0])
+    rows = [(None if i % 7 == 0 else i % 7, float("nan") if i % 2 else 1.0, float(i)) for i in range(140)]
+    df = spark.createDataFrame(rows, "k long, f double, v double").repartition(3)
+    found = A.reduced(df, ["k", "f"], "v", span)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    assert len(found.collect()) == 14 and {r["v_span"] for r in found.collect()} == {126.0}
