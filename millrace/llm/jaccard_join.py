@@ -187,7 +187,9 @@ def connected(sets: DataFrame, tables: Tables) -> DataFrame:
     root = components(direct, tables)
     more = across(d, root, sets, tables)
     if more.head(1):
-        root = components(direct.unionByName(more), tables)
+        # What is connected already is so by one edge a node.
+        found = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        root = components(found.unionByName(more), tables)
     tables.drop(d, direct, more)
     return root
 

@@ -288,3 +288,19 @@ def test_sharding_of_equal_rows(spark):
     assert sharding.shard(docs_frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         sharding.shard(docs_frame(spark, rows), limit=0)
+
+
+def test_components_end_with_stars(spark):
+    """Edges that lead to roots need no round; a long path needs a few, and no round to see that nothing changes."""
+    from millrace.llm import common, components
+
+    class Counted(common.Tables):
+        def keep(self, df):
+            rounds.append(df)
+            return super().keep(df)
+
+    for edges, most in (([(2, 1), (1, 3), (9, 8)], 2), ([(i, i + 1) for i in range(40)], 20)):
+        rounds = []
+        found = components.components(spark.createDataFrame(edges, "a long, b long"), Counted(spark))
+        roots = {n: min(e for e in sum(edges, ()) if (e < 8) == (n < 8) or most > 2) for n in sum(edges, ())}
+        assert {r["node"]: r["root"] for r in found.collect()} == roots and len(rounds) <= most
