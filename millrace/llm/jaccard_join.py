@@ -126,14 +126,17 @@ def distinct_regions(region: DataFrame) -> DataFrame:
     return region.join(one, "cell", "left_semi")
 
 
-def divided(rest: DataFrame, seen: DataFrame) -> DataFrame:
-    """``rest`` (rows of regions, written) in the cells of their pivots.
+def divided(rest: DataFrame, seen: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """``rest`` (rows of regions, written) in the cells of their pivots; written.
 
     ``seen``: cell, sid, pivot, dist for all pairs within 0.6 of each other.
+    What several branches read is written first: as a plan it would be repeated
+    in each, and the driver holds all of it.
     """
+    tables = tables or Tables(rest.sparkSession)
     nearest = seen.groupBy("cell", "sid").agg(F.min(F.struct("dist", "pivot")).alias("p"))
     placed = rest.join(nearest, ["cell", "sid"], "left")
-    placed = placed.withColumn("at", F.when(F.col("p.dist") <= 0.4 + SLACK, F.col("p.pivot")))
+    placed = tables.keep(placed.withColumn("at", F.when(F.col("p.dist") <= 0.4 + SLACK, F.col("p.pivot"))))
     homes = placed.where("home")
     radius = homes.where("at is not null").groupBy("cell", F.col("at").alias("pivot")).agg(F.max("p.dist").alias("r"))
     inside = homes.select("cell", "at", "sid", "n", "own", "hi", "score", F.lit(True).alias("home"))
@@ -141,11 +144,14 @@ def divided(rest: DataFrame, seen: DataFrame) -> DataFrame:
     copies = copies.join(placed, ["cell", "sid"]).where("not (home and at <=> pivot)").select("cell", F.col("pivot").alias("at"), "sid", "n", "own", "hi", "score", F.lit(False).alias("home"))
     # Sets at home elsewhere find those far from all pivots in their own cell; copies have none.
     far = placed.where("not home").select("cell", F.lit(None).cast("long").alias("at"), "sid", "n", "own", "hi", "score", F.lit(False).alias("home"))
-    cells = inside.unionByName(copies).unionByName(far)
+    cells = tables.keep(inside.unionByName(copies).unionByName(far))
     size = rest.groupBy("cell").agg(F.count("*").alias("before"))
     apart = cells.groupBy("cell").agg(F.count("*").alias("after")).join(size, "cell").where(F.col("after") <= GROWTH * F.col("before")).select("cell")
-    cells = cells.join(apart, "cell", "left_semi").withColumn("cell", F.xxhash64("cell", "at")).select(*rest.columns)
-    return cells.unionByName(rest.join(apart, "cell", "left_anti").select(*rest.columns))
+    apart = tables.keep(apart)
+    new = cells.join(apart, "cell", "left_semi").withColumn("cell", F.xxhash64("cell", "at")).select(*rest.columns)
+    out = tables.keep(new.unionByName(rest.join(apart, "cell", "left_anti").select(*rest.columns)))
+    tables.drop(placed, cells, apart)
+    return out
 
 
 def connected(sets: DataFrame, tables: Tables) -> DataFrame:
@@ -173,8 +179,10 @@ def connected(sets: DataFrame, tables: Tables) -> DataFrame:
         rest = tables.keep(region.join(gone, ["cell", "sid"], "left_anti"))
         more = bool(rest.where("home").head(1))
         if more:
-            left = seen.join(rest.select("cell", "sid"), ["cell", "sid"], "left_semi").select("cell", "sid", "pivot", "dist")
-            after = tables.keep(paired(divided(rest, left)))
+            left = tables.keep(seen.join(rest.select("cell", "sid"), ["cell", "sid"], "left_semi").select("cell", "sid", "pivot", "dist"))
+            cells = divided(rest, left, tables)
+            after = tables.keep(paired(cells))
+            tables.drop(left, cells)
         tables.drop(region, pivots, pairs, seen, rest)
         if not more:
             break

@@ -146,6 +146,15 @@ def test_cells_divide_and_lose_nothing(spark):
                 assert any(a in home and b in all_of[home[a]] for a, b in ((i, j), (j, i)))
 
 
+def test_cells_have_small_plans(spark):
+    """What a round of cells reads is written: no step's plan repeats another's
+    joins, of which the driver would hold hundreds."""
+    frame = spark.createDataFrame([(5, i, 10, 0, 999, 1.0, True) for i in range(6)], "cell long, sid long, n long, own long, hi long, score double, home boolean")
+    seen = spark.createDataFrame([(5, i, 100 + i % 2, 0.3) for i in range(6)], "cell long, sid long, pivot long, dist double")
+    plan = jaccard_join.paired(jaccard_join.divided(frame, seen))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2
+
+
 def test_large_group_of_near_copies(spark):
     """Hundreds of texts around one, some of which link only to few others."""
     rng = random.Random(11)
