@@ -31,22 +31,28 @@ def infer_types(df: DataFrame, categorical: int = 50) -> dict[str, str]:
     or unknown (no values), in this order of precedence."""
     wanted = {}
     for c in df.columns:
-        s = F.col(c).cast("string")
-        wanted |= {
-            f"{c}|n": F.count(c), f"{c}|d": F.approx_count_distinct(s, 0.02),
-            f"{c}|num": F.avg(s.try_cast("double").isNotNull().cast("double")), f"{c}|time": F.avg(F.try_to_timestamp(s).isNotNull().cast("double")),
-            f"{c}|len": F.avg(F.char_length(s)), f"{c}|words": F.avg(F.size(words(s))), f"{c}|lo": F.min(F.lower(s)), f"{c}|hi": F.max(F.lower(s)),
-        }
+        kind, v = df.schema[c].dataType, F.col(c)
+        s = v.cast("string")
+        wanted[f"{c}|n"] = F.count(c)
+        if isinstance(kind, T.StringType):
+            wanted |= {
+                f"{c}|num": F.avg(s.try_cast("double").isNotNull().cast("double")), f"{c}|time": F.avg(F.try_to_timestamp(s).isNotNull().cast("double")),
+                f"{c}|len": F.avg(F.char_length(s)), f"{c}|words": F.avg(F.size(words(s))),
+            }
+        # Other types say what they are, but for two numbers that may be truths: of two values the ends are the values, in any order.
+        if isinstance(kind, T.NumericType):
+            wanted |= {f"{c}|d": F.approx_count_distinct(v, 0.02), f"{c}|lo": F.min(v).cast("string"), f"{c}|hi": F.max(v).cast("string")}
+        elif not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)):
+            wanted |= {f"{c}|d": F.approx_count_distinct(s, 0.02), f"{c}|lo": F.min(F.lower(s)), f"{c}|hi": F.max(F.lower(s))}
     s, out = run_aggregates(df, wanted), {}
     for c in df.columns:
         kind, g = df.schema[c].dataType, lambda k, c=c: s[f"{c}|{k}"]
         string = isinstance(kind, T.StringType)
-        pair = {g("lo"), g("hi")} - {None}
         if not g("n"):
             out[c] = "unknown"
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) or string and (g("time") or 0) > 0.9 and (g("num") or 0) <= 0.9:
             out[c] = "datetime"
-        elif isinstance(kind, T.BooleanType) or g("d") <= 2 and any(pair <= t for t in TRUTHS):
+        elif isinstance(kind, T.BooleanType) or g("d") <= 2 and any({g("lo"), g("hi")} <= t for t in TRUTHS):
             out[c] = "boolean"
         elif isinstance(kind, T.NumericType) or string and (g("num") or 0) > 0.9:
             out[c] = "numeric"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import categorical, text
+from millrace.operators import categorical, profiling, text
 
 
 def test_one_digest_for_all_buckets(spark, capsys):
@@ -17,3 +17,13 @@ def test_terms_of_a_text_are_cut_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     got = sorted((r["text"] or "", r["text_count_a"], r["text_count_b"], r["text_count_c"]) for r in out.collect())
     assert got == [("", 0, 0, 0), ("a b a", 2, 1, 0), ("b c", 0, 1, 1), ("c a", 1, 0, 1)]
+
+
+def test_types_that_say_what_they_are_are_not_parsed(spark, monkeypatch):
+    asked, run = {}, profiling.run_aggregates
+    monkeypatch.setattr(profiling, "run_aggregates", lambda df, wanted: run(df, asked.setdefault("w", wanted)))
+    df = spark.sql("select id, id % 2 as bit, cast(id % 2 as double) as x, if(id = 3, null, id % 2 * 5) as five, date'2024-01-01' + cast(id as int) as day, id > 2 as more, cast(null as int) as none, cast(id as string) as digits, if(id > 2, 'Yes', 'no') as said from range(9)")
+    want = {"id": "numeric", "bit": "boolean", "x": "numeric", "five": "numeric", "day": "datetime", "more": "boolean", "none": "unknown", "digits": "numeric", "said": "boolean"}
+    assert profiling.infer_types(df) == want
+    parsed = {k.partition("|")[0] for k in asked["w"] if k.endswith(("|time", "|num", "|words"))}
+    assert parsed == {"digits", "said"}
