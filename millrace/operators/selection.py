@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -340,6 +341,10 @@ class Permutation(Selector):
         return best(self.scores, self.columns, self.k, None if self.k else self.threshold)
 
 
+#: Classes up to which each has a column for its probability.
+FEW_CLASSES = 16
+
+
 class Shapley(Selector):
     """Mean absolute Shapley values of a forest's predictions, sampled: in
     every round a row turns into another one column by column, in a random
@@ -355,8 +360,7 @@ class Shapley(Selector):
     def credits(self, df: DataFrame, target: str) -> DataFrame:
         """One array per column (of classes, or of one number), and ``_whole``, what they add up to."""
         from pyspark.ml import classification, regression
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
+        from pyspark.ml.functions import array_to_vector, vector_to_array
         from pyspark.sql import Window
 
         data, classify = assembled(df, self.columns, target)
@@ -364,41 +368,63 @@ class Shapley(Selector):
         model = kind(featuresCol="_x", labelCol="_y", numTrees=self.trees, maxDepth=self.depth, seed=self.seed).fit(data)
         names, rng = [f"_c{i}" for i in range(len(self.columns))], random.Random(self.seed)
         rows = data.select(*[vector_to_array("_x")[i].alias(c) for i, c in enumerate(names)]).withColumn("_r", F.xxhash64(F.lit(self.seed), *names, F.monotonically_increasing_id()))
-        slices = Window.partitionBy(F.pmod("_r", F.lit(64))).orderBy("_r")
-        every = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = rows.withColumns({f"{c}_{t}": F.coalesce(F.lag(c, t + 1).over(slices), F.last(c).over(every)) for t in range(self.rounds) for c in names})
-
-        def predicted(rows: DataFrame, columns: list[str], into: str) -> DataFrame:
-            rows = VectorAssembler(inputCols=columns, outputCol="_v").transform(rows)
+        # Predictions are columns of numbers, one a class, as arrays are worked on by interpreted functions; those of many classes are arrays, which do not move.
+        self.classes = model.numClasses if classify else 1
+        many = self.classes > FEW_CLASSES
+        of = lambda name: [name] if many else [f"{name}_{k}" for k in range(self.classes)]
+        minus = (lambda a, b: F.zip_with(a, b, lambda x, y: x - y)) if many else (lambda a, b: a - b)
+        plus = (lambda a, b: F.zip_with(a, b, lambda x, y: x + y)) if many else (lambda a, b: a + b)
+
+        def predicted(rows: DataFrame, columns: list, into: str) -> DataFrame:
+            rows = rows.withColumn("_v", array_to_vector(F.array(*columns)))
             model.setFeaturesCol("_v").setPredictionCol("_p")
             if classify:
                 model.setProbabilityCol("_q").setRawPredictionCol("")
             rows = model.transform(rows)
-            return rows.withColumn(into, vector_to_array("_q") if classify else F.array("_p")).drop("_v", "_p", "_q")
+            if classify:
+                rows = rows.withColumn("_q", vector_to_array("_q"))
+            return rows.withColumns({c: F.col("_q") if many else F.col("_q")[k] if classify else F.col("_p") for k, c in enumerate(of(into))}).drop("_v", "_p", "_q")
 
-        rows = predicted(rows, names, "_own")
+        # A partner brings its prediction along, which is that of a row that has turned into it.
+        if not many:
+            rows = predicted(rows, names, "_own")
+        rows = rows.select("_r", F.struct(*[c for c in rows.columns if c != "_r"]).alias("_row"))
+        slices = Window.partitionBy(F.pmod("_r", F.lit(64))).orderBy("_r")
+        every = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({"_last": F.last("_row").over(every)} | {f"_lag{t}": F.lag("_row", t + 1).over(slices) for t in range(self.rounds)})
+        rows = rows.select("_row.*", *[F.coalesce(f"_lag{t}", "_last").alias(f"_with{t}") for t in range(self.rounds)])
+        if many:
+            rows = predicted(rows, names, "_own")
         steps: dict[str, list] = {c: [] for c in names}
         ends = []
         for t in range(self.rounds):
-            mixed, before = list(names), "_own"
-            for n, i in enumerate(rng.sample(range(len(names)), len(names))):
-                mixed[i] = f"{names[i]}_{t}"
-                rows = predicted(rows, mixed, f"_f{t}_{n}")
-                steps[names[i]].append(F.zip_with(before, f"_f{t}_{n}", lambda a, b: a - b))
-                before = f"_f{t}_{n}"
-            ends.append(F.zip_with("_own", before, lambda a, b: a - b))
+            mixed, before = list(names), [F.col(c) for c in of("_own")]
+            order = rng.sample(range(len(names)), len(names))
+            for n, i in enumerate(order):
+                mixed[i] = F.col(f"_with{t}.{names[i]}")
+                if many or n + 1 < len(order):
+                    rows = predicted(rows, mixed, f"_f{t}_{n}")
+                    after = [F.col(c) for c in of(f"_f{t}_{n}")]
+                else:
+                    after = [F.col(f"_with{t}.{c}") for c in of("_own")]
+                steps[names[i]].append(list(map(minus, before, after)))
+                before = after
+            ends.append(list(map(minus, [F.col(c) for c in of("_own")], before)))
 
         def mean(parts):
-            out = parts[0]
-            for p in parts[1:]:
-                out = F.zip_with(out, p, lambda a, b: a + b)
-            return F.transform(out, lambda x: x / len(parts))
+            sums = [reduce(plus, of_class) for of_class in zip(*parts, strict=True)]
+            return F.transform(sums[0], lambda x: x / len(parts)) if many else F.array(*[x / len(parts) for x in sums])
 
         return rows.select(*[mean(steps[n]).alias(c) for n, c in zip(names, self.columns, strict=True)], mean(ends).alias("_whole"))
 
     def choose(self, df, target):
-        size = {c: F.avg(F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + F.abs(x))).alias(c) for c in self.columns}
-        row = self.credits(df, target).agg(*size.values()).first()
+        found = self.credits(df, target)
+        if self.classes > FEW_CLASSES:
+            total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + F.abs(x))
+        else:
+            total = lambda c: sum((F.abs(F.col(c)[k]) for k in range(self.classes)), F.lit(0.0))
+        size = {c: F.avg(total(c)).alias(c) for c in self.columns}
+        row = found.agg(*size.values()).first()
         self.scores = {c: row[c] or 0.0 for c in self.columns}
         return best(self.scores, self.columns, self.k, None if self.k else self.threshold)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from millrace.operators import categorical, profiling, text
+from millrace.operators import categorical, profiling, selection, text
 
 
 def test_one_digest_for_all_buckets(spark, capsys):
@@ -27,3 +27,19 @@ def test_types_that_say_what_they_are_are_not_parsed(spark, monkeypatch):
     assert profiling.infer_types(df) == want
     parsed = {k.partition("|")[0] for k in asked["w"] if k.endswith(("|time", "|num", "|words"))}
     assert parsed == {"digits", "said"}
+
+
+def test_shapley_takes_a_partners_prediction_from_the_partner(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i)) for i in range(60)], "a double, b double, y double")
+    plan = selection.Shapley(["a", "b"], rounds=2, trees=2).credits(df, "y")._jdf.queryExecution().optimizedPlan().toString()
+    # A vector and its prediction each: the row as it is, and one mixed row a round. The full plan shows no interpreted function.
+    assert plan.count("AS _own_0") == 1 and plan.count("array(_c") + plan.count("array(_with") <= 3
+    assert "zip_with" not in plan and "transform(" not in plan
+
+
+def test_shapley_of_many_classes(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), "xyz"[i % 3]) for i in range(60)], "a double, b double, y string")
+    few = selection.Shapley(["a", "b"], rounds=2, trees=2).fit(df, "y").scores
+    monkeypatch.setattr(selection, "FEW_CLASSES", 2)
+    many = selection.Shapley(["a", "b"], rounds=2, trees=2).fit(df, "y").scores
+    assert all(abs(few[c] - many[c]) < 1e-12 for c in "ab") and few["a"] > 0
